@@ -96,7 +96,9 @@ def plan(docs: DataFrame, text_col: str, id_col: str, source_col: str, p: Mix) -
 def block_uses(sources: DataFrame, p: Mix) -> DataFrame:
     """(rank, block, shard, slot): the block of its source that each output slot takes.
 
-    Slots are generated on the executors, a chunk of indices a row first.
+    Slots are generated on the executors, a chunk of indices a row first.  Statistics
+    of the few source rows say nothing of them: joins with slots carry a merge hint,
+    or they would be broadcast.
     """
     chunk = 65_536
     first = F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -125,7 +127,7 @@ def mix_digest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
     p = params
     rows, sources = plan(docs, text_col, id_col, source_col, p)
     uses = block_uses(sources, p).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows, sources, p).join(uses, ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    taken = _pieces(rows, sources, p).join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
     full = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "start", "rank", "source_size", "target")
     full = full.join(taken, (full["rank"] == taken["rank"]) & (full["start"] == taken["start"]) & (full["size"] > 0), "left")
     return full.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
@@ -134,7 +136,7 @@ def mix_digest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sourc
 def mixed_pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Mix = Mix()) -> DataFrame:
     """The mix itself: shard, slot, and the id and word range of each piece of the block there."""
     rows, sources = plan(docs, text_col, id_col, source_col, params)
-    out = _pieces(rows, sources, params).join(block_uses(sources, params), ["rank", "block"])
+    out = _pieces(rows, sources, params).join(block_uses(sources, params).hint("merge"), ["rank", "block"])
     return out.select("shard", "slot", F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "from_word", "words")
 
 
@@ -149,7 +151,7 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "so
     keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
     rows, sources = plan(docs, text_col, id_col, source_col, p)
     uses = block_uses(sources, p).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows, sources, p).join(uses, ["rank", "block"])
+    taken = _pieces(rows, sources, p).join(uses.hint("merge"), ["rank", "block"])
     taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("uses").cast("int") - 1)))
     taken = taken.groupBy("doc_id", "size", "start", "turn").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("from_word"), F.col("words").cast("int").alias("words")))).alias("spans"))
     # Rows that share id and size are told apart by their order alone, so each meets one range.
