@@ -9,7 +9,9 @@ into distances by one more coordinate, sqrt(M^2 - |x|^2), in the second half.
 Codebooks are fit on at most ``sample`` vectors (smallest hash of their id); every
 vector is indexed.  Equal vectors tie, so of each distinct vector only the
 ``neighbours`` + 1 smallest ids can be in a result and only those are indexed.
-Cells are stored in blocks of about ``block`` entries and met by blocks of queries,
+A query first meets its nearest cells; the score of its last neighbour there is what
+an entry of the other cells must reach to leave its task, so partial results stay few
+however many tasks there are.  Cells are stored in blocks of about ``block`` entries and met by blocks of queries,
 so no cell, however full, is one task.
 
 Defined results: vectors that are null, zero or hold null or non-finite components
@@ -41,6 +43,7 @@ class MultiIndex:
     rounds: int = 12
     probe: float = 0.7  # share of the entries whose cells a query visits
     least: int = 2_000  # entries that it visits at least
+    first: float = 0.05  # share of them that is met first, to know what the others must beat
     block: int = 1024
     seed: int = 11
 
@@ -119,43 +122,47 @@ def build(v: DataFrame, p: MultiIndex) -> Index | None:
     return Index(blocks, books, top, dim, counts)
 
 
-def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int) -> list[int]:
-    """Cells by summed distance of their centroids, until they hold ``enough`` entries."""
+def traverse(d1: np.ndarray, d2: np.ndarray, counts: np.ndarray, enough: int, first: int) -> tuple[list[int], list[int]]:
+    """Cells by summed distance of their centroids, until they hold ``first`` entries, and then ``enough``."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
     o1, o2, wide = o1.tolist(), o2.tolist(), len(d2)
-    heap, found, seen = [(s1[0] + s2[0], 0, 0)], [], 0
+    heap, near, far, seen = [(s1[0] + s2[0], 0, 0)], [], [], 0
     while heap and seen < enough:
         _, i, j = heapq.heappop(heap)
         cell = o1[i] * wide + o2[j]
         if n := int(counts[cell]):
-            found.append(cell)
+            (near if seen < first else far).append(cell)
             seen += n
         if j + 1 < len(s2):
             heapq.heappush(heap, (s1[i] + s2[j + 1], i, j + 1))
         if j == 0 and i + 1 < len(s1):
             heapq.heappush(heap, (s1[i + 1] + s2[0], i + 1, 0))
-    return found
+    return near, far
 
 
-def _visits(index: Index, p: MultiIndex):
-    """(cell, queries, q_vectors): each batch of queries, by the cells that they visit."""
+VISIT = "cell int, queries array<long>, q_vectors array<double>, bounds array<double>"
+
+
+def _visits(index: Index, p: MultiIndex, turn: int):
+    """The queries of each batch by the cells that they visit: the nearest (turn 0) or the others (1)."""
     books, top, dim, counts = index.books, index.top, index.dim, index.counts
-    enough = max(p.least, int(p.probe * counts.sum()))
+    total = int(counts.sum())
+    enough, first = max(p.least, int(p.probe * total)), max(p.neighbours + 1, int(p.first * total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, p.block):
                 batch = whole.slice(lo, p.block)
-                q, ids = _matrix(batch, "v", dim), column(batch, "id").to_numpy()
+                q, ids, bound = _matrix(batch, "v", dim), column(batch, "id").to_numpy(), column(batch, "bound").to_numpy()
                 half = dim // 2
                 d1, d2 = _distances(q[:, :half], books[0]), _distances(np.column_stack([q[:, half:], np.zeros(len(q))]), books[1])
                 by_cell: dict[int, list[int]] = {}
                 for i in range(len(q)):
-                    for cell in traverse(d1[i], d2[i], counts, enough):
+                    for cell in traverse(d1[i], d2[i], counts, enough, first)[turn]:
                         by_cell.setdefault(cell, []).append(i)
                 for cell, at in by_cell.items():
-                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([ids[at]]), pa.array([q[at].ravel()])], names=["cell", "queries", "q_vectors"])
+                    yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([ids[at]]), pa.array([q[at].ravel()]), pa.array([bound[at]])], names=["cell", "queries", "q_vectors", "bounds"])
 
     return run
 
@@ -178,14 +185,14 @@ def _rerank(dim: int, k: int, room: int = 400_000):
         parts, held = [], 0
         for batch in batches:
             for r in range(batch.num_rows):
-                qi, qv, ei, ev = (column(batch, n)[r].values.to_numpy(zero_copy_only=False) for n in ("queries", "q_vectors", "ids", "vectors"))
+                qi, qv, low, ei, ev = (column(batch, n)[r].values.to_numpy(zero_copy_only=False) for n in ("queries", "q_vectors", "bounds", "ids", "vectors"))
                 qv, ev = qv.reshape(-1, dim), ev.reshape(-1, dim)
                 near = qv @ ev.T
                 near[qi[:, None] == ei] = -np.inf
                 n = min(k, len(ei))
                 # The product may round one pair differently at two places of the matrix, so the
                 # best are taken with some slack and scored again, each pair by itself.
-                least = np.partition(near, len(ei) - n, axis=1)[:, len(ei) - n]
+                least = np.maximum(np.partition(near, len(ei) - n, axis=1)[:, len(ei) - n], low)
                 a, b = np.nonzero((near >= (least - 1e-9 * (1 + np.abs(least)))[:, None]) & np.isfinite(near))
                 parts.append((qi[a], ei[b], (qv[a] * ev[b]).sum(1)))
                 held += len(a)
@@ -208,8 +215,16 @@ def search(vectors: DataFrame, params: MultiIndex = MultiIndex()) -> DataFrame:
     index = build(v, p)
     if index is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    visits = v.where(F.col("id") % p.every == 0).mapInArrow(_visits(index, p), "cell int, queries array<long>, q_vectors array<double>")
-    pairs = visits.join(index.entries, "cell").select("queries", "q_vectors", "ids", "vectors")
-    found = pairs.mapInArrow(_rerank(index.dim, p.neighbours), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= p.neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+    def met(queries: DataFrame, turn: int) -> DataFrame:
+        pairs = queries.mapInArrow(_visits(index, p, turn), VISIT).join(index.entries.hint("merge"), "cell")
+        found = pairs.select("queries", "q_vectors", "bounds", "ids", "vectors").mapInArrow(_rerank(index.dim, p.neighbours), "query_id long, vec_id long, score double")
+        return found.withColumn("rank", rank).where(F.col("rank") <= p.neighbours)
+
+    queries = v.where(F.col("id") % p.every == 0).dropDuplicates(["id", "v"])
+    near = stash(met(queries.withColumn("bound", F.lit(float("-inf"))), 0), "near")
+    bounds = near.where(F.col("rank") == p.neighbours).select(F.col("query_id").alias("id"), F.col("score").alias("b"))
+    bounded = queries.join(bounds, "id", "left").select("id", "v", F.coalesce("b", F.lit(float("-inf"))).alias("bound"))
+    both = near.drop("rank").unionByName(met(bounded, 1).drop("rank")).withColumn("rank", rank)
+    return both.where(F.col("rank") <= p.neighbours).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
