@@ -74,7 +74,7 @@ def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame
     """IDTP, IDFP, IDFN, IDF1 over all cameras that have predictions.
 
     Hits of each (person, id) are a grouped count; their one-to-one assignment is a
-    kernel per connected set of persons and ids would be, so one scene's matrix at most.
+    kernel over the matrix of one scene's persons and ids.
     """
     hits = frame_matches(gt, pred, least).groupBy("person_id", "global_id").agg(F.count("*").alias("n"))
 
@@ -84,7 +84,7 @@ def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame
         m[np.searchsorted(p, pdf.person_id), np.searchsorted(g, pdf.global_id)] = pdf.n
         return pd.DataFrame({"idtp": [int(sum(m[r, c] for r, c in assign(-m)))]})
 
-    idtp = hits.groupBy(F.lit(1)).applyInPandas(best, "idtp long").agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
+    idtp = hits.withColumn("scene", F.lit(0)).groupBy("scene").applyInPandas(best, "idtp long").agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
     seen = gt.join(pred.select("cam_id").distinct(), "cam_id", "left_semi").agg(F.count("*").alias("n_gt"))
     n = pred.agg(F.count("*").alias("n_pred"))
     all_ = idtp.join(F.broadcast(seen)).join(F.broadcast(n))
