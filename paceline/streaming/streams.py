@@ -66,5 +66,8 @@ class Gallery(StatefulProcessor):
 
 
 def live_gallery(rows: DataFrame, threshold: float = 0.68, max_age: int = 1800) -> DataFrame:
-    """Identities for a stream of (cam_group, det_id, frame_no, embedding), a group to a state."""
+    """Identities for a stream of (cam_group, det_id, frame_no, embedding), a group to a state.
+
+    The session needs the RocksDB state store provider.
+    """
     return rows.groupBy("cam_group").transformWithStateInPandas(Gallery(threshold, max_age), "cam_group long, det_id long, global_id long", "append", "none")
