@@ -9,8 +9,9 @@ draws given the totals of all shards; conditioning on the totals is what keeps
 every source at its target and every block within its limit of passes.
 
 Permutations are index maps x -> (x * a + b) mod n with a prime above n: they cost
-arithmetic, not a shuffle.  Word offsets are prefix sums in two steps (by the first
-four hex digits of the MD5, then inside those), so no source meets in one task.
+arithmetic, not a shuffle.  Word offsets are prefix sums in three steps (by the first
+two hex digits of the MD5, the next two, then inside those), so no source meets in
+one task and the sums of one source over two digits are 256 rows at most.
 
 Defined results: a null source is a source of its own, last in order; null or empty
 texts have size 0 and take nothing; repeated rows are documents of their own.
@@ -72,19 +73,28 @@ def _permuted(x: Column, n: Column, turn: int | Column, prime: int) -> Column:
     return ((x.cast(wide) * (F.lit(prime) % n).cast(wide) + shift.cast("decimal(10,0)")) % n.cast(wide)).cast("long")
 
 
+def _ahead(size: str, order: str, *by: str) -> Column:
+    """Sum of ``size`` over the rows of the group before this one."""
+    before = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(size).over(before), F.lit(0))
+
+
 def plan(docs: DataFrame, text_col: str, id_col: str, source_col: str, p: Mix) -> tuple[DataFrame, DataFrame]:
     """(documents with their word ranges, sources with targets and slots)."""
     key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
     rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), sizes(docs, text_col).alias("size"), key.alias("k"))
     rows = rows.withColumn("bin", F.conv(F.substring("k", 1, 4), 16, 10).cast("int"))
     rows = stash(rows, "sizes")
-    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"))
+    bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).withColumn("upper", F.shiftright("bin", 8))
     sources = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), p)
     blocks = F.ceil(F.col("source_size") / p.block)
     slots = F.least(F.round(F.col("target") * blocks / F.greatest(F.col("source_size"), F.lit(1))), blocks * p.passes).cast("long")
     sources = stash(sources.select("source", "source_size", "target", "rank", blocks.cast("long").alias("blocks"), slots.alias("slots")), "sources")
-    ahead = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = bins.select("source", "bin", F.coalesce(F.sum("bin_size").over(ahead), F.lit(0)).alias("bin_start"))
+    upper = bins.groupBy("source", "upper").agg(F.sum("bin_size").alias("upper_size"))
+    upper = upper.select("source", "upper", _ahead("upper_size", "upper", "source").alias("upper_start"))
+    bins = bins.select("source", "upper", "bin", _ahead("bin_size", "bin", "source", "upper").alias("within"))
+    bins = bins.alias("b").join(upper.alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.upper") == F.col("u.upper")))
+    bins = bins.select("b.source", "bin", (F.col("upper_start") + F.col("within")).alias("bin_start"))
     inside = Window.partitionBy("source", "bin").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside)).alias("r")
     rows = rows.join(bins.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin")))
