@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .pairs import box_pairs
@@ -50,24 +50,28 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
 
 
-def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """One-to-one matches per camera and frame: assigned on IoU, then kept from ``least`` on."""
+def _one_to_one(pairs: DataFrame, weight: str) -> DataFrame:
+    """The pairs of each camera and frame that the one-to-one assignment of most ``weight`` takes."""
+    columns = pairs.columns
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, p = pdf.gt_id.unique(), pdf.det_id.unique()
+        g, p = np.unique(pdf.gt_id), np.unique(pdf.det_id)
         m = np.zeros((len(g), len(p)))
-        m[np.searchsorted(np.sort(g), pdf.gt_id), np.searchsorted(np.sort(p), pdf.det_id)] = pdf.iou
-        pairs = pd.DataFrame([(np.sort(g)[r], np.sort(p)[c]) for r, c in assign(-m)], columns=["gt_id", "det_id"])
-        return pairs.merge(pdf, on=["gt_id", "det_id"])[["cam_id", "frame_no", "person_id", "global_id", "gt_id", "det_id", "iou"]]
+        m[np.searchsorted(g, pdf.gt_id), np.searchsorted(p, pdf.det_id)] = pdf[weight]
+        taken = pd.DataFrame([(g[r], p[c]) for r, c in assign(-m)], columns=["gt_id", "det_id"])
+        return taken.merge(pdf, on=["gt_id", "det_id"])[columns]
 
-    pairs = box_pairs(gt, pred)
-    kind = "cam_id int, frame_no long, person_id long, global_id long, gt_id long, det_id long, iou double"
     # A frame in which every box meets one other at most needs no assignment.
-    by_gt = pairs.groupBy("cam_id", "frame_no").agg((F.count("*") > F.least(F.countDistinct("gt_id"), F.countDistinct("det_id"))).alias("contested"))
-    pairs = pairs.join(by_gt, ["cam_id", "frame_no"])
-    plain = pairs.where("not contested").select("cam_id", "frame_no", "person_id", "global_id", "gt_id", "det_id", "iou")
-    fought = pairs.where("contested").drop("contested").groupBy("cam_id", "frame_no").applyInPandas(match, kind)
-    return plain.unionByName(fought).where(F.col("iou") >= least)
+    frames = pairs.groupBy("cam_id", "frame_no").agg((F.count("*") > F.least(F.countDistinct("gt_id"), F.countDistinct("det_id"))).alias("contested"))
+    marked = pairs.join(frames, ["cam_id", "frame_no"])
+    plain = marked.where("not contested").select(columns)
+    fought = marked.where("contested").select(columns).groupBy("cam_id", "frame_no").applyInPandas(match, pairs.schema)
+    return plain.unionByName(fought)
+
+
+def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """One-to-one matches per camera and frame: assigned on IoU, then kept from ``least`` on."""
+    return _one_to_one(box_pairs(gt, pred), "iou").where(F.col("iou") >= least)
 
 
 def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -98,8 +102,6 @@ def clear_metrics(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFra
     Matches are those of each frame; a switch is a person matched to another id than
     at its last match.
     """
-    from pyspark.sql import Window
-
     m = frame_matches(gt, pred, least)
     w = Window.partitionBy("cam_id", "person_id").orderBy("frame_no", "gt_id")
     m = m.withColumn("switch", F.coalesce((F.lag("global_id").over(w) != F.col("global_id")).cast("long"), F.lit(0)))
@@ -114,6 +116,35 @@ def clear_metrics(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFra
     )
 
 
+def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
+    """Per camera: HOTA, DetA, AssA and LocA as means over the thresholds 0.05, 0.10, ... 0.95.
+
+    By the published definition: frames are assigned on IoU weighted by how well the
+    two trajectories agree over all frames; each threshold then keeps matches from it
+    on.  A threshold without matches counts as 0 (LocA: 1).  Cameras need boxes on
+    both sides.  Only contested frames leave the DataFrame functions.
+    """
+    track, iou = ["cam_id", "person_id", "global_id"], F.col("iou")
+    s = box_pairs(gt, pred)
+    rivals = F.sum("iou").over(Window.partitionBy("cam_id", "frame_no", "gt_id")) + F.sum("iou").over(Window.partitionBy("cam_id", "frame_no", "det_id"))
+    shared = s.withColumn("share", iou / (rivals - iou)).groupBy(*track).agg(F.sum("share").alias("shared"))
+    of_gt, of_pred = gt.groupBy("cam_id", "person_id").agg(F.count("*").alias("n_g")), pred.groupBy("cam_id", "global_id").agg(F.count("*").alias("n_p"))
+    agree = shared.join(of_gt, ["cam_id", "person_id"]).join(of_pred, ["cam_id", "global_id"])
+    agree = agree.withColumn("agree", F.col("shared") / (F.col("n_g") + F.col("n_p") - F.col("shared"))).drop("shared")
+    m = _one_to_one(s.join(agree, track).withColumn("score", iou * F.col("agree")).select(*s.columns, "n_g", "n_p", "score"), "score")
+
+    steps = F.explode(F.sequence(F.lit(1), F.lit(19))).alias("step")
+    hits = m.select(*track, "n_g", "n_p", "iou", steps).where(iou >= F.col("step") / 20 - 1e-12)
+    hits = hits.groupBy(*track, "n_g", "n_p", "step").agg(F.count("*").alias("n"), F.sum("iou").alias("loc"))
+    n = F.col("n")
+    hits = hits.groupBy("cam_id", "step").agg(F.sum("n").alias("tp"), (F.sum(n * n / (F.col("n_g") + F.col("n_p") - n)) / F.sum("n")).alias("ass"), (F.sum("loc") / F.sum("n")).alias("loc"))
+    boxes = gt.groupBy("cam_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("cam_id").agg(F.count("*").alias("n_pred")), "cam_id")
+    a = boxes.select("*", steps).join(hits, ["cam_id", "step"], "left").fillna(0, ["tp", "ass"]).fillna(1, ["loc"])
+    det = F.col("tp") / (F.col("n_gt") + F.col("n_pred") - F.col("tp"))
+    score = {"hota": F.sqrt(det * F.col("ass")), "det_a": det, "ass_a": F.col("ass"), "loc_a": F.col("loc")}
+    return a.groupBy("cam_id").agg(*[F.round(F.avg(x), 6).alias(k) for k, x in score.items()])
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) with the smallest node as component, by alternating star rounds.
 

@@ -333,6 +333,11 @@ def clear_metrics(s, d):
     return identity.clear_metrics(_truth(s, d), _dense(s, d))
 
 
+@query
+def hota_metrics(s, d):
+    return identity.hota(_truth(s, d), _dense(s, d))
+
+
 @query
 def balanced_sample(s, d):
     """At most three detections of each person and camera, in order: the cap is the feature."""
