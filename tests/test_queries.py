@@ -7,8 +7,7 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from paceline.plans.oracles import ORACLES
-from paceline.plans.queries import QUERIES
+from paceline.plans.registry import ORACLES, QUERIES
 
 DIR = "/root/testdata/sf0.01"
 
