@@ -71,3 +71,75 @@ def live_gallery(rows: DataFrame, threshold: float = 0.68, max_age: int = 1800)
     The session needs the RocksDB state store provider.
     """
     return rows.groupBy("cam_group").transformWithStateInPandas(Gallery(threshold, max_age), "cam_group long, det_id long, global_id long", "append", "none")
+
+
+class DelayedRemap(StatefulProcessor):
+    """Holds boxes for a delay and gives them out under the ids that later merges led to.
+
+    Input rows are boxes (det_id set) or merges (source, target set).  A box waits until
+    the watermark is ``delay_ms`` past it, and follows the merges up to then, however rows
+    fall into batches.  Of several merges of one source the first holds; merges are kept
+    for ``keep_ms``.
+    """
+
+    def __init__(self, delay_ms: int, keep_ms: int, hops: int = 64):
+        self.delay_ms, self.keep_ms, self.hops = delay_ms, keep_ms, hops
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long", "det_id array<long>, global_id array<long>")
+        self.merged = handle.getMapState("merged", "source long", "target long, at long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+        fresh: dict[int, tuple[list[int], list[int]]] = {}
+        for pdf in rows:
+            at = pdf.event_time.astype("datetime64[ms]").astype("int64")
+            for t, det, gid, source, target in zip(at, pdf.det_id, pdf.global_id, pdf.source, pdf.target, strict=True):
+                if pd.notna(det):
+                    ids, gids = fresh.setdefault(int(t), ([], []))
+                    ids.append(int(det))
+                    gids.append(int(gid))
+                elif pd.notna(source):
+                    k = (int(source),)
+                    if not self.merged.containsKey(k) or int(t) < self.merged.getValue(k)[1]:
+                        self.merged.updateValue(k, (int(target), int(t)))
+        for t, (ids, gids) in fresh.items():
+            if self.held.containsKey((t,)):
+                a, b = self.held.getValue((t,))
+                ids, gids = list(a) + ids, list(b) + gids
+            self.held.updateValue((t,), (ids, gids))
+            self.handle.registerTimer(t + self.delay_ms)
+        yield pd.DataFrame({"cam_group": [], "det_id": [], "global_id": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        merged = {k[0]: v for k, v in self.merged.iterator()}
+        out = []
+        for t in sorted(k[0] for k in self.held.keys() if k[0] + self.delay_ms <= now):
+            for det, gid in zip(*self.held.getValue((t,)), strict=True):
+                for _ in range(self.hops):
+                    if gid not in merged or merged[gid][1] > t + self.delay_ms:
+                        break
+                    gid = merged[gid][0]
+                out.append((key[0], det, gid))
+            self.held.removeKey((t,))
+        for source, (_, at) in merged.items():
+            if at + self.keep_ms < now:
+                self.merged.removeKey((source,))
+        yield pd.DataFrame(out, columns=["cam_group", "det_id", "global_id"]).astype("int64")
+
+    def close(self) -> None:
+        pass
+
+
+def delayed_remap(boxes: DataFrame, merges: DataFrame, delay_ms: int, late: str, keep_ms: int | None = None) -> DataFrame:
+    """Boxes under the ids known ``delay_ms`` after them, by camera group.
+
+    boxes: event_time, cam_group, det_id, global_id; merges: event_time, cam_group, source,
+    target.  Merges are kept for ``keep_ms``, ten delays unless given.
+    """
+    none = F.lit(None).cast("long")
+    b = boxes.select("event_time", "cam_group", "det_id", "global_id", none.alias("source"), none.alias("target"))
+    m = merges.select("event_time", "cam_group", none.alias("det_id"), none.alias("global_id"), "source", "target")
+    both = b.unionByName(m).withWatermark("event_time", late).groupBy("cam_group")
+    return both.transformWithStateInPandas(DelayedRemap(delay_ms, keep_ms or 10 * delay_ms), "cam_group long, det_id long, global_id long", "append", "eventTime")

@@ -54,3 +54,20 @@ def test_live_gallery(spark, feed, tmp_path):
     assert len(got) == 6
     assert ids[10] == ids[13] == (1, 1) and ids[11] == ids[14] == (1, 2) and ids[12] == (2, 1)
     assert ids[15] == (1, 3)  # both earlier identities have aged out
+
+
+def test_delayed_remap(spark, feed, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    schema = "event_time timestamp, cam_group long, det_id long, global_id long, source long, target long"
+    n = None
+    rows = [
+        [(at(0), 1, 10, 3, n, n), (at(1), 1, 11, 4, n, n), (at(1), 2, 12, 3, n, n)],
+        [(at(4), 1, n, n, 3, 2), (at(4), 1, n, n, 2, 1)],
+        [(at(30), 1, 13, 4, n, n), (at(30), 2, 14, 3, n, n)],
+        [(at(40), 1, n, n, 4, 9)],
+        [(at(900), 1, 15, 1, n, n)],
+        [(at(901), 1, 16, 1, n, n)],
+    ]
+    events = feed(rows, schema)
+    got = run(streams.delayed_remap(events.where("det_id is not null"), events.where("source is not null"), 15_000, "1 second"), "remapped", tmp_path)
+    assert {(r.cam_group, r.det_id): r.global_id for r in got} == {(1, 10): 1, (1, 11): 4, (2, 12): 3, (1, 13): 9, (2, 14): 3}
