@@ -83,6 +83,47 @@ def tracklet_links(points: DataFrame, near: float, least: int, gap: int, reach:
     return spatial.unionByName(j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
 
+def geo_split(points: DataFrame, near: float, far: float) -> DataFrame:
+    """(tracklet_id, global_id, part): persons whose tracklets can't be one are split by place.
+
+    Two tracklets of a person conflict if one camera shows both in one frame, or if two
+    cameras see them at once more than ``far`` apart (median).  A person with a conflict is
+    split into groups of tracklets seen together within ``near``; others stay whole.  A part
+    is named by its smallest tracklet.  points: tracklet_id, global_id, cam_id, frame_no, x, y.
+    """
+    a, b = points.alias("a"), points.alias("b")
+    j = a.join(b, (F.col("a.global_id") == F.col("b.global_id")) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.tracklet_id") < F.col("b.tracklet_id")))
+    d = F.floor(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")))
+    n = j.groupBy(F.col("a.global_id").alias("global_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"), d.alias("d")).agg(F.count("*").alias("n"), F.max(F.col("a.cam_id") == F.col("b.cam_id")).alias("same"))
+    g = n.groupBy("global_id", "a", "b").agg(F.percentile("d", 0.5, F.col("n")).alias("distance"), F.max("same").alias("same"))
+    split = g.where(F.col("same") | (F.col("distance") > far)).select("global_id").distinct()
+    links = g.where(~F.col("same") & (F.col("distance") <= near)).join(split, "global_id", "left_semi").select("a", "b")
+    t = points.select("tracklet_id", "global_id").distinct()
+    first = t.groupBy("global_id").agg(F.min("tracklet_id").alias("whole"))
+    loose = components(links, t.join(split, "global_id", "left_semi").select(F.col("tracklet_id").alias("node"))).toDF("tracklet_id", "component")
+    return t.join(first, "global_id").join(loose, "tracklet_id", "left").select("tracklet_id", "global_id", F.coalesce("component", "whole").alias("part"))
+
+
+def handoff_scores(points: DataFrame, n: int, gap: int, close: float, far: float, weight: float = 0.85) -> DataFrame:
+    """(a, b, gap, score): how well tracklet b begins where a, which has just ended, was heading.
+
+    The velocity over the last ``n`` points of a is carried on over the gap.
+    points: tracklet_id, frame_no, x, y, one row for each tracklet and frame.
+    """
+    w = Window.partitionBy("tracklet_id").orderBy(F.desc("frame_no"))
+    here = F.struct("x", "y")
+    last = points.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("tracklet_id")
+    last = last.agg(F.min("frame_no").alias("f0"), F.max("frame_no").alias("leaves"), F.min_by(here, "frame_no").alias("p0"), F.max_by(here, "frame_no").alias("p1"))
+    speed = lambda c: F.when(F.col("leaves") > F.col("f0"), (F.col(f"p1.{c}") - F.col(f"p0.{c}")) / (F.col("leaves") - F.col("f0"))).otherwise(0.0)
+    a = last.select(F.col("tracklet_id").alias("a"), "leaves", "p1", speed("x").alias("vx"), speed("y").alias("vy"), F.floor(F.col("leaves") / gap).alias("b0"))
+    a = a.withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
+    b = points.groupBy(F.col("tracklet_id").alias("b")).agg(F.min("frame_no").alias("enters"), F.min_by(here, "frame_no").alias("q")).withColumn("bucket", F.floor(F.col("enters") / gap))
+    step = F.col("enters") - F.col("leaves")
+    j = a.join(b, "bucket").where((step > 0) & (step <= gap))
+    miss = F.hypot(F.col("p1.x") + F.col("vx") * step - F.col("q.x"), F.col("p1.y") + F.col("vy") * step - F.col("q.y"))
+    return j.select("a", "b", step.alias("gap"), (closeness(miss, close, far) * weight).alias("score"))
+
+
 def compress_remap(remap: DataFrame, most: int = 64) -> DataFrame:
     """(source, target) with each chain of merges followed to its end, by pointer doubling.
 

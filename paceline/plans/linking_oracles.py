@@ -97,6 +97,17 @@ ORACLES: dict[str, str] = {
     "tracklet_links": f"""WITH {_TRACKLETS}, {_pairs('tp', 'id')}, t AS (SELECT id, min(frame_no) AS f0, max(frame_no) AS f1, arg_min(x, frame_no) AS x0, arg_min(y, frame_no) AS y0, arg_max(x, frame_no) AS x1, arg_max(y, frame_no) AS y1 FROM tp GROUP BY id),
       h AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM t a JOIN t b ON b.f0 > a.f1 AND b.f0 <= a.f1 + 20 WHERE sqrt(power(b.x0 - a.x1, 2) + power(b.y0 - a.y1, 2)) <= 300)
       SELECT a, b FROM pd WHERE distance <= 1500 UNION SELECT a, b FROM h""",
+    "geo_split": f"""WITH RECURSIVE {_TRACKLETS}, t AS (SELECT *, id // 8000000 * 1000000 + id % 1000000 AS gid FROM tp),
+      g AS (SELECT a.gid, a.id AS a, b.id AS b, quantile_cont(floor({_FAR}), 0.5) AS d, max(CAST(a.cam_id = b.cam_id AS INTEGER)) AS same FROM t a JOIN t b ON a.gid = b.gid AND a.frame_no = b.frame_no AND a.id < b.id GROUP BY 1, 2, 3),
+      s AS (SELECT DISTINCT gid FROM g WHERE same = 1 OR d > 4000), l AS (SELECT a, b FROM g SEMI JOIN s USING (gid) WHERE same = 0 AND d <= 2000), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+      n AS (SELECT DISTINCT id, gid FROM t), r AS (SELECT id AS node, id AS seen FROM n SEMI JOIN s USING (gid) UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a), c AS (SELECT node, min(seen) AS part FROM r GROUP BY node)
+      SELECT id AS tracklet_id, gid AS global_id, coalesce(part, min(id) OVER (PARTITION BY gid)) AS part FROM n LEFT JOIN c ON c.node = n.id""",
+    "handoff_scores": f"""WITH {_TRACKLETS}, r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY frame_no DESC) AS r FROM tp),
+      a AS (SELECT id, min(frame_no) AS f0, max(frame_no) AS f1, arg_min(x, frame_no) AS x0, arg_min(y, frame_no) AS y0, arg_max(x, frame_no) AS x1, arg_max(y, frame_no) AS y1 FROM r WHERE r <= 5 GROUP BY id),
+      v AS (SELECT *, CASE WHEN f1 > f0 THEN (x1 - x0) / (f1 - f0) ELSE 0 END AS vx, CASE WHEN f1 > f0 THEN (y1 - y0) / (f1 - f0) ELSE 0 END AS vy FROM a),
+      b AS (SELECT id, min(frame_no) AS f, arg_min(x, frame_no) AS x, arg_min(y, frame_no) AS y FROM tp GROUP BY id),
+      j AS (SELECT v.id AS a, b.id AS b, f - f1 AS gap, sqrt(power(x1 + vx * (f - f1) - x, 2) + power(y1 + vy * (f - f1) - y, 2)) AS d FROM v JOIN b ON f > f1 AND f <= f1 + 10)
+      SELECT a, b, gap, round(exp(-3 * power(greatest(0, (d - 300) / 1700.0::DOUBLE), 2)) * 0.85::DOUBLE, 6) AS score FROM j""",
     "remap_compressed": f"""WITH RECURSIVE {_DET}, d AS (SELECT DISTINCT cam_id, local_track_id, global_id FROM det WHERE global_id >= 0),
       l AS (SELECT global_id AS source, lag(global_id) OVER (PARTITION BY cam_id, local_track_id ORDER BY global_id) AS target FROM d), m AS (SELECT source, min(target) AS target FROM l WHERE target IS NOT NULL GROUP BY source),
       r AS (SELECT source, target FROM m UNION SELECT r.source, m.target FROM r JOIN m ON r.target = m.source) SELECT source, min(target) AS target FROM r GROUP BY source""",

@@ -136,6 +136,19 @@ def tracklet_links(s, d):
     return linking.tracklet_links(_tracklet_points(s, d), 1500.0, 2, 20, 300.0)
 
 
+@query
+def geo_split(s, d):
+    """Ids that hold two persons for 100 frames, split where their tracklets contradict each other."""
+    two = F.floor(F.col("tracklet_id") / 8_000_000) * 1_000_000 + F.col("tracklet_id") % 1_000_000
+    return linking.geo_split(_tracklet_points(s, d).withColumn("global_id", two), 2000.0, 4000.0)
+
+
+@query
+def handoff_scores(s, d):
+    h = linking.handoff_scores(_tracklet_points(s, d), 5, 10, 300.0, 2000.0)
+    return h.withColumn("score", F.round("score", 6))
+
+
 @query
 def remap_compressed(s, d):
     """Persons of one track remapped to the one before, followed to the first."""
