@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import closeness, dot
+from ..functions.geometry import box, closeness, dot, iou
 from .identity import assign, components
 
 
@@ -168,6 +168,30 @@ def cluster_frames(points: DataFrame, radius: float) -> DataFrame:
     return points.where("x is not null and y is not null").groupBy("frame_no").applyInPandas(kernel, "det_id long, instance long")
 
 
+def dedup_boxes(det: DataFrame, most: float = 0.6) -> DataFrame:
+    """(det_id): of each person and frame of a camera the largest box; of boxes that overlap by more than ``most`` the larger.
+
+    Larger boxes are taken first (ties: smaller ids), so a dropped box drops no other.  Only
+    frames in which two boxes overlap so much leave the DataFrame functions, a frame to a group.
+    """
+    size = F.col("width") * F.col("height")
+    best = det.groupBy("cam_id", "frame_no", "global_id").agg(F.max_by(F.struct("det_id", "left", "top", "width", "height"), F.struct(size, -F.col("det_id"))).alias("b")).select("cam_id", "frame_no", "b.*")
+    a, b = best.alias("a"), best.alias("b")
+    j = a.join(b, (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.det_id") != F.col("b.det_id")))
+    first = F.struct(-F.col("a.width") * F.col("a.height"), F.col("a.det_id")) < F.struct(-F.col("b.width") * F.col("b.height"), F.col("b.det_id"))
+    j = j.where(first & (iou(box("a"), box("b")) > most)).select(F.col("a.cam_id").alias("cam_id"), F.col("a.frame_no").alias("frame_no"), F.col("a.det_id").alias("a"), F.col("b.det_id").alias("b"), (-F.col("a.width") * F.col("a.height")).alias("order"))
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        for a, b in pdf.sort_values(["order", "a"])[["a", "b"]].itertuples(index=False):
+            if a not in gone:
+                gone.add(b)
+        return pd.DataFrame({"det_id": sorted(gone)})
+
+    gone = j.groupBy("cam_id", "frame_no").applyInPandas(kernel, "det_id long")
+    return best.select("det_id").join(gone, "det_id", "left_anti")
+
+
 def constrained_clusters(edges: DataFrame, apart: DataFrame, least: float, mean: bool = False) -> DataFrame:
     """(scene, node, cluster): the two clusters of most affinity merge until none has ``least``.
 

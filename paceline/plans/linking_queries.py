@@ -180,6 +180,11 @@ def frame_clusters(s, d):
     return linking.cluster_frames(_points(s, d), 1500.0)
 
 
+@query
+def deduped_boxes(s, d):
+    return linking.dedup_boxes(_dense(s, d), 0.3)
+
+
 @query
 def constrained_links(s, d):
     """Tracklets of each 100 frames by correlation clustering: near ones attract, far or co-present ones repel."""

@@ -110,3 +110,25 @@ def test_empty_grids(spark):
     g = spark.createDataFrame([], "cam_id int, gx int, gy int, occupancy long")
     p = spark.createDataFrame([(1, None, None)], "det_id long, x double, y double")
     assert grids.smoothed(g, 4, 4, 1.0).count() == grids.stats(g, 4, 4).count() == grids.floor_histogram(p, 3, 3).count() == 0
+
+
+def test_dedup_boxes(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, int(rng.integers(2)), int(rng.integers(6)), int(rng.integers(9)), *map(float, rng.integers(0, 12, 2)), *map(float, rng.integers(10, 16, 2))) for i in range(90)]
+    d = spark.createDataFrame(rows, "det_id long, cam_id int, frame_no long, global_id long, left double, top double, width double, height double")
+    taken: list[tuple] = []
+    for r in sorted(rows, key=lambda r: (-r[6] * r[7], r[0])):
+        if any(t[1:4] == r[1:4] for t in taken if t[-1] >= 0):
+            continue
+        taken.append((*r, 0))
+
+    def over(a, b):
+        w, h = (max(0, min(a[k] + a[k + 2], b[k] + b[k + 2]) - max(a[k], b[k])) for k in (4, 5))
+        return w * h / (a[6] * a[7] + b[6] * b[7] - w * h)
+
+    kept: list[tuple] = []
+    for r in taken:
+        if not any(k[1:3] == r[1:3] and over(k, r) > 0.4 for k in kept):
+            kept.append(r)
+    assert 0 < len(kept) < len(taken) < len(rows)
+    assert {r.det_id for r in linking.dedup_boxes(d, 0.4).collect()} == {k[0] for k in kept}
