@@ -4,10 +4,12 @@ A page is a list of blocks, each with its root-to-leaf path of tags (classes
 included).  Over every path, text length and punctuation are summed up and divided
 by its blocks; both ratios are smoothed along the page, fused by their product and
 compared with a threshold that follows the page's spread.  The paths that pass are
-content nodes.  What stands in the same container (article, main, or the deepest
-element around the content nodes) belongs to the text too, so headings, lists and
-short paragraphs stay; navigation, adverts, forms and the like never do, by tag or
-by class.
+content nodes, on every page.  They are grouped by the innermost article or main
+around them; what stands in the deepest element around a group's nodes belongs to the
+text too, so headings, lists and short paragraphs stay, and an article without content
+nodes (a teaser) gives nothing.  Navigation, forms and the like never belong to it, by
+tag.  A class word (advert, comments, sidebar) takes an element out as well, but never
+html, body or one that holds most of the text.
 
 Defined results: null and empty pages give an empty text; markup that is not closed
 ends with the page; repeated rows are judged each; other columns are not read.
@@ -52,14 +54,16 @@ _CONTAINERS = frozenset("article main".split())
 class TagPaths:
     smooth: tuple[float, ...] = (0.25, 0.5, 0.25)
     spread: float = 0.5  # the threshold: this many standard deviations, at most the mean
+    article: float = 4.0  # text in an article weighs so much against a marked element elsewhere
 
 
 @dataclass
 class _Node:
     tag: str
     label: str
-    boilerplate: bool
-    content: bool  # an article or main element is around it
+    boilerplate: bool  # by its tag or that of an element around it
+    marked: bool  # by a word of its own class, id or role
+    unit: _Node | None  # the innermost article or main that it is or lies in
     parent: _Node | None
     depth: int
 
@@ -73,7 +77,7 @@ class _Block:
 
 def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
     """(node, text, characters of it inside links) of each block with text, in page order."""
-    node = _Node("", "", False, False, None, 0)
+    node = _Node("", "", False, False, None, None, 0)
     block = _Block(node)
     link = 0
 
@@ -115,8 +119,11 @@ def blocks(page: str) -> Iterator[tuple[_Node, str, int]]:
                 node = node.parent
             names = [x for y in _NAMES.findall(m[4] or "") for x in y if x]
             words = {w for x in names for w in re.split(r"[^a-z0-9]+", x.lower())}
-            bad = node.boilerplate or tag in BOILERPLATE or bool(words & MARKS) or (tag == "header" and not node.content)
-            node = _Node(tag, tag + "".join("." + x for x in names), bad, node.content or tag in _CONTAINERS, node, node.depth + 1)
+            bad = node.boilerplate or tag in BOILERPLATE or (tag == "header" and node.unit is None)
+            mark = bool(words & MARKS) and tag not in ("html", "body")
+            node = _Node(tag, tag + "".join("." + x for x in names), bad, mark, node.unit, node, node.depth + 1)
+            if tag in _CONTAINERS:
+                node.unit = node
         block, link = _Block(node), 0
     if at < len(page):
         block.parts.append(page[at:])
@@ -132,8 +139,43 @@ def _path(node: _Node) -> str:
     return "/".join(reversed(out))
 
 
+def _around(node: _Node | None) -> Iterator[_Node]:
+    while node is not None:
+        yield node
+        node = node.parent
+
+
+def _unmarked(found: list[tuple[_Node, str, int]], params: TagPaths) -> list[tuple[_Node, str, int]]:
+    """The blocks that no class word takes out.
+
+    A word doesn't count on an element that holds most of the text, unless articles
+    elsewhere weigh it up; a single block (an advert beside a short article) has to be
+    on its own for that.
+    """
+    if not any(x.marked for n, _, _ in found for x in _around(n)):
+        return found
+    mass: dict[int, int] = {}
+    units: dict[int, int] = {}
+    several: set[int] = set()
+    whole = in_units = 0
+    for n, text, _ in found:
+        whole += len(text)
+        in_units += len(text) * (n.unit is not None)
+        for x in _around(n):
+            if id(x) in mass:
+                several.add(id(x))
+            mass[id(x)] = mass.get(id(x), 0) + len(text)
+            units[id(x)] = units.get(id(x), 0) + len(text) * (n.unit is not None)
+
+    def counts(x: _Node) -> bool:
+        elsewhere = in_units - units[id(x)]
+        return x.marked and (2 * mass[id(x)] <= whole or elsewhere > 0 and (id(x) not in several or mass[id(x)] <= params.article * elsewhere))
+
+    return [(n, t, k) for n, t, k in found if not any(counts(x) for x in _around(n))]
+
+
 def main_text(page: str | None, params: TagPaths = TagPaths()) -> str:
-    found = [(n, t, k) for n, t, k in blocks(page or "") if not n.boilerplate]
+    found = _unmarked([(n, t, k) for n, t, k in blocks(page or "") if not n.boilerplate], params)
     if not found:
         return ""
     paths = [_path(n) for n, _, _ in found]
@@ -151,21 +193,33 @@ def main_text(page: str | None, params: TagPaths = TagPaths()) -> str:
         best[path] = max(best.get(path, 0), x)
     mean = sum(fused) / len(fused)
     limit = min(params.spread * math.sqrt(sum((x - mean) ** 2 for x in fused) / len(fused)), mean)
-    chosen = [n for path, (n, _, _) in zip(paths, found, strict=True) if best[path] >= limit and best[path] > 0]
-    if not chosen:
-        return ""
-    if any(n.content for n, _, _ in found):
-        keep = [t for n, t, _ in found if n.content]
-    else:
-        top = chosen[0].parent or chosen[0]
-        for n in chosen[1:]:
-            top = _common(top, n)
-        while top.parent is not None and top.tag == "p":
-            top = top.parent
-        keep = [t for n, t, _ in found if _inside(n, top)]
+    groups: dict[int, list[_Node]] = {}
+    weight: dict[int, float] = {}
+    taken = [best[path] >= limit and best[path] > 0 for path in paths]
+    for yes, x, (n, _, _) in zip(taken, fused, found, strict=True):
+        if yes:
+            groups.setdefault(id(n.unit), []).append(n)
+            weight[id(n.unit)] = weight.get(id(n.unit), 0) + x
+    # Outside articles the nodes bring the element around them only if they are most of the content.
+    tops = {k: _top(g) for k, g in groups.items() if k != id(None) or 2 * weight[k] > sum(weight.values())}
+    keep = []
+    for yes, (n, text, _) in zip(taken, found, strict=True):
+        k = id(n.unit)
+        if yes or (k in tops and _inside(n, tops[k])) or (n.tag == "h1" and n.unit is not None and k in groups):
+            keep.append(text)
     return "\n".join(keep)
 
 
+def _top(nodes: list[_Node]) -> _Node:
+    """The deepest element around the nodes, and around paragraphs."""
+    top = nodes[0].parent or nodes[0]
+    for n in nodes[1:]:
+        top = _common(top, n)
+    while top.parent is not None and top.tag == "p":
+        top = top.parent
+    return top
+
+
 def _smooth(x: list[float], kernel: tuple[float, ...]) -> list[float]:
     half, n = len(kernel) // 2, len(x)
     return [sum(k * x[min(max(i + j - half, 0), n - 1)] for j, k in enumerate(kernel)) for i in range(n)]
