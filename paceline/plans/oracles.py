@@ -143,3 +143,4 @@ ORACLES: dict[str, str] = {
       q AS (SELECT *, greatest(1, n // 4) AS q FROM r) SELECT o_orderpriority, CASE WHEN min(n) >= 4 THEN round(avg(o_totalprice) FILTER (r > n - q) - avg(o_totalprice) FILTER (r <= q), 2) + 0.0 ELSE 0.0 END AS creep FROM q GROUP BY 1""",
     "log_scan": """SELECT lang, CAST(sum(len(regexp_extract_all(text, '(?i)password|token'))) AS BIGINT) AS hits, CAST(sum(len(regexp_extract_all(text, '\\n'))) AS BIGINT) AS breaks FROM documents GROUP BY lang""",
 }
+ORACLES["remap_components_all"] = ORACLES["remap_components"].replace(" AND a % 7 = b % 7", "")

@@ -295,6 +295,13 @@ def remap_components(s, d):
     return identity.components(e, nodes)
 
 
+@query
+def remap_components_all(s, d):
+    """As remap_components, over all links."""
+    nodes = _det(s, d).select(F.col("global_id").alias("node")).distinct()
+    return identity.components(colocated_pairs(s, d).select("a", "b"), nodes)
+
+
 @query
 def box_interp(s, d):
     t = _dense(s, d).groupBy("cam_id", "local_track_id", "frame_no").agg(*[F.max(c).alias(c) for c in ("left", "top", "width", "height")])
