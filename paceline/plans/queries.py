@@ -309,6 +309,14 @@ def box_interp(s, d):
     return b.select("cam_id", "local_track_id", "frame_no", *[F.round(c, 4).alias(c) for c in ("left", "top", "width", "height")])
 
 
+@query
+def box_interp_all(s, d):
+    """As box_interp, over all tracks; ties go up by decimal digits."""
+    t = _dense(s, d).groupBy("cam_id", "local_track_id", "frame_no").agg(*[F.max(c).alias(c) for c in ("left", "top", "width", "height")])
+    b = store.interpolate_boxes(t, 5)
+    return b.select("cam_id", "local_track_id", "frame_no", *[F.round(F.col(c).cast("decimal(20,10)"), 4).cast("double").alias(c) for c in ("left", "top", "width", "height")])
+
+
 @query
 def path_segments(s, d):
     p = _located(s, _det(s, d)).where("x is not null").groupBy("global_id", "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
