@@ -1,11 +1,14 @@
 """Identity operators: assignment, merging, components, scores.
 
 Edges and counts are DataFrame work; what depends on an order of merges inside one
-scene runs as a grouped kernel, a scene to a task.
+scene runs as a grouped kernel, a scene to a task; the assignment of IDF1, a connected
+component of hits to a group.
 """
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -50,6 +53,58 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((int(r), c) for c, r in enumerate(row_of) if r >= 0)
 
 
+def heaviest(rows: list[int], cols: list[int], weights: list[int]) -> int:
+    """Total weight of the heaviest one-to-one choice of sparse edges (weights above 0; any row may stay alone).
+
+    Shortest augmenting paths with potentials over the edges alone, so memory grows with them
+    and not with rows times columns.
+    """
+    edges: dict[int, dict[int, int]] = {}
+    for r, c, w in zip(rows, cols, weights, strict=True):
+        edges.setdefault(r, {})[c] = max(w, edges.get(r, {}).get(c, 0))
+    u = {r: max(e.values()) for r, e in edges.items()}
+    v: dict[int, int] = {}
+    row_of: dict[int, int] = {}
+    col_of: dict[int, int] = {}
+    for start in edges:
+        # Ends: a free column, or a row whose own potential (the cost of leaving it alone) is the least.
+        dist, via, done = {start: 0}, {}, set()
+        reach: dict[int, int] = {}
+        heap: list[tuple[int, int, int]] = []
+        end, least, row, far = start, u[start], start, 0
+        free = None
+        while True:
+            for c, w in edges[row].items():
+                d = far + u[row] + v.get(c, 0) - w
+                if c not in done and d < least and d < reach.get(c, d + 1):
+                    reach[c], via[c] = d, row
+                    heapq.heappush(heap, (d, c, row))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                break
+            far, col, _ = heapq.heappop(heap)
+            done.add(col)
+            if col not in row_of:
+                least, free = far, col
+                break
+            row = row_of[col]
+            dist[row] = far
+            if far + u[row] < least:
+                end, least = row, far + u[row]
+        for r, d in dist.items():
+            u[r] -= least - d
+        for c in done:
+            v[c] = v.get(c, 0) + least - reach[c]
+        col = free if free is not None else col_of.pop(end, None)
+        while col is not None:
+            r = via[col]
+            before = col_of.get(r)
+            row_of[col], col_of[r] = r, col
+            col = before if r != start else None
+    return sum(edges[r][c] for r, c in col_of.items())
+
+
 def _one_to_one(pairs: DataFrame, weight: str) -> DataFrame:
     """The pairs of each camera and frame that the one-to-one assignment of most ``weight`` takes."""
     columns = pairs.columns
@@ -77,18 +132,29 @@ def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFra
 def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """IDTP, IDFP, IDFN, IDF1 over all cameras that have predictions.
 
-    Hits of each (person, id) are a grouped count; their one-to-one assignment is a
-    kernel over the matrix of one scene's persons and ids.
+    Hits of each (person, id) are a grouped count.  Their one-to-one assignment is a sum over
+    the connected components of the hits: where all of a component's edges share a person
+    or an id it is their maximum, and only the others go to a kernel, one a group.
     """
-    hits = frame_matches(gt, pred, least).groupBy("person_id", "global_id").agg(F.count("*").alias("n"))
+    hits = _kept(frame_matches(gt, pred, least).groupBy("person_id", "global_id").agg(F.count("*").alias("n")))
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        p, g = np.unique(pdf.person_id), np.unique(pdf.global_id)
-        m = np.zeros((len(p), len(g)))
-        m[np.searchsorted(p, pdf.person_id), np.searchsorted(g, pdf.global_id)] = pdf.n
-        return pd.DataFrame({"idtp": [int(sum(m[r, c] for r, c in assign(-m)))]})
-
-    idtp = hits.withColumn("scene", F.lit(0)).groupBy("scene").applyInPandas(best, "idtp long").agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
+        return pd.DataFrame({"idtp": [heaviest(pdf.person_id.tolist(), pdf.global_id.tolist(), pdf.n.tolist())]})
+
+    # Edges that are alone at both ends are components by themselves.
+    side = lambda c: F.count("*").over(Window.partitionBy(c))
+    several = hits.withColumn("of_p", side("person_id")).withColumn("of_g", side("global_id"))
+    alone = several.where("of_p = 1 and of_g = 1").agg(F.sum("n").alias("idtp"))
+    shared = several.where("of_p > 1 or of_g > 1")
+    # Persons get even nodes and ids odd ones.
+    person, other = F.col("person_id") * 2, F.col("global_id") * 2 + 1
+    parts = components(shared.select(person.alias("a"), other.alias("b")))
+    shared = shared.join(parts.select(F.shiftright("node", 1).alias("person_id"), "component").where("node % 2 = 0"), "person_id")
+    by_part = F.col("component")
+    stars = shared.groupBy(by_part).agg(F.max("n").alias("idtp"), (F.least(F.countDistinct("person_id"), F.countDistinct("global_id")) == 1).alias("star"))
+    stars = _kept(stars)
+    tangled = shared.join(stars.where("not star").select("component"), "component").groupBy("component").applyInPandas(best, "idtp long")
+    idtp = alone.unionByName(stars.where("star").select("idtp")).unionByName(tangled).agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
     seen = gt.join(pred.select("cam_id").distinct(), "cam_id", "left_semi").agg(F.count("*").alias("n_gt"))
     n = pred.agg(F.count("*").alias("n_pred"))
     all_ = idtp.join(F.broadcast(seen)).join(F.broadcast(n))
@@ -145,14 +211,17 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return a.groupBy("cam_id").agg(*[F.round(F.avg(x), 6).alias(k) for k, x in score.items()])
 
 
+def _kept(d: DataFrame) -> DataFrame:
+    return d.checkpoint() if d.sparkSession.conf.get("spark.checkpoint.dir", None) else d.persist()
+
+
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) with the smallest node as component, by alternating star rounds.
 
     edges: a, b.  Each round is written by a reliable checkpoint where a folder for it is
     set, and cached otherwise.
     """
-    spark = edges.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
+    keep = _kept
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     while True:
