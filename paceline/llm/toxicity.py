@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_list, column
+from .shared import binary_list, column, stash
 from .textkit import Chunk, chunks, mix
 
 
@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> dict[int,
     rows = rows.orderBy("ord", "id").limit(p.max_rows)  # so its size is bounded, and it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
     feats = texts.join(F.broadcast(rows), "id").select("ord", "y", "text").mapInArrow(_featurise(p), "ord long, y int, idx array<int>")
-    model = feats.coalesce(1).sortWithinPartitions("ord", F.xxhash64("idx")).mapInArrow(_train(p), "idx int, weight double")
+    # Written first, so the corpus is read in parallel and only the bounded rows meet in a task.
+    model = stash(feats, "features").coalesce(1).sortWithinPartitions("ord", F.xxhash64("idx")).mapInArrow(_train(p), "idx int, weight double")
     return {r.idx: r.weight for r in model.collect()}
 
 
