@@ -2,9 +2,10 @@
 
 Words and bigrams of every text are hashed to 2**bits buckets.  Two multinomials
 over the buckets are counted: the raw corpus (every document) and the trusted target
-(documents labelled of good quality, a bounded sample of them).  A document's verdict
-is its mean log(target / raw) per n-gram against a fixed threshold, so each document
-is judged by itself and reruns agree.
+(all documents labelled of good quality).  The target is mixed with the raw one by a fixed
+share of the trusted n-grams, so the least ratio is alike at every size.  A document's
+verdict is its mean log(target / raw) per n-gram against a fixed threshold, so each
+document is judged by itself and reruns agree.
 
 Defined results: null and empty texts have no words and fail the base rules; labels
 that are null don't count as trusted; rows that repeat an id are judged each.
@@ -27,8 +28,8 @@ from .textkit import _P, Chunk, _power_tables, chunks, mix, ngram_hashes, window
 @dataclass(frozen=True)
 class Quality:
     bits: int = 17
-    max_trusted: int = 20_000
     smoothing: float = 1.0
+    prior: float = 0.19  # raw n-grams mixed into the target, for each trusted one
     threshold: float = -0.12
     least_words: int = 10
     repeat_percent: int = 20
@@ -70,9 +71,12 @@ def log_ratios(docs: DataFrame, labels: DataFrame, params: Quality = Quality())
     """log(target / raw) of each bucket: 2**bits numbers, whatever the corpus is."""
     p = params
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("id")).distinct()
-    good = good.orderBy(F.xxhash64("id"), "id").limit(p.max_trusted).withColumn("t", F.lit(True))
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text"))
-    flagged = texts.join(F.broadcast(good), "id", "left").select("text", F.coalesce("t", F.lit(False)).alias("trusted"))
+    good = good.withColumn("t", F.lit(True)).withColumn("salt", F.lit(0))
+    # Rows without an id match nothing; the salt spreads them.
+    salt = F.when(F.col("doc_id").isNull(), F.crc32(F.col("text").cast("binary")) % 1024).otherwise(0).cast("int")
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), salt.alias("salt"), F.col("text").cast("binary").alias("text"))
+    # One kind of join at every size, and never a broadcast of all labels.
+    flagged = texts.join(good.hint("merge"), ["id", "salt"], "left").select("text", F.coalesce("t", F.lit(False)).alias("trusted"))
     counts = flagged.mapInArrow(_count(p), "bucket int, raw long, trusted long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted"))
     raw, good = np.zeros(1 << p.bits), np.zeros(1 << p.bits)
     for r in counts.collect():  # 2**bits rows at most
@@ -81,8 +85,7 @@ def log_ratios(docs: DataFrame, labels: DataFrame, params: Quality = Quality())
         return np.zeros(1 << p.bits)
     # The target is shrunk towards the raw corpus where it has seen little.
     share = (raw + p.smoothing) / (raw + p.smoothing).sum()
-    weight = p.smoothing * 4
-    return np.log((good + weight * share * len(raw)) / (good.sum() + weight * len(raw))) - np.log(share)
+    return np.log((good / good.sum() + p.prior * share) / (1 + p.prior)) - np.log(share)
 
 
 def _line_repeats(c: Chunk) -> np.ndarray:
