@@ -2,10 +2,9 @@
 
 Words and bigrams of every text are hashed to 2**bits buckets.  Two multinomials
 over the buckets are counted: the raw corpus (every document) and the trusted target
-(all documents labelled of good quality).  The target is mixed with the raw one by a fixed
-share of the trusted n-grams, so the least ratio is alike at every size.  A document's
-verdict is its mean log(target / raw) per n-gram against a fixed threshold, so each
-document is judged by itself and reruns agree.
+(all documents labelled of good quality).  A document's verdict
+is its mean log(target / raw) per n-gram against a fixed threshold, so each document
+is judged by itself and reruns agree.
 
 Defined results: null and empty texts have no words and fail the base rules; labels
 that are null don't count as trusted; rows that repeat an id are judged each.
@@ -29,7 +28,6 @@ from .textkit import _P, Chunk, _power_tables, chunks, mix, ngram_hashes, window
 class Quality:
     bits: int = 17
     smoothing: float = 1.0
-    prior: float = 0.19  # raw n-grams mixed into the target, for each trusted one
     threshold: float = -0.12
     least_words: int = 10
     repeat_percent: int = 20
@@ -85,7 +83,8 @@ def log_ratios(docs: DataFrame, labels: DataFrame, params: Quality = Quality())
         return np.zeros(1 << p.bits)
     # The target is shrunk towards the raw corpus where it has seen little.
     share = (raw + p.smoothing) / (raw + p.smoothing).sum()
-    return np.log((good / good.sum() + p.prior * share) / (1 + p.prior)) - np.log(share)
+    weight = p.smoothing * 4
+    return np.log((good + weight * share * len(raw)) / (good.sum() + weight * len(raw))) - np.log(share)
 
 
 def _line_repeats(c: Chunk) -> np.ndarray:
