@@ -1,30 +1,37 @@
 """Mixing sources to target weights, with DataFrame functions alone.
 
 The words of each source form one sequence (documents in the order of the MD5 of
-their id) that is cut into blocks of ``block`` words.  A source's slots in the
-output, target / block of them, use its blocks through a pseudorandom permutation
-of their indices, one for each pass over the source.  Output slots are dealt to
-shards by another permutation, so the source counts of a shard are multinomial
-draws given the totals of all shards; conditioning on the totals is what keeps
-every source at its target and every block within its limit of passes.
-
-Permutations are index maps x -> (x * a + b) mod n with a prime above n: they cost
-arithmetic, not a shuffle.  Word offsets are prefix sums in three steps (by the first
-two hex digits of the MD5, the next two, then inside those), so no source meets in
-one task and the sums of one source over two digits are 256 rows at most.
+their id) that is cut into blocks of ``block`` words, shorter where a source has
+fewer than ``least_blocks`` of those, so that targets are met closely.
+
+Each output shard draws the source of each of its slots from a hash of (shard, slot),
+at the sources' shares of all slots: its source counts are a multinomial draw.  The
+draws of a source, in the order of shards, are numbered and sent through a
+pseudorandom permutation.  Numbers within the source's slots stand; what a source has
+drawn too often (about the square root of its slots) is spread over the shards by the
+permutation, and goes to the sources that were drawn too seldom.  So totals hold
+exactly: a source meets its target and a block never exceeds ``passes`` uses.
+A slot's number gives the pass over its source and, by one more permutation for each
+(source, pass), the block; blocks are joined to the slots by that index.
+
+Permutations are Feistel networks over two factors of just above n, walked until they
+fall below n: bijections for every n, at the cost of arithmetic.  Counts before a
+shard and words before a document are prefix sums in two or three steps, so no source
+meets in one task.  Only the table of sources (a row for each) is ordered as a whole.
 
 Defined results: a null source is a source of its own, last in order; null or empty
-texts have size 0 and take nothing; repeated rows are documents of their own.
+texts have size 0 and take nothing; repeated rows are documents of their own; columns
+of the input may have any names.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import stash
+from .shared import stash, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -34,12 +41,11 @@ class Mix:
     weights: tuple[float, ...] = (3, 1, 2)  # of the sources in order, repeated
     percent: int = 150  # of all words, the size of the mix
     passes: int = 2  # a source gives at most this many times its words
-    block: int = 256  # words
+    block: int = 256  # words, at most
+    least_blocks: int = 512  # a source has that many blocks, or blocks of one word
     shard_slots: int = 1024  # blocks of an output shard
-
-
-#: Primes above any index here, multipliers of the permutations.
-PRIMES = (2305843009213693951, 2147483647, 999999999989)
+    task_slots: int = 1 << 20  # slots that one task makes, at most about
+    seed: int = 5
 
 
 def sizes(docs: DataFrame, text_col: str = "text") -> Column:
@@ -52,6 +58,7 @@ def targets(by_source: DataFrame, p: Mix) -> DataFrame:
 
     The water level: with sources by ascending cap / weight, the first whose share of
     what the earlier ones leave is within its cap fixes the level for all later ones.
+    The windows hold a row for each source, in one task.
     """
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in p.weights]), (F.col("rank") % len(p.weights) + 1).cast("int"))
@@ -67,10 +74,28 @@ def targets(by_source: DataFrame, p: Mix) -> DataFrame:
     return s.withColumn("target", F.when(F.col("level").isNull() | (F.col("ratio") <= F.col("level")), F.col("cap")).otherwise(F.col("level") * F.col("weight")))
 
 
-def _permuted(x: Column, n: Column, turn: int | Column, prime: int) -> Column:
-    wide = "decimal(19,0)"
-    shift = F.lit(7919) * (turn if isinstance(turn, Column) else F.lit(turn)) + 104729
-    return ((x.cast(wide) * (F.lit(prime) % n).cast(wide) + shift.cast("decimal(10,0)")) % n.cast(wide)).cast("long")
+def permuted(x: Column, n: Column, *key: Column, rounds: int = 6, walk: int = 24) -> Column:
+    """A bijection of 0 .. n - 1 for each ``key``, at ``x``.
+
+    A Feistel network over pairs (l, r) with l < a, r < b, a = ceil(sqrt(n)) and
+    b = ceil(n / a) permutes a * b >= n numbers; it is applied again until the result is
+    below n.  Fewer than a numbers lie above, so ``walk`` steps always do for n < 256, and
+    miss with a chance below 16 ** -walk for larger ones.
+    """
+    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    b = F.ceil(n / a).cast("long")
+
+    def once(x: Column) -> Column:
+        start = F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r"))
+
+        def step(s: Column, i: Column) -> Column:
+            moved = F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], i, *key), a * b), F.when(i % 2 == 0, a).otherwise(b))
+            return F.struct(s["r"].alias("l"), moved.alias("r"))
+
+        ends = F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), start, step)
+        return F.transform(F.array(ends), lambda s: s["r"] * a + s["l"])[0]
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
 
 
 def _ahead(size: str, order: str, *by: str) -> Column:
@@ -80,98 +105,145 @@ def _ahead(size: str, order: str, *by: str) -> Column:
 
 
 def plan(docs: DataFrame, text_col: str, id_col: str, source_col: str, p: Mix) -> tuple[DataFrame, DataFrame]:
-    """(documents with their word ranges, sources with targets and slots)."""
-    key = F.md5(F.coalesce(docs[id_col].cast("string"), F.lit("")))
-    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), sizes(docs, text_col).alias("size"), key.alias("k"))
+    """(documents with their word ranges, sources with targets, block lengths and slots)."""
+    h = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    key = F.md5(F.coalesce(docs[id_col].cast("string"), h.cast("string")))
+    rows = docs.select(docs[id_col].alias("doc_id"), docs[source_col].alias("source"), sizes(docs, text_col).alias("size"), h.alias("h"), key.alias("k"))
     rows = rows.withColumn("bin", F.conv(F.substring("k", 1, 4), 16, 10).cast("int"))
     rows = stash(rows, "sizes")
     bins = rows.groupBy("source", "bin").agg(F.sum("size").alias("bin_size")).withColumn("upper", F.shiftright("bin", 8))
     sources = targets(bins.groupBy("source").agg(F.sum("bin_size").alias("source_size")), p)
-    blocks = F.ceil(F.col("source_size") / p.block)
-    slots = F.least(F.round(F.col("target") * blocks / F.greatest(F.col("source_size"), F.lit(1))), blocks * p.passes).cast("long")
-    sources = stash(sources.select("source", "source_size", "target", "rank", blocks.cast("long").alias("blocks"), slots.alias("slots")), "sources")
+    sources = sources.withColumn("length", F.greatest(F.lit(1), F.least(F.lit(p.block), F.floor(F.col("source_size") / p.least_blocks))).cast("long"))
+    sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.col("length")).cast("long"))
+    slots = F.least(F.round(F.col("target") * F.col("blocks") / F.greatest(F.col("source_size"), F.lit(1))), F.col("blocks") * p.passes).cast("long")
+    sources = stash(sources.select("source", "source_size", "target", "rank", "length", "blocks", slots.alias("slots")), "sources")
     upper = bins.groupBy("source", "upper").agg(F.sum("bin_size").alias("upper_size"))
     upper = upper.select("source", "upper", _ahead("upper_size", "upper", "source").alias("upper_start"))
     bins = bins.select("source", "upper", "bin", _ahead("bin_size", "bin", "source", "upper").alias("within"))
     bins = bins.alias("b").join(upper.alias("u"), F.col("b.source").eqNullSafe(F.col("u.source")) & (F.col("b.upper") == F.col("u.upper")))
     bins = bins.select("b.source", "bin", (F.col("upper_start") + F.col("within")).alias("bin_start"))
-    inside = Window.partitionBy("source", "bin").orderBy("k", "size").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "bin").orderBy("k", "h").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("upto", F.sum("size").over(inside)).alias("r")
     rows = rows.join(bins.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.bin") == F.col("b.bin")))
     end = F.col("bin_start") + F.col("upto")
-    rows = rows.select("doc_id", F.col("r.source").alias("source"), "size", (end - F.col("size")).alias("start"), end.alias("end"))
+    rows = rows.select("doc_id", F.col("r.source").alias("source"), "size", "h", (end - F.col("size")).alias("start"), end.alias("end"))
     return rows, sources
 
 
-def block_uses(sources: DataFrame, p: Mix) -> DataFrame:
-    """(rank, block, shard, slot): the block of its source that each output slot takes.
+CELLS = 4096
 
-    Slots are generated on the executors, a chunk of indices a row first.  Statistics
-    of the few source rows say nothing of them: joins with slots carry a merge hint,
-    or they would be broadcast.
+
+def _draws(spark: SparkSession, sources: DataFrame, all_slots: int, p: Mix) -> DataFrame:
+    """(shard, slot, rank, blocks, slots, j): the source that each output slot draws, and the number of that draw.
+
+    j counts the draws of a source from shard to shard.  A drawn number in 0 .. all_slots - 1
+    finds its source by the cells of that range that the source's slots touch.
     """
-    chunk = 65_536
-    first = F.coalesce(F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    s = sources.where("slots > 0").withColumn("first", first).withColumn("all_slots", F.sum("slots").over(Window.partitionBy()))
-    s = s.withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), ((F.col("slots") - 1) / chunk).cast("long")))).repartition("rank", "c")
-    j = F.explode(F.sequence(F.col("c") * chunk, F.least((F.col("c") + 1) * chunk, F.col("slots")) - 1))
-    s = s.select("rank", "blocks", "first", "all_slots", j.alias("j"))
-    turn = (F.col("j") / F.col("blocks")).cast("long")
-    block = _permuted(F.col("j") % F.col("blocks"), F.col("blocks"), turn + F.col("rank"), PRIMES[0])
-    place = _permuted(F.col("first") + F.col("j"), F.col("all_slots"), 1, PRIMES[0])
-    return s.select("rank", block.alias("block"), (place / p.shard_slots).cast("long").alias("shard"), (place % p.shard_slots).alias("slot"))
-
-
-def _pieces(rows: DataFrame, sources: DataFrame, p: Mix) -> DataFrame:
+    s = sources.where("slots > 0").withColumn("last", F.sum("slots").over(Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)))
+    s = s.select("rank", "blocks", "slots", (F.col("last") - F.col("slots")).alias("first"), "last")
+    cell = lambda x: F.floor(x.cast("decimal(38,0)") * CELLS / all_slots).cast("long")
+    s = s.withColumn("cell", F.explode(F.sequence(cell(F.col("first")), cell(F.col("last") - 1))))
+
+    shards = -(-all_slots // p.shard_slots)
+    tasks = max(min(shards, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-all_slots // p.task_slots))
+    slots = spark.range(shards).select(F.col("id").alias("shard")).repartition(tasks, "shard")
+    inside = F.least(F.lit(p.shard_slots), all_slots - F.col("shard") * p.shard_slots) - 1
+    slots = slots.select("shard", F.explode(F.sequence(F.lit(0).cast("long"), inside)).alias("slot"))
+    slots = slots.withColumn("u", F.pmod(F.xxhash64(F.lit(p.seed), F.lit("draw"), "shard", "slot"), F.lit(all_slots))).withColumn("cell", cell(F.col("u")))
+    drawn = slots.join(s, "cell").where("first <= u and u < last").select("shard", "slot", "rank", "blocks", "slots")
+    drawn = drawn.withColumn("nth", F.row_number().over(Window.partitionBy("shard", "rank").orderBy("slot")) - 1)
+    counts = drawn.groupBy("shard", "rank").agg(F.count("*").alias("k")).withColumn("upper", F.floor(F.col("shard") / 1024))
+    upper = counts.groupBy("rank", "upper").agg(F.sum("k").alias("k"))
+    upper = upper.select("rank", "upper", _ahead("k", "upper", "rank").alias("before_upper"))
+    counts = counts.select("shard", "rank", "upper", _ahead("k", "shard", "rank", "upper").alias("before"))
+    counts = counts.join(upper, ["rank", "upper"]).select("shard", "rank", (F.col("before") + F.col("before_upper")).alias("before"))
+    return drawn.join(counts, ["shard", "rank"]).withColumn("j", F.col("before") + F.col("nth")).drop("before", "nth")
+
+
+def slot_blocks(sources: DataFrame, p: Mix) -> DataFrame:
+    """(shard, slot, rank, turn, block): the block of its source that each output slot takes, in which pass over it.
+
+    Statistics of the few source rows say nothing of the slots: joins with slots carry a
+    merge hint, or they would be broadcast.
+    """
+    spark = sources.sparkSession
+    all_slots = int(sources.agg(F.coalesce(F.sum("slots"), F.lit(0))).first()[0])
+    if not all_slots:
+        return spark.createDataFrame([], "shard long, slot long, rank int, turn long, block long")
+    drawn = stash(_draws(spark, sources, all_slots, p), "draws")
+    took = drawn.groupBy("rank").agg(F.count("*").alias("drawn"))
+    s = sources.where("slots > 0").select("rank", "blocks", "slots").join(took, "rank", "left").fillna(0, ["drawn"])
+    up = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)  # a row for each source
+    over, under = F.greatest(F.col("drawn") - F.col("slots"), F.lit(0)), F.greatest(F.col("slots") - F.col("drawn"), F.lit(0))
+    s = s.withColumn("over_to", F.sum(over).over(up)).withColumn("under_to", F.sum(under).over(up)).withColumn("over_from", F.col("over_to") - over).withColumn("under_from", F.col("under_to") - under)
+    s = stash(s, "drawn")
+
+    own = drawn.join(s.select("rank", "drawn", "over_from"), "rank").withColumn("i", permuted(F.col("j"), F.col("drawn"), F.lit(p.seed), F.col("rank"), F.lit(-1)))
+    stands = own.where("i < slots").select("shard", "slot", "rank", "blocks", "i")
+    # What a source has drawn too often goes to those drawn too seldom, by their places in line.
+    spare = own.where("i >= slots").select("shard", "slot", (F.col("over_from") + F.col("i") - F.col("slots")).alias("at"))
+    wide = 4096
+    short = s.where("under_to > under_from").select(F.col("rank"), "blocks", "drawn", "under_from", "under_to")
+    short = short.withColumn("part", F.explode(F.sequence(F.floor(F.col("under_from") / wide), F.floor((F.col("under_to") - 1) / wide))))
+    given = spare.withColumn("part", F.floor(F.col("at") / wide)).join(short, "part").where("under_from <= at and at < under_to")
+    given = given.select("shard", "slot", "rank", "blocks", (F.col("drawn") + F.col("at") - F.col("under_from")).alias("i"))
+    taken = stands.unionByName(given).withColumn("turn", F.floor(F.col("i") / F.col("blocks")))
+    block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.lit(p.seed), F.col("rank"), F.col("turn"))
+    return taken.select("shard", "slot", "rank", "turn", block.alias("block"))
+
+
+def _pieces(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Documents with words, one row for each block that holds some of them."""
-    found = rows.alias("r").join(sources.select("source", "rank").alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where("size > 0")
-    last = ((F.col("end") - 1) / p.block).cast("long")
-    found = found.select("r.*", "rank", F.explode(F.sequence((F.col("start") / p.block).cast("long"), last)).alias("block"))
-    lo = F.greatest(F.col("start"), F.col("block") * p.block)
-    hi = F.least(F.col("end"), (F.col("block") + 1) * p.block)
+    found = rows.alias("r").join(sources.select("source", "rank", "length").alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).where("size > 0")
+    n = F.col("length")
+    found = found.select("r.*", "rank", "length", F.explode(F.sequence(F.floor(F.col("start") / n), F.floor((F.col("end") - 1) / n))).alias("block"))
+    lo = F.greatest(F.col("start"), F.col("block") * n)
+    hi = F.least(F.col("end"), (F.col("block") + 1) * n)
     return found.withColumn("from_word", lo - F.col("start")).withColumn("words", hi - lo)
 
 
+def _mixed(rows: DataFrame, sources: DataFrame, p: Mix) -> DataFrame:
+    """(shard, slot, turn) beside each piece of the block that stands there."""
+    return _pieces(rows, sources).join(slot_blocks(sources, p).hint("merge"), ["rank", "block"])
+
+
 def mix_digest(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Mix = Mix()) -> DataFrame:
-    """id, size, source_size, target and taken (words the mix takes, repeats counted) of every row."""
-    p = params
-    rows, sources = plan(docs, text_col, id_col, source_col, p)
-    uses = block_uses(sources, p).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows, sources, p).join(uses.hint("merge"), ["rank", "block"]).groupBy("rank", "start").agg(F.sum(F.col("words") * F.col("uses")).alias("taken"))
+    """id, size, source_size, target and taken (words that the shards take, repeats counted) of every row."""
+    rows, sources = plan(docs, text_col, id_col, source_col, params)
+    taken = _mixed(rows, sources, params).groupBy("rank", "start").agg(F.sum("words").alias("taken"))
     full = rows.alias("r").join(sources.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("doc_id", "size", "start", "rank", "source_size", "target")
     full = full.join(taken, (full["rank"] == taken["rank"]) & (full["start"] == taken["start"]) & (full["size"] > 0), "left")
     return full.select(F.col("doc_id").alias(id_col), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
 
 
 def mixed_pieces(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Mix = Mix()) -> DataFrame:
-    """The mix itself: shard, slot, and the id and word range of each piece of the block there."""
+    """The mix itself: shard, slot, and the id, source and word range of each piece of the block there."""
     rows, sources = plan(docs, text_col, id_col, source_col, params)
-    out = _pieces(rows, sources, params).join(block_uses(sources, params).hint("merge"), ["rank", "block"])
+    out = _mixed(rows, sources, params)
     return out.select("shard", "slot", F.col("doc_id").alias(id_col), F.col("source").alias(source_col), "from_word", "words")
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", params: Mix = Mix()) -> DataFrame:
-    """``docs`` as the mix takes them: the columns stay, and the texts are the words that each pass takes.
+    """``docs`` as the shards take them: the columns stay, and the texts are the words that each pass takes.
 
-    A document that the mix takes twice gives two rows; in pass k it has the words of
-    those of its blocks that are taken more than k times.  A document of which nothing
-    is taken gives no row.
+    A document that both passes take gives two rows; in each it has the words of those of
+    its blocks that the shards take in that pass.  A document of which nothing is taken
+    gives no row.
     """
-    p = params
-    keyed = docs.withColumn("_row", F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
-    rows, sources = plan(docs, text_col, id_col, source_col, p)
-    uses = block_uses(sources, p).groupBy("rank", "block").agg(F.count("*").alias("uses"))
-    taken = _pieces(rows, sources, p).join(uses.hint("merge"), ["rank", "block"])
-    taken = taken.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("uses").cast("int") - 1)))
-    taken = taken.groupBy("doc_id", "size", "start", "turn").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("from_word"), F.col("words").cast("int").alias("words")))).alias("spans"))
-    # Rows that share id and size are told apart by their order alone, so each meets one range.
-    nth = Window.partitionBy("doc_id", "size", "turn").orderBy("start")
-    taken = taken.withColumn("_nth", F.row_number().over(nth)).select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), "_nth", "turn", "spans")
-    keyed = keyed.withColumn("_size", sizes(docs, text_col))
-    keyed = keyed.withColumn("_nth", F.row_number().over(Window.partitionBy(id_col, "_size").orderBy("_row")))
-    out = keyed.alias("d").join(taken.alias("t"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("t._id")) & (F.col("d._size") == F.col("t._size")) & (F.col("d._nth") == F.col("t._nth")))
-    words = F.regexp_extract_all(F.col(f"d.`{text_col}`"), F.lit(WORD), F.lit(0))
-    whole = (F.size("t.spans") > 0) & (F.aggregate("t.spans", F.lit(0), lambda n, x: n + x["words"]) == F.col("d._size"))
+    rows, sources = plan(docs, text_col, id_col, source_col, params)
+    taken = _mixed(rows, sources, params)
+    taken = taken.groupBy("rank", "start", "turn", "doc_id", "source", "size", "h").agg(F.sort_array(F.collect_list(F.struct(F.col("from_word").cast("int").alias("from_word"), F.col("words").cast("int").alias("words")))).alias("spans"))
+    # Equal rows are told apart by their places alone, so each meets one range.
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "h", "turn").orderBy("start"))
+    taken = taken.withColumn("nth", nth).select("doc_id", "source", "h", "size", "nth", "turn", "spans").alias("t")
+    h, n = unused(docs.columns, "_h"), unused(docs.columns, "_nth")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce(docs[text_col], F.lit(""))))
+    keyed = keyed.withColumn(n, F.row_number().over(Window.partitionBy(docs[id_col], docs[source_col], F.col(h)).orderBy(F.lit(0)))).alias("d")
+    of = lambda c: F.col(f"d.`{c}`")
+    same = of(id_col).eqNullSafe(F.col("t.doc_id")) & of(source_col).eqNullSafe(F.col("t.source")) & (of(h) == F.col("t.h")) & (of(n) == F.col("t.nth"))
+    out = keyed.join(taken, same)
+    words = F.regexp_extract_all(of(text_col), F.lit(WORD), F.lit(0))
+    whole = F.aggregate("t.spans", F.lit(0), lambda n, x: n + x["words"]) == F.col("t.size")
     some = F.array_join(F.flatten(F.transform("t.spans", lambda x: F.slice(words, x["from_word"] + 1, x["words"]))), " ")
-    text = F.when(whole, F.col(f"d.`{text_col}`")).otherwise(some)
-    return out.select(*[text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns])
+    text = F.when(whole, of(text_col)).otherwise(some)
+    return out.select(*[text.alias(c) if c == text_col else of(c) for c in docs.columns])
