@@ -117,8 +117,9 @@ def write_archives(pages: DataFrame, params: Warc = Warc()) -> tuple[DataFrame,
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"))
     rows = rows.withColumn("sha", F.sha1("html")).withColumn("size", F.octet_length("html").cast("long"))
-    first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"))
-    rows = rows.join(first, ["sha", "size"])
+    # Only payloads that several rows have need a join; digests alone are grouped.
+    first = rows.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").drop("n")
+    rows = rows.join(first, ["sha", "size"], "left")
     refers = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")) & (F.col("size") >= p.least_revisit_bytes)
     rows = rows.select("page_id", "url", F.when(refers, F.lit(b"")).otherwise(F.col("html")).alias("html"), "sha", "size", F.when(refers, F.col("first")).alias("refers_to"), refers.alias("refers"))
     return stash(rows.mapInArrow(_write(root, p), INDEX), "warc-index"), root
