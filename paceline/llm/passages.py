@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_list, column, stash
+from .shared import binary_list, column, stash, unused
 from .textkit import Chunk, chunks, mix, ngram_hashes, signed, windows_inside
 
 LAST = 2**63 - 1
@@ -212,14 +212,14 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words joined by one space.
     """
     rows, cuts = repeated_passages(docs, id_col, text_col, params)
-    order = F.coalesce(F.col("_id"), F.lit(LAST))
+    order = F.coalesce(F.col("id"), F.lit(LAST))
     copy = (order > F.col("owner")) & (F.col("n_words") >= params.window)
-    changed = rows.withColumnRenamed("id", "_id").join(cuts, "c", "left").where(copy | (F.coalesce("n_removed", F.lit(0)) > 0))
-    changed = changed.select(order.alias("_ord"), "sha", F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias("_kept")).dropDuplicates(["_ord", "sha"])
-    sha = F.unhex(F.sha2(_joined(F.col(text_col)), 256))
-    keyed = docs.withColumn("_ord", F.coalesce(F.col(id_col).cast("long"), F.lit(LAST))).withColumn("_sha", sha)
-    out = keyed.join(changed, (keyed["_ord"] == changed["_ord"]) & (keyed["_sha"] == changed["sha"]), "left")
-    return out.select(*[F.when(F.col("sha").isNotNull(), F.col("_kept")).otherwise(docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
+    changed = rows.join(cuts, "c", "left").where(copy | (F.coalesce("n_removed", F.lit(0)) > 0))
+    key, sha, kept = (unused(docs.columns, c) for c in ("_key", "_sha", "_kept"))
+    changed = changed.select(order.alias(key), F.col("sha").alias(sha), F.when(copy, F.lit("")).otherwise(F.col("kept_text")).alias(kept)).dropDuplicates([key, sha])
+    keyed = docs.withColumn(key, F.coalesce(docs[id_col].cast("long"), F.lit(LAST))).withColumn(sha, F.unhex(F.sha2(_joined(docs[text_col]), 256)))
+    out = keyed.join(changed, [key, sha], "left")
+    return out.select(*[F.coalesce(F.col(kept), docs[c]).alias(c) if c == text_col else docs[c] for c in docs.columns])
 
 
 def _joined(text):
