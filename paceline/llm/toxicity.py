@@ -11,7 +11,8 @@ their id, so reruns agree); scores cover every row.
 
 Defined results: null and empty texts score as the bias alone; labels that are null
 are not used; an id labelled more than once is toxic if any of its labels is; rows
-that repeat an id are scored each; without labels every score is 0.5 or less.
+that repeat an id are scored each; where no labelled document is left to learn from,
+every score is about 0, so nothing is rejected.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import binary_list, column, stash
+from .shared import binary_list, column, stash, unused
 from .textkit import Chunk, chunks, mix
 
 
@@ -122,12 +123,14 @@ def fit(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> dict[int,
     feats = texts.join(F.broadcast(rows), "id").select("ord", "y", "text").mapInArrow(_featurise(p), "ord long, y int, idx array<int>")
     # Written first, so the corpus is read in parallel and only the bounded rows meet in a task.
     model = stash(feats, "features").coalesce(1).sortWithinPartitions("ord", F.xxhash64("idx")).mapInArrow(_train(p), "idx int, weight double")
-    return {r.idx: r.weight for r in model.collect()}
+    return {r.idx: r.weight for r in model.collect()} or {1 << p.bits: -35.0}
 
 
-def score(docs: DataFrame, weights: dict[int, float], params: Ftrl = Ftrl()) -> DataFrame:
-    """``docs`` with a column ``toxic_score`` (0 to 1) more; other columns pass through."""
+def score(docs: DataFrame, weights: dict[int, float], params: Ftrl = Ftrl(), name: str = "toxic_score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) more, which must not be one of theirs; other columns pass through."""
     p = params
+    if name != unused(docs.columns, name):
+        raise ValueError(f"there is a column {name} already")
     table = np.zeros((1 << p.bits) + 1)
     for i, w in weights.items():
         table[i] = w
@@ -144,10 +147,10 @@ def score(docs: DataFrame, weights: dict[int, float], params: Ftrl = Ftrl()) ->
                 doc, idx = _distinct(doc[hit], idx[hit], p.bits)
                 np.add.at(total, doc + c.first, w[idx])
             s = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*batch.schema.names[:-1], "toxic_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s)], names=[*batch.schema.names[:-1], name])
 
-    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), "toxic_score double"])
-    return docs.select(*[docs[c] for c in docs.columns], F.col("text").cast("binary").alias("_text_bytes")).mapInArrow(run, schema)
+    schema = ", ".join([*(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"`{name}` double"])
+    return docs.select(*[docs[c] for c in docs.columns], docs["text"].cast("binary").alias(unused(docs.columns, "_text"))).mapInArrow(run, schema)
 
 
 def toxicity_digest(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> DataFrame:
@@ -158,4 +161,5 @@ def toxicity_digest(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl()) -> DataFrame:
     """The rows of ``docs`` that score below 0.5; the columns stay."""
-    return score(docs, fit(docs, labels, params), params).where("toxic_score < 0.5").drop("toxic_score")
+    name = unused(docs.columns, "toxic_score")
+    return score(docs, fit(docs, labels, params), params, name).where(F.col(name) < 0.5).drop(name)
