@@ -15,7 +15,9 @@ Defined results: rows with a null conv_id are one conversation (null); turns are
 the order of turn (null last), role and text; null texts are empty; a null or unknown
 role has to be relabelled; roles are compared in lower case without white space
 around; repeated rows are turns of their own; of ties the first of: keep, user,
-assistant, system, and merging last.
+assistant, system, and merging last; merged texts are joined without the empty ones; a
+text that holds the beginning of a control token is rendered with that broken up, so no
+text can open or end a turn, and ``text`` has it unchanged; other columns are not read.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ class Repair:
     insert: float = 2.0
     block: int = 2048
     template: str = "<|im_start|>%s\n%s<|im_end|>\n"  # role, text
+    control: str = "<|"  # what begins a control token of the template; broken up in rendered texts
+    broken: str = "< |"
     joint: str = "\n\n"  # between merged texts
 
 
@@ -208,7 +212,7 @@ def _decode(p: Repair):
     kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int32()] * 3
 
     def run(batches):
-        rows = []
+        rows, room = [], 4_000_000  # characters
         for t in _groups(batches, ("c", "block")):
             c, block = t["c"][0].as_py(), t["block"][0].as_py()
             roles, texts = t["role"].to_pylist(), t["text"].to_pylist()
@@ -223,7 +227,9 @@ def _decode(p: Repair):
                 for x in (*via[last, ASSISTANT], ASSISTANT):
                     part += 1
                     rows.append((c, block, len(roles), part, ROLES[x], "", 0, 0, 1))
-            if len(rows) > 5000:
+            room -= sum(len(x or "") for x in texts)
+            if len(rows) > 5000 or room < 0:
+                room = 4_000_000
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if rows:
@@ -271,7 +277,8 @@ def repair(turns: DataFrame, params: Repair = Repair()) -> DataFrame:
         F.sum("relabelled").alias("relabelled"),
         F.max("inserted").alias("inserted"),
     )
-    text = F.array_join("texts", p.joint)
+    text = F.array_join(F.filter("texts", lambda x: x != ""), p.joint)
+    safe = F.replace(text, F.lit(p.control), F.lit(p.broken)) if p.control else text
     costs = borders.where("final").select("c", "cost")
     head, middle, tail = p.template.split("%s")
     return whole.join(costs, "c").select(
@@ -279,7 +286,7 @@ def repair(turns: DataFrame, params: Repair = Repair()) -> DataFrame:
         "turn_no",
         "role",
         text.alias("text"),
-        F.concat(F.lit(head), "role", F.lit(middle), text, F.lit(tail)).alias("rendered"),
+        F.concat(F.lit(head), "role", F.lit(middle), safe, F.lit(tail)).alias("rendered"),
         "merged",
         "relabelled",
         "inserted",
