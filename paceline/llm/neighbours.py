@@ -98,6 +98,8 @@ def _codebook(x: np.ndarray, k: int, rounds: int, rng) -> np.ndarray:
 
 def _share(x: np.ndarray, halves: tuple[np.ndarray, np.ndarray], cell: tuple[np.ndarray, np.ndarray], books, total: int, p: MultiIndex) -> float:
     """The share of entries to visit, so that ``recall`` of the neighbours are met: measured on the sample ``x``."""
+    if p.recall >= 1:
+        return 1.0
     wanted = max(1, round(p.neighbours * len(x) / max(total, len(x))))
     trial = np.arange(0, len(x), max(1, len(x) // p.trials))
     q1, q2 = _query_halves(x[trial])

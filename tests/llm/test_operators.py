@@ -246,7 +246,7 @@ def test_neighbours(spark):
     x[100:180] = x[100]
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(1000, None), (1020, [0.0] * 9), (1040, [float("nan")] * 9), (1060, [1.0, None] + [0.0] * 7), (1080, [1.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
-    whole = neighbours.search(v, neighbours.MultiIndex(centroids=4, probe=1.0)).collect()
+    whole = neighbours.search(v, neighbours.MultiIndex(recall=1.0, block_least=64)).collect()
     got = collections.defaultdict(list)
     for r in sorted(whole, key=lambda r: (r.query_id, r.rank)):
         got[r.query_id].append(r)
