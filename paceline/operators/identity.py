@@ -162,28 +162,115 @@ def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame
     return all_.select(tp.alias("idtp"), fp.alias("idfp"), fn.alias("idfn"), F.round(2 * tp / F.greatest(F.lit(1), 2 * tp + fp + fn), 6).alias("idf1"))
 
 
+def kept_matches(pairs: DataFrame) -> DataFrame:
+    """(cam_id, frame_no, person_id, global_id, iou, switch): one-to-one matches that carry over.
+
+    A person keeps the id of its last match while the two still overlap enough; what is
+    left of the frame is assigned for the largest total IoU.  A match is a switch if the
+    person's last one was of another id.  Frames depend on those before, so a camera's
+    pairs stream through one task in order; only the last match of each person is held.
+    pairs: cam_id, frame_no, person_id, global_id, iou, those from the gate on.
+    """
+
+    def frame(held: dict, rows: pd.DataFrame) -> list[tuple]:
+        best: dict[tuple, float] = {}
+        for p, g, x in rows[["person_id", "global_id", "iou"]].itertuples(index=False):
+            best[p, g] = max(x, best.get((p, g), 0.0))
+        out = [(p, g, best[p, g], False) for p, g in held.items() if (p, g) in best]
+        used_p, used_g = {x[0] for x in out}, set()
+        kept = []
+        for p, g, x, s in sorted(out):
+            if g not in used_g:
+                used_g.add(g)
+                kept.append((p, g, x, s))
+            else:
+                used_p.discard(p)
+        ps, gs = sorted({p for p, _ in best} - used_p), sorted({g for _, g in best} - used_g)
+        if ps and gs:
+            # A pair below the gate costs more than all others together.
+            cost = np.array([[1 - best[p, g] if (p, g) in best else 1e6 for g in gs] for p in ps])
+            for r, c in assign(cost):
+                if cost[r, c] < 1e6:
+                    p, g = ps[r], gs[c]
+                    kept.append((p, g, best[p, g], held.get(p, g) != g))
+        for p, g, _, _ in kept:
+            held[p] = g
+        return kept
+
+    def run(batches):
+        held: dict[int, dict] = {}
+        rest = None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            last = (batch.cam_id.iloc[-1], batch.frame_no.iloc[-1])
+            whole = (batch.cam_id != last[0]) | (batch.frame_no != last[1])
+            rest, batch = batch[~whole], batch[whole]
+            out = [(cam, f, *x) for (cam, f), rows in batch.groupby(["cam_id", "frame_no"], sort=False) for x in frame(held.setdefault(cam, {}), rows)]
+            yield pd.DataFrame(out, columns=names)
+        if rest is not None and len(rest):
+            yield pd.DataFrame([(rest.cam_id.iloc[0], rest.frame_no.iloc[0], *x) for x in frame(held.setdefault(rest.cam_id.iloc[0], {}), rest)], columns=names)
+
+    names = ["cam_id", "frame_no", "person_id", "global_id", "iou", "switch"]
+    p = pairs.select("cam_id", F.col("frame_no").cast("long").alias("frame_no"), "person_id", "global_id", "iou").repartition("cam_id").sortWithinPartitions("cam_id", "frame_no")
+    return p.mapInPandas(run, "cam_id int, frame_no long, person_id long, global_id long, iou double, switch boolean")
+
+
+def camera_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """(cam_id, idtp): the heaviest one-to-one choice of the (person, id) pairs of a camera, by frames that they share."""
+    shared = box_pairs(gt, pred).where(F.col("iou") >= least).groupBy("cam_id", "person_id", "global_id").agg(F.countDistinct("frame_no").alias("n"))
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"cam_id": pdf.cam_id[:1], "idtp": [heaviest(pdf.person_id.tolist(), pdf.global_id.tolist(), pdf.n.tolist())]})
+
+    return shared.groupBy("cam_id").applyInPandas(best, "cam_id int, idtp long")
+
+
 def clear_metrics(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per camera: matches, misses, false positives, switches, MOTA, MOTP, precision, recall.
+    """Per camera: matches, misses, false positives, switches, fragmentations, MOTA, MOTP, precision, recall, IDF1.
 
-    Matches are those of each frame; a switch is a person matched to another id than
-    at its last match.
+    Matches carry over (``kept_matches``).  A fragmentation is a stretch of frames in which
+    a person is present but not matched, between two in which it is.  Cameras without
+    predictions count as all missed.
     """
-    m = frame_matches(gt, pred, least)
-    w = Window.partitionBy("cam_id", "person_id").orderBy("frame_no", "gt_id")
-    m = m.withColumn("switch", F.coalesce((F.lag("global_id").over(w) != F.col("global_id")).cast("long"), F.lit(0)))
-    m = m.groupBy("cam_id").agg(F.count("*").alias("matches"), F.sum("switch").alias("switches"), F.avg("iou").alias("motp"))
+    m = kept_matches(box_pairs(gt, pred).where(F.col("iou") >= least))
+    t = gt.select("cam_id", "frame_no", "person_id").distinct().join(m.select("cam_id", "frame_no", "person_id", F.lit(1).alias("hit")).distinct(), ["cam_id", "frame_no", "person_id"], "left")
+    w = Window.partitionBy("cam_id", "person_id").orderBy("frame_no")
+    later = F.max("hit").over(w.rowsBetween(1, Window.unboundedFollowing))
+    breaks = t.withColumn("break", (F.lag("hit").over(w) == 1) & F.col("hit").isNull() & (later == 1)).groupBy("cam_id").agg(F.sum(F.coalesce(F.col("break").cast("long"), F.lit(0))).alias("fragmentations"))
+    m = m.groupBy("cam_id").agg(F.count("*").alias("matches"), F.sum(F.col("switch").cast("long")).alias("switches"), F.avg("iou").alias("motp"))
     g, p = gt.groupBy("cam_id").agg(F.count("*").alias("n_gt")), pred.groupBy("cam_id").agg(F.count("*").alias("n_pred"))
-    a = g.join(p, "cam_id").join(m, "cam_id", "left").fillna(0, ["matches", "switches"])
+    a = g.join(p, "cam_id", "left").join(m, "cam_id", "left").join(breaks, "cam_id", "left").join(camera_idf1(gt, pred, least), "cam_id", "left")
+    a = a.fillna(0, ["n_pred", "matches", "switches", "fragmentations", "idtp"])
     miss, false = F.col("n_gt") - F.col("matches"), F.col("n_pred") - F.col("matches")
     return a.select(
-        "cam_id", "matches", miss.alias("misses"), false.alias("false_positives"), "switches",
+        "cam_id", "matches", miss.alias("misses"), false.alias("false_positives"), "switches", "fragmentations",
         F.round(1 - (miss + false + F.col("switches")) / F.col("n_gt"), 6).alias("mota"), F.round("motp", 6).alias("motp"),
-        F.round(F.col("matches") / F.col("n_pred"), 6).alias("precision"), F.round(F.col("matches") / F.col("n_gt"), 6).alias("recall"),
+        F.round(F.when(F.col("n_pred") > 0, F.col("matches") / F.col("n_pred")).otherwise(0.0), 6).alias("precision"), F.round(F.col("matches") / F.col("n_gt"), 6).alias("recall"),
+        F.round(2 * F.col("idtp") / (F.col("n_gt") + F.col("n_pred")), 6).alias("idf1"),
     )
 
 
+def stage_diagnosis(clear: DataFrame, overall: DataFrame, least_recall: float = 0.8, most_gap: float = 0.1) -> DataFrame:
+    """One row: mean recall and IDF1 of cameras, switches, fragmentations, overall IDF1, its gap, and where identities are lost.
+
+    Too low a recall is the detector's; a local IDF1 far under the recall is the tracker's;
+    an overall one far under the local is the linker's.
+    """
+    c = clear.agg(F.avg("recall").alias("recall"), F.avg("idf1").alias("local_idf1"), F.sum("switches").alias("switches"), F.sum("fragmentations").alias("fragmentations"))
+    d = c.join(F.broadcast(overall.select(F.col("idf1").alias("global_idf1")))).withColumn("gap", F.col("local_idf1") - F.col("global_idf1"))
+    verdict = F.when(F.col("recall") < least_recall, "detector").when(F.col("recall") - F.col("local_idf1") > most_gap, "tracker").when(F.col("gap") > most_gap, "linker").otherwise("ok")
+    return d.select(*[F.round(x, 6).alias(x) for x in ("recall", "local_idf1", "global_idf1", "gap")], "switches", "fragmentations", verdict.alias("verdict"))
+
+
+def oracle_ids(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """(det_id, person_id): the truth that each frame's one-to-one assignment gives a box; what perfect linking could reach."""
+    return frame_matches(gt, pred, least).select("det_id", "person_id")
+
+
 def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """Per camera: HOTA, DetA, AssA and LocA as means over the thresholds 0.05, 0.10, ... 0.95.
+    """Per camera: HOTA, DetA and AssA with their recalls and precisions, and LocA, as means over the thresholds 0.05, 0.10, ... 0.95.
 
     By the published definition: frames are assigned on IoU weighted by how well the
     two trajectories agree over all frames; each threshold then keeps matches from it
@@ -203,11 +290,12 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
     hits = m.select(*track, "n_g", "n_p", "iou", steps).where(iou >= F.col("step") / 20 - 1e-12)
     hits = hits.groupBy(*track, "n_g", "n_p", "step").agg(F.count("*").alias("n"), F.sum("iou").alias("loc"))
     n = F.col("n")
-    hits = hits.groupBy("cam_id", "step").agg(F.sum("n").alias("tp"), (F.sum(n * n / (F.col("n_g") + F.col("n_p") - n)) / F.sum("n")).alias("ass"), (F.sum("loc") / F.sum("n")).alias("loc"))
+    hits = hits.groupBy("cam_id", "step").agg(F.sum("n").alias("tp"), (F.sum(n * n / (F.col("n_g") + F.col("n_p") - n)) / F.sum("n")).alias("ass"), (F.sum(n * n / F.col("n_g")) / F.sum("n")).alias("ass_re"), (F.sum(n * n / F.col("n_p")) / F.sum("n")).alias("ass_pr"), (F.sum("loc") / F.sum("n")).alias("loc"))
     boxes = gt.groupBy("cam_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("cam_id").agg(F.count("*").alias("n_pred")), "cam_id")
-    a = boxes.select("*", steps).join(hits, ["cam_id", "step"], "left").fillna(0, ["tp", "ass"]).fillna(1, ["loc"])
+    a = boxes.select("*", steps).join(hits, ["cam_id", "step"], "left").fillna(0, ["tp", "ass", "ass_re", "ass_pr"]).fillna(1, ["loc"])
     det = F.col("tp") / (F.col("n_gt") + F.col("n_pred") - F.col("tp"))
     score = {"hota": F.sqrt(det * F.col("ass")), "det_a": det, "ass_a": F.col("ass"), "loc_a": F.col("loc")}
+    score |= {"det_re": F.col("tp") / F.col("n_gt"), "det_pr": F.col("tp") / F.col("n_pred"), "ass_re": F.col("ass_re"), "ass_pr": F.col("ass_pr")}
     return a.groupBy("cam_id").agg(*[F.round(F.avg(x), 6).alias(k) for k, x in score.items()])
 
 
@@ -280,3 +368,23 @@ def nearest_centroid_pass(points: DataFrame, radius: float, confidence: float) -
     j = j.where((F.col("d") < radius) & (F.col("own") > 0) & (1 - F.col("d") / F.col("own") >= confidence))
     best = j.groupBy("det_id").agg(F.min_by("other", F.struct("d", "other")).alias("new_id"))
     return points.join(best, "det_id", "left").select("det_id", "frame_no", "global_id", F.coalesce("new_id", "global_id").alias("new_id"))
+
+
+def reassign(points: DataFrame, passes: tuple[float, ...], confidence: float) -> DataFrame:
+    """``nearest_centroid_pass`` with one distance after the other; each pass starts from the ids of the one before."""
+    p = points.select("det_id", "frame_no", F.col("global_id").alias("first_id"), "global_id", "x", "y")
+    for radius in passes:
+        moved = nearest_centroid_pass(p.select("det_id", "frame_no", "global_id", "x", "y"), radius, confidence).select("det_id", "new_id")
+        p = p.join(moved, "det_id").select("det_id", "frame_no", "first_id", F.col("new_id").alias("global_id"), "x", "y")
+    return p.select("det_id", "frame_no", F.col("first_id").alias("global_id"), F.col("global_id").alias("new_id"))
+
+
+def merge_by_pass(merges: DataFrame) -> DataFrame:
+    """(source, target): the ends of merge events in the order of their frames.
+
+    An event merges what its two ids have become by then into the smaller.  That is the
+    smallest id of the component of all events, so the order plays no part in the end.
+    merges: source, target.
+    """
+    c = components(merges.select(F.col("source").alias("a"), F.col("target").alias("b")))
+    return c.where("node <> component").select(F.col("node").alias("source"), F.col("component").alias("target"))

@@ -14,52 +14,122 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, closeness, dot, iou
-from .identity import assign, components
+from .identity import _kept, assign, components
+from .pairs import _alike, similar
 
 
-def pair_distances(points: DataFrame, key: str, least: int) -> DataFrame:
+def _of(by: tuple[str, ...], side: str = "a") -> list:
+    return [F.col(f"{side}.{k}").alias(k) for k in by]
+
+
+def _medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
+    """(keys, shared, middle): count and exact median of each group by a sort, which may spill."""
+    w = Window.partitionBy(*keys)
+    r = rows.withColumn("_r", F.row_number().over(w.orderBy(value))).withColumn("_n", F.count("*").over(w))
+    middle = (F.col("_r") >= F.floor((F.col("_n") + 1) / 2)) & (F.col("_r") <= F.floor(F.col("_n") / 2) + 1)
+    return r.where(middle).groupBy(*keys).agg(F.max("_n").alias("shared"), F.avg(value).alias("middle"))
+
+
+def pair_distances(points: DataFrame, key: str, least: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Median distance of two keys in the frames that two cameras share, ``least`` frames at least.
 
-    Distances count in whole units, so a pair's values are bounded by the floor's size.
-    points: key, cam_id, frame_no, x, y.
+    points: key, cam_id, frame_no, x, y; ``by`` names the columns (scene, run) that both sides
+    have to share.
     """
     a, b = points.alias("a"), points.alias("b")
-    j = a.join(b, (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.cam_id") != F.col("b.cam_id")))
-    d = F.floor(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")))
-    n = j.groupBy(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), d.alias("d")).agg(F.count("*").alias("n"))
-    g = n.groupBy("a", "b").agg(F.sum("n").alias("shared"), F.percentile("d", 0.5, F.col("n")).alias("distance"))
-    return g.where(F.col("shared") >= least)
+    j = a.join(b, _alike(by) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col(f"a.{key}") < F.col(f"b.{key}")) & (F.col("a.cam_id") != F.col("b.cam_id")))
+    d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
+    rows = j.select(*_of(by), F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), d.alias("d"))
+    return _medians(rows, "d", *by, "a", "b").where(F.col("shared") >= least).withColumnRenamed("middle", "distance")
 
 
 def pair_scores(distances: DataFrame, close: float, far: float) -> DataFrame:
-    return distances.select("a", "b", "shared", closeness(F.col("distance"), close, far).alias("score"))
+    by = [c for c in distances.columns if c not in ("a", "b", "shared", "distance")]
+    return distances.select(*by, "a", "b", "shared", closeness(F.col("distance"), close, far).alias("score"))
 
 
-def candidate_pairs(scores: DataFrame, threshold: float, margin: float, k: int) -> DataFrame:
+def candidate_pairs(scores: DataFrame, threshold: float, margin: float, k: int, by: tuple[str, ...] = ()) -> DataFrame:
     """The up to ``k`` best partners of each id from ``threshold`` on: that cap is the operator's feature.
 
     An id whose second best passes too, and is less than ``margin`` behind the best,
     proposes none.  Pairs keep the larger score of both sides.  scores: a, b, score.
     """
-    s = scores.select("a", "b", "score")
-    both = s.unionByName(s.select(F.col("b").alias("a"), F.col("a").alias("b"), "score")).where(F.col("score") >= threshold)
-    w = Window.partitionBy("a").orderBy(F.desc("score"), "b")
+    s = scores.select(*by, "a", "b", "score")
+    both = s.unionByName(s.select(*by, F.col("b").alias("a"), F.col("a").alias("b"), "score")).where(F.col("score") >= threshold)
+    w = Window.partitionBy(*by, "a").orderBy(F.desc("score"), "b")
     r = both.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(k, 2))
-    ends = r.groupBy("a").agg(F.max("score").alias("best"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
-    sure = ends.where(F.col("second").isNull() | (F.col("best") >= F.col("second") + margin)).select("a")
-    r = r.where(F.col("rank") <= k).join(sure, "a", "left_semi")
-    return r.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+    ends = r.groupBy(*by, "a").agg(F.max("score").alias("best"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second"))
+    sure = ends.where(F.col("second").isNull() | (F.col("best") >= F.col("second") + margin)).select(*by, "a")
+    r = r.where(F.col("rank") <= k).join(sure, [*by, "a"], "left_semi")
+    return r.groupBy(*by, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("score").alias("score"))
+
 
+def blended_pairs(vectors: DataFrame, geometry: DataFrame, conflicts: DataFrame, weight: float, threshold: float, margin: float, k: int, by: tuple[str, ...] = ("scene",)) -> DataFrame:
+    """Candidate pairs by cosine blended with a score of their places: (by, a, b, score).
 
-def geo_merge(points: DataFrame, near: float, least: int, share: float) -> DataFrame:
+    A pair scores (1 - weight) * cosine + weight * geometry (0 where none is known); two ids
+    that conflict in time keep their cosine.  Pairs with a geometry score or a conflict are
+    few and get their cosine by a join; all others need a cosine of threshold / (1 - weight),
+    and come from products of blocks.  Then as in ``candidate_pairs``.
+    vectors: by, id, v (unit); geometry: by, a, b, score; conflicts: by, a, b.
+    """
+    keys = [*by, "a", "b"]
+    known = geometry.select(*keys, F.col("score").alias("geo")).join(conflicts.select(*keys, F.lit(True).alias("apart")).distinct(), keys, "full")
+    va = vectors.select(*by, F.col("id").alias("a"), F.col("v").alias("v_a"))
+    vb = vectors.select(*by, F.col("id").alias("b"), F.col("v").alias("v_b"))
+    known = known.join(va, [*by, "a"]).join(vb, [*by, "b"]).withColumn("cos", dot(F.col("v_a"), F.col("v_b"))).drop("v_a", "v_b")
+    few = known.select(*keys, F.when(F.coalesce("apart", F.lit(False)), F.col("cos")).otherwise((1 - weight) * F.col("cos") + weight * F.coalesce("geo", F.lit(0.0))).alias("score"))
+    rest = similar(vectors, threshold / (1 - weight) if weight < 1 else float("inf"), by[0]).join(known.select(*keys), keys, "left_anti")
+    return candidate_pairs(few.unionByName(rest.select(*keys, ((1 - weight) * F.col("score")).alias("score"))), threshold, margin, k, by)
+
+
+def trajectory_scores(pairs: DataFrame, path: DataFrame, least: int, n: int = 8, gap: int = 125, close: float = 300.0, far: float = 2000.0, weight: float = 0.85, by: tuple[str, ...] = ()) -> DataFrame:
+    """``pairs`` (by, a, b) with a score of their paths (by, id, frame_no, x, y: one place a frame).
+
+    Seen together in ``least`` frames: the median closeness, times 0.5 to 1 by how far their
+    last velocities agree (1 if one hardly moves).  Else, if one ends before the other begins
+    within ``gap`` frames: the closeness of its prediction to the other's first place, times
+    ``weight``.  Else 0.
+    """
+    w = Window.partitionBy(*by, "id")
+    here = F.struct("x", "y")
+    last = path.withColumn("r", F.row_number().over(w.orderBy(F.desc("frame_no"))))
+    tail = F.when(F.col("r") <= n, F.col("frame_no"))
+    e = last.groupBy(*by, "id").agg(F.count("*").alias("n"), F.min("frame_no").alias("enters"), F.max("frame_no").alias("leaves"), F.min_by(here, "frame_no").alias("first"), F.max_by(here, "frame_no").alias("end"), F.min_by(here, tail).alias("p0"), F.min(tail).alias("f0"))
+    speed = lambda c: F.when(F.col("leaves") > F.col("f0"), (F.col(f"end.{c}") - F.col(f"p0.{c}")) / (F.col("leaves") - F.col("f0"))).otherwise(0.0)
+    e = e.where("n >= 2").select(*by, "id", "enters", "leaves", "first", "end", speed("x").alias("vx"), speed("y").alias("vy"))
+    side = lambda s: e.select(*by, F.col("id").alias(s), F.struct("enters", "leaves", "first", "end", "vx", "vy").alias(f"e_{s}"))
+    keys = [*by, "a", "b"]
+    p = pairs.select(*keys)
+    at = lambda s: path.select(*by, F.col("id").alias(s), "frame_no", F.col("x").alias(f"x_{s}"), F.col("y").alias(f"y_{s}"))
+    co = p.join(at("a"), [*by, "a"]).join(at("b"), [*by, "b", "frame_no"])
+    co = co.select(*keys, closeness(F.hypot(F.col("x_a") - F.col("x_b"), F.col("y_a") - F.col("y_b")), close, far).alias("s"))
+    co = _medians(co, "s", *keys).where(F.col("shared") >= least)
+    j = p.join(side("a"), [*by, "a"], "left").join(side("b"), [*by, "b"], "left").join(co, keys, "left")
+    v = lambda s: F.hypot(F.col(f"e_{s}.vx"), F.col(f"e_{s}.vy"))
+    turn = (F.col("e_a.vx") * F.col("e_b.vx") + F.col("e_a.vy") * F.col("e_b.vy")) / (v("a") * v("b"))
+    factor = F.when((v("a") > 1e-3) & (v("b") > 1e-3), 0.5 + 0.5 * F.greatest(F.lit(0.0), turn)).otherwise(1.0)
+
+    def hand(x: str, y: str):
+        step = F.col(f"e_{y}.enters") - F.col(f"e_{x}.leaves")
+        miss = F.hypot(*(F.col(f"e_{x}.end.{c}") + F.col(f"e_{x}.v{c}") * step - F.col(f"e_{y}.first.{c}") for c in "xy"))
+        return F.when(step.between(0, gap), closeness(miss, close, far) * weight).when(step >= 0, 0.0)
+
+    score = F.when(F.col("e_a").isNull() | F.col("e_b").isNull(), 0.0).when(F.col("middle").isNotNull(), F.col("middle") * factor).otherwise(F.coalesce(hand("a", "b"), hand("b", "a"), F.lit(0.0)))
+    return j.select(*keys, score.alias("score"))
+
+
+def geo_merge(points: DataFrame, near: float, least: int, share: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(node, component) of persons often seen together by different cameras, never twice by one.
 
+    Ids are unique over all scenes; with ``by`` only persons of one scene meet.
+
     A pair links if at least ``share`` of at least ``least`` common frames have them within
     ``near``; two persons that one camera shows in one frame don't link directly.
     points: global_id, cam_id, frame_no, x, y.
     """
     a, b = points.alias("a"), points.alias("b")
-    j = a.join(b, (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.global_id") < F.col("b.global_id")))
+    j = a.join(b, _alike(by) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.global_id") < F.col("b.global_id")))
     d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
     f = j.groupBy(F.col("a.global_id").alias("a"), F.col("b.global_id").alias("b"), F.col("a.frame_no").alias("frame_no")).agg(F.min(d).alias("d"), F.max(F.col("a.cam_id") == F.col("b.cam_id")).alias("same"))
     g = f.groupBy("a", "b").agg(F.count("*").alias("shared"), F.sum((F.col("d") < near).cast("long")).alias("close"), F.max("same").alias("same"))
@@ -67,18 +137,18 @@ def geo_merge(points: DataFrame, near: float, least: int, share: float) -> DataF
     return components(links.select("a", "b"), points.select(F.col("global_id").alias("node")).distinct())
 
 
-def tracklet_links(points: DataFrame, near: float, least: int, gap: int, reach: float) -> DataFrame:
+def tracklet_links(points: DataFrame, near: float, least: int, gap: int, reach: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Edges between tracklets: seen at one place at once (median), or one begins where another has just ended.
 
     points: tracklet_id, cam_id, frame_no, x, y.
     """
-    spatial = pair_distances(points, "tracklet_id", least).where(F.col("distance") <= near).select("a", "b")
+    spatial = pair_distances(points, "tracklet_id", least, by).where(F.col("distance") <= near).select("a", "b")
     here = F.struct("x", "y")
-    t = points.groupBy("tracklet_id").agg(F.min("frame_no").alias("enters"), F.max("frame_no").alias("leaves"), F.min_by(here, "frame_no").alias("first"), F.max_by(here, "frame_no").alias("last"))
+    t = points.groupBy(*by, "tracklet_id").agg(F.min("frame_no").alias("enters"), F.max("frame_no").alias("leaves"), F.min_by(here, "frame_no").alias("first"), F.max_by(here, "frame_no").alias("last"))
     # A range join by buckets of the gap: an end meets the beginnings of its own bucket and the next.
-    a = t.select(F.col("tracklet_id").alias("a"), "leaves", "last", F.floor(F.col("leaves") / gap).alias("b0")).withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
-    b = t.select(F.col("tracklet_id").alias("b"), "enters", "first", F.floor(F.col("enters") / gap).alias("bucket"))
-    j = a.join(b, "bucket").where((F.col("enters") > F.col("leaves")) & (F.col("enters") - F.col("leaves") <= gap))
+    a = t.select(*by, F.col("tracklet_id").alias("a"), "leaves", "last", F.floor(F.col("leaves") / gap).alias("b0")).withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
+    b = t.select(*by, F.col("tracklet_id").alias("b"), "enters", "first", F.floor(F.col("enters") / gap).alias("bucket"))
+    j = a.join(b, [*by, "bucket"]).where((F.col("enters") > F.col("leaves")) & (F.col("enters") - F.col("leaves") <= gap))
     j = j.where(F.hypot(F.col("first.x") - F.col("last.x"), F.col("first.y") - F.col("last.y")) <= reach)
     return spatial.unionByName(j.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct()
 
@@ -93,9 +163,10 @@ def geo_split(points: DataFrame, near: float, far: float) -> DataFrame:
     """
     a, b = points.alias("a"), points.alias("b")
     j = a.join(b, (F.col("a.global_id") == F.col("b.global_id")) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.tracklet_id") < F.col("b.tracklet_id")))
-    d = F.floor(F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")))
-    n = j.groupBy(F.col("a.global_id").alias("global_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"), d.alias("d")).agg(F.count("*").alias("n"), F.max(F.col("a.cam_id") == F.col("b.cam_id")).alias("same"))
-    g = n.groupBy("global_id", "a", "b").agg(F.percentile("d", 0.5, F.col("n")).alias("distance"), F.max("same").alias("same"))
+    d = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y"))
+    n = j.select(F.col("a.global_id").alias("global_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"), d.alias("d"), (F.col("a.cam_id") == F.col("b.cam_id")).alias("same"))
+    keys = ["global_id", "a", "b"]
+    g = _medians(n, "d", *keys).withColumnRenamed("middle", "distance").join(n.groupBy(*keys).agg(F.max("same").alias("same")), keys)
     split = g.where(F.col("same") | (F.col("distance") > far)).select("global_id").distinct()
     links = g.where(~F.col("same") & (F.col("distance") <= near)).join(split, "global_id", "left_semi").select("a", "b")
     t = points.select("tracklet_id", "global_id").distinct()
@@ -104,24 +175,24 @@ def geo_split(points: DataFrame, near: float, far: float) -> DataFrame:
     return t.join(first, "global_id").join(loose, "tracklet_id", "left").select("tracklet_id", "global_id", F.coalesce("component", "whole").alias("part"))
 
 
-def handoff_scores(points: DataFrame, n: int, gap: int, close: float, far: float, weight: float = 0.85) -> DataFrame:
+def handoff_scores(points: DataFrame, n: int, gap: int, close: float, far: float, weight: float = 0.85, by: tuple[str, ...] = ()) -> DataFrame:
     """(a, b, gap, score): how well tracklet b begins where a, which has just ended, was heading.
 
     The velocity over the last ``n`` points of a is carried on over the gap.
     points: tracklet_id, frame_no, x, y, one row for each tracklet and frame.
     """
-    w = Window.partitionBy("tracklet_id").orderBy(F.desc("frame_no"))
+    w = Window.partitionBy(*by, "tracklet_id").orderBy(F.desc("frame_no"))
     here = F.struct("x", "y")
-    last = points.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy("tracklet_id")
+    last = points.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).groupBy(*by, "tracklet_id")
     last = last.agg(F.min("frame_no").alias("f0"), F.max("frame_no").alias("leaves"), F.min_by(here, "frame_no").alias("p0"), F.max_by(here, "frame_no").alias("p1"))
     speed = lambda c: F.when(F.col("leaves") > F.col("f0"), (F.col(f"p1.{c}") - F.col(f"p0.{c}")) / (F.col("leaves") - F.col("f0"))).otherwise(0.0)
-    a = last.select(F.col("tracklet_id").alias("a"), "leaves", "p1", speed("x").alias("vx"), speed("y").alias("vy"), F.floor(F.col("leaves") / gap).alias("b0"))
+    a = last.select(*by, F.col("tracklet_id").alias("a"), "leaves", "p1", speed("x").alias("vx"), speed("y").alias("vy"), F.floor(F.col("leaves") / gap).alias("b0"))
     a = a.withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
-    b = points.groupBy(F.col("tracklet_id").alias("b")).agg(F.min("frame_no").alias("enters"), F.min_by(here, "frame_no").alias("q")).withColumn("bucket", F.floor(F.col("enters") / gap))
+    b = points.groupBy(*by, F.col("tracklet_id").alias("b")).agg(F.min("frame_no").alias("enters"), F.min_by(here, "frame_no").alias("q")).withColumn("bucket", F.floor(F.col("enters") / gap))
     step = F.col("enters") - F.col("leaves")
-    j = a.join(b, "bucket").where((step > 0) & (step <= gap))
+    j = a.join(b, [*by, "bucket"]).where((step > 0) & (step <= gap))
     miss = F.hypot(F.col("p1.x") + F.col("vx") * step - F.col("q.x"), F.col("p1.y") + F.col("vy") * step - F.col("q.y"))
-    return j.select("a", "b", step.alias("gap"), (closeness(miss, close, far) * weight).alias("score"))
+    return j.select(*by, "a", "b", step.alias("gap"), (closeness(miss, close, far) * weight).alias("score"))
 
 
 def compress_remap(remap: DataFrame, most: int = 64) -> DataFrame:
@@ -130,8 +201,7 @@ def compress_remap(remap: DataFrame, most: int = 64) -> DataFrame:
     Of several targets of one source the smallest holds.  A cycle has no end; its ids keep
     the target that ``most`` doublings reach.
     """
-    spark = remap.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.conf.get("spark.checkpoint.dir", None) else (lambda d: d.persist())
+    keep = _kept
     m = keep(remap.groupBy("source").agg(F.min("target").alias("target")))
     for _ in range(most.bit_length()):
         onward = m.select(F.col("source").alias("target"), F.col("target").alias("end"))
@@ -142,7 +212,7 @@ def compress_remap(remap: DataFrame, most: int = 64) -> DataFrame:
     return m
 
 
-def cluster_frames(points: DataFrame, radius: float) -> DataFrame:
+def cluster_frames(points: DataFrame, radius: float, by: tuple[str, ...] = ()) -> DataFrame:
     """(det_id, instance): boxes of one frame that are one person, at most one of each camera.
 
     Boxes come in the order of their ids, and each joins the nearest centroid within
@@ -165,7 +235,7 @@ def cluster_frames(points: DataFrame, radius: float) -> DataFrame:
             out.append((det, found[k][0]))
         return pd.DataFrame(out, columns=["det_id", "instance"])
 
-    return points.where("x is not null and y is not null").groupBy("frame_no").applyInPandas(kernel, "det_id long, instance long")
+    return points.where("x is not null and y is not null").groupBy(*by, "frame_no").applyInPandas(kernel, "det_id long, instance long")
 
 
 def dedup_boxes(det: DataFrame, most: float = 0.6) -> DataFrame:
@@ -241,24 +311,45 @@ def constrained_clusters(edges: DataFrame, apart: DataFrame, least: float, mean:
 
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:
-    """Labels 0 .. k - 1 (in order of first rows) by merging the two clusters that add least variance."""
+    """Labels 0 .. k - 1 (in order of first rows) by merging the two clusters that add least variance.
+
+    By chains of nearest neighbours: a chain of clusters, each the nearest of the one before,
+    ends in two that are each other's nearest; those merge.  Then the k - 1 dearest of all
+    merges are undone, which is what merging the cheapest first would have left.
+    """
     n = len(x)
-    centre, size, label = x.astype(float), np.ones(n), np.arange(n)
-    gap = lambda i: np.where(np.isinf(alive), np.inf, size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1))
-    alive = np.zeros(n)
-    cost = np.full((n, n), np.inf)
-    for i in range(n):
-        cost[i, i + 1 :] = gap(i)[i + 1 :]
-    for _ in range(n - max(k, 1)):
-        i, j = divmod(int(cost.argmin()), n)
-        centre[i] = (size[i] * centre[i] + size[j] * centre[j]) / (size[i] + size[j])
-        size[i] += size[j]
-        alive[j] = np.inf
-        label[label == j] = i
-        cost[j], cost[:, j] = np.inf, np.inf
-        row = gap(i)
-        cost[i, i + 1 :], cost[:i, i] = row[i + 1 :], row[:i]
-    return np.unique(label, return_inverse=True)[1]
+    centre, size, alive = x.astype(float), np.ones(n), np.ones(n, bool)
+    merges: list[tuple[float, int, int]] = []
+    chain: list[int] = []
+    while len(merges) < n - 1:
+        if not chain:
+            chain.append(int(alive.argmax()))
+        i = chain[-1]
+        cost = np.where(alive, size[i] * size / (size[i] + size) * ((centre - centre[i]) ** 2).sum(1), np.inf)
+        cost[i] = np.inf
+        j = int(cost.argmin())
+        if len(chain) > 1 and cost[chain[-2]] <= cost[j]:
+            j = chain[-2]
+            del chain[-2:]
+            merges.append((float(cost[j]), i, j))
+            a, b = min(i, j), max(i, j)
+            centre[a] = (size[a] * centre[a] + size[b] * centre[b]) / (size[a] + size[b])
+            size[a] += size[b]
+            alive[b] = False
+        else:
+            chain.append(j)
+    root = np.arange(n)
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for _, i, j in sorted(merges, key=lambda m: m[0])[: n - max(k, 1)]:
+        a, b = sorted((find(i), find(j)))
+        root[b] = a
+    return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
 def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int = 64) -> DataFrame:
@@ -281,11 +372,13 @@ def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int =
         held = [v[picked][label == c] for c in range(label.max() + 1)]
         held = [b[np.linspace(0, len(b) - 1, min(bank, len(b))).astype(int)].mean(0) for b in held]
         cost = 1 - v @ np.stack(held).T
-        pdf = pdf.assign(row=np.arange(len(pdf)), cluster=cost.argmin(1))
-        for _, g in pdf.groupby(["frame_no", "cam_id"]):
-            for r, c in assign(cost[g.row]):
-                pdf.iloc[g.row.iloc[r], pdf.columns.get_loc("cluster")] = c
-        return pd.DataFrame({"group": key[0], "window": key[1], "det_id": pdf.det_id, "cluster": pdf.cluster})
+        cluster = cost.argmin(1)
+        place = pdf[["frame_no", "cam_id"]].to_numpy()
+        cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+            for r, c in assign(cost[lo:hi]):
+                cluster[lo + r] = c
+        return pd.DataFrame({"group": key[0], "window": key[1], "det_id": pdf.det_id, "cluster": cluster})
 
     d = det.where("v is not null").withColumn("window", F.floor(F.col("frame_no") / window))
     return d.groupBy("group", "window").applyInPandas(kernel, "group long, window long, det_id long, cluster long")
@@ -348,3 +441,237 @@ def retrieval(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     r = j.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum("match").over(w))
     g = r.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("match"))).alias("hit"), F.avg(F.when(F.col("match") == 1, F.col("hits") / F.col("rank"))).alias("ap"))
     return g.where("ap is not null")
+
+
+def cosine_merge(vectors: DataFrame, far: float, least: int, scene: str = "scene") -> DataFrame:
+    """(scene, global_id, label): ids whose mean vectors cluster within a cosine distance of ``far`` (average linkage).
+
+    Ids with fewer than ``least`` boxes go to the cluster of the nearest id that has enough.
+    Labels count from 1 in the order of each cluster's smallest id.  A scene is a group, of
+    one row for each id.  vectors: scene, global_id, v (unit), n.
+    """
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("global_id").reset_index(drop=True)
+        v, n = np.stack(pdf.v.to_list()).astype(float), pdf.n.to_numpy()
+        base = np.clip(1 - v @ v.T, 0, 2)
+        np.fill_diagonal(base, np.inf)
+        d, label, weight = base.copy(), np.arange(len(v)), np.ones(len(v))
+        near = d.argmin(1) if len(v) > 1 else np.zeros(len(v), int)
+        alive = np.ones(len(v), bool)
+        while alive.sum() > 1:
+            i = int(np.where(alive, d[np.arange(len(v)), near], np.inf).argmin())
+            j = int(near[i])
+            if d[i, j] > far:
+                break
+            i, j = min(i, j), max(i, j)
+            row = (weight[i] * d[i] + weight[j] * d[j]) / (weight[i] + weight[j])
+            row[[i, j]] = np.inf
+            d[i], d[:, i], d[j], d[:, j] = row, row, np.inf, np.inf
+            weight[i] += weight[j]
+            alive[j] = False
+            label[label == label[j]] = label[i]
+            stale = np.flatnonzero(alive & ((near == i) | (near == j)))
+            near[stale] = d[stale].argmin(1)
+            near[i] = d[i].argmin()
+            better = alive & (d[:, i] < d[np.arange(len(v)), near])
+            near[better] = i
+        enough = np.flatnonzero(n >= least)
+        out = label.copy()
+        for i in np.flatnonzero(n < least):
+            if len(enough):
+                out[i] = label[enough[base[i, enough].argmin()]]
+        return pd.DataFrame({scene: key[0], "global_id": pdf.global_id, "label": pd.factorize(out)[0] + 1})
+
+    return vectors.groupBy(scene).applyInPandas(kernel, f"{scene} long, global_id long, label long")
+
+
+def velocity_tracks(instances: DataFrame, gate: float, relink_gate: float, relink_gap: int, age: int, relink_cosine: float = 0.0, decay: float = 0.5) -> DataFrame:
+    """(scene, frame_no, instance, global_id): persons on the floor followed at constant velocity.
+
+    A frame's instances are assigned one to one to the tracks of the last ``age`` frames by
+    the distance to where each would be by now.  Within ``gate`` they go on; after a gap of
+    more than ``relink_gap`` frames within ``relink_gate``, and if their vectors agree.
+    Frames depend on those before: a scene streams through one task in order, and only its
+    live tracks are held.  instances: scene, frame_no, instance, x, y, v (unit vector or null).
+    """
+
+    def frame(state: dict, at: int, rows: pd.DataFrame) -> list[tuple]:
+        state["tracks"] = live = [t for t in state["tracks"] if at - t["seen"] <= age]
+        p = rows[["x", "y"]].to_numpy(float)
+        taken: dict[int, dict] = {}
+        if live and len(p):
+            ahead = np.array([t["at"] + t["v"] * (at - t["seen"]) for t in live])
+            cost = np.hypot(*(p[:, None] - ahead[None]).transpose(2, 0, 1))
+            for r, c in assign(cost):
+                t, late = live[c], at - live[c]["seen"] > relink_gap
+                if cost[r, c] > (relink_gate if late else gate):
+                    continue
+                x = rows.v.iloc[r]
+                if late and relink_cosine > 0 and x is not None and t["sum"] is not None and float(np.dot(t["sum"], x)) < relink_cosine * np.linalg.norm(t["sum"]):
+                    continue
+                gap = at - t["seen"]
+                if gap:
+                    t["v"] = decay * t["v"] + (1 - decay) * (p[r] - t["at"]) / gap
+                t["at"], t["seen"], taken[r] = p[r], at, t
+                if x is not None:
+                    t["sum"] = np.asarray(x, float) + (0 if t["sum"] is None else t["sum"])
+        out = []
+        for r in range(len(rows)):
+            if r not in taken:
+                x = rows.v.iloc[r]
+                taken[r] = {"at": p[r], "v": np.zeros(2), "seen": at, "id": state["next"], "sum": None if x is None else np.asarray(x, float)}
+                state["next"] += 1
+                live.append(taken[r])
+            out.append((at, rows.instance.iloc[r], taken[r]["id"]))
+        return out
+
+    def run(batches):
+        scene, state, rest = None, {}, None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            whole = (batch.scene != batch.scene.iloc[-1]) | (batch.frame_no != batch.frame_no.iloc[-1])
+            rest, done = batch[~whole], batch[whole]
+            out = []
+            for (s, at), rows in done.groupby(["scene", "frame_no"], sort=False):
+                if s != scene:
+                    scene, state = s, {"tracks": [], "next": 1}
+                out += [(s, *x) for x in frame(state, at, rows)]
+            yield pd.DataFrame(out, columns=names)
+        if rest is not None and len(rest):
+            if rest.scene.iloc[0] != scene:
+                state = {"tracks": [], "next": 1}
+            yield pd.DataFrame([(rest.scene.iloc[0], *x) for x in frame(state, rest.frame_no.iloc[0], rest)], columns=names)
+
+    names = ["scene", "frame_no", "instance", "global_id"]
+    rows = instances.select("scene", "frame_no", "instance", "x", "y", "v").repartition("scene").sortWithinPartitions("scene", "frame_no", "instance")
+    return rows.mapInPandas(run, "scene long, frame_no long, instance long, global_id long")
+
+
+def sweep(grid: DataFrame, scenes: DataFrame, score, schema: str, value: str) -> DataFrame:
+    """Scores of every parameter set on every scene, best mean first.
+
+    grid: setting (long) and the parameters, a handful of rows; scenes: scene and its rows;
+    ``score`` takes (parameters, rows of a scene) and gives one row of ``schema``, of which
+    ``value`` ranks.  Each (setting, scene) is a group.
+    """
+    names = [c for c in grid.columns if c != "setting"]
+
+    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = score({n: pdf[n].iloc[0] for n in names}, pdf.drop(columns=["setting", *names]))
+        return pd.DataFrame([{"setting": key[0], "scene": key[1]} | out])
+
+    each = scenes.join(F.broadcast(grid)).groupBy("setting", "scene").applyInPandas(run, f"setting long, scene long, {schema}")
+    mean = each.groupBy("setting").agg(F.avg(value).alias("mean"), F.count("*").alias("scenes"))
+    return mean.join(F.broadcast(grid), "setting").orderBy(F.desc("mean"), "setting")
+
+
+def fusion_records(exported: DataFrame, live: DataFrame) -> DataFrame:
+    """Tracklet records for fusion: the exporter's, and the gallery's of tracks that it has none of."""
+    keys = ["scene", "cam_id", "local_track_id"]
+    return exported.unionByName(live.join(exported.select(*keys).distinct(), keys, "left_anti"))
+
+
+def sampled_points(points: DataFrame, step: int) -> DataFrame:
+    """Mean place of each person in every ``step``-th frame. points: scene, global_id, frame_no, x, y."""
+    p = points.where(F.col("frame_no") % step == 0)
+    return p.groupBy("scene", "global_id", "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.count("*").alias("n"))
+
+
+def windowed_merges(tracklets: DataFrame, window: int, delay: int, threshold: float, margin: float, k: int, tolerance: int = 0, least_dets: int = 6, least_vectors: int = 1) -> DataFrame:
+    """Merge events as windows close: (scene, event_frame, window_end, source, target, score).
+
+    At each window's end persons are summed up from the tracklets that have ended, candidate
+    pairs (cosine, margin, ``k`` each) merge greedily unless two of one camera overlap in
+    time, and merges that are new become events, ``delay`` frames later.  What a merge does
+    depends on those before, so a scene's tracklets are one group; its boxes are not.
+    tracklets: scene, cam_id, global_id, start_frame, end_frame, num_detections, v (unit), n.
+    """
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf[(pdf.num_detections >= least_dets) & pdf.v.notna()].sort_values("end_frame", kind="stable")
+        total: dict[int, np.ndarray] = {}
+        count: dict[int, int] = {}
+        spans: dict[int, list[tuple[int, int, int]]] = {}
+        gone: dict[int, int] = {}
+        seen: set[tuple[int, int]] = set()
+        events, at = [], 0
+        last = int(pdf.end_frame.max()) if len(pdf) else 0
+        rows = list(pdf[["cam_id", "global_id", "start_frame", "end_frame", "v", "n"]].itertuples(index=False, name=None))
+        conflict = lambda a, b: any(x[0] == y[0] and max(x[1], y[1]) <= min(x[2], y[2]) + tolerance for x in spans[a] for y in spans[b])
+
+        def end_of(g: int) -> int:
+            while g in gone:
+                g = gone[g]
+            return g
+
+        for end in range(window, last + window, window):
+            end = min(end, last)
+            fresh = False
+            while at < len(rows) and rows[at][3] <= end:
+                cam, g, a, b, v, n = rows[at]
+                total[g] = total.get(g, 0) + np.asarray(v, float) * n
+                count[g] = count.get(g, 0) + n
+                spans.setdefault(g, []).append((cam, a, b))
+                at, fresh = at + 1, True
+            ids = sorted(g for g in total if count[g] >= least_vectors and np.linalg.norm(total[g]) > 0)
+            if not fresh or len(ids) < 2:
+                continue
+            m = np.stack([total[g] / np.linalg.norm(total[g]) for g in ids])
+            s = m @ m.T
+            np.fill_diagonal(s, -1)
+            pairs: dict[tuple[int, int], float] = {}
+            for i, g in enumerate(ids):
+                order = np.argsort(-s[i], kind="stable")[: max(2, k + 1)]
+                top = [j for j in order if s[i, j] >= threshold]
+                if top and not (len(top) > 1 and s[i, top[0]] < s[i, top[1]] + margin):
+                    for j in top[:k]:
+                        p = tuple(sorted((g, ids[j])))
+                        pairs[p] = max(pairs.get(p, -1), float(s[i, j]))
+            root, members = {g: g for g in ids}, {g: [g] for g in ids}
+            for (a, b), score in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
+                a, b = sorted((root[a], root[b]))
+                if a == b or any(conflict(x, y) for x in members[a] for y in members[b]):
+                    continue
+                for x in members[b]:
+                    root[x] = a
+                members[a] += members.pop(b)
+                lo, hi = sorted((end_of(a), end_of(b)))
+                if lo != hi and (hi, lo) not in seen:
+                    seen.add((hi, lo))
+                    gone[hi] = lo
+                    events.append((key[0], end + delay, end, hi, lo, round(score, 6)))
+        return pd.DataFrame(events, columns=["scene", "event_frame", "window_end", "source", "target", "score"])
+
+    return tracklets.groupBy("scene").applyInPandas(kernel, "scene long, event_frame long, window_end long, source long, target long, score double")
+
+
+def replayed(det: DataFrame, events: DataFrame) -> DataFrame:
+    """(det_id, global_id) under the merges that had happened by each box's frame (ids of a scene are its own).
+
+    Events before a box's frame are followed to their end.  Chains are short: each event
+    gives its ids' final target at its frame by the time-ordered map of its scene, a group.
+    det: scene, det_id, frame_no, global_id; events: scene, event_frame, source, target.
+    """
+
+    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        now: dict[int, int] = {}
+        out = []
+        for at, s, t in pdf.sort_values(["event_frame", "source"])[["event_frame", "source", "target"]].itertuples(index=False):
+            while t in now:
+                t = now[t]
+            moved = [x for x, y in now.items() if y == s] + [s]
+            for x in moved:
+                now[x] = t
+                out.append((key[0], x, at, t))
+        return pd.DataFrame(out, columns=["scene", "global_id", "frame_no", "target"])
+
+    known = events.groupBy("scene").applyInPandas(kernel, "scene long, global_id long, frame_no long, target long")
+    none = F.lit(None).cast("long")
+    b = det.select("scene", "global_id", "frame_no", "det_id", none.alias("target"), F.lit(1).alias("side"))
+    both = b.unionByName(known.select("scene", "global_id", "frame_no", none.alias("det_id"), "target", F.lit(0).alias("side")))
+    w = Window.partitionBy("scene", "global_id").orderBy("frame_no", "side").rowsBetween(Window.unboundedPreceding, 0)
+    both = both.withColumn("last", F.last("target", ignorenulls=True).over(w)).where("side = 1")
+    return both.select("det_id", F.coalesce("last", "global_id").alias("global_id"))

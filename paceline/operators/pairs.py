@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, dot, iou
+from ..functions.geometry import box, iou
 
 
 def box_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0) -> DataFrame:
@@ -14,44 +16,113 @@ def box_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0) -> DataFrame:
     return j.where(F.col("iou") > least).select("cam_id", "frame_no", F.col("g.person_id").alias("person_id"), F.col("p.global_id").alias("global_id"), F.col("g.det_id").alias("gt_id"), F.col("p.det_id").alias("det_id"), "iou")
 
 
-def interval_conflicts(t: DataFrame, tolerance: int = 0, bucket: int = 86_400) -> DataFrame:
+def _alike(by: tuple[str, ...]):
+    """Equality of the keys (scene, run) that both sides have to share."""
+    same = F.lit(True)
+    for k in by:
+        same = same & (F.col(f"a.{k}") == F.col(f"b.{k}"))
+    return same
+
+
+def interval_conflicts(t: DataFrame, tolerance: int = 0, bucket: int = 86_400, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of one camera's tracklets of two persons that overlap in time.
 
     A range join by buckets of time: each interval is listed in the buckets that it
     touches, and a pair counts in the bucket where its overlap begins.
     """
     at = F.explode(F.sequence(F.floor(F.col("start_frame") / bucket), F.floor((F.col("end_frame") + tolerance) / bucket))).alias("b")
-    s = t.select("cam_id", "tracklet_id", "global_id", "start_frame", "end_frame", at)
+    s = t.select(*by, "cam_id", "tracklet_id", "global_id", "start_frame", "end_frame", at)
     a, b = s.alias("a"), s.alias("b")
     begin = F.greatest("a.start_frame", "b.start_frame")
-    j = a.join(b, (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.tracklet_id") < F.col("b.tracklet_id")) & (F.col("a.global_id") != F.col("b.global_id")))
+    j = a.join(b, _alike(by) & (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.tracklet_id") < F.col("b.tracklet_id")) & (F.col("a.global_id") != F.col("b.global_id")))
     j = j.where((begin <= F.least("a.end_frame", "b.end_frame") + tolerance) & (F.floor(begin / bucket) == F.col("a.b")))
-    return j.select(F.col("a.cam_id").alias("cam_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"))
+    return j.select(*[F.col(f"a.{k}").alias(k) for k in by], F.col("a.cam_id").alias("cam_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"))
 
 
-def handoffs(t: DataFrame, gap: int) -> DataFrame:
+def handoffs(t: DataFrame, gap: int, by: tuple[str, ...] = ()) -> DataFrame:
     """Tracklets of another camera that begin within ``gap`` after one ends (range join, buckets of ``gap``)."""
-    a = t.select(F.col("tracklet_id").alias("a"), F.col("cam_id").alias("cam_a"), F.col("end_frame").alias("leaves")).withColumn("b0", F.floor(F.col("leaves") / gap))
+    a = t.select(*by, F.col("tracklet_id").alias("a"), F.col("cam_id").alias("cam_a"), F.col("end_frame").alias("leaves")).withColumn("b0", F.floor(F.col("leaves") / gap))
     a = a.withColumn("bucket", F.explode(F.array(F.col("b0"), F.col("b0") + 1)))
-    b = t.select(F.col("tracklet_id").alias("b"), F.col("cam_id").alias("cam_b"), F.col("start_frame").alias("enters")).withColumn("bucket", F.floor(F.col("enters") / gap))
-    j = a.join(b, "bucket").where("cam_a <> cam_b and enters > leaves").where(F.col("enters") - F.col("leaves") <= gap)
-    return j.select("a", "b", (F.col("enters") - F.col("leaves")).alias("gap"))
+    b = t.select(*by, F.col("tracklet_id").alias("b"), F.col("cam_id").alias("cam_b"), F.col("start_frame").alias("enters")).withColumn("bucket", F.floor(F.col("enters") / gap))
+    j = a.join(b, [*by, "bucket"]).where("cam_a <> cam_b and enters > leaves").where(F.col("enters") - F.col("leaves") <= gap)
+    return j.select(*by, "a", "b", (F.col("enters") - F.col("leaves")).alias("gap"))
 
 
-def colocated(points: DataFrame, near: float, least: int, share: float) -> DataFrame:
+def colocated(points: DataFrame, near: float, least: int, share: float, by: tuple[str, ...] = ()) -> DataFrame:
     """Pairs of persons seen together: ``share`` of at least ``least`` common frames within ``near``, in other cameras."""
     a, b = points.alias("a"), points.alias("b")
-    j = a.join(b, (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.global_id") < F.col("b.global_id")) & (F.col("a.cam_id") != F.col("b.cam_id")))
+    j = a.join(b, _alike(by) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.global_id") < F.col("b.global_id")) & (F.col("a.cam_id") != F.col("b.cam_id")))
     close = F.hypot(F.col("a.x") - F.col("b.x"), F.col("a.y") - F.col("b.y")) <= near
-    g = j.groupBy(F.col("a.global_id").alias("a"), F.col("b.global_id").alias("b")).agg(F.count("*").alias("shared"), F.sum(close.cast("long")).alias("near"))
+    g = j.groupBy(*[F.col(f"a.{k}").alias(k) for k in by], F.col("a.global_id").alias("a"), F.col("b.global_id").alias("b")).agg(F.count("*").alias("shared"), F.sum(close.cast("long")).alias("near"))
     return g.where((F.col("shared") >= least) & (F.col("near") >= share * F.col("shared")))
 
 
+def blocks_of(df: DataFrame, key: str, vector: str, *by: str, size: int = 1024) -> DataFrame:
+    """(by, block, ids, vectors): vectors of each group in blocks of about ``size``, by a hash of the key."""
+    n = df.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("_n")) if by else df.agg(F.ceil(F.count("*") / size).alias("_n"))
+    d = df.join(n, list(by)) if by else df.join(F.broadcast(n))
+    d = d.withColumn("block", F.pmod(F.xxhash64(key), F.greatest("_n", F.lit(1))))
+    return d.groupBy(*by, "block").agg(F.collect_list(key).alias("ids"), F.collect_list(vector).alias("vectors"))
+
+
+def _products(keep, schema: str):
+    """Kernel over pairs of blocks: the matrix product, of which ``keep`` picks (rows, columns)."""
+    names = [x.split()[0] for x in schema.split(", ")]
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.itertuples(index=False, name=None):
+                r = dict(zip(batch.columns, r, strict=True))
+                a, b = np.asarray(r["ids_a"]), np.asarray(r["ids_b"])
+                s = np.stack(r["vectors_a"]).astype(float) @ np.stack(r["vectors_b"]).astype(float).T
+                s[a[:, None] == b[None, :]] = -np.inf
+                i, j = keep(s)
+                yield pd.DataFrame({names[0]: r["_by"], names[1]: a[i], names[2]: b[j], names[3]: s[i, j]}, index=range(len(i)))
+
+    return run
+
+
+def nearest(queries: DataFrame, gallery: DataFrame, k: int, by: str | None = None, digits: int = 4) -> DataFrame:
+    """The k gallery vectors of largest inner product for each query, in each group ``by`` of the gallery.
+
+    A stated set of queries against all rows, in blocks: a task multiplies two blocks and
+    keeps k for each query.  Scores are rounded to ``digits``; of ties the smaller ids.
+    queries: query_id, q; gallery: (by,) vec_id, v.
+    """
+    q = blocks_of(queries, "query_id", "q").select(F.col("ids").alias("ids_a"), F.col("vectors").alias("vectors_a"))
+    g = gallery.withColumn("_by", F.col(by).cast("string") if by else F.lit(""))
+    g = blocks_of(g, "vec_id", "v", "_by").select("_by", F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+
+    def keep(s):
+        # With slack for ties, and for scores that meet when they are rounded.
+        n = min(k, s.shape[1])
+        least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
+        return np.nonzero((s >= (least - 10.0**-digits)[:, None]) & np.isfinite(s))
+
+    schema = "_by string, query_id long, vec_id long, score double"
+    found = g.crossJoin(q).mapInPandas(_products(keep, schema), schema)
+    keys = ["_by", "query_id"]
+    found = found.withColumn("score", F.round("score", digits))
+    w = Window.partitionBy(*keys).orderBy(F.desc("score"), "vec_id")
+    out = found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return out.select(*([F.col("_by").alias(by)] if by else []), "query_id", "rank", "vec_id", "score")
+
+
+def similar(vectors: DataFrame, least: float, by: str = "scene") -> DataFrame:
+    """(by, a, b, score): pairs a < b of one group with an inner product of ``least`` or more, by products of blocks.
+
+    Only such pairs leave a task.  vectors: by, id, v (unit vectors).
+    """
+    t = vectors.withColumn("_by", F.col(by).cast("string"))
+    b = blocks_of(t, "id", "v", "_by")
+    x = b.select("_by", F.col("block").alias("m"), F.col("ids").alias("ids_a"), F.col("vectors").alias("vectors_a"))
+    y = b.select("_by", F.col("block").alias("n"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+    schema = "_by string, i long, j long, score double"
+    found = x.join(y, "_by").where("m <= n").mapInPandas(_products(lambda s: np.nonzero(s >= least), schema), schema)
+    found = found.groupBy("_by", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("score").alias("score"))
+    return found.select(F.col("_by").cast(vectors.schema[by].dataType).alias(by), "a", "b", "score")
+
+
 def top_matches(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """The k gallery vectors of largest cosine for each query (both of unit length)."""
-    from pyspark.sql import Window
-
-    score = F.round(dot(F.col("q"), F.col("v")), 4)
-    j = queries.join(gallery, F.col("query_id") != F.col("vec_id")).withColumn("score", score)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return j.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return nearest(queries, gallery, k)

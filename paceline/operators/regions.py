@@ -18,14 +18,21 @@ def parse_rules(text: str, width: float, height: float) -> list[tuple[int, int,
     """
     found, cam = [], None
     for line in text.splitlines():
-        line = line.split("#")[0].strip()
+        line = line.strip()
+        if not line or line.startswith("#"):
+            continue
         if line.startswith("["):
             head, _, n = line.strip("[]").rpartition("-stream-")
-            cam = int(n) if head in ("roi-filtering", "overcrowding") else None
+            if head in ("roi-filtering", "overcrowding") and n.isdigit():
+                cam = int(n)
+            elif not line.startswith(("[roi", "[over")):
+                cam = None
         elif cam is not None and line.startswith("roi-"):
             name, _, points = line[4:].partition("=")
-            p = [float(x) for x in points.split(";") if x.strip()]
-            found.append((cam, len(found), name, [(x / width, y / height) for x, y in zip(p[::2], p[1::2], strict=True)]))
+            p = [float(x) for x in points.replace(",", ";").split(";") if x.strip()]
+            corners = [(x / width, y / height) for x, y in zip(p[::2], p[1::2])]  # noqa: B905 (an odd last value counts for nothing)
+            if len(corners) >= 3:
+                found.append((cam, len(found), name.strip(), corners))
     return found
 
 
@@ -44,15 +51,31 @@ def zone_table(spark: SparkSession, zones: list) -> DataFrame:
 
 
 def resolve_zones(det: DataFrame, zones: DataFrame, width: float, height: float) -> DataFrame:
-    """``det`` with ``zone_name``: the first zone in file order that holds the foot point, else cam{N}:other."""
+    """``det`` with ``zone_name``: the first zone in file order that holds the foot point, else cam{N}:other.
+
+    Names are cam{N}:{zone}, so zones of two cameras with one name stay two.
+    """
     u, v = foot()
     per_cam = zones.groupBy("cam_id").agg(F.array_sort(F.collect_list(F.struct("ord", "name", "poly"))).alias("zones"))
     d = det.join(F.broadcast(per_cam), "cam_id", "left")
     hit = F.filter("zones", lambda z: in_polygon(u / width, v / height, z["poly"]))
-    name = F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.concat(F.lit("cam"), F.col("cam_id").cast("string"), F.lit(":other")))
+    name = F.concat(F.lit("cam"), F.col("cam_id").cast("string"), F.lit(":"), F.coalesce(F.try_element_at(hit, F.lit(1))["name"], F.lit("other")))
     return d.withColumn("zone_name", name).drop("zones")
 
 
+def zone_vocabulary(zones: DataFrame) -> DataFrame:
+    """(cam_id, zone_name) of every zone and of the rest of each camera that has zones."""
+    named = zones.select("cam_id", "name").unionByName(zones.select("cam_id", F.lit("other").alias("name")))
+    return named.select("cam_id", F.concat(F.lit("cam"), F.col("cam_id").cast("string"), F.lit(":"), "name").alias("zone_name")).distinct()
+
+
+def function_matrix(enabled: DataFrame) -> DataFrame:
+    """Per camera, which of the analytics its enabled regions use: enabled (cam_id, analytics array<string>, on boolean)."""
+    kinds = ["count", "crossing", "density", "overcrowding"]
+    rows = enabled.where("on").select("cam_id", F.explode("analytics").alias("kind"))
+    return rows.groupBy("cam_id").agg(*[F.max((F.col("kind") == k).cast("int")).alias(k) for k in kinds])
+
+
 def crowding(resolved: DataFrame, threshold: int) -> DataFrame:
     """Count and overcrowding flag of each camera, frame and zone."""
     n = resolved.groupBy("cam_id", "frame_no", "zone_name").agg(F.count("*").alias("n"))

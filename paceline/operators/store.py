@@ -26,9 +26,9 @@ def dwell(visit: DataFrame) -> DataFrame:
 
 
 def zone_series(det: DataFrame, fps: float, bucket_s: float) -> DataFrame:
-    bucket = F.floor(F.floor(F.col("frame_no") / fps) / bucket_s)
+    bucket = F.floor(F.col("frame_no") / fps / bucket_s)
     d = det.where("global_id >= 0").groupBy("zone", bucket.alias("bucket"))
-    return d.agg((F.count("*") / fps).alias("occupancy_s"), F.countDistinct("global_id").alias("footfall"))
+    return d.agg(F.round(F.count("*") / fps, 3).alias("occupancy_s"), F.countDistinct("global_id").alias("footfall"))
 
 
 def rollup(det: DataFrame) -> DataFrame:
@@ -43,11 +43,16 @@ def mode_of(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def mean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """Unit vector of the mean of each key's vectors: sums per component, so skewed keys combine early."""
+    """Unit vector of the mean of each key's vectors: sums per component, so skewed keys combine early.
+
+    Vectors whose length isn't that of most are left out; a mean of length zero stays as it is.
+    """
+    most = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("dim")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1)
+    df = df.join(F.broadcast(most.select("dim")), F.size(vector) == F.col("dim"))
     parts = df.select(key, F.posexplode(vector).alias("i", "x")).groupBy(key, "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     whole = parts.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    return whole.withColumn("n", norm).where("n > 0").select(key, F.transform("v", lambda x: x / F.col("n")).alias("v"))
+    return whole.withColumn("n", norm).select(key, F.transform("v", lambda x: F.when(F.col("n") > 0, x / F.col("n")).otherwise(x)).alias("v"))
 
 
 def tracklets(det: DataFrame) -> DataFrame:
@@ -60,8 +65,24 @@ def tracklets(det: DataFrame) -> DataFrame:
         F.round(F.avg("height"), 3).alias("mean_height"),
         F.round(F.avg(F.col("width") * F.col("height")), 3).alias("mean_area"),
     )
-    # One number line over all tracklets: a summary table, not the detections.
-    return t.withColumn("tracklet_id", F.row_number().over(Window.orderBy("cam_id", "local_track_id", "global_id")) - 1)
+    return numbered(t, "tracklet_id", "cam_id", "local_track_id", "global_id")
+
+
+def numbered(df: DataFrame, name: str, bin_key: str, *order: str, bins: int = 4096) -> DataFrame:
+    """``df`` with numbers from 0 in the order of (bin_key, *order), without one task for all rows.
+
+    Rows are counted by (bin_key, a hash-free range of the first order column); the counts
+    before each range are a small table, and rows are numbered inside their range.
+    """
+    span = df.agg(F.min(order[0]).alias("lo"), F.max(order[0]).alias("hi"))  # one row
+    wide = F.greatest(F.lit(1), F.ceil((F.col("hi") - F.col("lo") + 1) / bins))
+    d = df.join(F.broadcast(span)).withColumn("_bin", F.floor((F.col(order[0]) - F.col("lo")) / wide)).drop("lo", "hi")
+    counts = d.groupBy(bin_key, "_bin").agg(F.count("*").alias("_n"))
+    ahead = lambda *by: F.coalesce(F.sum("_n").over(Window.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    keys = counts.groupBy(bin_key).agg(F.sum("_n").alias("_n"))  # a row for each camera
+    counts = counts.select(bin_key, "_bin", ahead(bin_key, "_bin").alias("_inner")).join(keys.select(bin_key, ahead(bin_key).alias("_outer")), bin_key)
+    place = F.row_number().over(Window.partitionBy(bin_key, "_bin").orderBy(*order)) - 1
+    return d.withColumn("_place", place).join(counts, [bin_key, "_bin"]).withColumn(name, F.col("_place") + F.col("_inner") + F.col("_outer")).drop("_place", "_inner", "_outer", "_bin")
 
 
 def static_tracks(det: DataFrame, pixels: float, least: int) -> DataFrame:

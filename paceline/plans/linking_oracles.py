@@ -13,7 +13,7 @@ _FAR = "sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2))"
 
 
 def _pairs(source: str, key: str) -> str:
-    return f"""pd AS (SELECT a.{key} AS a, b.{key} AS b, count(*) AS shared, quantile_cont(floor({_FAR}), 0.5) AS distance
+    return f"""pd AS (SELECT a.{key} AS a, b.{key} AS b, count(*) AS shared, quantile_cont({_FAR}, 0.5) AS distance
       FROM {source} a JOIN {source} b ON a.frame_no = b.frame_no AND a.{key} < b.{key} AND a.cam_id <> b.cam_id GROUP BY 1, 2 HAVING count(*) >= 2)"""
 
 
@@ -98,7 +98,7 @@ ORACLES: dict[str, str] = {
       h AS (SELECT least(a.id, b.id) AS a, greatest(a.id, b.id) AS b FROM t a JOIN t b ON b.f0 > a.f1 AND b.f0 <= a.f1 + 20 WHERE sqrt(power(b.x0 - a.x1, 2) + power(b.y0 - a.y1, 2)) <= 300)
       SELECT a, b FROM pd WHERE distance <= 1500 UNION SELECT a, b FROM h""",
     "geo_split": f"""WITH RECURSIVE {_TRACKLETS}, t AS (SELECT *, id // 8000000 * 1000000 + id % 1000000 AS gid FROM tp),
-      g AS (SELECT a.gid, a.id AS a, b.id AS b, quantile_cont(floor({_FAR}), 0.5) AS d, max(CAST(a.cam_id = b.cam_id AS INTEGER)) AS same FROM t a JOIN t b ON a.gid = b.gid AND a.frame_no = b.frame_no AND a.id < b.id GROUP BY 1, 2, 3),
+      g AS (SELECT a.gid, a.id AS a, b.id AS b, quantile_cont({_FAR}, 0.5) AS d, max(CAST(a.cam_id = b.cam_id AS INTEGER)) AS same FROM t a JOIN t b ON a.gid = b.gid AND a.frame_no = b.frame_no AND a.id < b.id GROUP BY 1, 2, 3),
       s AS (SELECT DISTINCT gid FROM g WHERE same = 1 OR d > 4000), l AS (SELECT a, b FROM g SEMI JOIN s USING (gid) WHERE same = 0 AND d <= 2000), u AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
       n AS (SELECT DISTINCT id, gid FROM t), r AS (SELECT id AS node, id AS seen FROM n SEMI JOIN s USING (gid) UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a), c AS (SELECT node, min(seen) AS part FROM r GROUP BY node)
       SELECT id AS tracklet_id, gid AS global_id, coalesce(part, min(id) OVER (PARTITION BY gid)) AS part FROM n LEFT JOIN c ON c.node = n.id""",
@@ -142,4 +142,6 @@ ORACLES: dict[str, str] = {
 }
 #: Every vector is a query; scene and camera come from a hash of its id.
 _HASH = "('0x' || substr(md5(CAST(vec_id AS VARCHAR)), 1, 6))::BIGINT"
-ORACLES["retrieval_scores_all"] = ORACLES["retrieval_scores"].replace(" WHERE a.vec_id % 20 = 1", "").replace("vec_id % 5 AS scene, vec_id // 5 % 4 AS cam", f"{_HASH} % 5 AS scene, {_HASH} // 5 % 4 AS cam")
+_PLACED = ORACLES["retrieval_scores"].replace("vec_id % 5 AS scene, vec_id // 5 % 4 AS cam", f"{_HASH} % 5 AS scene, {_HASH} // 5 % 4 AS cam")
+ORACLES["retrieval_scores_all"] = _PLACED.replace(" WHERE a.vec_id % 20 = 1", "")
+ORACLES["retrieval_scores"] = _PLACED.replace("a.vec_id % 20 = 1", "a.vec_id % 50 = 0")

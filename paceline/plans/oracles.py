@@ -37,7 +37,7 @@ def _inside(poly, x: str, y: str) -> str:
     return f"(({' + '.join(terms)}) % 2 = 1)"
 
 
-_NAME = "CASE " + " ".join(f"WHEN cam_id = {c} AND {_inside([(f'{x}::DOUBLE', f'{y}::DOUBLE') for x, y in p], 'fx', 'fy')} THEN '{n}'" for c, _, n, p in ZONES) + " ELSE 'cam' || cam_id || ':other' END"
+_NAME = "CASE " + " ".join(f"WHEN cam_id = {c} AND {_inside([(f'{x}::DOUBLE', f'{y}::DOUBLE') for x, y in p], 'fx', 'fy')} THEN 'cam{c}:{n}'" for c, _, n, p in ZONES) + " ELSE 'cam' || cam_id || ':other' END"
 
 
 def _zoned(source: str) -> str:
@@ -64,11 +64,11 @@ ORACLES: dict[str, str] = {
     "zones_seen": f"WITH {_DET} SELECT DISTINCT zone FROM det",
     "persons_seen": f"WITH {_DET} SELECT DISTINCT global_id FROM det WHERE global_id >= 0",
     "presence": f"WITH {_DET}, {_visits('global_id, cam_id, zone')} SELECT global_id, cam_id, zone, first_frame, last_frame, n_frames, round(seconds, 3) AS seconds FROM v",
-    "person_timeline": f"WITH {_DET}, {_visits('global_id, cam_id, zone')} SELECT global_id, cam_id, zone, first_frame, last_frame, n_frames, round(seconds, 3) AS seconds FROM v WHERE global_id % 10 = 7",
+    "person_timeline": f"WITH {_DET}, {_visits('global_id, cam_id, zone')} SELECT global_id, cam_id, zone, first_frame, last_frame, n_frames, round(seconds, 3) AS seconds, row_number() OVER (PARTITION BY global_id ORDER BY first_frame, cam_id, zone) AS nth FROM v",
     "dwell": f"WITH {_DET}, {_visits('global_id, cam_id, zone')} SELECT global_id, zone, round(sum(seconds), 3) AS seconds, count(*) AS n_visits FROM v GROUP BY global_id, zone",
     "person_dwell_range": f"""WITH {_DET}, {_visits('global_id, cam_id, zone')}, o AS (SELECT min(frame_no) AS f0 FROM det)
       SELECT global_id, zone, round(sum(round(seconds, 3)), 2) AS seconds, count(*) AS n_visits FROM v, o WHERE first_frame BETWEEN f0 + 86400 AND f0 + 1296000 GROUP BY global_id, zone""",
-    "zone_timeseries": f"WITH {_DET} SELECT zone, CAST(floor(frame_no / 86400) AS BIGINT) AS bucket, count(*) / 1.0::DOUBLE AS occupancy_s, count(DISTINCT global_id) AS footfall FROM det GROUP BY 1, 2",
+    "zone_timeseries": f"WITH {_DET} SELECT zone, CAST(floor(frame_no / 86400) AS BIGINT) AS bucket, round(count(*) / 1.0::DOUBLE, 3) AS occupancy_s, count(DISTINCT global_id) AS footfall FROM det GROUP BY 1, 2",
     "run_rollup": f"WITH {_DET} SELECT count(*) AS n_dets, count(DISTINCT global_id) AS n_gids, count(DISTINCT cam_id) AS n_cams FROM det WHERE global_id >= 0",
     "foot_world": f"WITH {_DET}, {_world('det')} SELECT det_id, cam_id, round(x, 3) + 0.0 AS x, round(y, 3) + 0.0 AS y FROM pt",
     "world_to_pixel": f"""WITH {_DET}, {_world('det')}, q AS (SELECT det_id, fx, fy, cx, cy, r11 * x + r12 * y + r13 * 1700.0::DOUBLE + t1 AS px, r21 * x + r22 * y + r23 * 1700.0::DOUBLE + t2 AS py,
@@ -108,11 +108,15 @@ ORACLES: dict[str, str] = {
     "track_majority": f"""WITH {_DET}, g AS (SELECT cam_id, local_track_id, global_id, count(*) AS n FROM det GROUP BY 1, 2, 3), r AS (SELECT *, row_number() OVER (PARTITION BY cam_id, local_track_id ORDER BY n DESC, global_id) AS r FROM g)
       SELECT cam_id, local_track_id, global_id, n FROM r WHERE r = 1""",
     "world_centroids": f"WITH {_DENSE}, {_world('dense')} SELECT global_id, frame_no, round(avg(x), 3) + 0.0 AS x, round(avg(y), 3) + 0.0 AS y, count(*) AS n FROM pt WHERE x IS NOT NULL GROUP BY 1, 2",
-    "stcra_pass": f"""WITH {_DENSE}, {_world('dense')}, p AS (SELECT det_id, frame_no, CAST(length(zone) AS BIGINT) AS global_id, x, y FROM pt WHERE x IS NOT NULL),
-      c AS (SELECT frame_no, global_id, avg(x) AS mx, avg(y) AS my FROM p GROUP BY 1, 2), o AS (SELECT p.*, sqrt(power(x - mx, 2) + power(y - my, 2)) AS own FROM p JOIN c USING (frame_no, global_id)),
-      j AS (SELECT o.det_id, c.global_id AS other, own, sqrt(power(x - mx, 2) + power(y - my, 2)) AS d FROM o JOIN c ON o.frame_no = c.frame_no AND o.global_id <> c.global_id),
-      b AS (SELECT det_id, other, row_number() OVER (PARTITION BY det_id ORDER BY d, other) AS r FROM j WHERE d < 3000 AND own > 0 AND 1 - d / own >= 0.3)
-      SELECT p.det_id, p.frame_no, p.global_id, coalesce(b.other, p.global_id) AS new_id FROM p LEFT JOIN b ON p.det_id = b.det_id AND b.r = 1""",
+    "stcra_pass": f"WITH {_DENSE}, {_world('dense')}, p0 AS (SELECT det_id, frame_no, global_id AS first_id, global_id, x, y FROM pt WHERE x IS NOT NULL)"
+    + "".join(
+        f""", c{k} AS (SELECT frame_no, global_id, avg(x) AS mx, avg(y) AS my FROM p{k - 1} GROUP BY 1, 2), o{k} AS (SELECT p.*, sqrt(power(x - mx, 2) + power(y - my, 2)) AS own FROM p{k - 1} p JOIN c{k} USING (frame_no, global_id)),
+      j{k} AS (SELECT o.det_id, c.global_id AS other, sqrt(power(x - mx, 2) + power(y - my, 2)) AS d, own FROM o{k} o JOIN c{k} c ON o.frame_no = c.frame_no AND o.global_id <> c.global_id),
+      b{k} AS (SELECT det_id, other, row_number() OVER (PARTITION BY det_id ORDER BY d, other) AS r FROM j{k} WHERE d < {far} AND own > 0 AND 1 - d / own >= 0.3),
+      p{k} AS (SELECT p.det_id, p.frame_no, p.first_id, coalesce(b.other, p.global_id) AS global_id, p.x, p.y FROM p{k - 1} p LEFT JOIN b{k} b ON p.det_id = b.det_id AND b.r = 1)"""
+        for k, far in enumerate((1500, 3000, 6000), 1)
+    )
+    + " SELECT det_id, frame_no, first_id AS global_id, global_id AS new_id FROM p3",
     "interval_conflicts": f"""WITH {_DET}, {_visits('cam_id, local_track_id, global_id')}, t AS (SELECT *, global_id * 100000000 + first_frame % 100000000 AS id FROM v)
       SELECT a.cam_id, a.id AS a, b.id AS b FROM t a JOIN t b ON a.cam_id = b.cam_id AND a.id < b.id AND a.global_id <> b.global_id WHERE greatest(a.first_frame, b.first_frame) <= least(a.last_frame, b.last_frame) + 60""",
     "handoff_edges": f"""WITH {_DET}, {_visits('cam_id, local_track_id, global_id')}, t AS (SELECT *, global_id * 100000000 + first_frame % 100000000 AS id FROM v)
@@ -121,9 +125,9 @@ ORACLES: dict[str, str] = {
       FROM pt a JOIN pt b ON a.frame_no = b.frame_no AND a.global_id < b.global_id AND a.cam_id <> b.cam_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2) SELECT a, b, shared, near FROM g WHERE shared >= 2 AND near >= 0.5 * shared""",
     "remap_components": f"""WITH RECURSIVE {_DENSE}, {_world('dense')}, g AS (SELECT a.global_id AS a, b.global_id AS b, count(*) AS shared, sum(CASE WHEN sqrt(power(a.x - b.x, 2) + power(a.y - b.y, 2)) <= 2500 THEN 1 ELSE 0 END) AS near
       FROM pt a JOIN pt b ON a.frame_no = b.frame_no AND a.global_id < b.global_id AND a.cam_id <> b.cam_id WHERE a.x IS NOT NULL AND b.x IS NOT NULL GROUP BY 1, 2),
-      e AS (SELECT a, b FROM g WHERE shared >= 2 AND near >= 0.5 * shared AND a % 7 = b % 7), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+      e AS (SELECT a, b FROM g WHERE shared >= 2 AND near >= 0.5 * shared), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
       r AS (SELECT DISTINCT global_id AS node, global_id AS seen FROM det UNION SELECT r.node, u.b FROM r JOIN u ON r.seen = u.a) SELECT node, min(seen) AS component FROM r GROUP BY node""",
-    "box_interp": f"""WITH {_DENSE}, d AS (SELECT cam_id, local_track_id, frame_no, max(l) AS l, max(t) AS t, max(w) AS w, max(h) AS h FROM dense WHERE local_track_id < 4 AND frame_no % 5 = 0 GROUP BY 1, 2, 3),
+    "box_interp": f"""WITH {_DENSE}, d AS (SELECT cam_id, local_track_id, frame_no, max(l) AS l, max(t) AS t, max(w) AS w, max(h) AS h FROM dense WHERE frame_no % 5 = 0 GROUP BY 1, 2, 3),
       n AS (SELECT *, lead(frame_no) OVER o AS nf, lead(l) OVER o AS nl, lead(t) OVER o AS nt, lead(w) OVER o AS nw, lead(h) OVER o AS nh FROM d WINDOW o AS (PARTITION BY cam_id, local_track_id ORDER BY frame_no)),
       x AS (SELECT *, unnest(generate_series(frame_no, coalesce(nf - 1, frame_no))) AS f FROM n)
       SELECT cam_id, local_track_id, f AS frame_no, """
@@ -137,12 +141,12 @@ ORACLES: dict[str, str] = {
       SELECT global_id, CAST(sum(gap - 1) AS BIGINT) AS missing FROM n WHERE gap > 1 AND gap <= 200 GROUP BY global_id""",
     "gt_union_frames": f"WITH {_TRUTH}, u AS (SELECT cam_id, frame_no FROM gt UNION SELECT cam_id, frame_no FROM dense) SELECT cam_id, count(*) AS n_frames FROM u GROUP BY cam_id",
     "balanced_sample": f"WITH {_DET}, r AS (SELECT *, row_number() OVER (PARTITION BY global_id, cam_id ORDER BY frame_no, det_id) AS r FROM det) SELECT det_id, global_id, cam_id FROM r WHERE r <= 3",
-    "env_means": "SELECT coalesce(event_type, 'all') AS env, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY ROLLUP (event_type)",
+    "env_means": "SELECT CASE WHEN grouping(event_type) = 1 THEN 'all' ELSE coalesce(event_type, 'unknown') END AS env, round(avg(value), 4) AS mean, count(*) AS n FROM events GROUP BY ROLLUP (event_type)",
     "ablation_pivot": f"""WITH {_DET}, g AS (SELECT zone, {', '.join(f'count(*) FILTER (cam_id = {c}) AS cam{c}' for c in range(4))} FROM det GROUP BY zone) SELECT *, greatest(cam0, cam1, cam2, cam3) AS best FROM g""",
     "health_creep": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate, o_orderkey) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders),
       q AS (SELECT *, greatest(1, n // 4) AS q FROM r) SELECT o_orderpriority, CASE WHEN min(n) >= 4 THEN round(avg(o_totalprice) FILTER (r > n - q) - avg(o_totalprice) FILTER (r <= q), 2) + 0.0 ELSE 0.0 END AS creep FROM q GROUP BY 1""",
     "log_scan": """SELECT lang, CAST(sum(len(regexp_extract_all(text, '(?i)password|token'))) AS BIGINT) AS hits, CAST(sum(len(regexp_extract_all(text, '\\n'))) AS BIGINT) AS breaks FROM documents GROUP BY lang""",
 }
-ORACLES["remap_components_all"] = ORACLES["remap_components"].replace(" AND a % 7 = b % 7", "")
 # Ties go up by decimal digits.
-ORACLES["box_interp_all"] = ORACLES["box_interp"].replace("local_track_id < 4 AND ", "").replace("round(CASE", "round(CAST(CASE").replace(" END, 4)", " END AS DECIMAL(20, 10)), 4)::DOUBLE")
+ORACLES["box_interp"] = ORACLES["box_interp"].replace("round(CASE", "round(CAST(CASE").replace(" END, 4)", " END AS DECIMAL(20, 10)), 4)::DOUBLE")
+ORACLES |= {"box_interp_all": ORACLES["box_interp"], "remap_components_all": ORACLES["remap_components"]}

@@ -104,7 +104,9 @@ def dwell(s, d):
 
 @query
 def person_timeline(s, d):
-    return presence(s, d).where("global_id % 10 = 7")
+    """The visits of every person, numbered in the order of time."""
+    w = Window.partitionBy("global_id").orderBy("first_frame", "cam_id", "zone")
+    return presence(s, d).withColumn("nth", F.row_number().over(w))
 
 
 @query
@@ -266,9 +268,9 @@ def world_centroids(s, d):
 
 @query
 def stcra_pass(s, d):
-    p = _located(s, _dense(s, d)).where("x is not null").select("det_id", "frame_no", F.col("zone").alias("z"), "x", "y")
-    p = p.withColumn("global_id", F.length("z").cast("long")).drop("z")
-    return identity.nearest_centroid_pass(p, 3000.0, 0.3)
+    """Three passes with growing distances over the boxes of each frame."""
+    p = _located(s, _dense(s, d)).where("x is not null").select("det_id", "frame_no", "global_id", "x", "y")
+    return identity.reassign(p, (1500.0, 3000.0, 6000.0), 0.3)
 
 
 @query
@@ -290,31 +292,28 @@ def colocated_pairs(s, d):
 @query
 def remap_components(s, d):
     """Persons linked by co-location, with the smallest id of each group."""
-    e = colocated_pairs(s, d).where("a % 7 = b % 7").select("a", "b")
     nodes = _det(s, d).select(F.col("global_id").alias("node")).distinct()
-    return identity.components(e, nodes)
+    return identity.components(colocated_pairs(s, d).select("a", "b"), nodes)
 
 
 @query
 def remap_components_all(s, d):
-    """As remap_components, over all links."""
-    nodes = _det(s, d).select(F.col("global_id").alias("node")).distinct()
-    return identity.components(colocated_pairs(s, d).select("a", "b"), nodes)
+    """The same; kept under its former name."""
+    return remap_components(s, d)
 
 
 @query
 def box_interp(s, d):
+    """Boxes between the frames of detection, of all tracks; ties go up by decimal digits."""
     t = _dense(s, d).groupBy("cam_id", "local_track_id", "frame_no").agg(*[F.max(c).alias(c) for c in ("left", "top", "width", "height")])
-    b = store.interpolate_boxes(t.where("local_track_id < 4"), 5)
-    return b.select("cam_id", "local_track_id", "frame_no", *[F.round(c, 4).alias(c) for c in ("left", "top", "width", "height")])
+    b = store.interpolate_boxes(t, 5)
+    return b.select("cam_id", "local_track_id", "frame_no", *[F.round(F.col(c).cast("decimal(20,10)"), 4).cast("double").alias(c) for c in ("left", "top", "width", "height")])
 
 
 @query
 def box_interp_all(s, d):
-    """As box_interp, over all tracks; ties go up by decimal digits."""
-    t = _dense(s, d).groupBy("cam_id", "local_track_id", "frame_no").agg(*[F.max(c).alias(c) for c in ("left", "top", "width", "height")])
-    b = store.interpolate_boxes(t, 5)
-    return b.select("cam_id", "local_track_id", "frame_no", *[F.round(F.col(c).cast("decimal(20,10)"), 4).cast("double").alias(c) for c in ("left", "top", "width", "height")])
+    """The same; kept under its former name."""
+    return box_interp(s, d)
 
 
 @query
@@ -364,7 +363,8 @@ def balanced_sample(s, d):
 def env_means(s, d):
     """Means by environment (event type) and over all, as one rollup."""
     e = _events(s, d)
-    return e.rollup("event_type").agg(F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n")).select(F.coalesce("event_type", F.lit("all")).alias("env"), "mean", "n")
+    r = e.rollup("event_type").agg(F.grouping("event_type").alias("whole"), F.round(F.avg("value"), 4).alias("mean"), F.count("*").alias("n"))
+    return r.select(F.when(F.col("whole") == 1, "all").otherwise(F.coalesce("event_type", F.lit("unknown"))).alias("env"), "mean", "n")
 
 
 @query
@@ -387,10 +387,3 @@ def health_creep(s, d):
 def log_scan(s, d):
     t = s.read.parquet(f"{d}/documents.parquet")
     return t.groupBy("lang").agg(F.sum(F.regexp_count("text", F.lit("(?i)password|token"))).alias("hits"), F.sum(F.regexp_count("text", F.lit("\n"))).alias("breaks"))
-
-
-def dispatch(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A query by name, as a tool call would give it."""
-    if name not in QUERIES:
-        raise KeyError(f"unknown tool: {name}")
-    return QUERIES[name](spark, sf_dir)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import linking_oracles, linking_queries, oracles, queries  # noqa: F401
+from . import linking_oracles, linking_queries, oracles, queries, store_oracles, store_queries  # noqa: F401
 
-#: ``linking_queries`` adds its own to the same register as it is imported.
+#: The other query modules add their own to the same register as they are imported.
 QUERIES = queries.QUERIES
-ORACLES = oracles.ORACLES | linking_oracles.ORACLES
+ORACLES = oracles.ORACLES | linking_oracles.ORACLES | store_oracles.ORACLES

@@ -84,11 +84,75 @@ def read_sensor_cameras(spark: SparkSession, path: str) -> DataFrame:
     return c.select(cam, k[0][0].alias("fx"), k[1][1].alias("fy"), k[0][2].alias("cx"), k[1][2].alias("cy"), *_pose(lambda i, j: e[i][j], lambda i: e[i][3]))
 
 
+def _uri(line: Column) -> Column:
+    return F.when(line.rlike("^[a-z]+://"), line).otherwise(F.concat(F.lit("file://"), line))
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, nth) of a short list file (one for each camera of a run), blank and ``#`` lines left out."""
+    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\\r?\\n")).alias("at", "line")).withColumn("line", F.trim("line"))
+    return rows.where("line <> '' and not startswith(line, '#')").select("line", (F.row_number().over(Window.orderBy("at")) - 1).cast("int").alias("nth"))
+
+
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """(uri, is_live) of a source list: blank lines and ``#`` lines are skipped, plain paths become file URIs."""
-    line = spark.read.text(path).select(F.trim("value").alias("line")).where("line <> '' and not startswith(line, '#')")
-    uri = F.when(F.col("line").rlike("^[a-z]+://"), F.col("line")).otherwise(F.concat(F.lit("file://"), F.col("line")))
-    return line.select(uri.alias("uri"), uri.startswith("rtsp://").alias("is_live"))
+    uri = _uri(_lines(spark, path)["line"])
+    return _lines(spark, path).select(uri.alias("uri"), uri.startswith("rtsp://").alias("is_live"))
+
+
+def list_folder(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("mp4", "mkv", "avi"), by: str = "name", most: int | None = None) -> DataFrame:
+    """(uri, modified) of the files with these extensions, by name or by time; ``most`` is the caller's cap."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", False).load(f"{folder}/*").select("path", F.col("modificationTime").alias("modified"))
+    rows = files.where(F.lower(F.element_at(F.split("path", r"\."), -1)).isin([x.lower() for x in extensions]))
+    rows = rows.orderBy("modified", "path") if by == "time" else rows.orderBy("path")
+    rows = rows.select(F.col("path").alias("uri"), "modified")
+    return rows if most is None else rows.limit(most)
+
+
+def resolve_sources(spark: SparkSession, text: str | None = None, folder: str | None = None, items: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """((uri, nth), whether any is live): of a list file, a folder and single items the first that is given."""
+    if text:
+        rows = _lines(spark, text).select(_uri(F.col("line")).alias("uri"), "nth")
+    elif folder:
+        rows = list_folder(spark, folder).select("uri", (F.row_number().over(Window.orderBy("uri")) - 1).cast("int").alias("nth"))
+    elif items:
+        rows = spark.createDataFrame([(x.strip(), k) for k, x in enumerate(items)], "line string, nth int").select(_uri(F.col("line")).alias("uri"), "nth")
+    else:
+        raise ValueError("no source is given")
+    return rows, not rows.where(F.col("uri").startswith("rtsp://")).isEmpty()
+
+
+def camera_numbers(spark: SparkSession, path: str) -> DataFrame:
+    """(source_id, cam_number): the number in each line's Camera_<N>, by its place in the list; else the place itself."""
+    n = F.nullif(F.regexp_extract("line", r"Camera_(\d+)", 1), F.lit("")).try_cast("int")
+    return _lines(spark, path).select(F.col("nth").alias("source_id"), F.coalesce(n, "nth").alias("cam_number"))
+
+
+def zip_members(spark: SparkSession, path: str) -> DataFrame:
+    """(archive, member, frame, cam_id, kind) of label and image files in ZIP archives, an archive to a task at a time.
+
+    Names end in <frame>_<cam> with an extension: kind is image for picture extensions, else label.
+    """
+
+    def names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for archive, content in zip(batch.path, batch.content, strict=True):
+                try:
+                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                        yield pd.DataFrame({"archive": archive, "member": [x for x in z.namelist() if not x.endswith("/")]})
+                except zipfile.BadZipFile:
+                    continue
+
+    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(names, "archive string, member string")
+    part = lambda k: F.nullif(F.regexp_extract("member", r"(\d+)_(\d+)\.[A-Za-z]+$", k), F.lit("")).try_cast("long")
+    kind = F.when(F.lower("member").rlike(r"\.(jpg|jpeg|png)$"), "image").otherwise("label")
+    return rows.select("archive", "member", part(1).alias("frame"), part(2).cast("int").alias("cam_id"), kind.alias("kind")).where("frame is not null")
+
+
+def paired_members(members: DataFrame) -> DataFrame:
+    """(frame, cam_id, image, label) of the frames that have both."""
+    side = lambda k: members.where(F.col("kind") == k).groupBy("frame", "cam_id").agg(F.min(F.struct("archive", "member")).alias(k))
+    return side("image").join(side("label"), ["frame", "cam_id"])
 
 
 def zip_by_rank(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -98,6 +162,7 @@ def zip_by_rank(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def write_predictions(det: DataFrame, path: str) -> None:
-    """CSV by camera, with coordinates to two digits."""
+    """CSV by camera, with coordinates to two digits; ``read_predictions`` reads it back."""
     boxes = [F.round(c, 2).alias(c) for c in ("left", "top", "width", "height")]
-    det.select("frame_no", "cam_id", "local_track_id", "global_id", *boxes).write.mode("overwrite").option("header", True).partitionBy("cam_id").csv(path)
+    rows = det.select(F.col("frame_no").alias("frame_no_cam"), "cam_id", "local_track_id", "global_id", *boxes, F.col("cam_id").alias("cam"))
+    rows.write.mode("overwrite").option("header", True).partitionBy("cam").csv(path)

@@ -15,17 +15,57 @@ GROUND_TRUTH = "frame long, person_id long, left double, top double, width doubl
 HEALTH = "ts double, elapsed_s double, gpu_util double, gpu_mem_mb double, rss_mb double, fps double, n_gids long"
 
 
+def _number(text, kind: str):
+    """A column of digits as a number; null where there are none."""
+    return F.nullif(text, F.lit("")).try_cast(kind)
+
+
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    """Per-camera prediction CSVs; the camera comes from the file name."""
+    """Prediction CSVs, as ``write_predictions`` or a run gives them.
+
+    The camera comes from a file name of the form cam_<N>_..., else from its column.
+    """
     rows = spark.read.schema(PREDICTIONS).option("header", True).csv(path)
-    return rows.withColumn("cam_id", F.regexp_extract(F.input_file_name(), r"cam_(\d+)_", 1).cast("int"))
+    named = _number(F.regexp_extract(F.input_file_name(), r"cam_(\d+)_[^/]*$", 1), "int")
+    rows = rows.withColumn("cam_id", F.coalesce(named, "cam_id"))
+    return rows.select("frame_no_cam", "cam_id", "local_track_id", "global_id", "left", "top", "width", "height")
 
 
 def read_assignments(spark: SparkSession, path: str) -> DataFrame:
-    """The last assignment of each (camera, frame, track)."""
+    """The last assignment of each (camera, frame, track): the last line of the last file by name."""
     rows = spark.read.schema(ASSIGNMENTS).option("header", True).csv(path)
-    place = F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i"))
-    return rows.groupBy("cam_id", "frame_no", "local_track_id").agg(F.max_by("global_id", place).alias("global_id"))
+    rows = rows.select("cam_id", "frame_no", "local_track_id", "global_id", F.struct(F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("i")).alias("place"))
+    return rows.groupBy("cam_id", "frame_no", "local_track_id").agg(F.max_by("global_id", "place").alias("global_id"))
+
+
+def read_truth(spark: SparkSession, folder: str, cam_id: int, suffix: str = "_clean", stride: int = 1, most: int | None = None) -> DataFrame:
+    """Truth boxes of a camera from <folder>/cam_<N><suffix>.csv, or without the suffix where that isn't there.
+
+    Every ``stride``-th frame, the first ``most`` boxes by frame and person if a cap is set
+    (the cap is the caller's), in the order of frames.
+    """
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/cam_{cam_id}{suffix}.csv")
+    there = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+    rows = spark.read.schema(GROUND_TRUTH).option("header", True).csv(f"{folder}/cam_{cam_id}{suffix if there else ''}.csv")
+    rows = rows.where(F.col("frame") % stride == 0).withColumn("cam_id", F.lit(cam_id)).orderBy("frame", "person_id")
+    return rows if most is None else rows.limit(most)
+
+
+def read_tracklets(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TRACKLETS).option("header", True).csv(path)
+
+
+def read_health(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(HEALTH).option("header", True).csv(path)
+
+
+MANIFEST = "created string, git_commit string, git_dirty boolean, gpu string, pipeline_config string, sources string, env_map map<string,string>, duration_s double, models map<string,string>, tracker_config string, key_thresholds map<string,double>, run_params map<string,string>"
+
+
+def read_manifests(spark: SparkSession, path: str) -> DataFrame:
+    """Run manifests, a JSON document a file, with the file's folder as ``run_id``."""
+    rows = spark.read.schema(MANIFEST).option("multiLine", True).json(path)
+    return rows.withColumn("run_id", F.regexp_extract(F.input_file_name(), r"([^/]+)/[^/]+$", 1))
 
 
 def read_frame_labels(spark: SparkSession, path: str) -> DataFrame:

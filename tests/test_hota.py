@@ -35,14 +35,15 @@ def brute(gt, pred):
         worth = lambda c: sum(agree.get((x[0], y[0]), 0) * iou(x[1], y[1]) for x, y in zip(g, c, strict=True))
         best = max(itertools.permutations(p, len(g)), key=worth)
         matches += [(x[0], y[0], iou(x[1], y[1])) for x, y in zip(g, best, strict=True) if iou(x[1], y[1]) > 0]
-    total = [0.0, 0.0, 0.0, 0.0]
+    total = [0.0] * 8
     for k in range(1, 20):
         kept = [m for m in matches if m[2] >= k / 20 - 1e-12]
         tp, n = len(kept), Counter(m[:2] for m in kept)
         det = tp / (len(gt) + len(pred) - tp)
         ass = sum(x * x / (n_g[a] + n_p[b] - x) for (a, b), x in n.items()) / tp if tp else 0.0
         loc = sum(m[2] for m in kept) / tp if tp else 1.0
-        total = [t + x / 19 for t, x in zip(total, ((det * ass) ** 0.5, det, ass, loc), strict=True)]
+        of = lambda n_of, k: sum(x * x / n_of[m[k]] for m, x in n.items()) / tp if tp else 0.0  # noqa: E731, B023
+        total = [t + x / 19 for t, x in zip(total, ((det * ass) ** 0.5, det, ass, loc, tp / len(gt), tp / len(pred), of(n_g, 0), of(n_p, 1)), strict=True)]
     return total
 
 
@@ -66,4 +67,4 @@ def test_perfect_and_missed(spark):
     gt = [(c, f, 1, 10 * c + f, 5.0, 5.0, 20.0, 40.0) for c in range(2) for f in range(4)]
     pred = [(c, f, 7, i, x + 500.0 * c, *box) for c, f, _, i, x, *box in gt]
     got = {r.cam_id: tuple(r[1:]) for r in identity.hota(spark.createDataFrame(gt, BOX.format("person_id")), spark.createDataFrame(pred, BOX.format("global_id"))).collect()}
-    assert got == {0: (1.0, 1.0, 1.0, 1.0), 1: (0.0, 0.0, 0.0, 1.0)}
+    assert got == {0: (1.0,) * 8, 1: (0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0.0, 0.0)}
