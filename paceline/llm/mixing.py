@@ -82,20 +82,27 @@ def permuted(x: Column, n: Column, *key: Column, rounds: int = 6, walk: int = 24
     below n.  Fewer than a numbers lie above, so ``walk`` steps always do for n < 256, and
     miss with a chance below 16 ** -walk for larger ones.
     """
-    a = F.ceil(F.sqrt(n.cast("double"))).cast("long")
-    b = F.ceil(n / a).cast("long")
 
-    def once(x: Column) -> Column:
-        start = F.struct((x % a).alias("l"), F.floor(x / a).cast("long").alias("r"))
+    def within(t: Column) -> Column:
+        a, b = t["a"], t["b"]
 
-        def step(s: Column, i: Column) -> Column:
-            moved = F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], i, *key), a * b), F.when(i % 2 == 0, a).otherwise(b))
-            return F.struct(s["r"].alias("l"), moved.alias("r"))
+        def once(x: Column) -> Column:
+            start = F.struct((x % a).alias("l"), ((x - x % a) / a).cast("long").alias("r"))
 
-        ends = F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), start, step)
-        return F.transform(F.array(ends), lambda s: s["r"] * a + s["l"])[0]
+            def step(s: Column, i: Column) -> Column:
+                moved = F.pmod(s["l"] + F.pmod(F.xxhash64(s["r"], i, *key), t["m"]), F.when(i % 2 == 0, a).otherwise(b))
+                return F.struct(s["r"].alias("l"), moved.alias("r"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(x), lambda y, _: F.when(y < n, y).otherwise(once(y)))
+            ends = F.aggregate(F.array(*[F.lit(i) for i in range(rounds)]), start, step)
+            return F.transform(F.array(ends), lambda s: s["r"] * a + s["l"])[0]
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(walk)), once(t["x"]), lambda y, _: F.when(y < t["n"], y).otherwise(once(y)))
+
+    # Arrays of one element name what is used more than once.
+    side = F.ceil(F.sqrt(n.cast("double"))).cast("long")
+    one = F.transform(F.array(F.struct(x.alias("x"), n.alias("n"), side.alias("a"))), lambda s: F.struct(s["x"].alias("x"), s["n"].alias("n"), s["a"].alias("a"), F.ceil(s["n"] / s["a"]).cast("long").alias("b")))
+    one = F.transform(one, lambda s: F.struct(s["x"].alias("x"), s["n"].alias("n"), s["a"].alias("a"), s["b"].alias("b"), (s["a"] * s["b"]).alias("m")))
+    return F.transform(one, within)[0]
 
 
 def _ahead(size: str, order: str, *by: str) -> Column:
@@ -179,15 +186,16 @@ def slot_blocks(sources: DataFrame, p: Mix) -> DataFrame:
     s = stash(s, "drawn")
 
     own = drawn.join(s.select("rank", "drawn", "over_from"), "rank").withColumn("i", permuted(F.col("j"), F.col("drawn"), F.lit(p.seed), F.col("rank"), F.lit(-1)))
-    stands = own.where("i < slots").select("shard", "slot", "rank", "blocks", "i")
     # What a source has drawn too often goes to those drawn too seldom, by their places in line.
-    spare = own.where("i >= slots").select("shard", "slot", (F.col("over_from") + F.col("i") - F.col("slots")).alias("at"))
     wide = 4096
-    short = s.where("under_to > under_from").select(F.col("rank"), "blocks", "drawn", "under_from", "under_to")
-    short = short.withColumn("part", F.explode(F.sequence(F.floor(F.col("under_from") / wide), F.floor((F.col("under_to") - 1) / wide))))
-    given = spare.withColumn("part", F.floor(F.col("at") / wide)).join(short, "part").where("under_from <= at and at < under_to")
-    given = given.select("shard", "slot", "rank", "blocks", (F.col("drawn") + F.col("at") - F.col("under_from")).alias("i"))
-    taken = stands.unionByName(given).withColumn("turn", F.floor(F.col("i") / F.col("blocks")))
+    spare = F.when(F.col("i") >= F.col("slots"), F.col("over_from") + F.col("i") - F.col("slots"))
+    own = own.withColumn("at", spare).withColumn("part", F.floor(F.col("at") / wide)).alias("o")
+    short = s.where("under_to > under_from").select("rank", "blocks", "drawn", "under_from", "under_to")
+    short = short.withColumn("part", F.explode(F.sequence(F.floor(F.col("under_from") / wide), F.floor((F.col("under_to") - 1) / wide)))).alias("s")
+    both = own.join(short, (F.col("o.part") == F.col("s.part")) & (F.col("s.under_from") <= F.col("o.at")) & (F.col("o.at") < F.col("s.under_to")), "left")
+    i = F.coalesce(F.col("s.drawn") + F.col("o.at") - F.col("s.under_from"), F.col("o.i"))
+    taken = both.select("shard", "slot", F.coalesce("s.rank", "o.rank").alias("rank"), F.coalesce("s.blocks", "o.blocks").alias("blocks"), i.alias("i"))
+    taken = taken.withColumn("turn", F.floor(F.col("i") / F.col("blocks")))
     block = permuted(F.col("i") % F.col("blocks"), F.col("blocks"), F.lit(p.seed), F.col("rank"), F.col("turn"))
     return taken.select("shard", "slot", "rank", "turn", block.alias("block"))
 
