@@ -20,7 +20,6 @@ ignored by ``near_duplicates`` and passed through by ``keep_first``.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -239,22 +238,17 @@ def _by_prefix(member: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
     rows = rows.join(several, "h").withColumn("rank", F.row_number().over(by_id.orderBy("k", "h"))).withColumn("common", F.count("*").over(by_id))
     left = F.col("common") - F.col("rank") + 1  # this shingle and those after it
     rows = rows.join(member, "id").where(left >= F.ceil(F.col("n") * p.percent / 100)).select("h", "id", "n", left.alias("left"), "component")
-    # A partner of a row has at least percent of its shingles, and no fewer than the smallest
-    # of the set sizes that come near its own at this shingle (bands of a factor 100 / percent).
-    band = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / p.percent)).cast("int") if p.percent < 100 else F.col("n")
-    rows = stash(rows.withColumn("band", band), "prefix")
-    sizes = rows.groupBy("h", "band").agg(F.min("n").alias("n"))
-    low = sizes.unionByName(sizes.select("h", (F.col("band") + 1).alias("band"), "n")).groupBy("h", "band").agg(F.min("n").alias("low"))
+    rows = stash(rows, "prefix")
+    # A partner of a row has at least percent of its shingles, and no fewer than any row here.
+    here = rows.groupBy("h").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("n").alias("low")).where("lo < hi").select("h", "lo", "low")
     partner = F.greatest("low", F.ceil(F.col("n") * p.percent / 100))
-    rows = rows.join(low, ["h", "band"]).where(F.col("left") * (100 + p.percent) >= (F.col("n") + partner) * p.percent).select("h", "id", "n", "left", "component")
-    # Every pair of unlike components has a side outside the largest component of its shingle.
-    parts = rows.groupBy("h", "component").agg(F.count("*").alias("k")).groupBy("h").agg(F.max_by("component", F.struct("k", "component")).alias("largest"), F.count("*").alias("parts")).where("parts > 1")
-    rows = rows.join(parts.select("h", "largest"), "h")
-    x = rows.select("h", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("left").alias("l_i"), F.col("component").alias("c_i"))
-    y = rows.where("component <> largest").select("h", F.col("id").alias("j"), F.col("n").alias("n_j"), F.col("left").alias("l_j"), F.col("component").alias("c_j"))
+    rows = rows.join(here, "h").where(F.col("left") * (100 + p.percent) >= (F.col("n") + partner) * p.percent)
+    # Every pair of unlike components has a side outside the first component of its shingle.
+    x = rows.select("h", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("left").alias("l_i"), F.col("component").alias("c_i"), (F.col("component") == F.col("lo")).alias("of_first"))
+    y = rows.where("component <> lo").select("h", F.col("id").alias("j"), F.col("n").alias("n_j"), F.col("left").alias("l_j"), F.col("component").alias("c_j"))
     overlap = F.least("l_i", "l_j") * (100 + p.percent) >= (F.col("n_i") + F.col("n_j")) * p.percent
     first = F.col("i") < F.col("j")
-    pairs = x.join(y, "h").where("c_i <> c_j").where(overlap)
+    pairs = x.join(y, "h").where("c_i <> c_j").where(F.col("of_first") | first).where(overlap)
     return pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.when(first, F.col("n_i")).otherwise(F.col("n_j")).alias("n_a"), F.when(first, F.col("n_j")).otherwise(F.col("n_i")).alias("n_b"))
 
 
