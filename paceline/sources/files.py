@@ -96,7 +96,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 def read_sources(spark: SparkSession, path: str) -> DataFrame:
     """(uri, is_live) of a source list: blank lines and ``#`` lines are skipped, plain paths become file URIs."""
-    uri = _uri(_lines(spark, path)["line"])
+    uri = _uri(F.col("line"))
     return _lines(spark, path).select(uri.alias("uri"), uri.startswith("rtsp://").alias("is_live"))
 
 
