@@ -26,6 +26,10 @@ def _cells(columns: int, rows: int) -> str:
       grid AS (SELECT cam_id, gx, gy, count(*) AS occupancy FROM cells GROUP BY 1, 2, 3)"""
 
 
+def _mirror(i: str, n: str) -> str:
+    return f"CASE WHEN {i} < 0 THEN -1 - ({i}) WHEN {i} >= {n} THEN 2 * {n} - 1 - ({i}) ELSE {i} END"
+
+
 def _smooth(source: str, axis: str, n: int, sigma: float) -> str:
     reach = int(4 * sigma + 0.5)
     raw = [math.exp(-0.5 * (k / sigma) ** 2) for k in range(-reach, reach + 1)]
@@ -54,8 +58,11 @@ ORACLES: dict[str, str] = {
     "end_velocities": f"""WITH {_PATH}, u AS (SELECT *, row_number() OVER (PARTITION BY global_id ORDER BY frame_no) AS up, row_number() OVER (PARTITION BY global_id ORDER BY frame_no DESC) AS dn FROM p),
       e AS (SELECT global_id, {', '.join(f'arg_{m}({c}, frame_no) FILTER ({s} <= 5) AS {c}_{s}_{m}' for c in ('x', 'y', 'frame_no') for s in ('up', 'dn') for m in ('min', 'max'))} FROM u GROUP BY 1)
       SELECT global_id, {', '.join(f'round(({c}_{s}_max - {c}_{s}_min) / nullif(frame_no_{s}_max - frame_no_{s}_min, 0), 4) + 0.0 AS {n}_v{c}' for s, n in (('up', 'entry'), ('dn', 'exit')) for c in ('x', 'y'))} FROM e""",
-    "smooth_paths": f"""WITH {_PATH}, m AS (SELECT global_id, frame_no, quantile_cont(x, 0.5) OVER w AS x, quantile_cont(y, 0.5) OVER w AS y FROM p WINDOW w AS (PARTITION BY global_id ORDER BY frame_no ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING))
-      SELECT global_id, frame_no, round(avg(x) OVER w, 3) + 0.0 AS x, round(avg(y) OVER w, 3) + 0.0 AS y FROM m WINDOW w AS (PARTITION BY global_id ORDER BY frame_no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)""",
+    "smooth_paths": f"""WITH {_PATH}, o AS (SELECT *, row_number() OVER (PARTITION BY global_id ORDER BY frame_no) - 1 AS i, count(*) OVER (PARTITION BY global_id) AS n FROM p WHERE x IS NOT NULL AND y IS NOT NULL),
+      m AS (SELECT a.global_id, a.frame_no, a.i, a.n, CASE WHEN a.n < 5 THEN any_value(a.x) ELSE quantile_cont(b.x, 0.5) END AS x, CASE WHEN a.n < 5 THEN any_value(a.y) ELSE quantile_cont(b.y, 0.5) END AS y
+        FROM o a JOIN range(-4, 5) t(k) ON abs(k) <= (a.n - 1) // 2 JOIN o b ON b.global_id = a.global_id AND b.i = {_mirror('a.i + k', 'a.n')} GROUP BY a.global_id, a.frame_no, a.i, a.n)
+      SELECT a.global_id, a.frame_no, round(CASE WHEN a.n < 5 THEN any_value(a.x) ELSE avg(b.x) END, 3) + 0.0 AS x, round(CASE WHEN a.n < 5 THEN any_value(a.y) ELSE avg(b.y) END, 3) + 0.0 AS y
+        FROM m a CROSS JOIN range(-2, 3) t(k) JOIN m b ON b.global_id = a.global_id AND b.i = {_mirror('a.i + k', 'a.n')} GROUP BY a.global_id, a.frame_no, a.i, a.n""",
     "gap_filled_paths": f"""WITH {_PATH}, b AS (SELECT global_id, frame_no // 20 AS f0, avg(x) AS x0, avg(y) AS y0 FROM p GROUP BY 1, 2), c AS (SELECT *, count(*) OVER (PARTITION BY global_id) AS have FROM b),
       k AS (SELECT * FROM c WHERE have >= 3 AND have >= 0.04 * (SELECT max(f0) - min(f0) + 1 FROM b)),
       n AS (SELECT *, lead(f0) OVER o AS f1, lead(x0) OVER o AS x1, lead(y0) OVER o AS y1 FROM k WINDOW o AS (PARTITION BY global_id ORDER BY f0)),
