@@ -1,8 +1,4 @@
-"""Density grids over floors and frames.
-
-Exact percentiles go by counts of values rounded to a step: what a task holds is
-bounded by the floor's size, not by the number of rows.
-"""
+"""Density grids over floors and frames."""
 
 from __future__ import annotations
 
@@ -12,10 +8,35 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def percentiles(df: DataFrame, column: str, at: list[float], step: float = 1.0) -> DataFrame:
-    """One row with an array: interpolated percentiles of ``column``, rounded down to ``step``."""
-    n = df.where(F.col(column).isNotNull()).groupBy((F.floor(F.col(column) / step) * step).alias("_v")).agg(F.count("*").alias("_n"))
-    return n.agg(F.percentile("_v", at, F.col("_n")).alias(column))
+def percentiles(df: DataFrame, column: str, at: list[float], *keys: str, bins: int = 4096) -> DataFrame:
+    """Exact percentiles of ``column``, interpolated: an array in the order of ``at``, one row or one for each key.
+
+    Values are counted by themselves and by equal spans of the column's reach.  Ranks are
+    looked up in the spans that hold them, in rows sorted there, so no task holds the column.
+    Nulls and NaN don't count; a key with nothing else has no row.
+    """
+    v = df.where(F.col(column).isNotNull() & ~F.isnan(F.col(column).cast("double")))
+    v = v.groupBy(*keys, F.col(column).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    one = F.lit(0).alias("_all")  # stands in for a key where there is none
+    v = v.select(one, *keys, "_v", "_n")
+    by = ["_all", *keys]
+    reach = v.groupBy(*by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.sum("_n").alias("_total"))
+    span = F.when(F.col("_hi") > F.col("_lo"), F.least(F.lit(bins - 1), F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * bins))).otherwise(0)
+    v = v.join(reach, by).select(*by, span.alias("_bin"), "_v", "_n")
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    spans = v.groupBy(*by, "_bin").agg(F.sum("_n").alias("_n")).select(*by, "_bin", "_n", ahead.alias("_before"))
+    places = F.posexplode(F.array(*[F.lit(float(p)) for p in at])).alias("_i", "_p")
+    asked = reach.select(*by, (F.col("_total") - 1).alias("_top"), places).withColumn("_at", F.col("_p") * F.col("_top"))
+    asked = asked.select(*by, "_i", "_at", F.explode(F.array_distinct(F.array(F.floor("_at"), F.ceil("_at")))).alias("_k"))
+    asked = asked.join(spans, by).where((F.col("_k") >= F.col("_before")) & (F.col("_k") < F.col("_before") + F.col("_n"))).drop("_n")
+    inner = F.coalesce(F.sum("_n").over(Window.partitionBy(*by, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = v.join(asked.select(*by, "_bin").distinct(), [*by, "_bin"], "left_semi").withColumn("_inner", inner)
+    first = F.col("_before") + F.col("_inner")
+    found = asked.join(rows, [*by, "_bin"]).where((F.col("_k") >= first) & (F.col("_k") < first + F.col("_n")))
+    ends = found.groupBy(*by, "_i").agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.first(F.col("_at") - F.floor("_at")).alias("_t"))
+    value = F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_t")
+    out = ends.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_i", value.alias("_q")))).alias("_q"))
+    return out.select(*keys, F.transform("_q", lambda q: q["_q"]).alias(column))
 
 
 def smoothed(grid: DataFrame, columns: int, rows: int, sigma: float, value: str = "occupancy") -> DataFrame:
@@ -55,12 +76,21 @@ def floor_histogram(points: DataFrame, columns: int, rows: int, low: float = 0.0
     return j.groupBy(cell("x", columns).alias("gx"), cell("y", rows).alias("gy")).agg(F.count("*").alias("occupancy"))
 
 
-def footprint(points: DataFrame, spread: float = 1.6) -> DataFrame:
-    """Robust bounds of the floor in use: quartiles moved out by ``spread`` times their distance."""
+def footprint(points: DataFrame, spread: float = 1.6, least: float = 1e-3) -> DataFrame:
+    """Robust bounds of the floor in use: quartiles moved out by ``spread`` times their distance (``least`` at least), no further than the points."""
+    p = points.where("x is not null and y is not null")
+    q = percentiles(p, "x", [0.0, 0.25, 0.75, 1.0]).join(F.broadcast(percentiles(p, "y", [0.0, 0.25, 0.75, 1.0])))
+    wide = lambda c: spread * F.greatest(F.col(c)[2] - F.col(c)[1], F.lit(least))
+    ends = [f(F.col(c)[i], F.col(c)[j] + sign * wide(c)).alias(f"{c}_{n}") for c in ("x", "y") for n, f, i, j, sign in (("low", F.greatest, 0, 1, -1), ("high", F.least, 3, 2, 1))]
+    return q.select(*ends)
+
+
+def walked_area(points: DataFrame, low: float = 0.02, high: float = 0.98, margin: float = 0.12) -> DataFrame:
+    """Bounds between two percentiles of the points, wider by ``margin`` of their distance on each side."""
     p = points.where("x is not null and y is not null")
-    q = percentiles(p, "x", [0.25, 0.75]).join(F.broadcast(percentiles(p, "y", [0.25, 0.75])))
-    side = lambda c, k, sign: (F.col(c)[k] + sign * spread * (F.col(c)[1] - F.col(c)[0]))
-    return q.select(side("x", 0, -1).alias("x_low"), side("x", 1, 1).alias("x_high"), side("y", 0, -1).alias("y_low"), side("y", 1, 1).alias("y_high"))
+    q = percentiles(p, "x", [low, high]).join(F.broadcast(percentiles(p, "y", [low, high])))
+    side = lambda c, k, sign: (F.col(c)[k] + sign * margin * (F.col(c)[1] - F.col(c)[0]))
+    return q.select(*[side(c, k, sign).alias(f"{c}_{n}") for c in ("x", "y") for n, k, sign in (("low", 0, -1), ("high", 1, 1))])
 
 
 def decayed(cells: DataFrame, decay: float) -> DataFrame:

@@ -300,14 +300,20 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def _kept(d: DataFrame) -> DataFrame:
-    return d.checkpoint() if d.sparkSession.conf.get("spark.checkpoint.dir", None) else d.persist()
+    """A reliable checkpoint; a local session without a folder for it caches, where there are no executors to lose."""
+    spark = d.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        return d.checkpoint()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
+    return d.persist()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) with the smallest node as component, by alternating star rounds.
 
-    edges: a, b.  Each round is written by a reliable checkpoint where a folder for it is
-    set, and cached otherwise.
+    edges: a, b.  Each round is written by a reliable checkpoint; a local session without a
+    folder for it caches.
     """
     keep = _kept
     e = keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())

@@ -195,18 +195,18 @@ def handoff_scores(points: DataFrame, n: int, gap: int, close: float, far: float
     return j.select(*by, "a", "b", step.alias("gap"), (closeness(miss, close, far) * weight).alias("score"))
 
 
-def compress_remap(remap: DataFrame, most: int = 64) -> DataFrame:
+def compress_remap(remap: DataFrame, most: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
     """(source, target) with each chain of merges followed to its end, by pointer doubling.
 
     Of several targets of one source the smallest holds.  A cycle has no end; its ids keep
-    the target that ``most`` doublings reach.
+    the target that ``most`` doublings reach.  ``by`` names columns within which ids are their own.
     """
     keep = _kept
-    m = keep(remap.groupBy("source").agg(F.min("target").alias("target")))
+    m = keep(remap.groupBy(*by, "source").agg(F.min("target").alias("target")))
     for _ in range(most.bit_length()):
-        onward = m.select(F.col("source").alias("target"), F.col("target").alias("end"))
-        j = keep(m.join(onward, "target", "left").select("source", F.coalesce("end", "target").alias("target"), (F.col("end") != F.col("target")).alias("moved")))
-        m = j.select("source", "target")
+        onward = m.select(*by, F.col("source").alias("target"), F.col("target").alias("end"))
+        j = keep(m.join(onward, [*by, "target"], "left").select(*by, "source", F.coalesce("end", "target").alias("target"), (F.col("end") != F.col("target")).alias("moved")))
+        m = j.select(*by, "source", "target")
         if j.where("moved").isEmpty():
             break
     return m
@@ -648,6 +648,23 @@ def windowed_merges(tracklets: DataFrame, window: int, delay: int, threshold: fl
     return tracklets.groupBy("scene").applyInPandas(kernel, "scene long, event_frame long, window_end long, source long, target long, score double")
 
 
+def reclustered(tracklets: DataFrame, threshold: float, margin: float, k: int, tolerance: int = 0, least_dets: int = 6, least_vectors: int = 1) -> DataFrame:
+    """(scene, source, target): merges over all tracklets at once, without those of earlier windows."""
+    whole = tracklets.select(F.max("end_frame").alias("last")).first().last
+    return final_remap(windowed_merges(tracklets, max(1, whole or 1), 0, threshold, margin, k, tolerance, least_dets, least_vectors))
+
+
+def final_remap(events: DataFrame) -> DataFrame:
+    """(scene, source, target) after all merge events, each followed to its end."""
+    return compress_remap(events.select("scene", "source", "target"), by=("scene",))
+
+
+def resolved(det: DataFrame, remap: DataFrame) -> DataFrame:
+    """``det`` with each id's present target; ids without a merge stay. det: scene, global_id; remap: scene, source, target."""
+    r = remap.select("scene", F.col("source").alias("global_id"), F.col("target").alias("_target"))
+    return det.join(r, ["scene", "global_id"], "left").withColumn("global_id", F.coalesce("_target", "global_id")).drop("_target")
+
+
 def replayed(det: DataFrame, events: DataFrame) -> DataFrame:
     """(det_id, global_id) under the merges that had happened by each box's frame (ids of a scene are its own).
 

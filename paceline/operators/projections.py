@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, foot, iou
+from .grids import percentiles
+from .pairs import box_pairs
 
 BOX = ("left", "top", "width", "height")
 
@@ -205,16 +207,25 @@ def dashboard(det: DataFrame, cameras: DataFrame, limits: DataFrame) -> DataFram
 
 
 def balanced(df: DataFrame, caps: list[tuple[tuple[str, ...], int]], order: list[str], seed: int | None = None) -> DataFrame:
-    """At most so many rows of each key, one cap after the other: in ``order``, or in a seeded random one. Caps are the feature."""
+    """At most so many rows of each key, one cap after the other: in ``order``, or in a seeded random one. Caps are the feature.
+
+    A cap without a key is on all rows: the first so many of each partition meet, not all rows.
+    """
     for keys, most in caps:
         place = [F.xxhash64(F.lit(seed), *order)] if seed is not None else order
-        df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*(keys or (F.lit(0),))).orderBy(*place))).where(F.col("_r") <= most).drop("_r")
+        if keys:
+            df = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*place))).where(F.col("_r") <= most).drop("_r")
+        else:
+            df = df.orderBy(*place).limit(most)
     return df
 
 
 def class_medians(tracks: DataFrame, *values: str, by: str = "class") -> DataFrame:
-    """Exact medians of each class of tracks."""
-    return tracks.groupBy(by).agg(F.count("*").alias("n"), *[F.percentile(v, 0.5).alias(v) for v in values])
+    """Exact medians of each class of tracks; null where a class has no value."""
+    out = tracks.groupBy(by).agg(F.count("*").alias("n"))
+    for v in values:
+        out = out.join(percentiles(tracks, v, [0.5], by).select(by, F.col(v)[0].alias(v)), by, "left")
+    return out.select(by, "n", *values)
 
 
 def filter_yield(tracks: DataFrame, spans: list[int], motions: list[float], by: str = "class") -> DataFrame:
@@ -237,3 +248,38 @@ def log_counts(lines: DataFrame, benign: str = r"deprecat|retry|reconnect") -> D
     v = F.lower("value")
     bad, warn, fine = v.rlike("error|fatal|traceback"), v.rlike("warn"), v.rlike(benign)
     return lines.agg(*[F.coalesce(F.sum(x.cast("long")), F.lit(0)).alias(n) for n, x in (("errors", bad & ~fine), ("warnings", warn & ~bad & ~fine), ("benign", (bad | warn) & fine))])
+
+
+def visible_share(x0: float, y0: float, x1: float, y1: float) -> Column:
+    """The part of a box's area (1 at least) that lies between two corners."""
+    w = F.least(F.col("left") + F.col("width"), F.lit(x1)) - F.greatest(F.col("left"), F.lit(x0))
+    h = F.least(F.col("top") + F.col("height"), F.lit(y1)) - F.greatest(F.col("top"), F.lit(y0))
+    return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) / F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
+
+
+def clamped_crops(det: DataFrame, frame: tuple[float, float], least: tuple[float, float], share: float, scale: float = 1.0, shift: float = 0.0) -> DataFrame:
+    """Boxes as whole pixels (halves to even) within the frame: x1, y1, x2, y2; small or mostly hidden ones go."""
+    at = {c: F.col(e) for c, e in (("x1", "left"), ("y1", "top"))} | {c: F.col(e) + F.col(n) for c, e, n in (("x2", "left", "width"), ("y2", "top", "height"))}
+    b = det.select("det_id", *[F.bround(v * scale + shift, 0).alias(k) for k, v in at.items()])
+    whole = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    b = b.select("det_id", whole.alias("whole"), *[F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(frame[i % 2])).alias(c) for i, c in enumerate(("x1", "y1", "x2", "y2"))])
+    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
+    return b.where((w >= least[0]) & (h >= least[1]) & (w * h >= share * F.col("whole"))).drop("whole")
+
+
+def normalised_boxes(det: DataFrame, frame: tuple[float, float], digits: int = 6) -> DataFrame:
+    """Centre and size as parts of the frame; a frame's equal boxes are one."""
+    x, y, w, h = (F.col(c) for c in ("left", "top", "width", "height"))
+    parts = {"cx": (x + w / 2) / frame[0], "cy": (y + h / 2) / frame[1], "bw": w / frame[0], "bh": h / frame[1]}
+    return det.select("cam_id", "frame_no", *[F.round(v, digits).alias(k) for k, v in parts.items()]).distinct()
+
+
+def track_quality(det: DataFrame, truth: DataFrame, least: float = 0.5, share: float = 0.2) -> DataFrame:
+    """Each track against the truth: part of its boxes on a true one, movement, span, mean height; class false below ``share``."""
+    best = box_pairs(truth, det).where(F.col("iou") >= least).select("det_id").distinct().withColumn("_hit", F.lit(1.0))
+    t = det.join(best, "det_id", "left").groupBy("cam_id", "local_track_id").agg(
+        F.avg(F.coalesce("_hit", F.lit(0.0))).alias("matched"),
+        F.hypot(F.stddev_pop(F.col("left") + F.col("width") / 2), F.stddev_pop(F.col("top") + F.col("height") / 2)).alias("motion"),
+        (F.max("frame_no") - F.min("frame_no")).alias("span"), F.avg("height").alias("height"),
+    )
+    return t.withColumn("class", F.when(F.col("matched") < share, "false").otherwise("true"))

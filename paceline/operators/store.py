@@ -116,10 +116,31 @@ def interpolate_boxes(det: DataFrame, step: int, offset: int = 0) -> DataFrame:
     return rows.select("cam_id", "local_track_id", F.col("f").alias("frame_no"), *lerp)
 
 
-def path_segments(path: DataFrame, jump: float, gap: int, least: int) -> DataFrame:
-    """Segments of each person's path: a jump or a gap starts a new one; short ones go."""
+def path_segments(path: DataFrame, jump: float, gap: int, least: int, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """Segments of each person's path: a jump or a gap starts a new one; short ones go.
+
+    With ``bounds`` (x from and to, y from and to) a path also breaks before and after each point beyond them.
+    """
     w = Window.partitionBy("global_id").orderBy("frame_no")
     far = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w)) > jump
-    late = F.col("frame_no") - F.lag("frame_no").over(w) > gap
-    d = path.withColumn("new", F.coalesce((far | late).cast("int"), F.lit(0))).withColumn("segment", F.sum("new").over(w))
+    cut = far | (F.col("frame_no") - F.lag("frame_no").over(w) > gap)
+    if bounds is not None:
+        path = path.withColumn("_in", F.col("x").between(*bounds[:2]) & F.col("y").between(*bounds[2:]))
+        cut = cut | (F.lag("_in").over(w).isNotNull() & (~F.col("_in") | ~F.lag("_in").over(w)))
+    d = path.withColumn("new", F.coalesce(cut.cast("int"), F.lit(0))).withColumn("segment", F.sum("new").over(w))
     return d.groupBy("global_id", "segment").agg(F.count("*").alias("n_points"), F.min("frame_no").alias("first_frame"), F.max("frame_no").alias("last_frame")).where(F.col("n_points") >= least)
+
+
+def person_means(tracklets: DataFrame, least_boxes: int = 6, least_vectors: int = 1) -> DataFrame:
+    """Unit mean vector, vectors and spans of each person, from tracklets weighted by their vectors.
+
+    Tracklets with fewer than ``least_boxes`` boxes stay out, then persons with fewer than
+    ``least_vectors`` vectors or a mean of length zero.  A person's spans are a row for each
+    tracklet.  tracklets: cam_id, global_id, start_frame, end_frame, num_detections, v, n.
+    """
+    t = tracklets.where((F.col("num_detections") >= least_boxes) & (F.size("v") > 0))
+    p = t.select("global_id", "n", F.posexplode("v").alias("i", "x")).groupBy("global_id", "i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"))
+    v = p.groupBy("global_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
+    v = v.withColumn("_norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).where("_norm > 0")
+    spans = t.groupBy("global_id").agg(F.sum("n").alias("n"), F.array_sort(F.collect_list(F.struct("cam_id", "start_frame", "end_frame"))).alias("spans"))
+    return v.join(spans.where(F.col("n") >= least_vectors), "global_id").select("global_id", F.transform("v", lambda x: x / F.col("_norm")).alias("v"), "n", "spans")

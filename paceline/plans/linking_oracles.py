@@ -79,15 +79,27 @@ ORACLES: dict[str, str] = {
       j AS (SELECT global_id, cam_id, frame_no, {_pixel('0.0', 'f')}, {_pixel('1700.0', 'h')} FROM m JOIN pos USING (global_id, frame_no) JOIN cam USING (cam_id))
       SELECT global_id, cam_id, frame_no, round((fu + hu) / 2 - abs(fv - hv) * 0.33::DOUBLE / 2, 3) + 0.0 AS "left", round(least(fv, hv), 3) + 0.0 AS "top", round(abs(fv - hv) * 0.33::DOUBLE, 3) AS "width", round(abs(fv - hv), 3) AS "height"
       FROM j WHERE fu BETWEEN 0 AND 640 AND greatest(fv, hv) BETWEEN 0 AND 360 AND hv IS NOT NULL""",
+    "span_fill": f"""WITH {_PATH}, y AS (SELECT global_id, frame_no AS f0, x AS x0, y AS y0, lead(frame_no) OVER o AS f1, lead(x) OVER o AS x1, lead(y) OVER o AS y1 FROM p WINDOW o AS (PARTITION BY global_id ORDER BY frame_no)),
+      e AS (SELECT *, unnest(generate_series(f0, coalesce(f1 - 1, f0))) AS f FROM y), pos AS (SELECT global_id, f AS frame_no, {_lerp('f', 'x')}, {_lerp('f', 'y')} FROM e),
+      s AS (SELECT DISTINCT global_id, cam_id, frame_no FROM dense WHERE global_id >= 0), o AS (SELECT global_id, cam_id FROM s GROUP BY 1, 2 HAVING count(*) >= 3),
+      m AS (SELECT * FROM pos JOIN o USING (global_id) ANTI JOIN s USING (global_id, cam_id, frame_no) WHERE frame_no <= 1000000),
+      j AS (SELECT global_id, cam_id, frame_no, {_pixel('0.0', 'f')}, {_pixel('1700.0', 'h')} FROM m JOIN cam USING (cam_id))
+      SELECT global_id, cam_id, frame_no, round((fu + hu) / 2 - abs(fv - hv) * 0.33::DOUBLE / 2, 3) + 0.0 AS "left", round(least(fv, hv), 3) + 0.0 AS "top", round(abs(fv - hv) * 0.33::DOUBLE, 3) AS "width", round(abs(fv - hv), 3) AS "height"
+      FROM j WHERE fu BETWEEN 0 AND 640 AND greatest(fv, hv) BETWEEN 0 AND 360 AND hv IS NOT NULL""",
     "smoothed_grid": f"""WITH {_DENSE}, {_cells(32, 18)}, allc AS (SELECT cam_id, CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy FROM (SELECT DISTINCT cam_id FROM grid), range(32) r(x), range(18) s(y)),
       a AS {_smooth('grid', 'gx', 32, 1.2)}, b AS {_smooth('a', 'gy', 18, 1.2)} SELECT cam_id, gx, gy, round(occupancy, 5) AS occupancy FROM b""",
     "grid_stats": f"""WITH {_DENSE}, {_cells(32, 18)}, r AS (SELECT *, row_number() OVER (PARTITION BY cam_id ORDER BY occupancy DESC, gy, gx) AS r, max(occupancy) OVER (PARTITION BY cam_id) AS m FROM grid)
       SELECT cam_id, max(m) AS peak, max(gx) FILTER (r = 1) AS peak_gx, max(gy) FILTER (r = 1) AS peak_gy, CAST(sum(occupancy) AS BIGINT) AS n_dets, round(count(*) FILTER (occupancy > 0.05 * m) / 576.0::DOUBLE, 6) AS occupied FROM r GROUP BY cam_id""",
-    "floor_histogram": f"""WITH {_PT}, e AS (SELECT quantile_cont(floor(x), 0.005) AS x0, quantile_cont(floor(x), 0.995) AS x1, quantile_cont(floor(y), 0.005) AS y0, quantile_cont(floor(y), 0.995) AS y1 FROM q)
+    "floor_histogram": f"""WITH {_PT}, e AS (SELECT quantile_cont(x, 0.005) AS x0, quantile_cont(x, 0.995) AS x1, quantile_cont(y, 0.005) AS y0, quantile_cont(y, 0.995) AS y1 FROM q)
       SELECT CAST(least(23, floor((x - x0) / (x1 - x0) * 24)) AS INTEGER) AS gx, CAST(least(23, floor((y - y0) / (y1 - y0) * 24)) AS INTEGER) AS gy, count(*) AS occupancy FROM q, e
       WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY 1, 2""",
-    "footprint_bounds": f"""WITH {_PT}, e AS (SELECT quantile_cont(floor(x), 0.25) AS x0, quantile_cont(floor(x), 0.75) AS x1, quantile_cont(floor(y), 0.25) AS y0, quantile_cont(floor(y), 0.75) AS y1 FROM q)
-      SELECT round(x0 - 1.6 * (x1 - x0), 3) AS x_low, round(x1 + 1.6 * (x1 - x0), 3) AS x_high, round(y0 - 1.6 * (y1 - y0), 3) AS y_low, round(y1 + 1.6 * (y1 - y0), 3) AS y_high FROM e""",
+    "footprint_bounds": f"""WITH {_PT}, e AS (SELECT quantile_cont(x, 0.25) AS x0, quantile_cont(x, 0.75) AS x1, quantile_cont(y, 0.25) AS y0, quantile_cont(y, 0.75) AS y1, min(x) AS xa, max(x) AS xb, min(y) AS ya, max(y) AS yb FROM q),
+      w AS (SELECT *, 1.6 * greatest(x1 - x0, 0.001) AS xw, 1.6 * greatest(y1 - y0, 0.001) AS yw FROM e)
+      SELECT round(greatest(xa, x0 - xw), 3) AS x_low, round(least(xb, x1 + xw), 3) AS x_high, round(greatest(ya, y0 - yw), 3) AS y_low, round(least(yb, y1 + yw), 3) AS y_high FROM w""",
+    "walked_area": f"""WITH {_PT}, e AS (SELECT quantile_cont(x, 0.02) AS x0, quantile_cont(x, 0.98) AS x1, quantile_cont(y, 0.02) AS y0, quantile_cont(y, 0.98) AS y1 FROM q)
+      SELECT round(x0 - 0.12 * (x1 - x0), 3) AS x_low, round(x1 + 0.12 * (x1 - x0), 3) AS x_high, round(y0 - 0.12 * (y1 - y0), 3) AS y_low, round(y1 + 0.12 * (y1 - y0), 3) AS y_high FROM e""",
+    "zone_percentiles": f"""WITH {_DET} SELECT zone, round(min(t + h), 4) AS low, round(quantile_cont(t + h, 0.25), 4) AS q1, round(quantile_cont(t + h, 0.5), 4) AS "median", round(quantile_cont(t + h, 0.75), 4) AS q3, round(max(t + h), 4) AS high
+      FROM det GROUP BY zone""",
     "live_grid": f"""WITH {_DENSE}, {_cells(32, 18)}, m AS (SELECT cam_id, max(frame_no) AS f FROM cells GROUP BY 1)
       SELECT cam_id, gx, gy, round(sum(power(0.96::DOUBLE, f - frame_no)), 6) AS heat FROM cells JOIN m USING (cam_id) GROUP BY 1, 2, 3""",
     "time_lapse": f"""WITH {_DENSE}, {_cells(16, 9)}, e AS (SELECT min(frame_no) AS f0, max(frame_no) AS f1 FROM cells),

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, iou, unit
-from ..operators import grids, linking, paths, store
+from ..functions.geometry import unit
+from ..operators import grids, linking, paths, projections, store
 from .queries import CAMERA, CAMERAS, _dense, _det, _events, _located, _truth, query
 
 
@@ -83,6 +83,13 @@ def occlusion_fill(s, d):
     return f.select("global_id", "cam_id", "frame_no", *[F.round(c, 3).alias(c) for c in ("left", "top", "width", "height")])
 
 
+@query
+def span_fill(s, d):
+    """Boxes for cameras with 3 frames of a person, in all other frames of the person's path."""
+    f = paths.span_fill(_dense(s, d), _path(s, d), s.createDataFrame(CAMERAS, CAMERA), 3, 1_000_000, (640.0, 360.0), 1700.0, 0.33)
+    return f.select("global_id", "cam_id", "frame_no", *[F.round(c, 3).alias(c) for c in ("left", "top", "width", "height")])
+
+
 @query
 def smoothed_grid(s, d):
     return grids.smoothed(_grid(s, d, 32, 18), 32, 18, 1.2).select("cam_id", "gx", "gy", F.round("occupancy", 5).alias("occupancy"))
@@ -104,6 +111,19 @@ def footprint_bounds(s, d):
     return b.select(*[F.round(c, 3).alias(c) for c in b.columns])
 
 
+@query
+def walked_area(s, d):
+    b = grids.walked_area(_points(s, d))
+    return b.select(*[F.round(c, 3).alias(c) for c in b.columns])
+
+
+@query
+def zone_percentiles(s, d):
+    """Quartiles and the ends of the foot's height in the frame, of each zone."""
+    q = grids.percentiles(_det(s, d).withColumn("foot", F.col("top") + F.col("height")), "foot", [0.0, 0.25, 0.5, 0.75, 1.0], "zone")
+    return q.select("zone", *[F.round(F.col("foot")[i], 4).alias(n) for i, n in enumerate(("low", "q1", "median", "q3", "high"))])
+
+
 @query
 def live_grid(s, d):
     return grids.decayed(_cells(s, d, 32, 18), 0.96).select("cam_id", "gx", "gy", F.round("heat", 6).alias("heat"))
@@ -183,11 +203,8 @@ def retrieval_scores_all(s, d):
 @query
 def gid_summaries(s, d):
     """Means of tracklet vectors weighted by boxes, of tracklets of 6 boxes or more, by person."""
-    t = store.tracklets(_dense(s, d)).where("num_detections >= 6")
-    p = _with_vector(t, "tracklet_id", _vectors(s, d)).select("global_id", "num_detections", F.posexplode("v").alias("i", "x"))
-    m = p.groupBy("global_id", "i").agg((F.sum(F.col("x") * F.col("num_detections")) / F.sum("num_detections")).alias("x"))
-    n = m.groupBy("global_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("n")).where("n > 0")
-    return m.join(n, "global_id").select("global_id", "i", F.round(F.col("x") / F.col("n"), 5).alias("x"))
+    t = _with_vector(store.tracklets(_dense(s, d)), "tracklet_id", _vectors(s, d)).withColumn("n", F.col("num_detections"))
+    return store.person_means(t).select("global_id", F.posexplode("v").alias("i", "x")).withColumn("x", F.round("x", 5))
 
 
 @query
@@ -222,32 +239,20 @@ def buffered_ids(s, d):
 @query
 def crop_clamp(s, d):
     """Boxes at one and a half times the size, rounded half to even and clamped; small or mostly hidden ones go."""
-    r = {c: F.bround(F.col(e) * 1.5 - 30.0, 0) for c, e in (("x1", "left"), ("y1", "top"))}
-    r |= {c: F.bround((F.col(e) + F.col(n)) * 1.5 - 30.0, 0) for c, e, n in (("x2", "left", "width"), ("y2", "top", "height"))}
-    b = _det(s, d).select("det_id", *[v.alias(k) for k, v in r.items()])
-    whole = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
-    clamp = lambda c, n: F.least(F.greatest(F.col(c), F.lit(0.0)), F.lit(n))
-    b = b.select("det_id", whole.alias("whole"), clamp("x1", 640.0).alias("x1"), clamp("y1", 360.0).alias("y1"), clamp("x2", 640.0).alias("x2"), clamp("y2", 360.0).alias("y2"))
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return b.where((w >= 16) & (h >= 32) & (w * h >= 0.6 * F.col("whole"))).drop("whole")
+    return projections.clamped_crops(_det(s, d), (640.0, 360.0), (16, 32), 0.6, 1.5, -30.0)
 
 
 @query
 def normalised_boxes(s, d):
     """Centre and size as parts of the frame, to 6 digits; a frame's equal boxes are one."""
-    x, y, w, h = (F.col(c) for c in ("left", "top", "width", "height"))
-    parts = {"cx": (x + w / 2) / 640, "cy": (y + h / 2) / 360, "bw": w / 640, "bh": h / 360}
-    return _dense(s, d).select("cam_id", "frame_no", *[F.round(v, 6).alias(k) for k, v in parts.items()]).distinct()
+    return projections.normalised_boxes(_dense(s, d), (640, 360))
 
 
 @query
 def rescaled_boxes(s, d):
     """Cameras whose boxes reach 5 % less or more than the truth's are scaled to it."""
-    reach = lambda t, n: t.groupBy("cam_id").agg(F.max(F.col("left") + F.col("width")).alias(f"{n}x"), F.max(F.col("top") + F.col("height")).alias(f"{n}y"))
-    small = _dense(s, d).select("det_id", "cam_id", *[(F.col(c) * F.when(F.col("cam_id") == 1, 0.5).otherwise(1.0)).alias(c) for c in ("left", "top", "width", "height")])
-    j = small.join(reach(_truth(s, d), "g"), "cam_id").join(reach(small, "p"), "cam_id")
-    factor = lambda a: F.when(F.abs(F.col(f"g{a}") / F.col(f"p{a}") - 1) > 0.05, F.col(f"g{a}") / F.col(f"p{a}")).otherwise(1.0)
-    return j.select("det_id", *[F.round(F.col(c) * factor(a), 4).alias(c) for c, a in (("left", "x"), ("top", "y"), ("width", "x"), ("height", "y"))])
+    small = _dense(s, d).select("det_id", "cam_id", *[(F.col(c) * F.when(F.col("cam_id") == 1, 0.5).otherwise(1.0)).alias(c) for c in projections.BOX])
+    return projections.rescaled(small, _truth(s, d)).select("det_id", *[F.round(c, 4).alias(c) for c in projections.BOX])
 
 
 @query
@@ -268,15 +273,8 @@ def assignment_join(s, d):
 
 @query
 def track_stats(s, d):
-    """Each track against the truth: part of its boxes on a true one, movement, span, height, and class."""
-    a, b = _dense(s, d).alias("a"), _truth(s, d).alias("b")
-    best = a.join(b, (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.frame_no") == F.col("b.frame_no"))).groupBy(F.col("a.det_id").alias("det_id")).agg(F.max(iou(box("a"), box("b"))).alias("iou"))
-    t = _dense(s, d).join(best, "det_id", "left").groupBy("cam_id", "local_track_id").agg(
-        F.avg((F.coalesce("iou", F.lit(0.0)) >= 0.5).cast("double")).alias("matched"),
-        F.hypot(F.stddev_pop(F.col("left") + F.col("width") / 2), F.stddev_pop(F.col("top") + F.col("height") / 2)).alias("motion"),
-        (F.max("frame_no") - F.min("frame_no")).alias("span"), F.avg("height").alias("height"),
-    )
-    return t.select("cam_id", "local_track_id", F.round("matched", 6).alias("matched"), F.round("motion", 4).alias("motion"), "span", F.round("height", 4).alias("height"), F.when(F.col("matched") < 0.2, "false").otherwise("true").alias("class"))
+    t = projections.track_quality(_dense(s, d), _truth(s, d))
+    return t.select("cam_id", "local_track_id", F.round("matched", 6).alias("matched"), F.round("motion", 4).alias("motion"), "span", F.round("height", 4).alias("height"), "class")
 
 
 @query

@@ -137,6 +137,10 @@ ORACLES: dict[str, str] = {
       b AS (SELECT *, CASE WHEN sqrt(power(x - lag(x) OVER o, 2) + power(y - lag(y) OVER o, 2)) > 4000 OR frame_no - lag(frame_no) OVER o > 200000 THEN 1 ELSE 0 END AS brk FROM p WINDOW o AS (PARTITION BY global_id ORDER BY frame_no)),
       s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY global_id ORDER BY frame_no) AS BIGINT) AS segment FROM b)
       SELECT global_id, segment, count(*) AS n_points, min(frame_no) AS first_frame, max(frame_no) AS last_frame FROM s GROUP BY 1, 2 HAVING count(*) >= 3""",
+    "bounded_segments": f"""WITH {_DET}, {_world('det')}, p AS (SELECT global_id, frame_no, avg(x) AS x, avg(y) AS y FROM pt WHERE x IS NOT NULL GROUP BY 1, 2), i AS (SELECT *, x BETWEEN -3000 AND 3000 AND y BETWEEN -3000 AND 3000 AS inside FROM p),
+      b AS (SELECT *, CASE WHEN lag(x) OVER o IS NOT NULL AND (sqrt(power(x - lag(x) OVER o, 2) + power(y - lag(y) OVER o, 2)) > 4000 OR frame_no - lag(frame_no) OVER o > 200000 OR NOT inside OR NOT lag(inside) OVER o) THEN 1 ELSE 0 END AS brk FROM i WINDOW o AS (PARTITION BY global_id ORDER BY frame_no)),
+      s AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY global_id ORDER BY frame_no) AS BIGINT) AS segment FROM b)
+      SELECT global_id, segment, count(*) AS n_points, min(frame_no) AS first_frame, max(frame_no) AS last_frame FROM s GROUP BY 1, 2""",
     "occlusion_gaps": f"""WITH {_DENSE}, p AS (SELECT DISTINCT global_id, frame_no FROM dense), n AS (SELECT *, lead(frame_no) OVER (PARTITION BY global_id ORDER BY frame_no) - frame_no AS gap FROM p)
       SELECT global_id, CAST(sum(gap - 1) AS BIGINT) AS missing FROM n WHERE gap > 1 AND gap <= 200 GROUP BY global_id""",
     "gt_union_frames": f"WITH {_TRUTH}, u AS (SELECT cam_id, frame_no FROM gt UNION SELECT cam_id, frame_no FROM dense) SELECT cam_id, count(*) AS n_frames FROM u GROUP BY cam_id",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import closeness, foot, ground_point, pixel_of
-from ..operators import identity, pairs, regions, store
+from ..operators import identity, pairs, projections, regions, store
 from ..sources import tracking
 
 FPS, GAP, BUCKET = 1.0, 43_200, 86_400.0
@@ -185,27 +185,14 @@ def box_area_grid(s, d):
 @query
 def box_filter(s, d):
     """Difficulty filter: at least 8 by 20 pixels and 30 % of the area in the frame."""
-    w = F.least(F.col("left") + F.col("width"), F.lit(600.0)) - F.greatest(F.col("left"), F.lit(10.0))
-    h = F.least(F.col("top") + F.col("height"), F.lit(300.0)) - F.greatest(F.col("top"), F.lit(10.0))
-    seen = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) / F.greatest(F.col("width") * F.col("height"), F.lit(1.0))
+    seen = projections.visible_share(10.0, 10.0, 600.0, 300.0)
     return _det(s, d).where((F.col("width") >= 8) & (F.col("height") >= 20) & (seen >= 0.3)).select("det_id", F.round(seen, 6).alias("visible"))
 
 
 @query
 def quality_gate(s, d):
     """First reason against using a box's vector, in fixed order."""
-    a, b = _dense(s, d).alias("a"), _dense(s, d).alias("b")
-    near = (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.frame_no") == F.col("b.frame_no")) & (F.col("a.det_id") != F.col("b.det_id"))
-    from ..functions.geometry import box, iou
-
-    most = a.join(b, near).groupBy(F.col("a.det_id").alias("det_id")).agg(F.max(iou(box("a"), box("b"))).alias("overlap"))
-    r, x, y, w, h = _dense(s, d), F.col("left"), F.col("top"), F.col("width"), F.col("height")
-    edge = (x < 640 * 0.005) | (y < 360 * 0.005) | (x + w > 640 * 0.995) | (y + h > 360 * 0.995)
-    reason = (
-        F.when(edge, "edge_crop").when(h < 360 * 0.18, "small_height").when(w * h < 640 * 360 * 0.008, "small_area")
-        .when(w / h < 0.3, "thin_crop").when(w / h > 0.8, "wide_or_merged_crop").when(F.coalesce("overlap", F.lit(0.0)) > 0.25, "overlap_iou").otherwise("ok")
-    )
-    return r.join(most, "det_id", "left").select("det_id", reason.alias("reason"))
+    return projections.vector_quality(_dense(s, d), (640, 360), 0.005, 0.18, 0.008, (0.3, 0.8)).select("det_id", "reason")
 
 
 @query
@@ -316,10 +303,19 @@ def box_interp_all(s, d):
     return box_interp(s, d)
 
 
+def _paths(s: SparkSession, d: str) -> DataFrame:
+    return _located(s, _det(s, d)).where("x is not null").groupBy("global_id", "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
 @query
 def path_segments(s, d):
-    p = _located(s, _det(s, d)).where("x is not null").groupBy("global_id", "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    return store.path_segments(p, 4000.0, 200_000, 3)
+    return store.path_segments(_paths(s, d), 4000.0, 200_000, 3)
+
+
+@query
+def bounded_segments(s, d):
+    """Segments that also break where a path leaves a part of the floor."""
+    return store.path_segments(_paths(s, d), 4000.0, 200_000, 1, (-3000.0, 3000.0, -3000.0, 3000.0))
 
 
 @query

@@ -17,10 +17,22 @@ def session_visits(events: DataFrame, gap: str, late: str) -> DataFrame:
     return s.agg(F.min("event_time").alias("t_start"), F.max("event_time").alias("t_end"), F.count("*").alias("n_dets")).drop("w")
 
 
-def chunk_counts(events: DataFrame, length: str, late: str) -> DataFrame:
-    """Detections and persons (approximately) of each camera in tumbling windows."""
-    w = events.withWatermark("event_time", late).groupBy(F.window("event_time", length).alias("w"), "cam_id")
-    return w.agg(F.count("*").alias("n_dets"), F.approx_count_distinct("global_id").alias("n_gids")).select("cam_id", F.col("w.start").alias("start"), "n_dets", "n_gids")
+def chunk_counts(events: DataFrame, length: str, late: str, slide: str | None = None) -> DataFrame:
+    """Detections and persons of each camera in windows of ``length``, tumbling or a ``slide`` apart.
+
+    Persons are counted exactly: the state of a window holds the ids that one camera shows in it.
+    A rolling window over the last k chunks has k times a chunk as length and a chunk as slide.
+    """
+    w = events.withWatermark("event_time", late).groupBy(F.window("event_time", length, slide).alias("w"), "cam_id")
+    return w.agg(F.count("*").alias("n_dets"), F.size(F.collect_set("global_id")).cast("long").alias("n_gids")).select("cam_id", F.col("w.start").alias("start"), "n_dets", "n_gids")
+
+
+def drain(stream: DataFrame, sink: str, path: str, checkpoint: str, seconds: float | None = None) -> bool:
+    """Writes all that a stream has by now and stops; after ``seconds`` it stops in any case. Whether it was through."""
+    q = stream.writeStream.format(sink).outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    done = q.awaitTermination(seconds) is not False
+    q.stop()
+    return done
 
 
 class Gallery(StatefulProcessor):

@@ -44,6 +44,20 @@ def test_chunk_counts(feed, tmp_path):
     assert {(r.cam_id, r.start.replace(tzinfo=None), r.n_dets, r.n_gids) for r in got} == {(0, at(0), 3, 2), (0, at(10), 1, 1), (1, at(0), 1, 1)}
 
 
+def test_rolling_counts(feed, tmp_path):
+    """A window over the last two chunks; more persons than an approximate count gets right are counted exactly."""
+    events = [[(at(k % 10), 0, k) for k in range(3000)], [(at(12), 0, 1), (at(13), 0, 7000)], [(at(500), 0, 9)]]
+    got = run(streams.chunk_counts(feed(events, "event_time timestamp, cam_id int, global_id long"), "20 seconds", "20 seconds", "10 seconds"), "rolling", tmp_path)
+    assert {(r.start.replace(tzinfo=None), r.n_dets, r.n_gids) for r in got} == {(at(-10), 3000, 3000), (at(0), 3002, 3001), (at(10), 2, 2)}
+
+
+def test_drain(spark, feed, tmp_path):
+    stream = feed([[(1,), (2,)], [(3,)]], "a long")
+    for _ in range(2):  # what has been written once is not written again
+        assert streams.drain(stream, "parquet", str(tmp_path / "out"), str(tmp_path / "state"), 120)
+        assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
+
+
 def test_live_gallery(spark, feed, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
