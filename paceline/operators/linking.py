@@ -7,6 +7,7 @@ kernel over one scene's, group's or frame's rows.
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -352,18 +353,33 @@ def ward(x: np.ndarray, k: int) -> np.ndarray:
     return np.unique([find(i) for i in range(n)], return_inverse=True)[1]
 
 
-def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int = 64) -> DataFrame:
-    """(group, window, det_id, cluster): boxes of each window by anchor banks of appearance.
+def _voted(places: pd.DataFrame, label: np.ndarray, span: int) -> np.ndarray:
+    """The commonest label among the ``span`` rows around each row of a camera's track; of ties the first met."""
+    out = label.copy()
+    for rows in places.groupby(["cam_id", "local_track_id"]).indices.values():
+        own = label[rows]
+        for i, r in enumerate(rows):
+            out[r] = Counter(own[max(0, i - span // 2) : i + span // 2 + 1].tolist()).most_common(1)[0][0]
+    return out
 
-    ``anchors`` frames evenly over the window give the vectors that are clustered; there
+
+def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int = 64, chunks: int = 1, vote: int | None = None) -> DataFrame:
+    """(group, window, det_id, cluster, current): boxes of each window by anchor banks of appearance.
+
+    A window is ``chunks`` chunks of ``window`` frames and bears its last chunk's number;
+    boxes of that chunk are ``current``.  ``anchors`` frames evenly over the window give the vectors that are clustered; there
     are as many clusters as the most boxes that one camera shows at once.  Each frame of a
     camera is then assigned to banks one to one by mean cosine distance; boxes beyond the
-    number of banks take the nearest.  A group is one window of a camera group, whose rows
-    are bounded by its length.  det: group, cam_id, frame_no, det_id, v (unit vectors).
+    number of banks take the nearest.  With ``vote`` a box takes the commonest cluster of so
+    many boxes around it in its track.  A group is one window of a camera group, whose rows
+    are bounded by its length.  det: group, cam_id, frame_no, det_id, v (unit vectors), and
+    local_track_id for votes.
     """
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_no", "cam_id", "det_id"])
+        if not pdf.current.any():  # after a group's last chunk
+            return pd.DataFrame({c: [] for c in names})
+        pdf = pdf.sort_values(["frame_no", "cam_id", "det_id"]).reset_index(drop=True)
         v = np.stack(pdf.v.to_list())
         frames = np.unique(pdf.frame_no)
         picked = np.isin(pdf.frame_no, frames[np.linspace(0, len(frames) - 1, min(anchors, len(frames))).astype(int)])
@@ -378,54 +394,78 @@ def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int =
         for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
             for r, c in assign(cost[lo:hi]):
                 cluster[lo + r] = c
-        return pd.DataFrame({"group": key[0], "window": key[1], "det_id": pdf.det_id, "cluster": cluster})
+        if vote is not None:
+            cluster = _voted(pdf, cluster, vote)
+        return pd.DataFrame({"group": key[0], "window": key[1], "det_id": pdf.det_id, "cluster": cluster, "current": pdf.current})
 
-    d = det.where("v is not null").withColumn("window", F.floor(F.col("frame_no") / window))
-    return d.groupBy("group", "window").applyInPandas(kernel, "group long, window long, det_id long, cluster long")
+    names = ["group", "window", "det_id", "cluster", "current"]
+    d = det.where("v is not null").withColumn("_chunk", F.floor(F.col("frame_no") / window))
+    d = d.withColumn("window", F.explode(F.sequence("_chunk", F.col("_chunk") + chunks - 1))).withColumn("current", F.col("window") == F.col("_chunk")).drop("_chunk")
+    return d.groupBy("group", "window").applyInPandas(kernel, "group long, window long, det_id long, cluster long, current boolean")
 
 
-def stitch_windows(centres: DataFrame, gate: float) -> DataFrame:
+def stitch_windows(centres: DataFrame, gate: float, age: int | None = None) -> DataFrame:
     """(group, window, cluster, global_id): clusters of successive windows as persistent persons.
 
     A window's clusters are assigned one to one to the persons so far, and taken within the
     ``gate`` on 1 - cosine; others are new.  Centroids are means weighted by windows.  A
-    group's centroids, not its boxes, are one task.  centres: group, window, cluster, v.
+    group's centroids pass through a task in order; it holds one window and the persons,
+    and with ``age`` none that has not been seen for more windows than that.
+    centres: group, window, cluster, v.
     """
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        known: list[np.ndarray] = []
-        seen: list[int] = []
+    def step(state: dict, at: int, g: pd.DataFrame) -> list[tuple]:
+        if age is not None:
+            state["known"] = [k for k in state["known"] if at - k[3] <= age]
+        known, v, taken = state["known"], np.stack(g.v.to_list()), {}
+        if known:
+            cost = 1 - v @ np.stack([k[1] for k in known]).T
+            taken = {r: c for r, c in assign(cost) if cost[r, c] <= gate}
         out = []
-        for at, g in pdf.sort_values(["window", "cluster"]).groupby("window"):
-            v = np.stack(g.v.to_list())
-            taken = {}
-            if known:
-                cost = 1 - v @ np.stack(known).T
-                taken = {r: c for r, c in assign(cost) if cost[r, c] <= gate}
-            for r, cluster in enumerate(g.cluster):
-                if r in taken:
-                    c = taken[r]
-                    mean = known[c] * seen[c] + v[r]
-                    known[c], seen[c] = mean / max(np.linalg.norm(mean), 1e-12), seen[c] + 1
-                else:
-                    c = len(known)
-                    known.append(v[r])
-                    seen.append(1)
-                out.append((key[0], at, cluster, c + 1))
-        return pd.DataFrame(out, columns=["group", "window", "cluster", "global_id"])
-
-    return centres.groupBy("group").applyInPandas(kernel, "group long, window long, cluster long, global_id long")
-
-
-def buffered_ids(det: DataFrame, window: int, gate: float) -> DataFrame:
-    """(det_id, global_id) by window clusters that are stitched to persons."""
-    c = window_clusters(det, window)
+        for r, cluster in enumerate(g.cluster):
+            if r in taken:
+                who, mean, n, _ = known[taken[r]]
+                mean = mean * n + v[r]
+                known[taken[r]] = (who, mean / max(np.linalg.norm(mean), 1e-12), n + 1, at)
+            else:
+                who, state["next"] = state["next"], state["next"] + 1
+                known.append((who, v[r], 1, at))
+            out.append((at, cluster, who))
+        return out
+
+    def run(batches):
+        group, state, rest = None, {}, None
+        for batch in batches:
+            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(batch):
+                continue
+            whole = (batch.group != batch.group.iloc[-1]) | (batch.window != batch.window.iloc[-1])
+            rest, done = batch[~whole], batch[whole]
+            out = []
+            for (g, at), rows in done.groupby(["group", "window"], sort=False):
+                if g != group:
+                    group, state = g, {"known": [], "next": 1}
+                out += [(g, *x) for x in step(state, at, rows)]
+            yield pd.DataFrame(out, columns=names)
+        if rest is not None and len(rest):
+            if rest.group.iloc[0] != group:
+                state = {"known": [], "next": 1}
+            yield pd.DataFrame([(rest.group.iloc[0], *x) for x in step(state, rest.window.iloc[0], rest)], columns=names)
+
+    names = ["group", "window", "cluster", "global_id"]
+    c = centres.select("group", "window", "cluster", "v").repartition("group").sortWithinPartitions("group", "window", "cluster")
+    return c.mapInPandas(run, "group long, window long, cluster long, global_id long")
+
+
+def buffered_ids(det: DataFrame, window: int, gate: float, chunks: int = 1, vote: int | None = None, age: int | None = None) -> DataFrame:
+    """(det_id, global_id) by window clusters that are stitched to persons; a box has the id that its own chunk's window gives it."""
+    c = window_clusters(det, window, chunks=chunks, vote=vote)
     d = c.join(det.select("det_id", "v"), "det_id")
     parts = d.select("group", "window", "cluster", F.posexplode("v").alias("i", "x")).groupBy("group", "window", "cluster", "i").agg(F.avg("x").alias("x"))
     whole = parts.groupBy("group", "window", "cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("v"))
     norm = F.sqrt(dot(F.col("v"), F.col("v")))
     whole = whole.withColumn("n", norm).where("n > 0").withColumn("v", F.transform("v", lambda x: x / F.col("n"))).drop("n")
-    return c.join(stitch_windows(whole, gate), ["group", "window", "cluster"]).select("det_id", "global_id")
+    return c.where("current").join(stitch_windows(whole, gate, age), ["group", "window", "cluster"]).select("det_id", "global_id")
 
 
 def retrieval(vectors: DataFrame, queries: DataFrame) -> DataFrame:

@@ -232,8 +232,10 @@ def constrained_links(s, d):
 
 @query
 def buffered_ids(s, d):
-    det = _dense(s, d).select("det_id", "cam_id", "frame_no", (F.col("cam_id") % 2).cast("long").alias("group"))
-    return linking.buffered_ids(_with_vector(det, "det_id", _vectors(s, d)), 50, 0.5)
+    """Windows of two chunks of 50 frames, in groups of two cameras and 1000 frames (as a site and a day)."""
+    group = (F.floor(F.col("frame_no") / 1000) * 2 + F.col("cam_id") % 2).cast("long").alias("group")
+    det = _dense(s, d).select("det_id", "cam_id", "local_track_id", "frame_no", group)
+    return linking.buffered_ids(_with_vector(det, "det_id", _vectors(s, d)), 50, 0.5, chunks=2, vote=5)
 
 
 @query

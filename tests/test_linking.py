@@ -83,6 +83,30 @@ def test_buffered_ids_follow_persons(spark):
     assert len(pairs) == 3 == len({g for g, _ in pairs}) and got.count() == len(rows)
 
 
+def test_rolling_windows_and_votes(spark):
+    """A chunk without a person's anchor is clustered with the chunk before; a stray box follows its track."""
+    a, b = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    rows = [(0, 0, f, 2 * f, 1, a) for f in range(40)] + [(0, 0, f, 2 * f + 1, 2, b if f != 13 else a) for f in range(40)]
+    rows += [(1, 0, 5, 900, 1, a)]
+    d = spark.createDataFrame(rows, "group long, cam_id int, frame_no long, det_id long, local_track_id long, v array<double>")
+    c = linking.window_clusters(d, 10, chunks=2, vote=5).collect()
+    per = {w: sum(r.group == 0 and r.window == w for r in c) for w in range(5)}
+    assert per == {0: 20, 1: 40, 2: 40, 3: 40, 4: 0}
+    assert {w: sum(r.current for r in c if r.group == 0 and r.window == w) for w in range(4)} == dict.fromkeys(range(4), 20)
+    got = {r.det_id: r.global_id for r in linking.buffered_ids(d, 10, 0.5, chunks=2, vote=5).collect()}
+    assert len(got) == len(rows)
+    assert len({got[2 * f] for f in range(40)}) == 1 == len({got[2 * f + 1] for f in range(40)}) and got[0] != got[1]
+
+
+def test_stitched_persons_age_out(spark):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    centres = spark.createDataFrame([(0, 0, 0, a), (0, 0, 1, b), (0, 1, 0, b), (0, 9, 0, a), (1, 3, 0, a)], "group long, window long, cluster long, v array<double>")
+    ids = lambda age: {(r.group, r.window, r.cluster): r.global_id for r in linking.stitch_windows(centres, 0.5, age).collect()}
+    assert ids(None) == {(0, 0, 0): 1, (0, 0, 1): 2, (0, 1, 0): 2, (0, 9, 0): 1, (1, 3, 0): 1}
+    assert ids(5) == {(0, 0, 0): 1, (0, 0, 1): 2, (0, 1, 0): 2, (0, 9, 0): 3, (1, 3, 0): 1}
+    assert linking.stitch_windows(centres.limit(0), 0.5).count() == 0
+
+
 def test_buffered_query_takes_every_box(spark):
     got = QUERIES["buffered_ids"](spark, DIR)
     assert got.agg(F.count("*"), F.countDistinct("det_id")).first()[0:2] == (spark.read.parquet(f"{DIR}/events.parquet").count(),) * 2
