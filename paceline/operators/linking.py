@@ -363,6 +363,25 @@ def _voted(places: pd.DataFrame, label: np.ndarray, span: int) -> np.ndarray:
     return out
 
 
+def cluster_window(rows: pd.DataFrame, anchors: int = 40, bank: int = 64, vote: int | None = None) -> np.ndarray:
+    """The cluster of each box of one window, as window_clusters tells; rows in the order of frame_no, cam_id, det_id."""
+    v = np.stack(rows.v.to_list())
+    frames = np.unique(rows.frame_no)
+    picked = np.isin(rows.frame_no, frames[np.linspace(0, len(frames) - 1, min(anchors, len(frames))).astype(int)])
+    k = min(int(rows.groupby(["frame_no", "cam_id"]).size().max()), int(picked.sum()))
+    label = ward(v[picked], k)
+    held = [v[picked][label == c] for c in range(label.max() + 1)]
+    held = [b[np.linspace(0, len(b) - 1, min(bank, len(b))).astype(int)].mean(0) for b in held]
+    cost = 1 - v @ np.stack(held).T
+    cluster = cost.argmin(1)
+    place = rows[["frame_no", "cam_id"]].to_numpy()
+    cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        for r, c in assign(cost[lo:hi]):
+            cluster[lo + r] = c
+    return cluster if vote is None else _voted(rows, cluster, vote)
+
+
 def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int = 64, chunks: int = 1, vote: int | None = None) -> DataFrame:
     """(group, window, det_id, cluster, current): boxes of each window by anchor banks of appearance.
 
@@ -380,22 +399,7 @@ def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int =
         if not pdf.current.any():  # after a group's last chunk
             return pd.DataFrame({c: [] for c in names})
         pdf = pdf.sort_values(["frame_no", "cam_id", "det_id"]).reset_index(drop=True)
-        v = np.stack(pdf.v.to_list())
-        frames = np.unique(pdf.frame_no)
-        picked = np.isin(pdf.frame_no, frames[np.linspace(0, len(frames) - 1, min(anchors, len(frames))).astype(int)])
-        k = min(int(pdf.groupby(["frame_no", "cam_id"]).size().max()), int(picked.sum()))
-        label = ward(v[picked], k)
-        held = [v[picked][label == c] for c in range(label.max() + 1)]
-        held = [b[np.linspace(0, len(b) - 1, min(bank, len(b))).astype(int)].mean(0) for b in held]
-        cost = 1 - v @ np.stack(held).T
-        cluster = cost.argmin(1)
-        place = pdf[["frame_no", "cam_id"]].to_numpy()
-        cuts = np.flatnonzero((place[1:] != place[:-1]).any(1)) + 1
-        for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-            for r, c in assign(cost[lo:hi]):
-                cluster[lo + r] = c
-        if vote is not None:
-            cluster = _voted(pdf, cluster, vote)
+        cluster = cluster_window(pdf, anchors, bank, vote)
         return pd.DataFrame({"group": key[0], "window": key[1], "det_id": pdf.det_id, "cluster": cluster, "current": pdf.current})
 
     names = ["group", "window", "det_id", "cluster", "current"]
@@ -404,6 +408,26 @@ def window_clusters(det: DataFrame, window: int, anchors: int = 40, bank: int =
     return d.groupBy("group", "window").applyInPandas(kernel, "group long, window long, det_id long, cluster long, current boolean")
 
 
+def stitched(known: list[tuple], fresh: int, at: int, v: np.ndarray, gate: float, age: int | None) -> tuple[list[tuple], list[int]]:
+    """Persons (id, unit centroid, windows, last window) after a window with centres ``v``, and the person of each; new ones count from ``fresh``."""
+    known = [k for k in known if age is None or at - k[3] <= age]
+    taken: dict[int, int] = {}
+    if known:
+        cost = 1 - v @ np.stack([k[1] for k in known]).T
+        taken = {r: c for r, c in assign(cost) if cost[r, c] <= gate}
+    who = []
+    for r in range(len(v)):
+        if r in taken:
+            gid, mean, n, _ = known[taken[r]]
+            mean = mean * n + v[r]
+            known[taken[r]] = (gid, mean / max(np.linalg.norm(mean), 1e-12), n + 1, at)
+        else:
+            gid, fresh = fresh, fresh + 1
+            known.append((gid, v[r], 1, at))
+        who.append(gid)
+    return known, who
+
+
 def stitch_windows(centres: DataFrame, gate: float, age: int | None = None) -> DataFrame:
     """(group, window, cluster, global_id): clusters of successive windows as persistent persons.
 
@@ -415,23 +439,9 @@ def stitch_windows(centres: DataFrame, gate: float, age: int | None = None) -> D
     """
 
     def step(state: dict, at: int, g: pd.DataFrame) -> list[tuple]:
-        if age is not None:
-            state["known"] = [k for k in state["known"] if at - k[3] <= age]
-        known, v, taken = state["known"], np.stack(g.v.to_list()), {}
-        if known:
-            cost = 1 - v @ np.stack([k[1] for k in known]).T
-            taken = {r: c for r, c in assign(cost) if cost[r, c] <= gate}
-        out = []
-        for r, cluster in enumerate(g.cluster):
-            if r in taken:
-                who, mean, n, _ = known[taken[r]]
-                mean = mean * n + v[r]
-                known[taken[r]] = (who, mean / max(np.linalg.norm(mean), 1e-12), n + 1, at)
-            else:
-                who, state["next"] = state["next"], state["next"] + 1
-                known.append((who, v[r], 1, at))
-            out.append((at, cluster, who))
-        return out
+        state["known"], who = stitched(state["known"], state["next"], at, np.stack(g.v.to_list()), gate, age)
+        state["next"] = max(state["next"], *[k + 1 for k in who])
+        return [(at, c, k) for c, k in zip(g.cluster, who, strict=True)]
 
     def run(batches):
         group, state, rest = None, {}, None

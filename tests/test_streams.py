@@ -4,7 +4,8 @@ import datetime as dt
 
 import pytest
 
-from paceline.streaming import streams
+from paceline.operators import linking
+from paceline.streaming import buffered, streams
 
 
 def at(second):
@@ -85,3 +86,25 @@ def test_delayed_remap(spark, feed, tmp_path):
     events = feed(rows, schema)
     got = run(streams.delayed_remap(events.where("det_id is not null"), events.where("source is not null"), 15_000, "1 second"), "remapped", tmp_path)
     assert {(r.cam_group, r.det_id): r.global_id for r in got} == {(1, 10): 1, (1, 11): 4, (2, 12): 3, (1, 13): 9, (2, 14): 3}
+
+
+def test_buffered_stream(spark, feed, tmp_path):
+    """Boxes that come in pieces, out of order within a chunk, get the ids of the batch form."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    looks = [[1.0, 0.0, 0.1], [0.0, 1.0, 0.1], [0.1, 0.0, 1.0]]
+    rows, start = [], int(at(0).replace(tzinfo=dt.timezone.utc).timestamp())
+    for f in range(50):
+        for group in (0, 1):
+            for k in range(3):
+                if not (k == 2 and 10 <= f < 30) and not (k == 1 and f < 20):
+                    v = [x + 0.02 * ((f * 7 + k * 3 + i) % 5) for i, x in enumerate(looks[k])]
+                    n = sum(x * x for x in v) ** 0.5
+                    rows.append((at(f), group, 0, start + f, len(rows), k, [x / n for x in v]))
+    schema = "event_time timestamp, group long, cam_id int, frame_no long, det_id long, local_track_id long, v array<double>"
+    last = [(at(5000), g, 0, start + 5000, 10_000 + g, 0, looks[0]) for g in (0, 1)]
+    pieces = [rows[:70][::-1], rows[70:150], rows[150:], last, [(at(9000), *last[0][1:4], 20_000, 0, looks[0])]]
+    got = {r.det_id: r.global_id for r in run(buffered.live_buffered(feed(pieces, schema), 10_000, "1 second", 0.3, chunks=2, vote=3), "buffered", tmp_path)}
+    batch = spark.createDataFrame(rows, schema)
+    want = {r.det_id: r.global_id for r in linking.buffered_ids(batch, 10, 0.3, chunks=2, vote=3).collect()}
+    assert len(want) == len(rows) and len(set(want.values())) == 3
+    assert {k: got.get(k) for k in want} == want
