@@ -59,11 +59,16 @@ def smoothed(grid: DataFrame, columns: int, rows: int, sigma: float, value: str
     return out.withColumnRenamed("v", value)
 
 
-def stats(grid: DataFrame, columns: int, rows: int, share: float = 0.05) -> DataFrame:
-    """Per camera: the peak cell (of ties the first), the part of the cells above ``share`` of it, and detections."""
+def stats(grid: DataFrame, columns: int, rows: int, share: float = 0.05, dense: DataFrame | None = None) -> DataFrame:
+    """Per camera: the peak cell (of ties the first), the part of the cells above ``share`` of it, and detections.
+
+    With ``dense``, a smoothed form of the grid, peak and part are taken from that, to 9 digits; detections never are.
+    """
+    d = grid if dense is None else dense.withColumn("occupancy", F.round("occupancy", 9))
     best = F.struct(F.col("occupancy"), -F.col("gy"), -F.col("gx"))
-    peak = grid.groupBy("cam_id").agg(F.max("occupancy").alias("peak"), F.max_by("gx", best).alias("peak_gx"), F.max_by("gy", best).alias("peak_gy"), F.sum("occupancy").alias("n_dets"))
-    full = grid.join(peak, "cam_id").where(F.col("occupancy") > share * F.col("peak")).groupBy("cam_id").agg((F.count("*") / (columns * rows)).alias("occupied"))
+    peak = d.groupBy("cam_id").agg(F.max("occupancy").alias("peak"), F.max_by("gx", best).alias("peak_gx"), F.max_by("gy", best).alias("peak_gy"))
+    peak = peak.join(grid.groupBy("cam_id").agg(F.sum("occupancy").alias("n_dets")), "cam_id")
+    full = d.join(peak, "cam_id").where(F.col("occupancy") > share * F.col("peak")).groupBy("cam_id").agg((F.count("*") / (columns * rows)).alias("occupied"))
     return peak.join(full, "cam_id")
 
 

@@ -92,6 +92,9 @@ class Store:
         g = self._table("gid_embeddings").select("run_id", F.col("global_id").alias("vec_id"), "v")
         return pairs.nearest(q, g, k, "run_id").withColumnRenamed("vec_id", "global_id")
 
+    def _one(self, vector: list[float]) -> DataFrame:
+        return self.tables["runs"].sparkSession.createDataFrame([(0, [float(x) for x in vector])], "query_id long, embedding array<double>")
+
     def gid_vector(self, gid: int) -> DataFrame:
         return self._table("gid_embeddings").where(F.col("global_id") == gid).select("run_id", "global_id", "v")
 
@@ -105,6 +108,8 @@ class Store:
             "person_timeline": lambda: self.person_timeline(args["global_id"], span),
             "person_dwell": lambda: self.person_dwell(args["global_id"], span),
             "person_trajectory": lambda: self.person_trajectory(args["global_id"], span, args.get("step", 1)),
+            "person_trajectory_bev": lambda: self.person_trajectory(args["global_id"], span, args.get("step", 1)),
+            "search_person": lambda: self.search(self._one(args["embedding"]), args.get("k", 5)),
             "list_runs": self.list_runs,
             "list_persons": self.list_persons,
             "zones": self.zones,

@@ -128,6 +128,12 @@ def write_region_counts(counts: DataFrame, path: str) -> None:
     _csv(rows.select(F.col("frame_no").alias("frame"), F.col("cam_id").alias("cam"), "total", "roi", "overcrowding"), path)
 
 
+def write_grids(grid: DataFrame, stats: DataFrame, folder: str) -> None:
+    """Cells that have been hit, as CSV by camera, and a line of JSON for each camera's peak, occupied part and detections."""
+    grid.select("cam_id", "gy", "gx", "occupancy").repartition("cam_id").sortWithinPartitions("cam_id", "gy", "gx").write.mode("overwrite").partitionBy("cam_id").option("header", True).csv(f"{folder}/grids")
+    stats.write.mode("overwrite").json(f"{folder}/stats")
+
+
 def unpacked(packed: str):
     """The map of a packed ``name=n`` list."""
     return F.transform_values(F.str_to_map(packed, F.lit(";"), F.lit("=")), lambda _, v: v.try_cast("long"))

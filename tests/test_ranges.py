@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from paceline.operators import grids, linking, paths, projections, store
+from paceline.sources import sinks
 
 AT = [0.0, 0.005, 0.25, 0.5, 0.75, 0.98, 1.0]
 
@@ -91,3 +92,16 @@ def test_whole_cap_and_medians(spark):
     assert sorted(r.id for r in projections.balanced(rows, [((), 4)], ["id"]).collect()) == [0, 1, 2, 3]
     got = {r["class"]: (r.n, r.v) for r in projections.class_medians(rows.unionByName(rows.selectExpr("id", "'c' as class", "null as v").limit(1)), "v").collect()}
     assert got == {"a": (66, 49.5), "b": (34, 49.5), "c": (1, None)}
+
+
+def test_stats_of_a_smoothed_grid(spark, tmp_path):
+    """One cell with most hits, but more in all around another."""
+    hits = {(0, 0): 5} | {(x, y): 4 for x in (5, 6, 7) for y in (5, 6, 7)}
+    g = spark.createDataFrame([(3, x, y, n) for (x, y), n in hits.items()], "cam_id int, gx int, gy int, occupancy long")
+    raw = grids.stats(g, 10, 10).first()
+    assert (raw.peak_gx, raw.peak_gy, raw.n_dets, raw.occupied) == (0, 0, 41, 0.1)
+    s = grids.stats(g, 10, 10, dense=grids.smoothed(g, 10, 10, 1.0))
+    assert (s.first().peak_gx, s.first().peak_gy, s.first().n_dets) == (6, 6, 41) and s.first().occupied > 0.1
+    sinks.write_grids(g, s, str(tmp_path))
+    assert {(r.cam_id, r.gx, r.gy): r.occupancy for r in spark.read.option("header", True).csv(f"{tmp_path}/grids", inferSchema=True).collect()} == {(3, x, y): n for (x, y), n in hits.items()}
+    assert spark.read.json(f"{tmp_path}/stats").first().n_dets == 41

@@ -56,6 +56,9 @@ def test_dispatch(spark):
     assert s.dispatch("person_timeline", {"global_id": 7} | span).count() == 1
     assert s.dispatch("person_timeline", {"global_id": 7, "t_start": span["t_start"]}).count() == 2  # one end is no span
     assert s.dispatch("top_zones", {"k": 1}).count() == 1
+    assert s.dispatch("person_trajectory_bev", {"global_id": 7}).count() == s.person_trajectory(7).count()
+    some = s.tables["gid_embeddings"].first()
+    assert s.dispatch("search_person", {"embedding": list(some.v), "k": 1}).first().global_id == some.global_id
 
 
 def test_predictions_round_trip(spark, tmp_path):
