@@ -84,8 +84,9 @@ ORACLES: dict[str, str] = {
       s AS (SELECT DISTINCT global_id, cam_id, frame_no FROM dense WHERE global_id >= 0), o AS (SELECT global_id, cam_id FROM s GROUP BY 1, 2 HAVING count(*) >= 3),
       m AS (SELECT * FROM pos JOIN o USING (global_id) ANTI JOIN s USING (global_id, cam_id, frame_no) WHERE frame_no <= 1000000),
       j AS (SELECT global_id, cam_id, frame_no, {_pixel('0.0', 'f')}, {_pixel('1700.0', 'h')} FROM m JOIN cam USING (cam_id))
-      SELECT global_id, cam_id, frame_no, round((fu + hu) / 2 - abs(fv - hv) * 0.33::DOUBLE / 2, 3) + 0.0 AS "left", round(least(fv, hv), 3) + 0.0 AS "top", round(abs(fv - hv) * 0.33::DOUBLE, 3) AS "width", round(abs(fv - hv), 3) AS "height"
-      FROM j WHERE fu BETWEEN 0 AND 640 AND greatest(fv, hv) BETWEEN 0 AND 360 AND hv IS NOT NULL""",
+      SELECT global_id, cam_id, count(*) AS n, min(frame_no) AS first_frame, max(frame_no) AS last_frame, round(avg((fu + hu) / 2 - abs(fv - hv) * 0.33::DOUBLE / 2), 3) + 0.0 AS "left", round(avg(least(fv, hv)), 3) + 0.0 AS "top",
+        round(avg(abs(fv - hv) * 0.33::DOUBLE), 3) AS "width", round(avg(abs(fv - hv)), 3) AS "height"
+      FROM j WHERE fu BETWEEN 0 AND 640 AND greatest(fv, hv) BETWEEN 0 AND 360 AND hv IS NOT NULL GROUP BY 1, 2""",
     "smoothed_grid": f"""WITH {_DENSE}, {_cells(32, 18)}, allc AS (SELECT cam_id, CAST(x AS INTEGER) AS gx, CAST(y AS INTEGER) AS gy FROM (SELECT DISTINCT cam_id FROM grid), range(32) r(x), range(18) s(y)),
       a AS {_smooth('grid', 'gx', 32, 1.2)}, b AS {_smooth('a', 'gy', 18, 1.2)} SELECT cam_id, gx, gy, round(occupancy, 5) AS occupancy FROM b""",
     "grid_stats": f"""WITH {_DENSE}, {_cells(32, 18)}, r AS (SELECT *, row_number() OVER (PARTITION BY cam_id ORDER BY occupancy DESC, gy, gx) AS r, max(occupancy) OVER (PARTITION BY cam_id) AS m FROM grid)

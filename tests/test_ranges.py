@@ -105,3 +105,16 @@ def test_stats_of_a_smoothed_grid(spark, tmp_path):
     sinks.write_grids(g, s, str(tmp_path))
     assert {(r.cam_id, r.gx, r.gy): r.occupancy for r in spark.read.option("header", True).csv(f"{tmp_path}/grids", inferSchema=True).collect()} == {(3, x, y): n for (x, y), n in hits.items()}
     assert spark.read.json(f"{tmp_path}/stats").first().n_dets == 41
+
+
+def test_span_fill_frames(spark):
+    """A box in each frame of the path's span that a camera with enough frames misses."""
+    from paceline.plans.queries import CAMERA, CAMERAS
+
+    det = spark.createDataFrame([(1, 0, f) for f in (2, 4, 9)] + [(1, 1, 3)] + [(-1, 0, 5)], "global_id long, cam_id int, frame_no long")
+    path = spark.createDataFrame([(1, f, 10.0 * f, 0.0) for f in (2, 3, 4, 9, 12)], "global_id long, frame_no long, x double, y double")
+    cameras = spark.createDataFrame(CAMERAS, CAMERA)
+    wide = (1e9, 1e9)
+    fill = lambda least, last: sorted((r.cam_id, r.frame_no) for r in paths.span_fill(det, path, cameras, least, last, wide, 1700.0, 0.33).collect())
+    assert fill(2, 11) == [(0, f) for f in (3, 5, 6, 7, 8, 10, 11)]
+    assert fill(1, 4) == [(0, 3), (1, 2), (1, 4)]
