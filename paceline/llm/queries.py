@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, mixing, neardup, neighbours, packing, passages, quality, toxicity, warc
+from . import chat, html_text, mixing, neardup, neighbours, packing, passages, periodic, quality, toxicity, warc
 from .oracles import ORACLE_SQL
 
 
@@ -58,6 +58,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.run_digest(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_warc,
         op10_nearest_neighbours,
+        op13_periodic_runs,
     )
 }
 
