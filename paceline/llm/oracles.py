@@ -8,27 +8,34 @@ from __future__ import annotations
 
 _WORDS = r"'[^\x20\x09-\x0D]+'"
 
-#: Sets of shingles are compared by exact intersection counts; documents with one set are one node.
-_NEAR_DEDUP = rf"""
+
+# Sets of shingles are compared by exact intersection counts; documents with one set are one node.
+def _linked_sets(k: int, percent: int, more: str) -> str:
+    shingle = " || ' ' || ".join(f"w[i + {j}]" if j else "w[i]" for j in range(k))
+    return rf"""
 WITH RECURSIVE words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), {_WORDS}) AS w FROM documents
 ), runs AS (
-  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
-    ELSE list_transform(range(1, len(w) - 2), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]) END) AS s FROM words
+  SELECT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - {k} + 2), lambda i: {shingle}) END) AS s FROM words
 ), shingles AS (SELECT DISTINCT doc_id, s FROM runs),
 sets AS (SELECT doc_id, count(*) AS n, md5(string_agg(s, chr(10) ORDER BY s)) AS h FROM shingles GROUP BY doc_id),
 nodes AS (SELECT h, min(doc_id) AS id, min(n) AS n FROM sets GROUP BY h),
 members AS (SELECT id, n, s FROM nodes JOIN shingles ON doc_id = id),
 pairs AS (
-  SELECT a.id AS a, b.id AS b FROM members a JOIN members b ON a.s = b.s AND a.id < b.id AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
-  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+  SELECT a.id AS a, b.id AS b FROM members a JOIN members b ON a.s = b.s AND a.id < b.id AND 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  GROUP BY a.id, b.id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
 ), links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
 reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
 component AS (SELECT a AS id, min(b) AS c FROM reach GROUP BY a)
-SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id, d.doc_id = coalesce(c.c, d.doc_id) AS kept
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_shingles, coalesce(c.c, d.doc_id) AS component_id{more}
 FROM documents d LEFT JOIN sets t USING (doc_id) LEFT JOIN nodes ON nodes.h = t.h LEFT JOIN component c ON c.id = nodes.id
 """
 
+
+_NEAR_DEDUP = _linked_sets(4, 80, ", d.doc_id = coalesce(c.c, d.doc_id) AS kept")
+_JACCARD = _linked_sets(3, 90, "")
+
 #: The words of each window are aggregated over the word's row and the 49 after it.
 _PASSAGES = rf"""
 WITH words AS (
@@ -60,6 +67,7 @@ FROM payloads JOIN first USING (html)
 
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": _NEAR_DEDUP,
+    "op12_jaccard_join": _JACCARD,
     "op4_substring_dedup": _PASSAGES,
     "op9_warc": _WARC,
 }

@@ -85,7 +85,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         e = stash(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        now = e.agg(F.count("*"), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
+        now = e.agg(F.count("*"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first()
         if tuple(now) == before:
             break
         before = tuple(now)
