@@ -65,8 +65,37 @@ SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
 FROM payloads JOIN first USING (html)
 """
 
+#: All orders come from the masks of failed filters.
+_AUDIT = rf"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+first AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+marks AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+masks AS (
+  SELECT part, (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT + 4 * (100 * len(regexp_extract_all(text, '[A-Z]')) > 10 * length(text))::INT
+    + 8 * regexp_matches(text, '[#$%&*|]')::INT + 16 * coalesce(doc_id > first, false)::INT AS mask, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM docs JOIN first USING (text) LEFT JOIN marks USING (doc_id)
+), counters AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), steps AS (
+  SELECT filter_order, step::INT AS step, 1 << (ascii(filter_order[step]) - 65) AS bit,
+    list_sum(list_transform(range(0, step), lambda i: CASE WHEN i = 0 THEN 0 ELSE 1 << (ascii(filter_order[i]) - 65) END)) AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (WHERE mask & (bit | before::BIGINT) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before::BIGINT = 0), 0)::BIGINT AS removed,
+    coalesce(sum(n) FILTER (WHERE mask & bit <> 0 AND mask & before::BIGINT <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails,
+    coalesce(sum(good) FILTER (WHERE mask & bit <> 0 AND mask & before::BIGINT = 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (WHERE mask & bit <> 0 AND mask & before::BIGINT = 0), 0)::BIGINT AS toxic_lost
+  FROM counters, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_minhash_near_dedup": _NEAR_DEDUP,
+    "op11_filter_audit": _AUDIT,
     "op12_jaccard_join": _JACCARD,
     "op4_substring_dedup": _PASSAGES,
     "op9_warc": _WARC,

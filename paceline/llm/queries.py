@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_text, jaccard_join, mixing, neardup, neighbours, packing, passages, periodic, quality, toxicity, warc
+from . import chat, filter_audit, html_text, jaccard_join, mixing, neardup, neighbours, packing, passages, periodic, quality, toxicity, warc
 from .oracles import ORACLE_SQL
 
 
@@ -58,6 +58,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_files(spark, f"{sf_dir}/documents.parquet", _table(spark, sf_dir, "labels"))
+
+
 def op12_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_extraction,
         op9_warc,
         op10_nearest_neighbours,
+        op11_filter_audit,
         op12_jaccard_join,
         op13_periodic_runs,
     )
