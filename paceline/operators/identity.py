@@ -2,7 +2,7 @@
 
 Edges and counts are DataFrame work; what depends on an order of merges inside one
 scene runs as a grouped kernel, a scene to a task; the assignment of IDF1, a connected
-component of hits to a group.
+component of hits to a group; carried matches, a span of contested frames to a group.
 """
 
 from __future__ import annotations
@@ -129,32 +129,40 @@ def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFra
     return _one_to_one(box_pairs(gt, pred), "iou").where(F.col("iou") >= least)
 
 
-def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
-    """IDTP, IDFP, IDFN, IDF1 over all cameras that have predictions.
+def _heaviest_totals(hits: DataFrame, by: list[str]) -> DataFrame:
+    """(by, idtp): parts of the heaviest one-to-one choice of edges within each value of ``by``; their sum is its weight.
 
-    Hits of each (person, id) are a grouped count.  Their one-to-one assignment is a sum over
-    the connected components of the hits: where all of a component's edges share a person
-    or an id it is their maximum, and only the others go to a kernel, one a group.
+    It is a sum over the connected components of the edges: where all edges of one share a
+    person or an id it is their maximum, and only the others go to a kernel, one a group.
+    hits: by, person_id, global_id, n.
     """
-    hits = _kept(frame_matches(gt, pred, least).groupBy("person_id", "global_id").agg(F.count("*").alias("n")))
+    hits = _kept(hits)
 
     def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"idtp": [heaviest(pdf.person_id.tolist(), pdf.global_id.tolist(), pdf.n.tolist())]})
+        return pdf[by][:1].assign(idtp=[heaviest(pdf.person_id.tolist(), pdf.global_id.tolist(), pdf.n.tolist())])
 
     # Edges that are alone at both ends are components by themselves.
-    side = lambda c: F.count("*").over(Window.partitionBy(c))
+    side = lambda c: F.count("*").over(Window.partitionBy(*by, c))
     several = hits.withColumn("of_p", side("person_id")).withColumn("of_g", side("global_id"))
-    alone = several.where("of_p = 1 and of_g = 1").agg(F.sum("n").alias("idtp"))
+    alone = several.where("of_p = 1 and of_g = 1").select(*by, F.col("n").alias("idtp"))
     shared = several.where("of_p > 1 or of_g > 1")
-    # Persons get even nodes and ids odd ones.
-    person, other = F.col("person_id") * 2, F.col("global_id") * 2 + 1
-    parts = components(shared.select(person.alias("a"), other.alias("b")))
-    shared = shared.join(parts.select(F.shiftright("node", 1).alias("person_id"), "component").where("node % 2 = 0"), "person_id")
-    by_part = F.col("component")
-    stars = shared.groupBy(by_part).agg(F.max("n").alias("idtp"), (F.least(F.countDistinct("person_id"), F.countDistinct("global_id")) == 1).alias("star"))
-    stars = _kept(stars)
-    tangled = shared.join(stars.where("not star").select("component"), "component").groupBy("component").applyInPandas(best, "idtp long")
-    idtp = alone.unionByName(stars.where("star").select("idtp")).unionByName(tangled).agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
+    person, other = F.xxhash64(*by, "person_id", F.lit(0)), F.xxhash64(*by, "global_id", F.lit(1))
+    shared = shared.withColumn("node", person)
+    shared = shared.join(components(shared.select(F.col("node").alias("a"), other.alias("b"))), "node")
+    stars = _kept(shared.groupBy(*by, "component").agg(F.max("n").alias("idtp"), (F.least(F.countDistinct("person_id"), F.countDistinct("global_id")) == 1).alias("star")))
+    schema = ", ".join([*(f"`{c}` {hits.schema[c].dataType.simpleString()}" for c in by), "idtp long"])
+    tangled = shared.join(stars.where("not star").select(*by, "component"), [*by, "component"]).groupBy(*by, "component").applyInPandas(best, schema)
+    return alone.unionByName(stars.where("star").select(*by, "idtp")).unionByName(tangled)
+
+
+def global_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
+    """IDTP, IDFP, IDFN, IDF1 over all cameras that have predictions.
+
+    Hits of each (person, id) are a grouped count, their one-to-one assignment a sum over
+    the connected components of the hits.
+    """
+    hits = frame_matches(gt, pred, least).groupBy("person_id", "global_id").agg(F.count("*").alias("n"))
+    idtp = _heaviest_totals(hits, []).agg(F.coalesce(F.sum("idtp"), F.lit(0)).alias("idtp"))
     seen = gt.join(pred.select("cam_id").distinct(), "cam_id", "left_semi").agg(F.count("*").alias("n_gt"))
     n = pred.agg(F.count("*").alias("n_pred"))
     all_ = idtp.join(F.broadcast(seen)).join(F.broadcast(n))
@@ -167,64 +175,62 @@ def kept_matches(pairs: DataFrame) -> DataFrame:
 
     A person keeps the id of its last match while the two still overlap enough; what is
     left of the frame is assigned for the largest total IoU.  A match is a switch if the
-    person's last one was of another id.  Frames depend on those before, so a camera's
-    pairs stream through one task in order; only the last match of each person is held.
+    person's last one was of another id.
+
+    A pair whose person and id meet nobody else in the frame matches whatever came before,
+    so window functions settle it, and say what a person holds when a contested stretch
+    begins.  Only contested pairs depend on those before: stretches of persons that meet over
+    an id make up a span, and each span is a group of its own, in the order of its frames.
     pairs: cam_id, frame_no, person_id, global_id, iou, those from the gate on.
     """
-
-    def frame(held: dict, rows: pd.DataFrame) -> list[tuple]:
-        best: dict[tuple, float] = {}
-        for p, g, x in rows[["person_id", "global_id", "iou"]].itertuples(index=False):
-            best[p, g] = max(x, best.get((p, g), 0.0))
-        out = [(p, g, best[p, g], False) for p, g in held.items() if (p, g) in best]
-        used_p, used_g = {x[0] for x in out}, set()
-        kept = []
-        for p, g, x, s in sorted(out):
-            if g not in used_g:
-                used_g.add(g)
-                kept.append((p, g, x, s))
-            else:
-                used_p.discard(p)
-        ps, gs = sorted({p for p, _ in best} - used_p), sorted({g for _, g in best} - used_g)
-        if ps and gs:
-            # A pair below the gate costs more than all others together.
-            cost = np.array([[1 - best[p, g] if (p, g) in best else 1e6 for g in gs] for p in ps])
-            for r, c in assign(cost):
-                if cost[r, c] < 1e6:
-                    p, g = ps[r], gs[c]
-                    kept.append((p, g, best[p, g], held.get(p, g) != g))
-        for p, g, _, _ in kept:
-            held[p] = g
-        return kept
-
-    def run(batches):
-        held: dict[int, dict] = {}
-        rest = None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
-                continue
-            last = (batch.cam_id.iloc[-1], batch.frame_no.iloc[-1])
-            whole = (batch.cam_id != last[0]) | (batch.frame_no != last[1])
-            rest, batch = batch[~whole], batch[whole]
-            out = [(cam, f, *x) for (cam, f), rows in batch.groupby(["cam_id", "frame_no"], sort=False) for x in frame(held.setdefault(cam, {}), rows)]
-            yield pd.DataFrame(out, columns=names)
-        if rest is not None and len(rest):
-            yield pd.DataFrame([(rest.cam_id.iloc[0], rest.frame_no.iloc[0], *x) for x in frame(held.setdefault(rest.cam_id.iloc[0], {}), rest)], columns=names)
-
-    names = ["cam_id", "frame_no", "person_id", "global_id", "iou", "switch"]
-    p = pairs.select("cam_id", F.col("frame_no").cast("long").alias("frame_no"), "person_id", "global_id", "iou").repartition("cam_id").sortWithinPartitions("cam_id", "frame_no")
-    return p.mapInPandas(run, "cam_id int, frame_no long, person_id long, global_id long, iou double, switch boolean")
+    frame = ["cam_id", "frame_no"]
+    e = pairs.groupBy(*frame, "person_id", "global_id").agg(F.max("iou").alias("iou"))
+    rivals = [F.count("*").over(Window.partitionBy(*frame, side)) for side in ("person_id", "global_id")]
+    e = e.withColumn("contested", (rivals[0] > 1) | (rivals[1] > 1))
+    plain = F.when(~F.col("contested"), F.col("global_id"))
+    before = Window.partitionBy("cam_id", "person_id").orderBy("frame_no").rangeBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("stretch", F.count(plain).over(before)).withColumn("held", F.last(plain, ignorenulls=True).over(before))
+    fought = _kept(e.where("contested").withColumn("node", F.xxhash64("cam_id", "person_id", "stretch")))
+    meet = fought.select(F.col("node").alias("a"), F.min("node").over(Window.partitionBy(*frame, "global_id")).alias("b"))
+    spans = fought.join(components(meet), "node", "left").withColumn("span", F.coalesce("component", "node"))
+    names = [*frame, "person_id", "global_id", "iou"]
+    settled = spans.groupBy("span").applyInPandas(_settled, e.select(*names).schema)
+    last = F.lag("global_id").over(Window.partitionBy("cam_id", "person_id").orderBy("frame_no"))
+    m = e.where("not contested").select(*names).unionByName(settled)
+    return m.withColumn("switch", F.coalesce(last != F.col("global_id"), F.lit(False)))
+
+
+def _settled(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The matches of one span, frame by frame; ``held`` is what a stretch starts with (null: nothing)."""
+    pdf = pdf.sort_values(["frame_no", "person_id", "global_id"])
+    holds: dict[tuple[int, int], int | None] = {}
+    taken = []
+    for _, rows in pdf.groupby("frame_no", sort=True):
+        who, ids, iou = rows.person_id.to_numpy(), rows.global_id.to_numpy(), rows.iou.to_numpy()
+        stretch = list(zip(who.tolist(), rows.stretch.tolist(), strict=True))
+        for key, h in zip(stretch, rows.held, strict=True):
+            holds.setdefault(key, None if pd.isna(h) else int(h))
+        hit = np.array([holds[k] == g for k, g in zip(stretch, ids.tolist(), strict=True)])
+        # Two persons may hold one id: the first of them keeps it.
+        carried = np.flatnonzero(hit)
+        carried = carried[np.unique(ids[carried], return_index=True)[1]]
+        free = ~np.isin(who, who[carried]) & ~np.isin(ids, ids[carried])
+        p, r = np.unique(who[free], return_inverse=True)
+        g, c = np.unique(ids[free], return_inverse=True)
+        cost = np.full((len(p), len(g)), 1e6)  # more than all pairs that are there cost together
+        cost[r, c] = 1 - iou[free]
+        won = {(p[i], g[j]) for i, j in assign(cost) if cost[i, j] < 1e6}
+        fresh = [k for k in np.flatnonzero(free) if (who[k], ids[k]) in won]
+        for k in [*carried.tolist(), *fresh]:
+            holds[stretch[k]] = int(ids[k])
+            taken.append(rows.index[k])
+    return pdf.loc[taken, ["cam_id", "frame_no", "person_id", "global_id", "iou"]]
 
 
 def camera_idf1(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
     """(cam_id, idtp): the heaviest one-to-one choice of the (person, id) pairs of a camera, by frames that they share."""
     shared = box_pairs(gt, pred).where(F.col("iou") >= least).groupBy("cam_id", "person_id", "global_id").agg(F.countDistinct("frame_no").alias("n"))
-
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"cam_id": pdf.cam_id[:1], "idtp": [heaviest(pdf.person_id.tolist(), pdf.global_id.tolist(), pdf.n.tolist())]})
-
-    return shared.groupBy("cam_id").applyInPandas(best, "cam_id int, idtp long")
+    return _heaviest_totals(shared, ["cam_id"]).groupBy("cam_id").agg(F.sum("idtp").alias("idtp"))
 
 
 def clear_metrics(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -325,7 +331,7 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         low = big.groupBy("u").agg(F.min("v").alias("m"))
         small = big.join(low, "u").where("v <> m").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
         e = keep(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
+        now = tuple(e.agg(F.count("*"), F.coalesce(F.sum(F.col("v").cast("decimal(38,0)")), F.lit(0)), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0))).first())
         if now == before:
             break
         before = now

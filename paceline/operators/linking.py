@@ -7,6 +7,7 @@ kernel over one scene's, group's or frame's rows.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import Counter
 
 import numpy as np
@@ -536,68 +537,130 @@ def cosine_merge(vectors: DataFrame, far: float, least: int, scene: str = "scene
     return vectors.groupBy(scene).applyInPandas(kernel, f"{scene} long, global_id long, label long")
 
 
+class _Followed:
+    """Live tracks of one stretch of frames, as arrays."""
+
+    def __init__(self, rules: dict, dim: int):
+        self.rules, self.next = rules, 1
+        self.at, self.speed, self.total = np.zeros((0, 2)), np.zeros((0, 2)), np.zeros((0, dim))
+        self.seen, self.id = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def take(self, frame: int, p: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """Ids of a frame's instances at ``p``; rows of ``v`` are zero where there is no vector."""
+        r = self.rules
+        if len(self.seen) and frame - self.seen.min() > r["age"]:
+            self._keep(frame - self.seen <= r["age"])
+        ids = np.zeros(len(p), np.int64)
+        rows, cols, gap = self._pairs(frame, p, v)
+        ids[rows] = self.id[cols]
+        moved = gap > 0
+        step = (p[rows[moved]] - self.at[cols[moved]]) / gap[moved, None]
+        self.speed[cols[moved]] = r["decay"] * self.speed[cols[moved]] + (1 - r["decay"]) * step
+        self.at[cols], self.seen[cols] = p[rows], frame
+        self.total[cols] += v[rows]
+        new = np.flatnonzero(ids == 0)
+        if len(new):
+            ids[new] = np.arange(self.next, self.next + len(new))
+            self.next += len(new)
+            self.at, self.speed = np.concatenate([self.at, p[new]]), np.concatenate([self.speed, np.zeros((len(new), 2))])
+            self.total, self.id = np.concatenate([self.total, v[new]]), np.concatenate([self.id, ids[new]])
+            self.seen = np.concatenate([self.seen, np.full(len(new), frame)])
+        return ids
+
+    def _keep(self, live: np.ndarray) -> None:
+        self.at, self.speed, self.total, self.seen, self.id = self.at[live], self.speed[live], self.total[live], self.seen[live], self.id[live]
+
+    def _pairs(self, frame: int, p: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(instance, track, gap) of the accepted part of the least-distance one-to-one assignment."""
+        if not len(self.seen):
+            return (np.zeros(0, np.int64),) * 3
+        r, gap = self.rules, frame - self.seen
+        x = p[:, None] - (self.at + self.speed * gap[:, None])[None]
+        cost = np.sqrt((x * x).sum(2))
+        # If the nearest of the scarcer side are all different, no assignment can be shorter.
+        turn = len(p) > len(gap)
+        scarce = cost.T if turn else cost
+        nearest = scarce.argmin(1)
+        if len(np.unique(nearest)) == len(nearest):
+            chosen = np.arange(len(nearest)), nearest
+        else:
+            chosen = tuple(np.array(assign(scarce)).T)
+        rows, cols = chosen[::-1] if turn else chosen
+        late = gap[cols] > r["relink_gap"]
+        ok = cost[rows, cols] <= np.where(late, r["relink_gate"], r["gate"])
+        if r["relink_cosine"] > 0 and late.any():
+            size = np.sqrt((self.total[cols] ** 2).sum(1))
+            dot = (self.total[cols] * v[rows]).sum(1)
+            ok &= ~(late & v[rows].any(1) & (size > 0) & (dot < r["relink_cosine"] * size))
+        return rows[ok], cols[ok], gap[cols][ok]
+
+
+def idle_parts(frames: DataFrame, age: int) -> DataFrame:
+    """(scene, block, part): parts of a scene that more than ``age`` frames without a row divide, by blocks of age + 1 frames.
+
+    Two frames of a block are at most ``age`` apart, so parts end between blocks, and only a
+    row for each block is put in order.  frames: scene, frame_no.
+    """
+    b = frames.groupBy("scene", F.floor(F.col("frame_no") / (age + 1)).alias("block")).agg(F.min("frame_no").alias("lo"), F.max("frame_no").alias("hi"))
+    w = Window.partitionBy("scene").orderBy("block")
+    return b.withColumn("cut", F.coalesce((F.col("lo") - F.lag("hi").over(w) > age).cast("long"), F.lit(0))).select("scene", "block", F.sum("cut").over(w).alias("part"))
+
+
 def velocity_tracks(instances: DataFrame, gate: float, relink_gate: float, relink_gap: int, age: int, relink_cosine: float = 0.0, decay: float = 0.5) -> DataFrame:
     """(scene, frame_no, instance, global_id): persons on the floor followed at constant velocity.
 
     A frame's instances are assigned one to one to the tracks of the last ``age`` frames by
     the distance to where each would be by now.  Within ``gate`` they go on; after a gap of
     more than ``relink_gap`` frames within ``relink_gate``, and if their vectors agree.
-    Frames depend on those before: a scene streams through one task in order, and only its
-    live tracks are held.  instances: scene, frame_no, instance, x, y, v (unit vector or null).
+    After more than ``age`` frames without an instance no track is left, so a scene is cut
+    there: its parts run side by side, each streamed through a task with only its live
+    tracks held, and ids follow from how many each part opens.  The assignment looks at all
+    pairs of a frame, so a scene that is never idle stays one part.
+    instances: scene, frame_no, instance, x, y, v (unit vector or null).
     """
-
-    def frame(state: dict, at: int, rows: pd.DataFrame) -> list[tuple]:
-        state["tracks"] = live = [t for t in state["tracks"] if at - t["seen"] <= age]
-        p = rows[["x", "y"]].to_numpy(float)
-        taken: dict[int, dict] = {}
-        if live and len(p):
-            ahead = np.array([t["at"] + t["v"] * (at - t["seen"]) for t in live])
-            cost = np.hypot(*(p[:, None] - ahead[None]).transpose(2, 0, 1))
-            for r, c in assign(cost):
-                t, late = live[c], at - live[c]["seen"] > relink_gap
-                if cost[r, c] > (relink_gate if late else gate):
-                    continue
-                x = rows.v.iloc[r]
-                if late and relink_cosine > 0 and x is not None and t["sum"] is not None and float(np.dot(t["sum"], x)) < relink_cosine * np.linalg.norm(t["sum"]):
-                    continue
-                gap = at - t["seen"]
-                if gap:
-                    t["v"] = decay * t["v"] + (1 - decay) * (p[r] - t["at"]) / gap
-                t["at"], t["seen"], taken[r] = p[r], at, t
-                if x is not None:
-                    t["sum"] = np.asarray(x, float) + (0 if t["sum"] is None else t["sum"])
-        out = []
-        for r in range(len(rows)):
-            if r not in taken:
-                x = rows.v.iloc[r]
-                taken[r] = {"at": p[r], "v": np.zeros(2), "seen": at, "id": state["next"], "sum": None if x is None else np.asarray(x, float)}
-                state["next"] += 1
-                live.append(taken[r])
-            out.append((at, rows.instance.iloc[r], taken[r]["id"]))
-        return out
+    rules = {"gate": gate, "relink_gate": relink_gate, "relink_gap": relink_gap, "age": age, "relink_cosine": relink_cosine, "decay": decay}
+    names = ["scene", "part", "frame_no", "instance", "local"]
 
     def run(batches):
-        scene, state, rest = None, {}, None
-        for batch in batches:
-            batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-            if not len(batch):
+        part, followed, rest = None, None, None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                if not len(batch):
+                    continue
+                open_ = batch[["scene", "part", "frame_no"]].eq(batch[["scene", "part", "frame_no"]].iloc[-1]).all(axis=1)
+                rest, batch = batch[open_], batch[~open_]  # the last frame may go on in the next batch
+            else:
+                batch, rest = rest, None
+            if batch is None or not len(batch):
                 continue
-            whole = (batch.scene != batch.scene.iloc[-1]) | (batch.frame_no != batch.frame_no.iloc[-1])
-            rest, done = batch[~whole], batch[whole]
-            out = []
-            for (s, at), rows in done.groupby(["scene", "frame_no"], sort=False):
-                if s != scene:
-                    scene, state = s, {"tracks": [], "next": 1}
-                out += [(s, *x) for x in frame(state, at, rows)]
-            yield pd.DataFrame(out, columns=names)
-        if rest is not None and len(rest):
-            if rest.scene.iloc[0] != scene:
-                state = {"tracks": [], "next": 1}
-            yield pd.DataFrame([(rest.scene.iloc[0], *x) for x in frame(state, rest.frame_no.iloc[0], rest)], columns=names)
-
-    names = ["scene", "frame_no", "instance", "global_id"]
-    rows = instances.select("scene", "frame_no", "instance", "x", "y", "v").repartition("scene").sortWithinPartitions("scene", "frame_no", "instance")
-    return rows.mapInPandas(run, "scene long, frame_no long, instance long, global_id long")
+            known = batch.v.notna().to_numpy()
+            dim = max((len(x) for x in batch.v[known]), default=0 if followed is None else followed.total.shape[1])
+            v = np.zeros((len(batch), dim))
+            if known.any():
+                v[known] = np.stack(batch.v[known].to_list())
+            key = batch[["scene", "part", "frame_no"]].to_numpy(np.int64)
+            p = batch[["x", "y"]].to_numpy(float)
+            bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+            ids = np.zeros(len(key), np.int64)
+            for a, b in zip(bounds, bounds[1:], strict=False):
+                s, k, at = key[a].tolist()
+                if (s, k) != part:
+                    part, followed = (s, k), _Followed(rules, dim)
+                if followed.total.shape[1] < dim:  # no vector came before
+                    followed.total = np.zeros((len(followed.id), dim))
+                ids[a:b] = followed.take(at, p[a:b], v[a:b])
+            yield pd.DataFrame({"scene": key[:, 0], "part": key[:, 1], "frame_no": key[:, 2], "instance": batch.instance.to_numpy(), "local": ids})[names]
+
+    rows = instances.select("scene", "frame_no", "instance", "x", "y", "v").withColumn("block", F.floor(F.col("frame_no") / (age + 1)))
+    rows = rows.join(idle_parts(rows.select("scene", "frame_no"), age), ["scene", "block"])
+    n = int(instances.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.select("scene", "part", "frame_no", "instance", "x", "y", "v").repartition(n, "scene", "part").sortWithinPartitions("scene", "part", "frame_no", "instance")
+    out = _kept(rows.mapInPandas(run, "scene long, part long, frame_no long, instance long, local long"))
+    opened = out.groupBy("scene", "part").agg(F.max("local").alias("opened"))
+    before = F.sum("opened").over(Window.partitionBy("scene").orderBy("part")) - F.col("opened")
+    offsets = opened.select("scene", "part", before.alias("before"))
+    return out.join(offsets, ["scene", "part"]).select("scene", "frame_no", "instance", (F.col("local") + F.col("before")).alias("global_id"))
 
 
 def sweep(grid: DataFrame, scenes: DataFrame, score, schema: str, value: str) -> DataFrame:
