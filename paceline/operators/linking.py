@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import heapq
 import itertools
+import math
 from collections import Counter
 
 import numpy as np
@@ -16,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import box, closeness, dot, iou
+from .fusion import FusionRules, windowed
 from .identity import _kept, assign, components
 from .pairs import _alike, similar
 
@@ -218,26 +220,35 @@ def cluster_frames(points: DataFrame, radius: float, by: tuple[str, ...] = ()) -
     """(det_id, instance): boxes of one frame that are one person, at most one of each camera.
 
     Boxes come in the order of their ids, and each joins the nearest centroid within
-    ``radius`` that lacks its camera.  A group is one frame.  An instance is named by its
-    first box.  points: det_id, frame_no, cam_id, x, y.
+    ``radius`` that lacks its camera.  Frames are dealt to tasks and pass through them one by
+    one.  An instance is named by its first box.  points: det_id, frame_no, cam_id, x, y.
     """
+    key = [*by, "frame_no"]
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        found: list[tuple[int, set[int], list[np.ndarray]]] = []
-        out = []
-        for det, cam, x, y in pdf.sort_values("det_id")[["det_id", "cam_id", "x", "y"]].itertuples(index=False):
-            at = np.array([x, y])
-            away = [np.inf if cam in cams else float(np.hypot(*(at - np.mean(held, axis=0)))) for _, cams, held in found]
-            k = int(np.argmin(away)) if away else -1
-            if k < 0 or away[k] >= radius:
-                found.append((det, set(), []))
-                k = len(found) - 1
-            found[k][1].add(cam)
-            found[k][2].append(at)
-            out.append((det, found[k][0]))
-        return pd.DataFrame(out, columns=["det_id", "instance"])
-
-    return points.where("x is not null and y is not null").groupBy(*by, "frame_no").applyInPandas(kernel, "det_id long, instance long")
+    def run(batches):
+        frame, found = None, []  # of each instance: name, cameras, sums of places, boxes
+        for batch in batches:
+            out = []
+            for *at, det, cam, x, y in batch[[*key, "det_id", "cam_id", "x", "y"]].itertuples(index=False, name=None):
+                if at != frame:
+                    frame, found = at, []
+                near, mine = radius, None
+                for one in found:
+                    away = math.hypot(x - one[2] / one[4], y - one[3] / one[4])
+                    if away < near and cam not in one[1]:
+                        near, mine = away, one
+                if mine is None:
+                    found.append([det, {cam}, x, y, 1])
+                    mine = found[-1]
+                else:
+                    mine[1].add(cam)
+                    mine[2:] = mine[2] + x, mine[3] + y, mine[4] + 1
+                out.append((det, mine[0]))
+            yield pd.DataFrame(out, columns=["det_id", "instance"]).astype("int64")
+
+    n = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = points.where("x is not null and y is not null").select(*key, "det_id", "cam_id", "x", "y").repartition(n, *key).sortWithinPartitions(*key, "det_id")
+    return rows.mapInPandas(run, "det_id long, instance long")
 
 
 def dedup_boxes(det: DataFrame, most: float = 0.6) -> DataFrame:
@@ -464,7 +475,8 @@ def stitch_windows(centres: DataFrame, gate: float, age: int | None = None) -> D
             yield pd.DataFrame([(rest.group.iloc[0], *x) for x in step(state, rest.window.iloc[0], rest)], columns=names)
 
     names = ["group", "window", "cluster", "global_id"]
-    c = centres.select("group", "window", "cluster", "v").repartition("group").sortWithinPartitions("group", "window", "cluster")
+    n = int(centres.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    c = centres.select("group", "window", "cluster", "v").repartition(n, "group").sortWithinPartitions("group", "window", "cluster")
     return c.mapInPandas(run, "group long, window long, cluster long, global_id long")
 
 
@@ -698,67 +710,12 @@ def windowed_merges(tracklets: DataFrame, window: int, delay: int, threshold: fl
 
     At each window's end persons are summed up from the tracklets that have ended, candidate
     pairs (cosine, margin, ``k`` each) merge greedily unless two of one camera overlap in
-    time, and merges that are new become events, ``delay`` frames later.  What a merge does
-    depends on those before, so a scene's tracklets are one group; its boxes are not.
+    time, and merges that are new become events, ``delay`` frames later (``fusion.windowed``,
+    which also blends in places).
     tracklets: scene, cam_id, global_id, start_frame, end_frame, num_detections, v (unit), n.
     """
 
-    def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[(pdf.num_detections >= least_dets) & pdf.v.notna()].sort_values("end_frame", kind="stable")
-        total: dict[int, np.ndarray] = {}
-        count: dict[int, int] = {}
-        spans: dict[int, list[tuple[int, int, int]]] = {}
-        gone: dict[int, int] = {}
-        seen: set[tuple[int, int]] = set()
-        events, at = [], 0
-        last = int(pdf.end_frame.max()) if len(pdf) else 0
-        rows = list(pdf[["cam_id", "global_id", "start_frame", "end_frame", "v", "n"]].itertuples(index=False, name=None))
-        conflict = lambda a, b: any(x[0] == y[0] and max(x[1], y[1]) <= min(x[2], y[2]) + tolerance for x in spans[a] for y in spans[b])
-
-        def end_of(g: int) -> int:
-            while g in gone:
-                g = gone[g]
-            return g
-
-        for end in range(window, last + window, window):
-            end = min(end, last)
-            fresh = False
-            while at < len(rows) and rows[at][3] <= end:
-                cam, g, a, b, v, n = rows[at]
-                total[g] = total.get(g, 0) + np.asarray(v, float) * n
-                count[g] = count.get(g, 0) + n
-                spans.setdefault(g, []).append((cam, a, b))
-                at, fresh = at + 1, True
-            ids = sorted(g for g in total if count[g] >= least_vectors and np.linalg.norm(total[g]) > 0)
-            if not fresh or len(ids) < 2:
-                continue
-            m = np.stack([total[g] / np.linalg.norm(total[g]) for g in ids])
-            s = m @ m.T
-            np.fill_diagonal(s, -1)
-            pairs: dict[tuple[int, int], float] = {}
-            for i, g in enumerate(ids):
-                order = np.argsort(-s[i], kind="stable")[: max(2, k + 1)]
-                top = [j for j in order if s[i, j] >= threshold]
-                if top and not (len(top) > 1 and s[i, top[0]] < s[i, top[1]] + margin):
-                    for j in top[:k]:
-                        p = tuple(sorted((g, ids[j])))
-                        pairs[p] = max(pairs.get(p, -1), float(s[i, j]))
-            root, members = {g: g for g in ids}, {g: [g] for g in ids}
-            for (a, b), score in sorted(pairs.items(), key=lambda x: (-x[1], x[0])):
-                a, b = sorted((root[a], root[b]))
-                if a == b or any(conflict(x, y) for x in members[a] for y in members[b]):
-                    continue
-                for x in members[b]:
-                    root[x] = a
-                members[a] += members.pop(b)
-                lo, hi = sorted((end_of(a), end_of(b)))
-                if lo != hi and (hi, lo) not in seen:
-                    seen.add((hi, lo))
-                    gone[hi] = lo
-                    events.append((key[0], end + delay, end, hi, lo, round(score, 6)))
-        return pd.DataFrame(events, columns=["scene", "event_frame", "window_end", "source", "target", "score"])
-
-    return tracklets.groupBy("scene").applyInPandas(kernel, "scene long, event_frame long, window_end long, source long, target long, score double")
+    return windowed(tracklets, FusionRules(window, delay, threshold, margin, k, tolerance, least_dets, least_vectors))
 
 
 def reclustered(tracklets: DataFrame, threshold: float, margin: float, k: int, tolerance: int = 0, least_dets: int = 6, least_vectors: int = 1) -> DataFrame:
@@ -787,12 +744,14 @@ def replayed(det: DataFrame, events: DataFrame) -> DataFrame:
     """
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        into: dict[int, list[int]] = {}  # what each id that is left has taken in
         now: dict[int, int] = {}
         out = []
         for at, s, t in pdf.sort_values(["event_frame", "source"])[["event_frame", "source", "target"]].itertuples(index=False):
             while t in now:
                 t = now[t]
-            moved = [x for x, y in now.items() if y == s] + [s]
+            moved = [*into.pop(s, []), s]
+            into.setdefault(t, []).extend(moved)
             for x in moved:
                 now[x] = t
                 out.append((key[0], x, at, t))

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import foot
-from ..operators import identity, linking, pairs, projections
+from ..operators import fusion, identity, linking, pairs, projections
 from ..sources import sinks
+from ..streaming import gallery
 from .linking_queries import _placed_vectors, _points, _tracklet_points, _vectors, _with_vector, track_stats
 from .queries import BUCKET, FPS, GAP, _dense, _det, _located, _truth, query
 from .store_api import TABLES, Store
@@ -206,6 +207,23 @@ def windowed_merges(s, d):
     return linking.windowed_merges(_ended(s, d), 125, 25, 0.25, 0.005, 5, least_dets=1)
 
 
+@query
+def fused_with_places(s, d):
+    """Windowed merges that blend in how near persons are in common frames."""
+    p = _points(s, d).groupBy("cam_id", "global_id", F.floor(F.col("frame_no") / 100).alias("part"), "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+    p = p.groupBy("cam_id", "global_id", "part").agg(F.sort_array(F.collect_list(F.struct("frame_no", "x", "y"))).alias("places"))
+    t = _ended(s, d).join(p.withColumn("start", F.col("part") * 100), ["cam_id", "global_id"]).where("start_frame between start and start + 99")
+    return fusion.windowed(t, fusion.FusionRules(125, 25, 0.25, 0.005, 5, least_dets=1, geo_weight=0.35, geo_least=1, near=300.0, far=2000.0))
+
+
+@query
+def gallery_ids(s, d):
+    """The live gallery's rules over all boxes, by site of two cameras."""
+    p = _located(s, _dense(s, d)).select("det_id", "cam_id", "frame_no", "local_track_id", "global_id", "x", "y").withColumn("site", (F.col("cam_id") % 2).cast("long"))
+    v = _with_vector(p, "global_id", _vectors(s, d)).withColumnRenamed("v", "embedding").withColumn("good", F.lit(True))
+    return gallery.gallery_ids(v, 64)
+
+
 @query
 def replayed_ids(s, d):
     det = _dense(s, d).select(F.pmod(F.xxhash64("global_id"), F.lit(8)).alias("scene"), "det_id", "frame_no", "global_id")

@@ -1,17 +1,22 @@
-"""A live gallery of identities over the cameras of a site, as a stateful stream operator.
-
-Each frame of a site passes these rules in order: old tracks and identities expire; each
-box refreshes its track, which samples its vectors; of two tracks of one camera under one
-identity the weaker is released; tracks without an identity are assigned one to one within
-their camera; identities take the sampled vectors as prototypes; from time to time young
-duplicates merge into older ones.  State is kept by track and by identity, and only what
-a batch has touched is written.
+"""A live gallery of identities over the cameras of a site, batch and stream.
+
+A site is tables of arrays: tracks, identities, and prototypes (a matrix with the
+identity, camera and frame of each row).  A frame's boxes meet them all at once: one
+product of vectors gives the scores of all boxes and identities, and each rule is a mask
+over that matrix.  Rules in order: old tracks and identities expire; boxes refresh their
+tracks, which sample vectors; of two tracks of one camera under one identity the weaker is
+released; identities take sampled vectors as prototypes; tracks without an identity are
+assigned one to one within their camera; from time to time young duplicates merge into
+older ones.
+
+On a stream a frame's boxes are held until the watermark has passed its time, so it may be
+split over batches, and batches may come in any order within the allowed lateness.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -48,261 +53,430 @@ class GalleryRules:
     far: float = 2000.0
 
 
-@dataclass
-class Track:
-    gid: int | None = None
-    seen: int = 0
-    sampled: int | None = None
-    vectors: list[np.ndarray] = field(default_factory=list)
-    place: tuple[float, float] | None = None
-
-
-@dataclass
-class Identity:
-    seen: int = 0
-    prototypes: list[tuple[int, int, np.ndarray]] = field(default_factory=list)  # camera, frame, vector
-
-
-@dataclass
-class Box:
-    det: int
-    cam: int
-    track: int
-    vector: np.ndarray | None
-    good: bool  # whether the vector may be learnt from
-    place: tuple[float, float] | None = None
-    gid: int | None = None
-    last: int | None = None
-    query: np.ndarray | None = None
-    learn: bool = False
-
-
-def _unit(v) -> np.ndarray | None:
-    if v is None or not len(v):
-        return None
-    v = np.asarray(v, float)
-    n = np.linalg.norm(v)
-    return v / n if n > 0 and np.isfinite(n) else None
-
-
-class LiveGallery:
-    """The rules over tracks and identities that are given and kept as plain maps."""
-
-    def __init__(self, rules: GalleryRules, tracks: dict[tuple[int, int], Track], identities: dict[int, Identity], fresh: int = 1):
-        self.rules, self.tracks, self.identities, self.fresh = rules, tracks, identities, fresh
-        self.touched: set = set()
-
-    def score(self, gid: int, v: np.ndarray | None, cam: int | None = None) -> float:
-        found = [float(p @ v) for c, _, p in self.identities[gid].prototypes if cam in (None, c) and len(p) == len(v)] if v is not None else []
-        return max(found, default=0.0)
-
-    def closeness(self, gid: int, box: Box) -> float:
-        """How near the box is to the last place of the identity in another camera; 0 if none is known."""
-        best = 0.0
-        for (cam, _), t in self.tracks.items():
-            if t.gid == gid and cam != box.cam and t.place is not None and box.place is not None:
-                d = float(np.hypot(t.place[0] - box.place[0], t.place[1] - box.place[1]))
-                best = max(best, float(np.exp(-3 * max(0.0, (d - self.rules.near) / (self.rules.far - self.rules.near)) ** 2)))
-        return best
-
-    def blended(self, gid: int, score: float, box: Box) -> float:
-        near = self.closeness(gid, box) if self.rules.geo_weight > 0 else 0.0
-        return score if near == 0 else (1 - self.rules.geo_weight) * score + self.rules.geo_weight * near
-
-    def candidates(self, at: int, without: set[int], below: int | None = None) -> list[int]:
-        """The identities seen last (of those the largest), a bounded list."""
-        found = sorted((at - x.seen, -g) for g, x in self.identities.items() if g not in without and (below is None or g < below))
-        return [-g for _, g in found[: self.rules.candidates]]
-
-    def allowed(self, gid: int, score: float, scores: dict[int, float], last: int | None, v) -> bool:
-        r = self.rules
-        if v is None or score < r.threshold:
-            return False
-        if gid == last:
-            return True
-        if last in self.identities and score < self.score(last, v) + r.switch_margin:
-            return False
-        second = max((s for g, s in scores.items() if g != gid), default=0.0)
-        return not (second > 0 and score < second + r.ambiguity)
+NONE = -1  # no identity, no frame
+TRACK = {"cam": np.int64, "track": np.int64, "gid": np.int64, "seen": np.int64, "sampled": np.int64, "n": np.int64, "x": float, "y": float}
+
+
+def _rows(table: dict[str, np.ndarray], which: np.ndarray) -> dict[str, np.ndarray]:
+    return {k: a[which] for k, a in table.items()}
+
+
+def _joined(table: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    return {k: np.concatenate([a, np.asarray(more[k], a.dtype).reshape((-1, *a.shape[1:]))]) for k, a in table.items()}
+
+
+class SiteGallery:
+    """The tables of one site; ``frame`` takes the boxes of a frame of all its cameras.
+
+    Vectors have ``dim`` components; a zero row is no vector.
+    """
+
+    def __init__(self, rules: GalleryRules, dim: int, fresh: int = 1):
+        self.rules, self.dim, self.fresh = rules, dim, fresh
+        self.tracks = {k: np.zeros(0, t) for k, t in TRACK.items()} | {"v": np.zeros((0, rules.track_vectors, dim))}
+        self.known = {"gid": np.zeros(0, np.int64), "seen": np.zeros(0, np.int64)}
+        self.proto = {"gid": np.zeros(0, np.int64), "cam": np.zeros(0, np.int64), "frame": np.zeros(0, np.int64), "v": np.zeros((0, dim))}
+        self.touched_tracks: set[tuple[int, int]] = set()
+        self.touched_ids: set[int] = set()
+
+    def add_tracks(self, rows: dict) -> None:
+        self.tracks = _joined(self.tracks, rows)
+
+    def add_identities(self, gid, seen) -> None:
+        self.known = _joined(self.known, {"gid": gid, "seen": seen})
+
+    def add_prototypes(self, gid, cam, frame, v) -> None:
+        self.proto = _joined(self.proto, {"gid": gid, "cam": cam, "frame": frame, "v": v})
+
+    def scores(self, q: np.ndarray, cam: np.ndarray | None = None) -> np.ndarray:
+        """Of each row of ``q`` with each identity: the best product with a prototype (of the row's camera, if given); 0 without one."""
+        out = np.full((len(q), len(self.known["gid"])), -np.inf)
+        at = np.searchsorted(self.known["gid"], self.proto["gid"])
+        dots = q @ self.proto["v"].T
+        if cam is not None:
+            dots = np.where(cam[:, None] == self.proto["cam"][None], dots, -np.inf)
+        for r in range(len(q)):
+            np.maximum.at(out[r], at, dots[r])
+        out[~np.isfinite(out)] = 0.0
+        out[~q.any(1)] = 0.0
+        return out
+
+    def closeness(self, cam: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """How near each row's place is to an identity's last places in other cameras; 0 if none is known."""
+        r, t = self.rules, self.tracks
+        out = np.zeros((len(cam), len(self.known["gid"])))
+        has = (t["gid"] != NONE) & ~np.isnan(t["x"]) & np.isin(t["gid"], self.known["gid"])
+        if not has.any():
+            return out
+        away = np.hypot(place[:, :1] - t["x"][has], place[:, 1:] - t["y"][has])
+        near = np.exp(-3 * np.maximum(0.0, (away - r.near) / (r.far - r.near)) ** 2)
+        near = np.where(np.isnan(near) | (cam[:, None] == t["cam"][has][None]), 0.0, near)
+        at = np.searchsorted(self.known["gid"], t["gid"][has])
+        for k in range(len(cam)):
+            np.maximum.at(out[k], at, near[k])
+        return out
+
+    def blended(self, scores: np.ndarray, cam: np.ndarray, place: np.ndarray) -> np.ndarray:
+        w = self.rules.geo_weight
+        near = self.closeness(cam, place) if w > 0 else np.zeros_like(scores)
+        return np.where(near == 0, scores, (1 - w) * scores + w * near)
+
+    def lately_seen(self, at: int, allowed: np.ndarray) -> np.ndarray:
+        """Of the ``allowed`` identities of each row those seen last (of these the largest), a bounded number."""
+        order = np.lexsort((-self.known["gid"], at - self.known["seen"]))
+        out = np.zeros_like(allowed)
+        out[:, order] = allowed[:, order] & (np.cumsum(allowed[:, order], axis=1) <= self.rules.candidates)
+        return out
 
     def expire(self, at: int) -> None:
-        gone = {g for g, x in self.identities.items() if at - x.seen > self.rules.gallery_age}
-        for g in gone:
-            del self.identities[g]
-            self.touched.add(g)
-        for k, t in list(self.tracks.items()):
-            if t.gid in gone:
-                t.gid = None
-                self.touched.add(k)
-            if at - t.seen > self.rules.track_age:
-                del self.tracks[k]
-                self.touched.add(k)
-
-    def refresh(self, box: Box, at: int) -> None:
-        r = self.rules
-        key = (box.cam, box.track)
-        t = self.tracks.setdefault(key, Track(seen=at))
-        t.seen = at
-        t.place = box.place or t.place
-        due = len(t.vectors) < r.least_vectors or t.sampled is None or at - t.sampled >= r.sample_every
-        box.learn = box.vector is not None and box.good and due
-        if box.learn:
-            t.vectors = [*t.vectors, box.vector][-r.track_vectors :]
-            t.sampled = at
-        mean = _unit(np.mean(t.vectors, axis=0)) if len(t.vectors) >= r.least_vectors and len({len(v) for v in t.vectors}) == 1 else None
-        box.query = mean if mean is not None else box.vector
-        box.gid = box.last = t.gid
-        self.touched.add(key)
-
-    def length(self, box: Box) -> int:
-        return len(self.tracks[box.cam, box.track].vectors)
-
-    def release(self, boxes: list[Box]) -> None:
-        """Of the tracks of one camera under one identity the one with most vectors keeps it (then score, then lower id)."""
-        held: dict[tuple[int, int], Box] = {}
-        for b in boxes:
-            if b.gid is None:
-                continue
-            rank = lambda x: (-self.length(x), -self.score(x.last, x.query), x.track)
-            other = held.get((b.cam, b.gid))
-            keeper, loser = (b, other) if other is None or rank(b) < rank(other) else (other, b)
-            held[b.cam, b.gid] = keeper
-            if loser is not None:
-                loser.gid, loser.learn = None, False
-
-    def place(self, boxes: list[Box], at: int) -> None:
+        r, t = self.rules, self.tracks
+        old = at - self.known["seen"] > r.gallery_age
+        if old.any():
+            gone = self.known["gid"][old]
+            self.touched_ids |= set(gone.tolist())
+            self.known, self.proto = _rows(self.known, ~old), _rows(self.proto, ~np.isin(self.proto["gid"], gone))
+            lost = np.isin(t["gid"], gone)
+            t["gid"][lost] = NONE
+            self._touch(np.flatnonzero(lost))
+        old = at - t["seen"] > r.track_age
+        if old.any():
+            self._touch(np.flatnonzero(old))
+            self.tracks = _rows(t, ~old)
+
+    def _touch(self, rows: np.ndarray) -> None:
+        self.touched_tracks |= set(zip(self.tracks["cam"][rows].tolist(), self.tracks["track"][rows].tolist(), strict=True))
+
+    def _rows_of(self, cam: np.ndarray, track: np.ndarray, at: int) -> np.ndarray:
+        """The rows of these tracks; those not known yet are added."""
+        have = {k: i for i, k in enumerate(zip(self.tracks["cam"].tolist(), self.tracks["track"].tolist(), strict=True))}
+        keys = list(zip(cam.tolist(), track.tolist(), strict=True))
+        new = [k for k in keys if k not in have]
+        if new:
+            n = len(new)
+            self.add_tracks({"cam": [k[0] for k in new], "track": [k[1] for k in new], "gid": [NONE] * n, "seen": [at] * n, "sampled": [NONE] * n, "n": [0] * n, "x": [np.nan] * n, "y": [np.nan] * n, "v": np.zeros((n, self.rules.track_vectors, self.dim))})
+            have |= {k: len(have) + i for i, k in enumerate(new)}
+        return np.array([have[k] for k in keys], np.int64)
+
+    def refresh(self, row: np.ndarray, v: np.ndarray, good: np.ndarray, place: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query vectors, whether to learn) of the boxes; their tracks take up places and, when due, vectors."""
+        r, t = self.rules, self.tracks
+        t["seen"][row] = at
+        there = ~np.isnan(place).any(1)
+        t["x"][row[there]], t["y"][row[there]] = place[there, 0], place[there, 1]
+        due = (t["n"][row] < r.least_vectors) | (t["sampled"][row] == NONE) | (at - t["sampled"][row] >= r.sample_every)
+        learn = v.any(1) & good & due
+        mine = row[learn]
+        t["v"][mine] = np.concatenate([t["v"][mine][:, 1:], v[learn][:, None]], axis=1)  # newest last
+        t["n"][mine] = np.minimum(t["n"][mine] + 1, r.track_vectors)
+        t["sampled"][mine] = at
+        total = t["v"][row].sum(1)
+        size = np.sqrt((total * total).sum(1))
+        stands = (t["n"][row] >= r.least_vectors) & (size > 0)
+        query = np.where(stands[:, None], total / np.maximum(size, 1e-300)[:, None], v)
+        self._touch(row)
+        return query, learn
+
+    def release(self, b: dict, at: int) -> None:
+        """Of a camera's tracks under one identity the one with most vectors keeps it (then score, then lower track)."""
+        held = np.flatnonzero(b["gid"] != NONE)
+        gid = b["gid"][held]
+        place = np.searchsorted(self.known["gid"], gid)
+        known = np.isin(gid, self.known["gid"])
+        score = np.zeros(len(held))
+        score[known] = self.scores(b["query"][held])[np.flatnonzero(known), place[known]]
+        order = np.lexsort((b["track"][held], -score, -self.tracks["n"][b["row"][held]], gid, b["cam"][held]))
+        first = np.ones(len(held), bool)
+        c, g = b["cam"][held][order], gid[order]
+        first[1:] = (c[1:] != c[:-1]) | (g[1:] != g[:-1])
+        lost = held[order[~first]]
+        b["gid"][lost], b["learn"][lost] = NONE, False
+
+    def learn(self, b: dict, which: np.ndarray, at: int) -> None:
+        """Boxes' identities are seen now, and take the vectors of those that are due as prototypes."""
+        if not len(which):
+            return
+        gid, cam = b["gid"][which], b["cam"][which]
+        new = np.setdiff1d(gid, self.known["gid"])
+        if len(new):
+            merged = _joined(self.known, {"gid": new, "seen": np.full(len(new), at)})
+            self.known = _rows(merged, np.argsort(merged["gid"]))
+        self.known["seen"][np.searchsorted(self.known["gid"], gid)] = at
+        self.tracks["gid"][b["row"][which]] = gid
+        self.touched_ids |= set(gid.tolist())
+        self._touch(b["row"][which])
+        due = b["learn"][which]
+        b["learn"][which] = False
+        which, gid, cam = which[due], gid[due], cam[due]
+        if not len(which):
+            return
+        here = ((self.proto["gid"][None] == gid[:, None]) & (self.proto["cam"][None] == cam[:, None])).any(1)
+        score = self.scores(b["v"][which], cam)[np.arange(len(which)), np.searchsorted(self.known["gid"], gid)]
+        take = ~here | (score < self.rules.prototype_below)
+        self.add_prototypes(gid[take], cam[take], np.full(take.sum(), at), b["v"][which[take]])
+        self._trim(gid[take])
+
+    def _trim(self, gids: np.ndarray) -> None:
+        """Keeps the last prototypes of each of these identities."""
+        p = self.proto["gid"]
+        back = np.zeros(len(p), np.int64)
+        for g in np.unique(gids):
+            mine = np.flatnonzero(p == g)
+            back[mine] = np.arange(len(mine))[::-1]
+        if (back >= self.rules.prototypes).any():
+            self.proto = _rows(self.proto, back < self.rules.prototypes)
+
+    def worth(self, b: dict, new: np.ndarray, open_: np.ndarray) -> np.ndarray:
+        """What each of the ``open_`` identities is worth to each new box; -1 where the rules forbid it."""
+        r, q = self.rules, b["query"][new]
+        every = self.scores(q)
+        s = np.where(open_, every, -np.inf)
+        best = s.max(1, initial=0.0)
+        # The best other identity: the second where an identity is the best itself.
+        top = np.sort(np.where(open_, every, 0.0), axis=1)
+        top = np.concatenate([np.zeros((len(new), 2)), top], axis=1)
+        is_best = open_ & (every == top[:, -1:]) & (np.cumsum(open_ & (every == top[:, -1:]), axis=1) == 1)
+        other = np.where(is_best, top[:, -2:-1], top[:, -1:])
+        last = b["last"][new]
+        at = np.searchsorted(self.known["gid"], last)
+        had = np.isin(last, self.known["gid"])
+        own = np.zeros(len(new))
+        own[had] = every[np.flatnonzero(had), at[had]]
+        same = self.known["gid"][None] == last[:, None]
+        switch = had[:, None] & (every < own[:, None] + r.switch_margin)
+        unclear = (other > 0) & (every < other + r.ambiguity)
+        ok = open_ & q.any(1)[:, None] & (every >= r.threshold) & (same | ~(switch | unclear))
+        near = ~(r.close_only & (best[:, None] - every > r.geo_margin))
+        return np.where(ok, np.where(near, self.blended(every, b["cam"][new], b["place"][new]), every), -1.0)
+
+    def place(self, b: dict, at: int) -> None:
         """New tracks of each camera compete one to one for identities; each also has a place for a new one."""
-        for cam in dict.fromkeys(b.cam for b in boxes):
-            mine = [b for b in boxes if b.cam == cam]
-            new = [b for b in mine if b.gid is None]
-            if not new:
+        for cam in np.unique(b["cam"]):
+            mine = b["cam"] == cam
+            new = np.flatnonzero(mine & (b["gid"] == NONE))
+            if not len(new):
                 continue
-            open_ = self.candidates(at, {b.gid for b in mine if b.gid is not None})
-            worth = np.zeros((len(new), len(open_) + len(new)))
-            for i, b in enumerate(new):
-                scores = {g: self.score(g, b.query) for g in open_}
-                best = max(scores.values(), default=0.0)
-                for j, g in enumerate(open_):
-                    near = not (self.rules.close_only and best - scores[g] > self.rules.geo_margin)
-                    worth[i, j] = (self.blended(g, scores[g], b) if near else scores[g]) if self.allowed(g, scores[g], scores, b.last, b.query) else -1.0
-            for i, j in assign(-worth):
-                b = new[i]
-                if j < len(open_) and worth[i, j] > 0:
-                    b.gid = open_[j]
-                elif b.good and b.vector is not None:  # poor vectors wait for better ones
-                    while self.fresh in self.identities:
+            open_ = ~np.isin(self.known["gid"], b["gid"][mine])
+            open_ = self.lately_seen(at, np.repeat(open_[None], len(new), axis=0))
+            worth = self.worth(b, new, open_)
+            cols = np.flatnonzero(open_[0])
+            for i, j in assign(-np.concatenate([worth[:, cols], np.zeros((len(new), len(new)))], axis=1)):
+                k = new[i]
+                if j < len(cols) and worth[i, cols[j]] > 0:
+                    b["gid"][k] = self.known["gid"][cols[j]]
+                elif b["good"][k] and b["v"][k].any():  # poor vectors wait for better ones
+                    while self.fresh in self.known["gid"]:
                         self.fresh += 1
-                    b.gid, self.fresh = self.fresh, self.fresh + 1
-                    self.identities[b.gid] = Identity(seen=at)
-            self.learn([b for b in new if b.gid is not None], at)
-
-    def learn(self, boxes: list[Box], at: int) -> None:
-        r = self.rules
-        for b in boxes:
-            x = self.identities.setdefault(b.gid, Identity())
-            x.seen = at
-            self.touched |= {b.gid, (b.cam, b.track)}
-            self.tracks[b.cam, b.track].gid = b.gid
-            if not b.learn:
-                continue
-            seen_here = any(c == b.cam for c, _, _ in x.prototypes)
-            if not seen_here or self.score(b.gid, b.vector, b.cam) < r.prototype_below or self.score(b.gid, b.vector) < r.prototype_below:
-                x.prototypes = [*x.prototypes, (b.cam, at, b.vector)][-r.prototypes :]
-            b.learn = False
+                    b["gid"][k] = self.fresh
+                    self.fresh += 1
+            self.learn(b, new[b["gid"][new] != NONE], at)
 
-    def merge(self, boxes: list[Box], at: int) -> None:
+    def merge(self, b: dict, at: int) -> None:
         """Young duplicates go into an older identity that no track of the same camera has now."""
-        r = self.rules
-        for b in boxes:
-            if b.gid is None or b.gid not in self.identities or self.length(b) < r.merge_vectors or b.query is None:
-                continue
-            active = {x.gid for x in boxes if x.cam == b.cam}
-            scores = sorted(((self.blended(g, self.score(g, b.query), b), g) for g in self.candidates(at, active, b.gid)), key=lambda s: -s[0])
-            if not scores or scores[0][0] < r.merge_threshold or (len(scores) > 1 and scores[1][0] > 0 and scores[0][0] < scores[1][0] + r.merge_margin):
-                continue
-            source, target = b.gid, scores[0][1]
-            # Not if some camera shows both now: one identity stays one track of a camera.
-            if any({source, target} <= {x.gid for x in boxes if x.cam == c} for c in {x.cam for x in boxes}):
-                continue
-            old, x = self.identities.pop(source), self.identities[target]
-            x.seen = max(x.seen, old.seen)
-            x.prototypes = sorted(x.prototypes + old.prototypes, key=lambda p: p[1])[-r.prototypes :]
-            self.touched |= {source, target}
-            for k, t in self.tracks.items():
-                if t.gid == source:
-                    t.gid = target
-                    self.touched.add(k)
-            for y in boxes:
-                if y.gid == source:
-                    y.gid = target
-
-    def frame(self, boxes: list[Box], at: int) -> list[tuple[int, int]]:
-        """(det, identity or -1) of the boxes of one frame of all cameras."""
+        r, done = self.rules, 0
+        while done < len(b["gid"]):
+            ids = self.known["gid"]
+            shown = {c: b["gid"][b["cam"] == c] for c in np.unique(b["cam"]).tolist()}
+            active = np.stack([np.isin(ids, shown[c]) for c in b["cam"].tolist()])
+            cand = self.lately_seen(at, ~active & (ids[None] < b["gid"][:, None]))
+            s = np.where(cand, self.blended(self.scores(b["query"]), b["cam"], b["place"]), -np.inf)
+            two = -np.sort(-np.concatenate([s, np.full((len(s), 2), -np.inf)], axis=1), axis=1)[:, :2]
+            apart = np.zeros_like(cand)  # an identity stays one track of a camera
+            for gids in shown.values():
+                apart |= np.isin(b["gid"], gids)[:, None] & np.isin(ids, gids)[None]
+            ready = np.isin(b["gid"], ids) & (self.tracks["n"][b["row"]] >= r.merge_vectors) & b["query"].any(1)
+            ready &= (two[:, 0] >= r.merge_threshold) & ~((two[:, 1] > 0) & (two[:, 0] < two[:, 1] + r.merge_margin)) & (np.arange(len(ready)) >= done)
+            pick = s.argmax(1) if s.shape[1] else np.zeros(len(s), int)
+            go = [k for k in np.flatnonzero(ready) if not apart[k, pick[k]]]
+            if not go:
+                return
+            source, target = int(b["gid"][go[0]]), int(ids[pick[go[0]]])
+            self.unite(source, target)
+            b["gid"][b["gid"] == source] = target
+            done = go[0] + 1  # those before have had their turn
+
+    def unite(self, source: int, target: int) -> None:
+        k = np.isin(self.known["gid"], [source, target])
+        self.known["seen"][k] = self.known["seen"][k].max()
+        self.known = _rows(self.known, self.known["gid"] != source)
+        # The younger one's prototypes come after the older's, of each frame.
+        own, theirs = np.flatnonzero(self.proto["gid"] == target), np.flatnonzero(self.proto["gid"] == source)
+        both = np.concatenate([own, theirs])
+        both = both[np.argsort(self.proto["frame"][both], kind="stable")]
+        rest = np.setdiff1d(np.arange(len(self.proto["gid"])), both)
+        self.proto["gid"][theirs] = target
+        self.proto = _rows(self.proto, np.concatenate([rest, both[-self.rules.prototypes :]]))
+        moved = np.flatnonzero(self.tracks["gid"] == source)
+        self.tracks["gid"][moved] = target
+        self._touch(moved)
+        self.touched_ids |= {source, target}
+
+    def frame(self, at: int, det: np.ndarray, cam: np.ndarray, track: np.ndarray, v: np.ndarray, good: np.ndarray, place: np.ndarray) -> list[tuple[int, int]]:
+        """(det, identity or -1) of a frame's boxes; of several boxes of one track the first stands for it."""
         self.expire(at)
-        boxes = sorted(boxes, key=lambda b: (b.cam, b.track, b.det))
-        for b in boxes:
-            self.refresh(b, at)
-        self.release(boxes)
-        self.learn([b for b in boxes if b.gid is not None], at)
-        self.place(boxes, at)
+        order = np.lexsort((det, track, cam))
+        first = np.ones(len(order), bool)
+        first[1:] = (cam[order][1:] != cam[order][:-1]) | (track[order][1:] != track[order][:-1])
+        use = order[first]
+        row = self._rows_of(cam[use], track[use], at)
+        b = {"cam": cam[use], "track": track[use], "row": row, "v": v[use], "good": good[use], "place": place[use]}
+        b["gid"] = self.tracks["gid"][row].copy()
+        b["last"] = b["gid"].copy()
+        b["query"], b["learn"] = self.refresh(row, b["v"], b["good"], b["place"], at)
+        self.release(b, at)
+        self.learn(b, np.flatnonzero(b["gid"] != NONE), at)
+        self.place(b, at)
         if self.rules.merge and at % self.rules.merge_every == 0:
-            self.merge(boxes, at)
-        for b in boxes:
-            self.tracks[b.cam, b.track].gid = b.gid
-        return [(b.det, -1 if b.gid is None else b.gid) for b in boxes]
+            self.merge(b, at)
+        self.tracks["gid"][row] = b["gid"]
+        ids = b["gid"][np.cumsum(first) - 1]
+        return list(zip(det[order].tolist(), ids.tolist(), strict=True))
 
 
-TRACK = "gid long, seen long, sampled long, vectors array<array<double>>, x double, y double"
-IDENTITY = "seen long, cams array<long>, frames array<long>, vectors array<array<double>>"
+def _take_frame(g: SiteGallery, at: int, rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """One frame's rows through the gallery; vectors of another length than the site's count as none."""
+    v = np.zeros((len(rows), g.dim))
+    for k, x in enumerate(rows.embedding):
+        if x is not None and len(x) == g.dim:
+            n = np.linalg.norm(x)
+            if n > 0 and np.isfinite(n):
+                v[k] = np.asarray(x, float) / n
+    place = rows[["x", "y"]].to_numpy(float)
+    return g.frame(at, rows.det_id.to_numpy(np.int64), rows.cam_id.to_numpy(np.int64), rows.local_track_id.to_numpy(np.int64), v, rows.good.fillna(False).to_numpy(bool), place)
+
+
+COLUMNS = ["det_id", "cam_id", "local_track_id", "embedding", "good", "x", "y"]
+
+
+def gallery_ids(boxes: DataFrame, dim: int, rules: GalleryRules = GalleryRules()) -> DataFrame:
+    """(site, det_id, global_id; -1 while a track waits) of all boxes, by the same rules as on a stream.
+
+    What a frame does depends on those before: a site's frames pass through a task in order,
+    which holds the site's live tracks and identities.  boxes: site, frame_no, cam_id, det_id,
+    local_track_id, embedding (``dim`` components, or null), good, x, y.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        site, g, rest = None, None, None
+        for batch in _with_end(batches):
+            if batch is not None:
+                batch = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+                if not len(batch):
+                    continue
+                open_ = (batch.site == batch.site.iloc[-1]) & (batch.frame_no == batch.frame_no.iloc[-1])
+                rest, batch = batch[open_], batch[~open_]
+            else:
+                batch, rest = rest, None
+            out = []
+            for (s, at), rows in batch.groupby(["site", "frame_no"], sort=False) if batch is not None else ():
+                if s != site:
+                    site, g = s, SiteGallery(rules, dim)
+                out += [(s, *x) for x in _take_frame(g, int(at), rows)]
+            yield pd.DataFrame(out, columns=["site", "det_id", "global_id"]).astype("int64")
+
+    n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = boxes.select("site", "frame_no", *COLUMNS).repartition(n, "site").sortWithinPartitions("site", "frame_no")
+    return rows.mapInPandas(run, "site long, det_id long, global_id long")
+
+
+def _with_end(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame | None]:
+    yield from batches
+    yield None
+
+
+TRACK_STATE = "gid long, seen long, sampled long, n long, x double, y double, v array<array<double>>"
+ID_STATE = "seen long, cams array<long>, frames array<long>, vectors array<array<double>>"
+HELD = "det array<long>, cam array<long>, track array<long>, v array<array<double>>, good array<boolean>, x array<double>, y array<double>"
 
 
 class RuledGallery(StatefulProcessor):
-    """``LiveGallery`` on a stream: a site to a state, tracks and identities as entries of two maps."""
+    """``SiteGallery`` on a stream: frames wait for the watermark, then pass the rules in order.
+
+    State is the boxes of frames that are not over yet, and tracks and identities as entries of
+    two maps, of which those that a frame has changed are written.
+    """
 
-    def __init__(self, rules: GalleryRules):
-        self.rules = rules
+    def __init__(self, rules: GalleryRules, dim: int):
+        self.rules, self.dim = rules, dim
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.tracks = handle.getMapState("tracks", "cam long, track long", TRACK)
-        self.identities = handle.getMapState("identities", "gid long", IDENTITY)
+        self.handle = handle
+        self.held = handle.getMapState("held", "at long, frame long", HELD)
+        self.tracks = handle.getMapState("tracks", "cam long, track long", TRACK_STATE)
+        self.known = handle.getMapState("known", "gid long", ID_STATE)
         self.next = handle.getValueState("next", "gid long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        tracks = {tuple(k): Track(v[0], v[1], v[2], [np.array(x) for x in v[3]], None if v[4] is None else (v[4], v[5])) for k, v in self.tracks.iterator()}
-        known = {k[0]: Identity(v[0], [(c, f, np.array(x)) for c, f, x in zip(v[1], v[2], v[3], strict=True)]) for k, v in self.identities.iterator()}
-        g = LiveGallery(self.rules, tracks, known, self.next.get()[0] if self.next.exists() else 1)
+        batch = pd.concat(list(rows), ignore_index=True)
+        batch["at"] = batch.event_time.astype("datetime64[ms]").astype("int64")
+        for (at, frame), part in batch.groupby(["at", "frame_no"]):
+            cols = [part[c].astype("int64").tolist() for c in COLUMNS[:3]]
+            cols += [[None if x is None else list(map(float, x)) for x in part.embedding], part.good.fillna(False).astype(bool).tolist()]
+            cols += [[None if pd.isna(x) else float(x) for x in part[c]] for c in ("x", "y")]
+            k = (int(at), int(frame))
+            if self.held.containsKey(k):
+                cols = [list(a) + b for a, b in zip(self.held.getValue(k), cols, strict=True)]
+            self.held.updateValue(k, tuple(cols))
+            self.handle.registerTimer(int(at))
+        yield pd.DataFrame({"site": [], "det_id": [], "global_id": []}).astype("int64")
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        due = sorted(tuple(k) for k in self.held.keys() if k[0] <= now)
+        g = self._load() if due else None
         out = []
-        batch = pd.concat(list(rows)).sort_values("frame_no", kind="stable")
-        for at, frame in batch.groupby("frame_no"):
-            boxes = []
-            for d, c, t, v, ok, x, y in frame[["det_id", "cam_id", "local_track_id", "embedding", "good", "x", "y"]].itertuples(index=False):
-                boxes.append(Box(int(d), int(c), int(t), _unit(v), bool(ok), None if pd.isna(x) or pd.isna(y) else (float(x), float(y))))
-            out += [(key[0], *r) for r in g.frame(boxes, int(at))]
-        for k in g.touched:
-            if isinstance(k, tuple):
-                if k in g.tracks:
-                    t = g.tracks[k]
-                    x, y = t.place or (None, None)
-                    self.tracks.updateValue(k, (t.gid, t.seen, t.sampled, [v.tolist() for v in t.vectors], x, y))
-                elif self.tracks.containsKey(k):
-                    self.tracks.removeKey(k)
-            elif k in g.identities:
-                x = g.identities[k]
-                c, f, v = zip(*x.prototypes, strict=True) if x.prototypes else ((), (), ())
-                self.identities.updateValue((k,), (x.seen, list(c), list(f), [p.tolist() for p in v]))
-            elif self.identities.containsKey((k,)):
-                self.identities.removeKey((k,))
-        self.next.update((g.fresh,))
-        yield pd.DataFrame(out, columns=["site", "det_id", "global_id"])
+        for k in due:
+            rows = pd.DataFrame(dict(zip(COLUMNS, self.held.getValue(k), strict=True))).astype({"x": float, "y": float})
+            out += [(key[0], *x) for x in _take_frame(g, k[1], rows)]
+            self.held.removeKey(k)
+        if due:
+            self._store(g)
+        yield pd.DataFrame(out, columns=["site", "det_id", "global_id"]).astype("int64")
+
+    def _load(self) -> SiteGallery:
+        g = SiteGallery(self.rules, self.dim, self.next.get()[0] if self.next.exists() else 1)
+        rows = [(*k, *v) for k, v in self.tracks.iterator()]
+        if rows:
+            cam, track, gid, seen, sampled, n, x, y, v = zip(*rows, strict=True)
+            full = np.zeros((len(rows), self.rules.track_vectors, self.dim))
+            for k, one in enumerate(v):
+                if len(one):
+                    full[k, -len(one) :] = one
+            g.add_tracks({"cam": cam, "track": track, "gid": gid, "seen": seen, "sampled": sampled, "n": n, "x": [np.nan if p is None else p for p in x], "y": [np.nan if p is None else p for p in y], "v": full})
+        for (gid,), (seen, cams, frames, vectors) in sorted(self.known.iterator(), key=lambda e: e[0][0]):
+            g.add_identities([gid], [seen])
+            g.add_prototypes([gid] * len(cams), cams, frames, np.array(vectors, float).reshape(-1, self.dim))
+        return g
+
+    def _store(self, g: SiteGallery) -> None:
+        t, have = g.tracks, {k: i for i, k in enumerate(zip(g.tracks["cam"].tolist(), g.tracks["track"].tolist(), strict=True))}
+        for k in g.touched_tracks:
+            if k in have:
+                i = have[k]
+                x, y = (None if np.isnan(t[c][i]) else float(t[c][i]) for c in "xy")
+                n = int(t["n"][i])
+                self.tracks.updateValue(k, (int(t["gid"][i]), int(t["seen"][i]), int(t["sampled"][i]), n, x, y, t["v"][i][len(t["v"][i]) - n :].tolist()))
+            elif self.tracks.containsKey(k):
+                self.tracks.removeKey(k)
+        for gid in g.touched_ids:
+            i = np.flatnonzero(g.known["gid"] == gid)
+            if len(i):
+                p = _rows(g.proto, g.proto["gid"] == gid)
+                self.known.updateValue((gid,), (int(g.known["seen"][i[0]]), p["cam"].tolist(), p["frame"].tolist(), p["v"].tolist()))
+            elif self.known.containsKey((gid,)):
+                self.known.removeKey((gid,))
+        self.next.update((int(g.fresh),))
 
     def close(self) -> None:
         pass
 
 
-def ruled_gallery(rows: DataFrame, rules: GalleryRules = GalleryRules()) -> DataFrame:
+def ruled_gallery(rows: DataFrame, dim: int, late: str, rules: GalleryRules = GalleryRules()) -> DataFrame:
     """(site, det_id, global_id; -1 while a track waits) for a stream of boxes of all cameras of each site.
 
-    rows: site, frame_no, cam_id, det_id, local_track_id, embedding, good, x, y.  A frame of a
-    site has to arrive in one batch.  The session needs the RocksDB state store provider.
+    rows: event_time (one for all boxes of a frame), site, frame_no, cam_id, det_id,
+    local_track_id, embedding (``dim`` components), good, x, y.  A frame is worked on once the
+    watermark, ``late`` behind the latest time, has passed it; boxes that come later are dropped
+    by Spark.  The session needs the RocksDB state store provider.
     """
-    return rows.groupBy("site").transformWithStateInPandas(RuledGallery(rules), "site long, det_id long, global_id long", "append", "none")
+    b = rows.select("event_time", "site", "frame_no", *COLUMNS).withWatermark("event_time", late)
+    return b.groupBy("site").transformWithStateInPandas(RuledGallery(rules, dim), "site long, det_id long, global_id long", "append", "eventTime")

@@ -1,10 +1,9 @@
-"""Structured Streaming forms: session visits, chunk windows, a gallery of identities."""
+"""Structured Streaming forms: session visits, chunk windows, delayed remaps."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,56 +34,6 @@ def drain(stream: DataFrame, sink: str, path: str, checkpoint: str, seconds: flo
     return done
 
 
-class Gallery(StatefulProcessor):
-    """Online identities of a camera group: a vector joins the nearest centroid or opens a new one.
-
-    State is a weighted unit centroid for each identity; those not seen for ``max_age``
-    frames are dropped, so state follows who is present, not the stream.
-    """
-
-    def __init__(self, threshold: float = 0.68, max_age: int = 1800):
-        self.threshold, self.max_age = threshold, max_age
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ids = handle.getMapState("ids", "id long", "v array<double>, n long, seen long")
-        self.next = handle.getValueState("next", "id long")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        known = {k[0]: [np.array(v[0]), v[1], v[2]] for k, v in self.ids.iterator()}
-        fresh = self.next.get()[0] if self.next.exists() else 1
-        frame = pd.concat(list(rows)).sort_values(["frame_no", "det_id"])
-        out = []
-        for det, at, v in frame[["det_id", "frame_no", "embedding"]].itertuples(index=False):
-            v = np.asarray(v, float)
-            v = v / max(np.linalg.norm(v), 1e-12)
-            for k in [k for k, x in known.items() if at - x[2] > self.max_age]:
-                known.pop(k)
-                self.ids.removeKey((k,))
-            best = max(known, key=lambda k: (float(known[k][0] @ v), -k), default=None)
-            if best is None or float(known[best][0] @ v) < self.threshold:
-                best, fresh = fresh, fresh + 1
-                known[best] = [v, 0, at]
-            c, n, _ = known[best]
-            c = (c * n + v) / (n + 1)
-            known[best] = [c / max(np.linalg.norm(c), 1e-12), n + 1, at]
-            out.append((key[0], int(det), int(best)))
-        for k, (c, n, seen) in known.items():
-            self.ids.updateValue((k,), (c.tolist(), int(n), int(seen)))
-        self.next.update((fresh,))
-        yield pd.DataFrame(out, columns=["cam_group", "det_id", "global_id"])
-
-    def close(self) -> None:
-        pass
-
-
-def live_gallery(rows: DataFrame, threshold: float = 0.68, max_age: int = 1800) -> DataFrame:
-    """Identities for a stream of (cam_group, det_id, frame_no, embedding), a group to a state.
-
-    The session needs the RocksDB state store provider.
-    """
-    return rows.groupBy("cam_group").transformWithStateInPandas(Gallery(threshold, max_age), "cam_group long, det_id long, global_id long", "append", "none")
-
-
 class DelayedRemap(StatefulProcessor):
     """Holds boxes for a delay and gives them out under the ids that later merges led to.
 

@@ -59,18 +59,6 @@ def test_drain(spark, feed, tmp_path):
         assert sorted(r.a for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [1, 2, 3]
 
 
-def test_live_gallery(spark, feed, tmp_path):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
-    near = [0.9, 0.1, 0.0]
-    rows = [[(1, 10, 1, x), (1, 11, 1, y), (2, 12, 1, y)], [(1, 13, 50, near), (1, 14, 51, y)], [(1, 15, 9000, x)]]
-    got = run(streams.live_gallery(feed(rows, "cam_group long, det_id long, frame_no long, embedding array<double>")), "gallery", tmp_path)
-    ids = {r.det_id: (r.cam_group, r.global_id) for r in got}
-    assert len(got) == 6
-    assert ids[10] == ids[13] == (1, 1) and ids[11] == ids[14] == (1, 2) and ids[12] == (2, 1)
-    assert ids[15] == (1, 3)  # both earlier identities have aged out
-
-
 def test_delayed_remap(spark, feed, tmp_path):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = "event_time timestamp, cam_group long, det_id long, global_id long, source long, target long"
