@@ -17,8 +17,13 @@ most u = n - ceil(percent * n / 100) tokens of either can be missing from the ot
   proportion to its size; how many classes there are goes by bands of set sizes, and a
   set is listed in the band of its largest partner too.
 * Candidates are confirmed on full sets: each member with the smallest set of a key,
-  then keys whose members are still in different components, first with a pivot, last
-  all pairs of unlike components that the sizes and the tokens in common allow.
+  then a pivot for keys whose members are still in different components.
+* Last come pairs of unlike components.  A key of a rare token has few members.  Sets that
+  meet at frequent tokens alone share no rare token at all, and all their rare tokens are
+  missing from the other: that leaves for their frequent tokens a budget d of differences,
+  most often a small one.  Then the combinations are as long as can be: frequent tokens are
+  dealt to more than d classes, and of a linked pair one class or more agrees as a whole.
+  So texts of one template that are just too far apart are not paired with one another.
 
 Sets that are equal are one node from the start.  Defined results: a null or empty text
 has no tokens and links with nothing; a text shorter than the shingle is one token;
@@ -36,11 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .neardup import NearDup, _by_pivot, _confirmed, _shingle_rows, shingle_sets
+from .neardup import NearDup, _confirmed, _shingle_rows, shingle_sets
 from .shared import binary_list, column, components, stash
 from .textkit import chunks, mix, signed
 
 
+#: 1 to 8, then four steps to each doubling.
+LEVELS = [*range(1, 9), *(2**k * m // 4 for k in range(3, 30) for m in (5, 6, 7, 8))]
+
+
 @dataclass(frozen=True)
 class JaccardJoin:
     shingle: int = 3
@@ -104,7 +113,8 @@ def _signatures(p: JaccardJoin):
 
 def _with_partners(nodes: DataFrame, p: JaccardJoin) -> DataFrame:
     """Ids of the nodes that share enough of their first tokens by hash with others."""
-    rows = nodes.select("id", "n", F.explode("low").alias("h"))
+    large = F.col("n") * 100 >= (F.col("n") + 1) * p.percent  # smaller sets link with none that differs
+    rows = nodes.where(large).select("id", "n", F.explode("low").alias("h"))
     several = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
     shared = rows.join(several, "h").groupBy("id", "n").agg(F.count("*").alias("shared"))
     least = _needed(p, "n")  # the smallest partner's size
@@ -112,7 +122,7 @@ def _with_partners(nodes: DataFrame, p: JaccardJoin) -> DataFrame:
 
 
 def _keys(rows: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(key, id, n, common) for each token combination of a prefix.
+    """(key, frequent, id, n, common) for each token combination of a prefix.
 
     rows: id, n, h, k (sets that have the token, two or more), common (such tokens of the set).
     """
@@ -132,40 +142,97 @@ def _keys(rows: DataFrame, p: JaccardJoin) -> DataFrame:
     rows = rows.withColumn("covers", covers)
     before = F.sum("covers").over(own) - F.col("covers") + F.col("n") - F.col("common")  # tokens of this set alone come first
     rows = rows.where(F.col("n") > 0).withColumn("before", before).where(F.col("before") <= F.col("n") - _needed(p, "n"))
-    single = rows.where("by = 1").select(F.xxhash64("band", "h").alias("key"), "id", "n", "common")
+    single = rows.where("by = 1").select(F.xxhash64("band", "h").alias("key"), (F.col("k") > p.pairs_above).alias("frequent"), "id", "n", "common")
     of_class = rows.where("by > 1").groupBy("id", "n", "common", "band", "by", "slot").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") >= F.col("by"))
     two = of_class.select("id", "n", "common", "band", "by", "hs", F.posexplode("hs").alias("i", "x")).where("i > 0")
     two = two.select("id", "n", "common", "band", "by", "hs", "x", F.posexplode(F.expr("slice(hs, 1, i)")).alias("j", "y"))
-    pair = two.where("by = 2").select(F.xxhash64("band", "x", "y").alias("key"), "id", "n", "common")
+    pair = two.where("by = 2").select(F.xxhash64("band", "x", "y").alias("key"), F.lit(True).alias("frequent"), "id", "n", "common")
     three = two.where("by = 3 and j > 0").select("id", "n", "common", "band", "x", "y", F.explode(F.expr("slice(hs, 1, j)")).alias("z"))
-    triple = three.select(F.xxhash64("band", "x", "y", "z").alias("key"), "id", "n", "common")
+    triple = three.select(F.xxhash64("band", "x", "y", "z").alias("key"), F.lit(True).alias("frequent"), "id", "n", "common")
     return single.unionByName(pair).unionByName(triple)
 
 
 def _reach(p: JaccardJoin) -> Column:
-    """Whether sizes n_a and n_b, and the tokens c_a and c_b that others have too, allow a link."""
+    """Whether the sizes of two sets, and how many tokens of each can be common, allow a link."""
     overlap = F.ceil((F.col("n_a") + F.col("n_b")) * p.percent / (100 + p.percent))
-    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p.percent) & (F.least("c_a", "c_b") >= overlap)
+    return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p.percent) & (F.least("common_a", "common_b") >= overlap)
+
+
+def _unlike(member: DataFrame, key: str, allowed: Column) -> DataFrame:
+    """Pairs (a, b) of a key's members in unlike components; one side is outside the key's first component.
+
+    member: key, id, component and what ``allowed`` asks of either side, as n_a, n_b and so on.
+    """
+    more = [c for c in member.columns if c not in (key, "id", "component")]
+    low = member.groupBy(key).agg(F.min("component").alias("first"), F.max("component").alias("last")).where("first < last").select(key, "first")
+    rows = member.join(low, key)
+    x, y = (rows.select(key, F.col("id").alias(f"id_{t}"), F.col("component").alias(f"of_{t}"), (F.col("component") == F.col("first")).alias(f"first_{t}"), *(F.col(c).alias(f"{c}_{t}") for c in more)) for t in "ab")
+    pairs = x.join(y.where("not first_b"), key).where("of_a <> of_b").where("first_a or id_a < id_b").where(allowed)
+    return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+
+
+_CLASSES = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("id", pa.int64()), ("budget", pa.float64()), ("n", pa.int64()), ("common", pa.int64()), ("component", pa.int64())])
+
+
+def _whole_classes(p: JaccardJoin):
+    """A key for each class of a set's frequent tokens, at every level that a partner may ask for."""
+    share = (100 - p.percent) / (100 + p.percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = {c: column(batch, c).to_pylist() for c in ("id", "n", "component")}
+            tokens = column(batch, "hs")
+            for i, (node, n, component) in enumerate(zip(*cols.values(), strict=True)):
+                h = tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+                budget = share * n - (n - len(h))
+                most = budget + share * (100 * n // p.percent)  # with the largest partner, without a rare token
+                if most < 0:
+                    continue
+                token = mix(h + np.uint64(0x51))
+                keys, level = [], []
+                for many in LEVELS:
+                    of = mix(h ^ np.uint64(many)) % np.uint64(many)
+                    total = np.zeros(many, np.uint64)
+                    np.add.at(total, of.astype(np.int64), token)
+                    keys.append(mix(total + mix(np.arange(many, dtype=np.uint64) + np.uint64(many << 32))))
+                    level.append(np.full(many, many, np.int32))
+                    if many > most:
+                        break
+                keys, level = np.concatenate(keys), np.concatenate(level)
+                rest = [np.full(len(keys), x) for x in (node, budget, n, len(h), component)]
+                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(level), *(pa.array(x, f.type) for x, f in zip(rest, list(_CLASSES)[2:], strict=True))], schema=_CLASSES)
+
+    return run
+
+
+def _by_whole_classes(member: DataFrame, texts: DataFrame, frequent: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Pairs of unlike components that share no rare token, by classes of frequent tokens that agree."""
+    sets = member.select("id", "n", "component").distinct()
+    rows = texts.join(sets.select("id"), "id", "left_semi").mapInArrow(_shingle_rows(p.near), "id long, h long")
+    held = rows.join(frequent, "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
+    listed = stash(held.join(sets, "id").select("id", "n", "component", "hs").mapInArrow(_whole_classes(p), "key long, level int, id long, budget double, n long, common long, component long"), "classes")
+    budget = F.col("budget_a") + F.col("budget_b")
+    levels = F.array(*(F.lit(x) for x in LEVELS))
+    asked = F.element_at(F.filter(levels, lambda x: x > budget + 1e-9), 1)
+    allowed = (F.abs(F.col("common_a") - F.col("common_b")) <= budget + 1e-9) & _reach(p) & (F.col("level_a") == asked)
+    return _unlike(listed, "key", allowed)
 
 
-def _unlike(member: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Pairs of a key's members in unlike components that sizes allow; one side is outside the key's first component."""
-    low = member.groupBy("key").agg(F.min("component").alias("first"))
-    rows = member.join(low, "key")
-    x = rows.select("key", F.col("id").alias("i"), F.col("n").alias("n_i"), F.col("common").alias("c_i"), F.col("component").alias("p_i"), (F.col("component") == F.col("first")).alias("of_first"))
-    y = rows.where("component <> first").select("key", F.col("id").alias("j"), F.col("n").alias("n_j"), F.col("common").alias("c_j"), F.col("component").alias("p_j"))
-    pairs = x.join(y, "key").where("p_i <> p_j").where("of_first or i < j")
-    pairs = pairs.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b"), F.col("n_i").alias("n_a"), F.col("n_j").alias("n_b"), F.col("c_i").alias("c_a"), F.col("c_j").alias("c_b"))
-    return pairs.where(_reach(p)).select("a", "b").distinct()
+def _by_pivot(member: DataFrame) -> DataFrame:
+    """Every member of a mixed key with one of its first component, the same in most keys."""
+    pivot = member.groupBy("key", "component").agg(F.min_by(F.struct("id", "n", "common"), F.xxhash64("id")).alias("p"))
+    pivot = pivot.groupBy("key").agg(F.min_by("p", "component").alias("p"), F.min("component").alias("other"))
+    pairs = member.join(pivot, "key").where("component <> other")
+    first = F.col("id") < F.col("p.id")
+    pairs = pairs.select(F.least("id", "p.id").alias("a"), F.greatest("id", "p.id").alias("b"), *(F.when(first if t == "a" else ~first, F.col(c)).otherwise(F.col(f"p.{c}")).alias(f"{c}_{t}") for c in ("n", "common") for t in "ab"))
+    return pairs.distinct()
 
 
-def _links(texts: DataFrame, keys: DataFrame, p: JaccardJoin) -> DataFrame:
+def _links(texts: DataFrame, keys: DataFrame, frequent: DataFrame, p: JaccardJoin) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all links."""
-    sizes = keys.select("id", "n", "common").distinct()
-    low = keys.groupBy("key").agg(F.min("id").alias("least"))
-    pairs = keys.join(low, "key").where("least < id").select(F.col("least").alias("a"), F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("common").alias("c_b")).distinct()
-    pairs = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("common").alias("c_a")), "a").where(_reach(p))
-    pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the first that sizes allow
+    low = keys.groupBy("key").agg(F.min(F.struct("id", "n", "common")).alias("p"))
+    pairs = keys.join(low, "key").where("p.id < id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), *(F.col(f"{q}{c}").alias(f"{c}_{t}") for c in ("n", "common") for t, q in (("a", "p."), ("b", ""))))
+    pairs = pairs.where(_reach(p)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the first that sizes allow
     done = stash(pairs, "pairs")
     links = stash(_confirmed(done, texts, p.near), "links")
     for last in (False, True):
@@ -174,19 +241,18 @@ def _links(texts: DataFrame, keys: DataFrame, p: JaccardJoin) -> DataFrame:
         mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         member = stash(member.join(mixed, "key"), "mixed")
         if last:
-            pairs = _unlike(member, p)
+            rare = _unlike(member.where("not frequent").drop("frequent"), "key", _reach(p))
+            pairs = rare.unionByName(_by_whole_classes(member.where("frequent"), texts, frequent, p)).distinct()
         else:
-            pairs = _by_pivot(member).distinct()
-            common = sizes.select("id", "common")
-            pairs = pairs.join(common.toDF("a", "c_a"), "a").join(common.toDF("b", "c_b"), "b").where(_reach(p)).select("a", "b")
+            pairs = _by_pivot(member.drop("frequent")).where(_reach(p)).select("a", "b")
         fresh = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         links = stash(links.unionByName(_confirmed(fresh, texts, p.near)), "links")
         done = done.unionByName(fresh)
     return links
 
 
-def candidate_keys(texts: DataFrame, p: JaccardJoin) -> DataFrame:
-    """(key, id, n, common) of the combinations that two sets or more have. texts: id, text."""
+def candidate_keys(texts: DataFrame, p: JaccardJoin) -> tuple[DataFrame, DataFrame]:
+    """(key, frequent, id, n, common) of the combinations that two sets or more have, and frequent tokens (h). texts: id, text."""
     rows = texts.mapInArrow(_shingle_rows(p.near), "id long, h long")
     rows = stash(rows, "tokens")
     several = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1")
@@ -195,7 +261,7 @@ def candidate_keys(texts: DataFrame, p: JaccardJoin) -> DataFrame:
     rows = rows.join(several, "h").withColumn("common", F.count("*").over(own)).join(of_id, "id").where(F.col("common") >= _needed(p, "n"))
     keys = stash(_keys(rows, p), "keys")
     again = keys.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    return stash(keys.join(again, "key"), "keys")
+    return stash(keys.join(again, "key"), "keys"), stash(several.where(F.col("k") > p.pairs_above).select("h"), "frequent")
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -209,7 +275,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     live = stash(nodes.select("id", "doc", "th").join(_with_partners(nodes, p), "id"), "live")
     texts = base.select(F.col("id").alias("doc"), "th", "text").join(live, ["doc", "th"]).select("id", "text").dropDuplicates(["id"])
     texts = stash(texts, "texts")
-    found = components(_links(texts, candidate_keys(texts, p), p))
+    found = components(_links(texts, *candidate_keys(texts, p), p))
     linked = nodes.select("f1", "f2", "id", "doc").join(found, nodes.id == found.node).select("f1", "f2", "doc", "component")
     first = linked.groupBy("component").agg(F.min("doc").alias("first"))
     smallest = linked.join(first, "component").select("f1", "f2", "first").unionByName(nodes.join(found, nodes.id == found.node, "left_anti").select("f1", "f2", F.col("doc").alias("first")))

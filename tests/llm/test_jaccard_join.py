@@ -83,7 +83,7 @@ def test_prefixes_share_a_combination(spark):
         sets[i] = have
     texts = spark.createDataFrame([(i, " ".join(f"t{x}" for x in s).encode()) for i, s in sets.items()], "id long, text binary")
     of = {}
-    for r in jaccard_join.candidate_keys(texts, p).collect():
+    for r in jaccard_join.candidate_keys(texts, p)[0].collect():
         of.setdefault(r.id, set()).add(r.key)
     linked = [(a, b) for a in sets for b in range(a) if sets[a] != sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
     assert len(linked) > 20 and all(of[a] & of[b] for a, b in linked)
@@ -99,6 +99,27 @@ def test_classes_leave_enough_cover():
                 assert n - pairs - 2 * triples >= p.spare(n) + 1
 
 
+def test_texts_of_one_template_are_not_paired_with_one_another(spark, monkeypatch):
+    """300 texts, each with a few words of its own, are too far apart; the few that link are found."""
+    rng = random.Random(1)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in rng.sample(range(2, 148), 4):
+            w[at] = f"own{i}_{at}"
+        rows.append((i, " ".join(w)))
+    near = rows[7][1].split()
+    near[75] = "x"
+    rows += [(1000, " ".join(near)), (1001, rows[9][1].replace("w70 ", "y "))]
+    asked = []
+    confirmed = jaccard_join._confirmed
+    monkeypatch.setattr(jaccard_join, "_confirmed", lambda pairs, *more: (asked.append(pairs.count()), confirmed(pairs, *more))[1])
+    got = sorted((tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, DOCS)).collect()), key=str)
+    assert got == plain(rows, 3, 90) and len({r[2] for r in got}) == 300
+    assert sum(asked) < 302 * 301 / 2 / 6
+
+
 def test_empty_and_long(spark):
     d = spark.createDataFrame([], DOCS)
     assert jaccard_join.jaccard_components(d).count() == 0
