@@ -11,17 +11,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranges
+
 DETECTION_VECTORS = "cam_id int, frame_no long, local_track_id long, embedding array<double>"
 TRACKLET_VECTORS = "tracklet_id long, embedding array<double>"
 
 
-def read_npz(spark: SparkSession, path: str, schema: str, names: dict[str, str] | None = None, normalise: bool = False) -> DataFrame:
-    """Rows of the arrays in NPZ files, a file to a task at a time; unreadable files give no rows.
+def read_npz(spark: SparkSession, path: str, schema: str, names: dict[str, str] | None = None, normalise: bool = False, part_bytes: int = ranges.PART_BYTES) -> DataFrame:
+    """Rows of the arrays in NPZ files, in slices of about ``part_bytes`` of a file; unreadable files give no rows.
+
+    Files in a store that only Spark opens are read whole, a file to a task.
 
     ``names`` maps columns to arrays that are called otherwise.  ``normalise`` makes the
     vectors unit length (zero vectors stay).
     """
     names = names or {}
+    found_files = ranges.listed(spark, path)
+    if found_files is not None:
+        return ranges.npz(spark, found_files, schema, names, normalise, part_bytes)
     columns = spark.createDataFrame([], schema).columns
 
     def load(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -49,18 +56,24 @@ def read_tracklet_vectors(spark: SparkSession, path: str) -> DataFrame:
     return read_npz(spark, path, TRACKLET_VECTORS, {"tracklet_id": "tracklet_ids", "embedding": "embeddings"})
 
 
-def read_warehouse_truth(spark: SparkSession, path: str) -> DataFrame:
+def read_warehouse_truth(spark: SparkSession, path: str, stride: int = 1, cameras: list[int] | None = None, part_bytes: int = ranges.PART_BYTES) -> DataFrame:
     """Boxes of persons in JSON files of {frame: [object]}; boxes without a width or height go.
 
-    Such a file is one document, so it is one task; the rows are spread by frame after it.
+    Every ``stride``-th frame and the ``cameras`` asked for; the others are skipped unparsed.
+    A file is read in ranges of about ``part_bytes``; only files in a store that pyarrow
+    can't open are read whole, a file to a task.
     """
+    found = ranges.listed(spark, path)
+    if found is not None:
+        return ranges.truth(spark, found, stride, cameras, part_bytes)
     item = "array<struct<`object type`:string,`object id`:long,`2d bounding box visible`:map<string,array<double>>>>"
     raw = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,{item}>")).alias("frame", "objects"))
     one = raw.select(F.col("frame").cast("long").alias("frame"), F.explode("objects").alias("o")).where(F.col("o.`object type`") == "Person")
     b = one.select("frame", F.col("o.`object id`").alias("person_id"), F.explode("o.`2d bounding box visible`").alias("camera", "b"))
     w, h = F.col("b")[2] - F.col("b")[0], F.col("b")[3] - F.col("b")[1]
     cam = F.regexp_extract("camera", r"(\d+)$", 1).cast("int").alias("cam_id")
-    return b.where((w > 0) & (h > 0)).select("frame", cam, "person_id", F.col("b")[0].alias("left"), F.col("b")[1].alias("top"), w.alias("width"), h.alias("height"))
+    asked = (F.col("frame") % stride == 0) & (cam.isin(cameras) if cameras is not None else F.lit(True))
+    return b.where((w > 0) & (h > 0) & asked).select("frame", cam, "person_id", F.col("b")[0].alias("left"), F.col("b")[1].alias("top"), w.alias("width"), h.alias("height"))
 
 
 def _pose(r: Column, t: Column) -> list[Column]:
