@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .keeping import _kept
 from .pairs import box_pairs
 
 
@@ -305,16 +306,6 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
     return a.groupBy("cam_id").agg(*[F.round(F.avg(x), 6).alias(k) for k, x in score.items()])
 
 
-def _kept(d: DataFrame) -> DataFrame:
-    """A reliable checkpoint; a local session without a folder for it caches, where there are no executors to lose."""
-    spark = d.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        return d.checkpoint()
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir is unset: it has to name a folder that the driver and all executors share")
-    return d.persist()
-
-
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """(node, component) with the smallest node as component, by alternating star rounds.
 

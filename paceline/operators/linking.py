@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.geometry import box, closeness, dot, iou
 from .fusion import FusionRules, windowed
 from .identity import _kept, assign, components
-from .pairs import _alike, similar
+from .pairs import _alike, best_partners, ranked_matches, similar
 
 
 def _of(by: tuple[str, ...], side: str = "a") -> list:
@@ -494,34 +494,31 @@ def buffered_ids(det: DataFrame, window: int, gate: float, chunks: int = 1, vote
 def retrieval(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, hit, ap): top-1 hit and average precision in other cameras of the query's scene.
 
-    A stated set of queries meets its scene's gallery; queries without any match elsewhere
-    are left out.  vectors, queries: vec_id, scene, cam_id, person_id, v (unit vectors).
+    Only the matches of a query are rows; their ranks are counts (``ranked_matches``).  Queries
+    without any match elsewhere are left out.  vectors, queries: vec_id, scene, cam_id,
+    person_id, v (unit vectors).
     """
-    q = queries.select(F.col("vec_id").alias("query_id"), "scene", F.col("cam_id").alias("q_cam"), F.col("person_id").alias("q_person"), F.col("v").alias("q"))
-    j = q.join(vectors, "scene").where("cam_id <> q_cam")
-    j = j.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"), (F.col("person_id") == F.col("q_person")).cast("int").alias("match"))
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    r = j.withColumn("rank", F.row_number().over(w)).withColumn("hits", F.sum("match").over(w))
-    g = r.groupBy("query_id").agg(F.max(F.when(F.col("rank") == 1, F.col("match"))).alias("hit"), F.avg(F.when(F.col("match") == 1, F.col("hits") / F.col("rank"))).alias("ap"))
-    return g.where("ap is not null")
+    r = ranked_matches(queries, vectors)
+    r = r.withColumn("hits", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")))
+    return r.groupBy("query_id").agg((F.min("rank") == 1).cast("int").alias("hit"), F.avg(F.col("hits") / F.col("rank")).alias("ap"))
 
 
 def cosine_merge(vectors: DataFrame, far: float, least: int, scene: str = "scene") -> DataFrame:
     """(scene, global_id, label): ids whose mean vectors cluster within a cosine distance of ``far`` (average linkage).
 
     Ids with fewer than ``least`` boxes go to the cluster of the nearest id that has enough.
-    Labels count from 1 in the order of each cluster's smallest id.  A scene is a group, of
-    one row for each id.  vectors: scene, global_id, v (unit), n.
+    Labels count from 1 in the order of each cluster's smallest id.  Clusters merge only if
+    some pair of theirs is within ``far``, so the connected components of such pairs are
+    clustered by themselves, a component to a group, and memory follows the largest.
+    vectors: scene, global_id, v (unit), n.
     """
 
     def kernel(key, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("global_id").reset_index(drop=True)
-        v, n = np.stack(pdf.v.to_list()).astype(float), pdf.n.to_numpy()
-        base = np.clip(1 - v @ v.T, 0, 2)
-        np.fill_diagonal(base, np.inf)
-        d, label, weight = base.copy(), np.arange(len(v)), np.ones(len(v))
-        near = d.argmin(1) if len(v) > 1 else np.zeros(len(v), int)
-        alive = np.ones(len(v), bool)
+        v = np.stack(pdf.v.to_list()).astype(float)
+        d, weight, alive = np.clip(1 - v @ v.T, 0, 2), np.ones(len(v)), np.ones(len(v), bool)
+        np.fill_diagonal(d, np.inf)
+        label, near = np.arange(len(v)), d.argmin(1)
         while alive.sum() > 1:
             i = int(np.where(alive, d[np.arange(len(v)), near], np.inf).argmin())
             j = int(near[i])
@@ -539,14 +536,22 @@ def cosine_merge(vectors: DataFrame, far: float, least: int, scene: str = "scene
             near[i] = d[i].argmin()
             better = alive & (d[:, i] < d[np.arange(len(v)), near])
             near[better] = i
-        enough = np.flatnonzero(n >= least)
-        out = label.copy()
-        for i in np.flatnonzero(n < least):
-            if len(enough):
-                out[i] = label[enough[base[i, enough].argmin()]]
-        return pd.DataFrame({scene: key[0], "global_id": pdf.global_id, "label": pd.factorize(out)[0] + 1})
-
-    return vectors.groupBy(scene).applyInPandas(kernel, f"{scene} long, global_id long, label long")
+        return pd.DataFrame({scene: pdf[scene], "global_id": pdf.global_id, "root": pdf.global_id.to_numpy()[label]})
+
+    t = vectors.select(scene, "global_id", "v", "n").withColumn("key", F.xxhash64(scene, "global_id"))
+    id_v = lambda d: d.select(scene, F.col("global_id").alias("id"), "v")
+    close = similar(id_v(t), 1 - far, scene)
+    of = _kept(components(close.select(F.xxhash64(scene, "a").alias("a"), F.xxhash64(scene, "b").alias("b"))))
+    merged = t.join(of.withColumnRenamed("node", "key"), "key")
+    merged = merged.groupBy("component").applyInPandas(kernel, f"{scene} {vectors.schema[scene].dataType.simpleString()}, global_id long, root long")
+    alone = t.join(of, F.col("key") == F.col("node"), "left_anti").select(scene, "global_id", F.col("global_id").alias("root"))
+    roots = _kept(merged.unionByName(alone))
+    partner = best_partners(id_v(t.where(F.col("n") < least)), id_v(t.where(F.col("n") >= least)), scene).withColumnRenamed("id", "global_id")
+    theirs = roots.select(scene, F.col("global_id").alias("partner"), F.col("root").alias("theirs"))
+    r = roots.join(partner, [scene, "global_id"], "left").join(theirs, [scene, "partner"], "left").select(scene, "global_id", F.coalesce("theirs", "root").alias("root"))
+    order = r.groupBy(scene, "root").agg(F.min("global_id").alias("first"))
+    order = order.withColumn("label", F.row_number().over(Window.partitionBy(scene).orderBy("first")).cast("long"))
+    return r.join(order, [scene, "root"]).select(scene, "global_id", "label")
 
 
 class _Followed:

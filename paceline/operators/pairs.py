@@ -7,7 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geometry import box, iou
+from ..functions.geometry import box, dot, iou
+from .keeping import _kept
 
 
 def box_pairs(gt: DataFrame, pred: DataFrame, least: float = 0.0) -> DataFrame:
@@ -108,21 +109,145 @@ def nearest(queries: DataFrame, gallery: DataFrame, k: int, by: str | None = Non
     return out.select(*([F.col("_by").alias(by)] if by else []), "query_id", "rank", "vec_id", "score")
 
 
-def similar(vectors: DataFrame, least: float, by: str = "scene") -> DataFrame:
-    """(by, a, b, score): pairs a < b of one group with an inner product of ``least`` or more, by products of blocks.
+def _celled(vectors: DataFrame, size: int) -> DataFrame:
+    """(_by, cell, block, ids, vectors, centre, reach): vectors of one direction in blocks of about ``size``.
 
-    Only such pairs leave a task.  vectors: by, id, v (unit vectors).
+    Some of a group's vectors, about one in ``size`` and 64 at most, are its pivots, and each
+    vector goes to the cell of the nearest one; a cell is cut into blocks by a hash, so a full
+    cell meets in no task.  ``reach`` is the largest angle between a block's centre and a vector.
+    vectors: _by, id, v.
     """
-    t = vectors.withColumn("_by", F.col(by).cast("string"))
-    b = blocks_of(t, "id", "v", "_by")
-    x = b.select("_by", F.col("block").alias("m"), F.col("ids").alias("ids_a"), F.col("vectors").alias("vectors_a"))
-    y = b.select("_by", F.col("block").alias("n"), F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+    n = vectors.groupBy("_by").agg(F.count("*").alias("n"))
+    step = F.ceil(F.col("n") / F.least(F.lit(64), F.ceil(F.col("n") / size)))
+    pivots = vectors.join(n, "_by").where(F.pmod(F.xxhash64("id", F.lit(1)), step) == 0).groupBy("_by").agg(F.collect_list("v").alias("pivots"))
+
+    def to_cells(batches):
+        for batch in batches:
+            for by, ids, v, p in batch[["_by", "ids", "vectors", "pivots"]].itertuples(index=False, name=None):
+                cell = np.zeros(len(ids), np.int64) if p is None or not len(p) else (np.stack(v).astype(float) @ np.stack(p).astype(float).T).argmax(1)
+                yield pd.DataFrame({"_by": by, "id": ids, "v": v, "cell": cell})
+
+    dealt = blocks_of(vectors, "id", "v", "_by").join(pivots, "_by", "left").mapInPandas(to_cells, "_by string, id long, v array<double>, cell long")
+    dealt = _kept(dealt)
+    of_cell = dealt.groupBy("_by", "cell").agg(F.ceil(F.count("*") / size).alias("parts"))
+    dealt = dealt.join(of_cell, ["_by", "cell"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(2)), F.col("parts")))
+    blocks = dealt.groupBy("_by", "cell", "block").agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vectors"))
+
+    def centred(batches):
+        for batch in batches:
+            centre, reach = [], []
+            for v in batch.vectors:
+                v = np.stack(v).astype(float)
+                c = v.sum(0)
+                size = np.linalg.norm(c)
+                c = c / size if size > 0 else v[0]
+                centre.append(c)
+                reach.append(float(np.arccos(np.clip(v @ c, -1, 1)).max()))
+            yield batch.assign(centre=centre, reach=reach)
+
+    return _kept(blocks.mapInPandas(centred, "_by string, cell long, block long, ids array<long>, vectors array<array<double>>, centre array<double>, reach double"))
+
+
+def _near_blocks(blocks: DataFrame, least: float) -> DataFrame:
+    """Pairs of blocks (and each with itself) in which two vectors can have a product of ``least``, by their centres and reaches."""
+    s = blocks.select("_by", F.struct("cell", "block").alias("k"), "centre", "reach")
+    a, b = s.alias("a"), s.alias("b")
+    angle = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a.centre"), F.col("b.centre")))))
+    apart = angle - F.col("a.reach") - F.col("b.reach") <= float(np.arccos(np.clip(least, -1, 1))) + 1e-6
+    near = a.join(b, (F.col("a._by") == F.col("b._by")) & (F.col("a.k") <= F.col("b.k"))).where(apart)
+    return near.select("a._by", F.col("a.k.cell").alias("cell_a"), F.col("a.k.block").alias("block_a"), F.col("b.k.cell").alias("cell_b"), F.col("b.k.block").alias("block_b"))
+
+
+def similar(vectors: DataFrame, least: float, by: str = "scene", size: int = 256) -> DataFrame:
+    """(by, a, b, score): pairs a < b of one group with an inner product of ``least`` or more.
+
+    Exact: vectors are put in blocks of like direction, and only blocks whose centres and
+    reaches allow such a product are multiplied; only such pairs leave a task.  (What meets
+    before are the blocks' centres, a row for about ``size`` vectors.)  How many blocks are
+    spared depends on how much the vectors cluster; ``block_share`` counts it.
+    vectors: by, id, v (unit vectors).
+    """
+    if least > 1:
+        return vectors.select(F.col(by), F.col("id").alias("a"), F.col("id").alias("b"), F.lit(0.0).alias("score")).limit(0)
+    blocks = _celled(vectors.select(F.col(by).cast("string").alias("_by"), "id", "v"), size)
+    a, b = (blocks.select("_by", F.col("cell").alias(f"cell_{t}"), F.col("block").alias(f"block_{t}"), F.col("ids").alias(f"ids_{t}"), F.col("vectors").alias(f"vectors_{t}")) for t in "ab")
+    near = _near_blocks(blocks, least).join(a, ["_by", "cell_a", "block_a"]).join(b, ["_by", "cell_b", "block_b"])
     schema = "_by string, i long, j long, score double"
-    found = x.join(y, "_by").where("m <= n").mapInPandas(_products(lambda s: np.nonzero(s >= least), schema), schema)
+    found = near.select("_by", "ids_a", "vectors_a", "ids_b", "vectors_b").mapInPandas(_products(lambda s: np.nonzero(s >= least), schema), schema)
     found = found.groupBy("_by", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.max("score").alias("score"))
     return found.select(F.col("_by").cast(vectors.schema[by].dataType).alias(by), "a", "b", "score")
 
 
+def block_share(vectors: DataFrame, least: float, by: str = "scene", size: int = 256) -> DataFrame:
+    """One row: how many pairs of blocks ``similar`` multiplies, and of how many."""
+    blocks = _celled(vectors.select(F.col(by).cast("string").alias("_by"), "id", "v"), size)
+    n = blocks.groupBy("_by").agg((F.count("*") * (F.count("*") + 1) / 2).alias("n")).agg(F.sum("n").cast("long").alias("all"))
+    return _near_blocks(blocks, least).agg(F.count("*").alias("formed")).join(F.broadcast(n))
+
+
+def best_partners(queries: DataFrame, gallery: DataFrame, by: str = "scene") -> DataFrame:
+    """(by, id, partner): of each query the gallery vector of largest product in its group (ties: the smaller id), itself left out.
+
+    A product of blocks leaves one partner for each query.  queries, gallery: by, id, v.
+    """
+    q = blocks_of(queries.select(F.col(by).cast("string").alias("_by"), "id", "v"), "id", "v", "_by").select("_by", F.col("ids").alias("ids_a"), F.col("vectors").alias("vectors_a"))
+    g = blocks_of(gallery.select(F.col(by).cast("string").alias("_by"), "id", "v"), "id", "v", "_by").select("_by", F.col("ids").alias("ids_b"), F.col("vectors").alias("vectors_b"))
+
+    def keep(s):
+        best = s.max(1, keepdims=True)
+        return np.nonzero((s >= best - 1e-12) & np.isfinite(s))
+
+    schema = "_by string, id long, partner long, score double"
+    found = q.join(g, "_by").mapInPandas(_products(keep, schema), schema)
+    top = found.groupBy("_by", "id").agg(F.max_by("partner", F.struct(F.round("score", 12), -F.col("partner"))).alias("partner"))
+    return top.select(F.col("_by").cast(queries.schema[by].dataType).alias(by), "id", "partner")
+
+
+def ranked_matches(queries: DataFrame, gallery: DataFrame) -> DataFrame:
+    """(query_id, vec_id, rank): the rank of each match of a query in the gallery of its scene's other cameras.
+
+    No row is made for the rest of the gallery: products of blocks count, for each match, the
+    vectors that come before it (larger scores to 9 digits, then smaller ids), and the
+    counts of the gallery's blocks are added up.  queries, gallery: vec_id, scene, cam_id,
+    person_id, v (unit vectors).
+    """
+    q = queries.select(F.col("vec_id").alias("query_id"), "scene", F.col("cam_id").alias("q_cam"), "person_id", F.col("v").alias("q"))
+    hits = q.join(gallery, ["scene", "person_id"]).where("cam_id <> q_cam").select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+    # A query's matches in parts of about 4096, however many a person has.
+    n = hits.groupBy("query_id").agg(F.ceil(F.count("*") / 4096).alias("parts"))
+    hits = hits.join(n, "query_id").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    hits = hits.groupBy("query_id", "part").agg(F.collect_list("vec_id").alias("matches"), F.collect_list("score").alias("scores"))
+    asked = hits.join(q.select("query_id", "scene", "q_cam", "q"), "query_id").withColumn("block", F.pmod(F.xxhash64("query_id", "part"), F.lit(64)))
+    asked = asked.groupBy("scene", "block").agg(F.collect_list(F.struct("query_id", "q_cam", "q", "matches", "scores")).alias("asked"))
+    g = gallery.withColumn("n", F.lit(1)).select("scene", "vec_id", F.struct("cam_id", "v").alias("e"))
+    g = blocks_of(g, "vec_id", "e", "scene").select("scene", "ids", "vectors")
+
+    def count(batches):
+        for batch in batches:
+            out = [np.zeros((0, 3), np.int64)]
+            for asked, ids, entries in batch[["asked", "ids", "vectors"]].itertuples(index=False, name=None):
+                order = np.argsort(np.asarray(ids))
+                ids = np.asarray(ids)[order]
+                cams, v = np.array([e["cam_id"] for e in entries])[order], np.stack([e["v"] for e in entries])[order].astype(float)
+                s = np.rint(np.stack([a["q"] for a in asked]).astype(float) @ v.T * 1e9).astype(np.int64)
+                for a, row in zip(asked, s, strict=True):
+                    other = cams != a["q_cam"]
+                    k, of = row[other], ids[other]
+                    by_score = np.argsort(-k, kind="stable")  # of equal scores smaller ids first
+                    k, of = -k[by_score], of[by_score]
+                    match = np.asarray(a["matches"])
+                    own = -np.rint(np.asarray(a["scores"], float) * 1e9).astype(np.int64)
+                    lo, hi = np.searchsorted(k, own, "left"), np.searchsorted(k, own, "right")
+                    before = lo + np.array([np.searchsorted(of[x:y], m) for x, y, m in zip(lo, hi, match, strict=True)], np.int64)
+                    here = {m: p for p, m in enumerate(of.tolist())}
+                    before -= np.array([here.get(m, len(of)) < n for m, n in zip(match.tolist(), before.tolist(), strict=True)], np.int64)  # never before itself
+                    out.append(np.stack([np.full(len(match), a["query_id"]), match, before], axis=1))
+            yield pd.DataFrame(np.concatenate(out), columns=["query_id", "vec_id", "before"])
+
+    found = asked.join(g, "scene").select("asked", "ids", "vectors").mapInPandas(count, "query_id long, vec_id long, before long")
+    return found.groupBy("query_id", "vec_id").agg((F.sum("before") + 1).alias("rank"))
+
+
 def top_matches(queries: DataFrame, gallery: DataFrame, k: int) -> DataFrame:
     """The k gallery vectors of largest cosine for each query (both of unit length)."""
     return nearest(queries, gallery, k)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geometry import foot
-from ..operators import fusion, identity, linking, pairs, projections
+from ..operators import fusion, identity, linking, pairs, projections, sweeps
 from ..sources import sinks
 from ..streaming import gallery
 from .linking_queries import _placed_vectors, _points, _tracklet_points, _vectors, _with_vector, track_stats
@@ -207,6 +207,17 @@ def windowed_merges(s, d):
     return linking.windowed_merges(_ended(s, d), 125, 25, 0.25, 0.005, 5, least_dets=1)
 
 
+@query
+def threshold_sweep(s, d):
+    """Links of tracklets up to five distances, each scored by IDF1, from one merge tree."""
+    truth, key = _truth(s, d), (F.col("global_id") * 4 + F.col("cam_id")) * 1_000_000 + F.floor(F.col("frame_no") / 100)
+    boxes = _dense(s, d).withColumn("global_id", key)
+    hits = identity.frame_matches(truth, boxes).groupBy("person_id", F.col("global_id").alias("node")).agg(F.count("*").alias("n"))
+    n = lambda t: t.agg(F.count("*").alias("n"))
+    far = linking.pair_distances(_tracklet_points(s, d), "tracklet_id", 2)
+    return sweeps.threshold_scores(far, hits, boxes.select(F.col("global_id").alias("node")), n(truth), n(boxes), [100.0, 300.0, 1000.0, 3000.0, 9000.0])
+
+
 @query
 def fused_with_places(s, d):
     """Windowed merges that blend in how near persons are in common frames."""
