@@ -25,19 +25,38 @@ def _alike(by: tuple[str, ...]):
     return same
 
 
-def interval_conflicts(t: DataFrame, tolerance: int = 0, bucket: int = 86_400, by: tuple[str, ...] = ()) -> DataFrame:
-    """Pairs of one camera's tracklets of two persons that overlap in time.
+def _cover(lo, hi):
+    """The canonical dyadic nodes (level, number) that make up the whole numbers lo to hi, two of a level at most."""
+    levels = F.sequence(F.lit(0), F.length(F.bin(F.greatest(hi - lo + 1, F.lit(1)))))
 
-    A range join by buckets of time: each interval is listed in the buckets that it
-    touches, and a pair counts in the bucket where its overlap begins.
+    def of_level(k):
+        size = F.pow(F.lit(2.0), k)
+        left, right = F.ceil(lo / size).cast("long"), (F.floor((hi + 1) / size) - 1).cast("long")
+        here = left <= right
+        take_left, take_right = here & (F.pmod(left, F.lit(2)) == 1), here & (F.pmod(right, F.lit(2)) == 0)
+        node = lambda ok, n: F.when(ok, F.struct(k.cast("int").alias("level"), n.alias("number")))
+        return F.array(node(take_left, left), node(take_right, right))
+
+    return F.filter(F.flatten(F.transform(levels, of_level)), lambda x: x.isNotNull())
+
+
+def interval_conflicts(t: DataFrame, tolerance: int = 0, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of one camera's tracklets of two persons that overlap in time (within ``tolerance`` frames).
+
+    Of two that overlap the later begins inside the other.  An interval is cut into its
+    canonical dyadic nodes, two log n of them at most, and a beginning lies in one node of
+    each level, so it meets an interval that holds it in exactly one node: an equi-join whose
+    rows are the pairs, whatever the lengths are.
     """
-    at = F.explode(F.sequence(F.floor(F.col("start_frame") / bucket), F.floor((F.col("end_frame") + tolerance) / bucket))).alias("b")
-    s = t.select(*by, "cam_id", "tracklet_id", "global_id", "start_frame", "end_frame", at)
-    a, b = s.alias("a"), s.alias("b")
-    begin = F.greatest("a.start_frame", "b.start_frame")
-    j = a.join(b, _alike(by) & (F.col("a.cam_id") == F.col("b.cam_id")) & (F.col("a.b") == F.col("b.b")) & (F.col("a.tracklet_id") < F.col("b.tracklet_id")) & (F.col("a.global_id") != F.col("b.global_id")))
-    j = j.where((begin <= F.least("a.end_frame", "b.end_frame") + tolerance) & (F.floor(begin / bucket) == F.col("a.b")))
-    return j.select(*[F.col(f"a.{k}").alias(k) for k in by], F.col("a.cam_id").alias("cam_id"), F.col("a.tracklet_id").alias("a"), F.col("b.tracklet_id").alias("b"))
+    scope = [*by, "cam_id"]
+    s = t.select(*scope, "tracklet_id", "global_id", F.col("start_frame").cast("long").alias("lo"), (F.col("end_frame") + tolerance).cast("long").alias("hi")).where("lo <= hi")
+    a = s.select(*scope, F.struct("lo", "tracklet_id").alias("first_a"), F.col("tracklet_id").alias("a"), F.col("global_id").alias("g_a"), F.explode(_cover(F.col("lo"), F.col("hi"))).alias("node"))
+    # A beginning is listed at the levels that some interval of its scope has.
+    deepest = a.groupBy(*scope).agg(F.array_sort(F.collect_set("node.level")).alias("levels"))
+    b = s.join(deepest, scope).select(*scope, F.struct("lo", "tracklet_id").alias("first_b"), F.col("tracklet_id").alias("b"), F.col("global_id").alias("g_b"), F.col("lo").alias("at"), F.explode("levels").alias("level"))
+    b = b.select(*scope, "first_b", "b", "g_b", F.struct("level", F.floor(F.col("at") / F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("number")).alias("node"))
+    j = a.join(b, [*scope, "node"]).where("first_a < first_b and g_a <> g_b")
+    return j.select(*scope, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
 def handoffs(t: DataFrame, gap: int, by: tuple[str, ...] = ()) -> DataFrame:

@@ -8,6 +8,7 @@ part of one.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -94,16 +95,78 @@ def stream_vector_chunks(vectors: DataFrame, path: str, checkpoint: str):
     return vectors.writeStream.partitionBy("chunk").option("checkpointLocation", checkpoint).trigger(availableNow=True).start(path, format="parquet")
 
 
-def append_assignments(chunk: DataFrame, folder: str) -> None:
-    """Appends a chunk's assignments, and writes anew which id each track has now.
+def append_assignments(chunk: DataFrame, folder: str, batch_id: int | None = None, compact_every: int = 16) -> None:
+    """Appends a chunk's assignments and a version of which id each track has now (``track_map`` reads it).
 
+    A chunk writes its own rows and its own tracks only; every ``compact_every`` versions the
+    tracks are written anew as a base.  A version counts once its entry in the log is there,
+    which is renamed into place: a write that was stopped leaves the former one, and a batch
+    that is played again changes nothing.  The log's entry names the files of its version.
     chunk: group, cam_id, frame_no, local_track_id, global_id.  For ``foreachBatch``.
     """
     spark = chunk.sparkSession
-    chunk.select("group", "cam_id", "frame_no", "local_track_id", "global_id").write.mode("append").parquet(f"{folder}/assignments")
-    every = spark.read.parquet(f"{folder}/assignments")
-    now = every.groupBy("group", "cam_id", "local_track_id").agg(F.max_by("global_id", "frame_no").alias("global_id"))
-    now.write.mode("overwrite").parquet(f"{folder}/track_map")
+    log = _log(spark, folder)
+    last, state = log[-1] if log else (-1, {"base": None, "changes": []})
+    batch_id = last + 1 if batch_id is None else batch_id
+    if batch_id <= last:
+        return
+    name = f"{batch_id:012d}"
+    rows = chunk.select("group", "cam_id", "frame_no", "local_track_id", "global_id")
+    rows.write.mode("overwrite").parquet(f"{folder}/assignments/batch={name}")
+    _latest(spark.read.schema(rows.schema).parquet(f"{folder}/assignments/batch={name}")).write.mode("overwrite").parquet(f"{folder}/tracks/change-{name}")
+    state = {"base": state["base"], "changes": [*state["changes"], f"change-{name}"]}
+    if len(state["changes"]) >= compact_every:
+        _version(spark, folder, state).write.mode("overwrite").parquet(f"{folder}/tracks/base-{name}")
+        state |= {"base": f"base-{name}", "changes": []}
+    _commit(spark, f"{folder}/log/{name}.json", json.dumps(state))
+
+
+_TRACKS = "group string, cam_id int, local_track_id long, global_id long, frame_no long"
+
+
+def _latest(rows: DataFrame) -> DataFrame:
+    by = ["group", "cam_id", "local_track_id"]
+    return rows.groupBy(*by).agg(F.max_by("global_id", F.struct("frame_no", "global_id")).alias("global_id"), F.max("frame_no").alias("frame_no"))
+
+
+def _version(spark: SparkSession, folder: str, state: dict) -> DataFrame:
+    files = [f"{folder}/tracks/{x}" for x in [state["base"], *state["changes"]] if x]
+    rows = spark.read.parquet(*files) if files else spark.createDataFrame([], _TRACKS)
+    return _latest(rows)
+
+
+def track_map(spark: SparkSession, folder: str) -> DataFrame:
+    """(group, cam_id, local_track_id, global_id): the id of each track by its latest frame, in the last whole version."""
+    log = _log(spark, folder)
+    return _version(spark, folder, log[-1][1] if log else {"base": None, "changes": []}).drop("frame_no")
+
+
+def _files(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def _log(spark: SparkSession, folder: str) -> list[tuple[int, dict]]:
+    """The last version of the log, if there is one: (batch, what it names)."""
+    p, files = _files(spark, f"{folder}/log")
+    names = sorted(f.getPath().getName() for f in files.listStatus(p)) if files.exists(p) else []
+    names = [n for n in names if n.endswith(".json") and n[0].isdigit()]
+    if not names:
+        return []
+    text = spark.read.text(f"{folder}/log/{names[-1]}", wholetext=True).first().value
+    return [(int(names[-1][:-5]), json.loads(text))]
+
+
+def _commit(spark: SparkSession, path: str, text: str) -> None:
+    """Puts a small file in place by a rename, whole or not at all."""
+    target, files = _files(spark, path)
+    draft, _ = _files(spark, path.rsplit("/", 1)[0] + f"/_{uuid.uuid4().hex}")
+    out = files.create(draft, True)
+    out.write(bytearray(text, "utf-8"))
+    out.close()
+    if not files.rename(draft, target):
+        files.delete(draft, False)
+        raise OSError(f"{path} is there already")
 
 
 def write_remap(det: DataFrame, remap: DataFrame, events: DataFrame | None, folder: str) -> None:

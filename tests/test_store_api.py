@@ -132,7 +132,7 @@ def test_sinks(spark, tmp_path):
     for c in (chunk(("g", 0, 1, 5, 7)), chunk(("g", 0, 9, 5, 8), ("g", 1, 9, 5, 2))):
         sinks.append_assignments(c, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/assignments").count() == 3
-    assert {(r.cam_id, r.global_id) for r in spark.read.parquet(f"{tmp_path}/track_map").collect()} == {(0, 8), (1, 2)}
+    assert {(r.cam_id, r.global_id) for r in sinks.track_map(spark, str(tmp_path)).collect()} == {(0, 8), (1, 2)}
     events = spark.createDataFrame([(10, 5, 8, 7, 0.9)], "event_frame long, window_end_frame long, source long, target long, score double")
     sinks.write_remap(det, spark.createDataFrame([(8, 7)], "source long, target long"), events, f"{tmp_path}/remap")
     assert [r.global_id for r in spark.read.parquet(f"{tmp_path}/remap/predictions").collect()] == [7, 7]
