@@ -37,7 +37,9 @@ from .shared import shared_dir
 FILTERS = "ABCDE"
 COPY = 16  # the bit of E
 
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore"
+#: State on disk, without space taken in advance: most partitions hold little.
+_STORE = {f"{_STATE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", f"{_STATE}.rocksdb.allowFAllocate": "false", f"{_STATE}.rocksdb.changelogCheckpointing.enabled": "true"}
 _SPACE = " \t\n\x0b\x0c\r"
 
 
@@ -132,17 +134,15 @@ def stream_counters(spark: SparkSession, path: str, labels: DataFrame, work: str
     buckets = max(params.least_buckets, -(-rows // params.bucket_rows))
     # A stream takes a path for a folder unless it is a pattern; this one also matches a single file.
     docs = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", max(1, -(-files // params.batches))).parquet(f"{path[:-1]}[{path[-1]}]")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, _ROCKS)
+    before = {k: spark.conf.get(k, None) for k in _STORE}
     try:
+        for k, v in _STORE.items():
+            spark.conf.set(k, v)
         q = counter_changes(docs, labels, buckets).writeStream.format("parquet").option("path", f"{work}/changes").option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
         q.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(provider)
-        else:
-            spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     changes = spark.read.schema("part string, mask int, good int, toxic int, n long").parquet(f"{work}/changes")
     return changes.groupBy("part", "mask").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("good")).alias("good"), F.sum(F.col("n") * F.col("toxic")).alias("toxic"))
 
