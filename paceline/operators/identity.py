@@ -332,14 +332,28 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.join(out, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def by_component(pairs: DataFrame, apart: DataFrame, scene: str) -> tuple[DataFrame, DataFrame]:
+    """``pairs`` (scene, a, b, more) and ``apart`` (scene, a, b), each with the connected component of the pairs that it lies in.
+
+    Merges go along pairs only, so what depends on their order can be worked on component by
+    component.
+    """
+    p = _kept(pairs.withColumn("node", F.xxhash64(scene, "a")))
+    of = _kept(components(p.select(F.col("node").alias("a"), F.xxhash64(scene, "b").alias("b"))))
+    c = apart.select(F.col(scene).alias("apart_scene"), F.col("a").alias("a"), F.col("b").alias("b")).withColumn("node", F.xxhash64("apart_scene", "a"))
+    return p.join(of, "node").drop("node"), c.join(of, "node").select(F.col("component").alias("apart"), "a", "b")
+
+
 def merge_map(pairs: DataFrame, conflicts: DataFrame, scene: str = "scene") -> DataFrame:
     """Greedy merges by falling score, never of two ids with a conflict: (scene, global_id, target).
 
-    pairs: scene, a, b, score; conflicts: scene, a, b.  The order of merges matters, so
-    a scene is one group; scenes run in parallel.
+    pairs: scene, a, b, score; conflicts: scene, a, b.  The order of merges matters, so a
+    connected component of the pairs is one group; components run in parallel.
     """
 
     def kernel(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        if not len(p):
+            return pd.DataFrame({scene: [], "global_id": [], "target": []}).astype("int64")
         members = {x: {x} for x in sorted({*p.a, *p.b})}
         root = {x: x for x in members}
         foes: dict[int, set[int]] = {}
@@ -353,9 +367,10 @@ def merge_map(pairs: DataFrame, conflicts: DataFrame, scene: str = "scene") -> D
             for x in members[b]:
                 root[x] = a
             members[a] |= members.pop(b)
-        return pd.DataFrame({scene: key[0], "global_id": list(root), "target": list(root.values())})
+        return pd.DataFrame({scene: [p[scene].iloc[0]] * len(root), "global_id": list(root), "target": list(root.values())})
 
-    return pairs.groupBy(scene).cogroup(conflicts.groupBy(scene)).applyInPandas(kernel, f"{scene} long, global_id long, target long")
+    p, c = by_component(pairs.select(scene, "a", "b", "score"), conflicts, scene)
+    return p.groupBy("component").cogroup(c.groupBy("apart")).applyInPandas(kernel, f"{scene} long, global_id long, target long")
 
 
 def nearest_centroid_pass(points: DataFrame, radius: float, confidence: float) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geometry import box, closeness, dot, iou
 from .fusion import FusionRules, windowed
-from .identity import _kept, assign, components
+from .identity import _kept, assign, by_component, components
 from .pairs import _alike, best_partners, ranked_matches, similar
 
 
@@ -281,7 +281,8 @@ def constrained_clusters(edges: DataFrame, apart: DataFrame, least: float, mean:
     Affinities of merged clusters add up (``mean``: divided by the number of pairs, average
     linkage).  Clusters with two nodes that must stay apart never merge.  A cluster is named
     by its smallest node.  edges: scene, a, b, weight; apart: scene, a, b.  Each merge
-    depends on those before, so a scene is a group; only its sparse edges come to it.
+    depends on those before and joins clusters with an edge, so a connected component of the
+    edges is a group.
     """
 
     def kernel(key, e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -315,12 +316,10 @@ def constrained_clusters(edges: DataFrame, apart: DataFrame, least: float, mean:
             inside[a] += inside.pop(b)
             for x in near[a]:
                 heapq.heappush(heap, (-score(a, x), min(a, x), max(a, x)))
-        return pd.DataFrame([(key[0], n, k) for k, held in inside.items() for n in held], columns=["scene", "node", "cluster"])
+        return pd.DataFrame([(e.scene.iloc[0], n, k) for k, held in inside.items() for n in held], columns=["scene", "node", "cluster"]).astype("int64")
 
-    # Both sides may come from one DataFrame; new names keep their columns apart.
-    e = edges.select(*[F.col(c).alias(c) for c in ("scene", "a", "b", "weight")])
-    c = apart.select(F.col("scene").alias("apart_scene"), F.col("a").alias("a"), F.col("b").alias("b"))
-    return e.groupBy("scene").cogroup(c.groupBy("apart_scene")).applyInPandas(kernel, "scene long, node long, cluster long")
+    e, c = by_component(edges.select("scene", "a", "b", "weight"), apart, "scene")
+    return e.groupBy("component").cogroup(c.groupBy("apart")).applyInPandas(kernel, "scene long, node long, cluster long")
 
 
 def ward(x: np.ndarray, k: int) -> np.ndarray:

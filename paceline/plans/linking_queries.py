@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.geometry import unit
-from ..operators import grids, linking, paths, projections, store
+from ..operators import grids, identity, linking, paths, projections, store
 from .queries import CAMERA, CAMERAS, _dense, _det, _events, _located, _truth, query
 
 
@@ -147,6 +147,17 @@ def candidate_pairs(s, d):
     return linking.candidate_pairs(n, 0.3, 0.005, 5).withColumn("score", F.round("score", 6))
 
 
+@query
+def merged_persons(s, d):
+    """Persons merged greedily by how near their paths are, never two that one camera shows at once."""
+    one = F.lit(0).cast("long").alias("scene")
+    n = linking.candidate_pairs(linking.pair_scores(linking.pair_distances(_points(s, d), "global_id", 2), 300.0, 2000.0), 0.3, 0.005, 5)
+    t = _dense(s, d).select("cam_id", "frame_no", "global_id")
+    both = t.alias("x").join(t.alias("y"), (F.col("x.cam_id") == F.col("y.cam_id")) & (F.col("x.frame_no") == F.col("y.frame_no")) & (F.col("x.global_id") < F.col("y.global_id")))
+    apart = both.select(one, F.col("x.global_id").alias("a"), F.col("y.global_id").alias("b")).distinct()
+    return identity.merge_map(n.select(one, "a", "b", "score"), apart).drop("scene")
+
+
 @query
 def geo_merge(s, d):
     return linking.geo_merge(_points(s, d), 1000.0, 3, 0.7)
