@@ -16,13 +16,16 @@ most u = n - ceil(percent * n / 100) tokens of either can be missing from the ot
 * Classes hold a few tokens of a prefix each, so the combinations of a set stay in
   proportion to its size; how many classes there are goes by bands of set sizes, and a
   set is listed in the band of its largest partner too.
+* A sketch of 512 parity bits stands for each set: every token that only one of two sets has
+  turns one bit over, so bits that differ are at most the differences, and candidates with
+  more of them than a link allows are left out before their texts are fetched.
 * Candidates are confirmed on full sets: each member with the smallest set of a key,
   then a pivot for keys whose members are still in different components.
 * Last come pairs of unlike components.  A key of a rare token has few members.  Sets that
   meet at frequent tokens alone share no rare token at all, and all their rare tokens are
   missing from the other: that leaves for their frequent tokens a budget d of differences,
   most often a small one.  Then the combinations are as long as can be: frequent tokens are
-  dealt to more than d classes, and of a linked pair one class or more agrees as a whole.
+  dealt to more than d classes, and of a linked pair all classes but d agree as a whole.
   So texts of one template that are just too far apart are not paired with one another.
 
 Sets that are equal are one node from the start.  Defined results: a null or empty text
@@ -33,6 +36,7 @@ own text; extra columns are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,8 +50,17 @@ from .shared import binary_list, column, components, stash
 from .textkit import chunks, mix, signed
 
 
-#: 1 to 8, then four steps to each doubling.
-LEVELS = [*range(1, 9), *(2**k * m // 4 for k in range(3, 30) for m in (5, 6, 7, 8))]
+def class_levels() -> list[tuple[int, int, int]]:
+    """(d, classes, together): what is asked of sets with d differences or fewer, for rising d.
+
+    Of ``classes`` classes at most d differ, so classes - d agree, and so many are keyed together:
+    three or two where d is small, else one.
+    """
+    few = [(0, 1, 1), *((d, d + 3, 3) for d in range(1, 5)), *((d, d + 2, 2) for d in range(5, 13))]
+    return few + [(x - 1, x, 1) for k in range(3, 30) for x in (2**k * m // 4 for m in (5, 6, 7, 8)) if x > 13]
+
+
+LEVELS = class_levels()
 
 
 @dataclass(frozen=True)
@@ -84,7 +97,8 @@ def _needed(p: JaccardJoin, n: str | Column) -> Column:
     return F.ceil(F.col(n) * p.percent / 100) if isinstance(n, str) else F.ceil(n * p.percent / 100)
 
 
-_SIG = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("low", pa.list_(pa.int64()))])
+_SIG = pa.schema([("id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), *((f"s{k}", pa.int64()) for k in range(8)), ("low", pa.list_(pa.int64()))])
+SKETCH = [f"s{k}" for k in range(8)]
 
 
 def _signatures(p: JaccardJoin):
@@ -101,12 +115,16 @@ def _signatures(p: JaccardJoin):
                 if len(full):
                     prints[full, 0] = np.add.reduceat(mix(h + np.uint64(1)), bound[full])
                     prints[full, 1] = np.add.reduceat(mix(h + np.uint64(2)), bound[full])
+                token = mix(h + np.uint64(3))
+                of_doc = np.repeat(np.arange(c.n_docs), n)
+                sketch = np.zeros((c.n_docs, 8), np.uint64)
+                np.bitwise_xor.at(sketch, (of_doc, (token >> np.uint64(6) & np.uint64(7)).astype(np.int64)), np.uint64(1) << (token & np.uint64(63)))
                 spare = n - -(-p.percent * n // 100)
                 first = np.arange(len(h)) - np.repeat(bound[:-1], n) <= np.repeat(2 * spare, n)
                 ends = np.concatenate([[0], np.cumsum(np.minimum(n, 2 * spare + 1))]).astype(np.int32)
                 low = pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(h[first])))
                 f1, f2 = (pa.array(signed(np.ascontiguousarray(prints[:, k]))) for k in (0, 1))
-                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n_docs), th.slice(c.first, c.n_docs), pa.array(n, pa.int64()), f1, f2, low], schema=_SIG)
+                yield pa.RecordBatch.from_arrays([ids.slice(c.first, c.n_docs), th.slice(c.first, c.n_docs), pa.array(n, pa.int64()), f1, f2, *(pa.array(signed(np.ascontiguousarray(sketch[:, k]))) for k in range(8)), low], schema=_SIG)
 
     return run
 
@@ -114,9 +132,9 @@ def _signatures(p: JaccardJoin):
 def _with_partners(nodes: DataFrame, p: JaccardJoin) -> DataFrame:
     """Ids of the nodes that share enough of their first tokens by hash with others."""
     large = F.col("n") * 100 >= (F.col("n") + 1) * p.percent  # smaller sets link with none that differs
-    rows = nodes.where(large).select("id", "n", F.explode("low").alias("h"))
+    rows = nodes.where(large).select("id", F.explode("low").alias("h"))
     several = rows.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h")
-    shared = rows.join(several, "h").groupBy("id", "n").agg(F.count("*").alias("shared"))
+    shared = rows.join(several, "h").groupBy("id").agg(F.count("*").alias("shared")).join(nodes.select("id", "n"), "id")
     least = _needed(p, "n")  # the smallest partner's size
     return shared.where(F.col("shared") > least - _needed(p, least)).select("id")
 
@@ -141,7 +159,8 @@ def _keys(rows: DataFrame, p: JaccardJoin) -> DataFrame:
     covers = F.when(F.col("by") == 1, 1).otherwise((F.row_number().over(Window.partitionBy("id", "band", "by", "slot").orderBy("k", "h")) >= F.col("by")).cast("int"))
     rows = rows.withColumn("covers", covers)
     before = F.sum("covers").over(own) - F.col("covers") + F.col("n") - F.col("common")  # tokens of this set alone come first
-    rows = rows.where(F.col("n") > 0).withColumn("before", before).where(F.col("before") <= F.col("n") - _needed(p, "n"))
+    rows = rows.withColumn("before", before).where(F.col("before") <= F.col("n") - _needed(p, "n"))
+    rows = stash(rows.select("id", "n", "h", "k", "common", "band", "by", "slot"), "prefix")
     single = rows.where("by = 1").select(F.xxhash64("band", "h").alias("key"), (F.col("k") > p.pairs_above).alias("frequent"), "id", "n", "common")
     of_class = rows.where("by > 1").groupBy("id", "n", "common", "band", "by", "slot").agg(F.sort_array(F.collect_list("h")).alias("hs")).where(F.size("hs") >= F.col("by"))
     two = of_class.select("id", "n", "common", "band", "by", "hs", F.posexplode("hs").alias("i", "x")).where("i > 0")
@@ -158,6 +177,19 @@ def _reach(p: JaccardJoin) -> Column:
     return (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * p.percent) & (F.least("common_a", "common_b") >= overlap)
 
 
+def _within_sketch(p: JaccardJoin) -> Column:
+    """Whether the sketches of sets a and b differ by no more bits than a link allows tokens."""
+    bits = sum((F.bit_count(F.col(f"{s}_a").bitwiseXOR(F.col(f"{s}_b"))) for s in SKETCH), F.lit(0))
+    return bits <= (F.col("n_a") + F.col("n_b")) * ((100 - p.percent) / (100 + p.percent)) + 1e-9
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Those of ``pairs`` (a, b) whose sketches allow a link."""
+    for t in "ab":
+        pairs = pairs.join(sketches.select(F.col("id").alias(t), *(F.col(c).alias(f"{c}_{t}") for c in ("n", *SKETCH))), t)
+    return pairs.where(_within_sketch(p)).select("a", "b")
+
+
 def _unlike(member: DataFrame, key: str, allowed: Column) -> DataFrame:
     """Pairs (a, b) of a key's members in unlike components; one side is outside the key's first component.
 
@@ -171,50 +203,62 @@ def _unlike(member: DataFrame, key: str, allowed: Column) -> DataFrame:
     return pairs.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
 
 
-_CLASSES = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("id", pa.int64()), ("budget", pa.float64()), ("n", pa.int64()), ("common", pa.int64()), ("component", pa.int64())])
-
-
-def _whole_classes(p: JaccardJoin):
-    """A key for each class of a set's frequent tokens, at every level that a partner may ask for."""
-    share = (100 - p.percent) / (100 + p.percent)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cols = {c: column(batch, c).to_pylist() for c in ("id", "n", "component")}
-            tokens = column(batch, "hs")
-            for i, (node, n, component) in enumerate(zip(*cols.values(), strict=True)):
-                h = tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                budget = share * n - (n - len(h))
-                most = budget + share * (100 * n // p.percent)  # with the largest partner, without a rare token
-                if most < 0:
-                    continue
-                token = mix(h + np.uint64(0x51))
-                keys, level = [], []
-                for many in LEVELS:
-                    of = mix(h ^ np.uint64(many)) % np.uint64(many)
-                    total = np.zeros(many, np.uint64)
-                    np.add.at(total, of.astype(np.int64), token)
-                    keys.append(mix(total + mix(np.arange(many, dtype=np.uint64) + np.uint64(many << 32))))
-                    level.append(np.full(many, many, np.int32))
-                    if many > most:
+_CLASSES = pa.schema([("key", pa.int64()), ("level", pa.int32()), ("id", pa.int64()), ("budget", pa.float64()), ("n", pa.int64()), ("common", pa.int64()), ("component", pa.int64()), *((s, pa.int64()) for s in SKETCH)])
+
+
+def _class_keys(h: np.ndarray, classes: int, together: int) -> np.ndarray:
+    """A key for each choice of ``together`` classes of the tokens, of all that they hold."""
+    total = np.zeros(classes, np.uint64)
+    np.add.at(total, (mix(h ^ np.uint64(classes)) % np.uint64(classes)).astype(np.int64), mix(h + np.uint64(0x51)))
+    total = mix(total + mix(np.arange(classes, dtype=np.uint64) + np.uint64(classes << 32)))
+    chosen = np.array(list(itertools.combinations(range(classes), together))).T
+    key = np.zeros(chosen.shape[1], np.uint64)
+    for one in chosen:
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + total[one])
+    return key
+
+
+def _whole_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of a set's frequent tokens by classes, at every level that a partner may ask for (least to most differences)."""
+    for batch in batches:
+        names = ("id", "budget", "n", "component", "least", "most", *SKETCH)
+        tokens = column(batch, "hs")
+        for i, (node, budget, n, component, least, most, *sketch) in enumerate(zip(*(column(batch, c).to_pylist() for c in names), strict=True)):
+            h = tokens[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
+            keys, level = [], []
+            for d, classes, together in LEVELS:
+                if d >= int(max(0.0, least) + 1e-9):
+                    keys.append(_class_keys(h, classes, together))
+                    level.append(np.full(len(keys[-1]), d, np.int32))
+                    if d >= int(most + 1e-9):
                         break
-                keys, level = np.concatenate(keys), np.concatenate(level)
-                rest = [np.full(len(keys), x) for x in (node, budget, n, len(h), component)]
-                yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(level), *(pa.array(x, f.type) for x, f in zip(rest, list(_CLASSES)[2:], strict=True))], schema=_CLASSES)
+            keys, level = np.concatenate(keys), np.concatenate(level)
+            rest = [np.full(len(keys), x) for x in (node, budget, n, len(h), component, *sketch)]
+            yield pa.RecordBatch.from_arrays([pa.array(signed(keys)), pa.array(level), *(pa.array(x, f.type) for x, f in zip(rest, list(_CLASSES)[2:], strict=True))], schema=_CLASSES)
 
-    return run
 
+def _by_whole_classes(member: DataFrame, texts: DataFrame, frequent: DataFrame, sketches: DataFrame, p: JaccardJoin) -> DataFrame:
+    """Pairs of unlike components that meet at frequent tokens and share no rare one, by classes of frequent tokens that agree.
 
-def _by_whole_classes(member: DataFrame, texts: DataFrame, frequent: DataFrame, p: JaccardJoin) -> DataFrame:
-    """Pairs of unlike components that share no rare token, by classes of frequent tokens that agree."""
+    A set of n tokens brings a budget of n * (100 - percent) / (100 + percent) differences less its
+    rare tokens; two sets that link differ by the sum of their budgets or less.
+    """
     sets = member.select("id", "n", "component").distinct()
     rows = texts.join(sets.select("id"), "id", "left_semi").mapInArrow(_shingle_rows(p.near), "id long, h long")
-    held = rows.join(frequent, "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("hs"))
-    listed = stash(held.join(sets, "id").select("id", "n", "component", "hs").mapInArrow(_whole_classes(p), "key long, level int, id long, budget double, n long, common long, component long"), "classes")
-    budget = F.col("budget_a") + F.col("budget_b")
-    levels = F.array(*(F.lit(x) for x in LEVELS))
-    asked = F.element_at(F.filter(levels, lambda x: x > budget + 1e-9), 1)
-    allowed = (F.abs(F.col("common_a") - F.col("common_b")) <= budget + 1e-9) & _reach(p) & (F.col("level_a") == asked)
+    held = rows.join(frequent, "h").groupBy("id").agg(F.sort_array(F.collect_list("h")).alias("hs")).join(sets, "id")
+    held = held.withColumn("budget", F.col("n") * ((100 - p.percent) / (100 + p.percent)) - F.col("n") + F.size("hs"))
+    held = stash(held, "held")
+    # What the partners that a set meets at some key bring.
+    met = member.select("key", "id").join(held.select("id", "budget"), "id")
+    span = met.groupBy("key").agg(F.min("budget").alias("lo"), F.max("budget").alias("hi"))
+    partners = met.join(span, "key").groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = held.join(partners, "id").select("*", (F.col("budget") + F.col("lo")).alias("least"), (F.col("budget") + F.col("hi")).alias("most")).where("most >= -1e-9").join(sketches.drop("n"), "id")
+    listed = asked.select("id", "budget", "n", "component", "least", "most", "hs", *SKETCH).mapInArrow(_whole_classes, "key long, level int, id long, budget double, n long, common long, component long, " + ", ".join(f"{s} long" for s in SKETCH))
+    listed = stash(listed, "classes")
+    budget = F.col("budget_a") + F.col("budget_b") + 1e-9
+    steps = F.array(*(F.lit(d) for d, _, _ in LEVELS))
+    level = F.element_at(F.filter(steps, lambda d: d >= F.floor(budget)), 1)
+    allowed = (budget >= 0) & (F.abs(F.col("common_a") - F.col("common_b")) <= budget) & _reach(p) & _within_sketch(p) & (F.col("level_a") == level)
     return _unlike(listed, "key", allowed)
 
 
@@ -228,11 +272,12 @@ def _by_pivot(member: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def _links(texts: DataFrame, keys: DataFrame, frequent: DataFrame, p: JaccardJoin) -> DataFrame:
+def _links(texts: DataFrame, keys: DataFrame, frequent: DataFrame, sketches: DataFrame, p: JaccardJoin) -> DataFrame:
     """Confirmed links (a, b) whose components are those of all links."""
     low = keys.groupBy("key").agg(F.min(F.struct("id", "n", "common")).alias("p"))
     pairs = keys.join(low, "key").where("p.id < id").select(F.col("p.id").alias("a"), F.col("id").alias("b"), *(F.col(f"{q}{c}").alias(f"{c}_{t}") for c in ("n", "common") for t, q in (("a", "p."), ("b", ""))))
-    pairs = pairs.where(_reach(p)).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")  # the first that sizes allow
+    pairs = _plausible(pairs.where(_reach(p)).select("a", "b").distinct(), sketches, p)
+    pairs = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     done = stash(pairs, "pairs")
     links = stash(_confirmed(done, texts, p.near), "links")
     for last in (False, True):
@@ -241,10 +286,10 @@ def _links(texts: DataFrame, keys: DataFrame, frequent: DataFrame, p: JaccardJoi
         mixed = member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
         member = stash(member.join(mixed, "key"), "mixed")
         if last:
-            rare = _unlike(member.where("not frequent").drop("frequent"), "key", _reach(p))
-            pairs = rare.unionByName(_by_whole_classes(member.where("frequent"), texts, frequent, p)).distinct()
+            rare = _plausible(_unlike(member.where("not frequent").drop("frequent"), "key", _reach(p)), sketches, p)
+            pairs = rare.unionByName(_by_whole_classes(member.where("frequent"), texts, frequent, sketches, p)).distinct()
         else:
-            pairs = _by_pivot(member.drop("frequent")).where(_reach(p)).select("a", "b")
+            pairs = _plausible(_by_pivot(member.drop("frequent")).where(_reach(p)).select("a", "b"), sketches, p)
         fresh = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
         links = stash(links.unionByName(_confirmed(fresh, texts, p.near)), "links")
         done = done.unionByName(fresh)
@@ -268,14 +313,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """One row per row of ``docs``: id, n_shingles, component_id (smallest id reachable by links)."""
     p = params
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
-    sig = stash(base.mapInArrow(_signatures(p), "id long, th long, n long, f1 long, f2 long, low array<long>"), "sig")
+    sig = stash(base.mapInArrow(_signatures(p), "id long, th long, n long, f1 long, f2 long, " + ", ".join(f"{s} long" for s in SKETCH) + ", low array<long>"), "sig")
     # A node for each distinct set; its text is that of its smallest id.
-    sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("d"), F.min("n").alias("n"), F.min("low").alias("low"))
-    nodes = stash(sets.select(F.xxhash64("f1", "f2").alias("id"), "f1", "f2", F.col("d.id").alias("doc"), F.col("d.th").alias("th"), "n", "low"), "nodes")
-    live = stash(nodes.select("id", "doc", "th").join(_with_partners(nodes, p), "id"), "live")
-    texts = base.select(F.col("id").alias("doc"), "th", "text").join(live, ["doc", "th"]).select("id", "text").dropDuplicates(["id"])
+    sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("d"), F.min(F.struct("n", *SKETCH)).alias("s"), F.min("low").alias("low"))
+    nodes = stash(sets.select(F.xxhash64("f1", "f2").alias("id"), "f1", "f2", F.col("d.id").alias("doc"), F.col("d.th").alias("th"), "s.*", "low"), "nodes")
+    live = stash(nodes.select("id", "doc", "th", "n", *SKETCH).join(_with_partners(nodes, p), "id"), "live")
+    texts = base.select(F.col("id").alias("doc"), "th", "text").join(live.select("id", "doc", "th"), ["doc", "th"]).select("id", "text").dropDuplicates(["id"])
     texts = stash(texts, "texts")
-    found = components(_links(texts, *candidate_keys(texts, p), p))
+    found = components(_links(texts, *candidate_keys(texts, p), live.select("id", "n", *SKETCH), p))
     linked = nodes.select("f1", "f2", "id", "doc").join(found, nodes.id == found.node).select("f1", "f2", "doc", "component")
     first = linked.groupBy("component").agg(F.min("doc").alias("first"))
     smallest = linked.join(first, "component").select("f1", "f2", "first").unionByName(nodes.join(found, nodes.id == found.node, "left_anti").select("f1", "f2", F.col("doc").alias("first")))
