@@ -291,11 +291,25 @@ def _links(texts: DataFrame, keys: DataFrame, frequent: DataFrame, sketches: Dat
         else:
             pairs = _plausible(_by_pivot(member.drop("frequent")).where(_reach(p)).select("a", "b"), sketches, p)
         fresh = stash(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        links = stash(links.unionByName(_confirmed(fresh, texts, p.near)), "links")
-        done = done.unionByName(fresh)
+        links, done = _confirmed_links(fresh, links, texts, p, 2 if last else 0), done.unionByName(fresh)
     return links
 
 
+def _confirmed_links(fresh: DataFrame, links: DataFrame, texts: DataFrame, p: JaccardJoin, rounds: int) -> DataFrame:
+    """``links`` and those of the ``fresh`` pairs that link, as far as components ask for them.
+
+    In each of the first ``rounds`` only one pair of a set is confirmed; pairs that are in one
+    component then need no texts any more, which leaves few in large groups of near copies.
+    """
+    for _ in range(rounds):
+        one = stash(fresh.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs")
+        links = stash(links.unionByName(_confirmed(one, texts, p.near)), "links")
+        label = stash(components(links), "labels")
+        rest = fresh.join(one, ["a", "b"], "left_anti").join(label.toDF("a", "of_a"), "a", "left").join(label.toDF("b", "of_b"), "b", "left")
+        fresh = stash(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "pairs")
+    return stash(links.unionByName(_confirmed(fresh, texts, p.near)), "links")
+
+
 def candidate_keys(texts: DataFrame, p: JaccardJoin) -> tuple[DataFrame, DataFrame]:
     """(key, frequent, id, n, common) of the combinations that two sets or more have, and frequent tokens (h). texts: id, text."""
     rows = texts.mapInArrow(_shingle_rows(p.near), "id long, h long")
@@ -318,8 +332,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     sets = sig.where("n > 0 and id is not null").groupBy("f1", "f2").agg(F.min(F.struct("id", "th")).alias("d"), F.min(F.struct("n", *SKETCH)).alias("s"), F.min("low").alias("low"))
     nodes = stash(sets.select(F.xxhash64("f1", "f2").alias("id"), "f1", "f2", F.col("d.id").alias("doc"), F.col("d.th").alias("th"), "s.*", "low"), "nodes")
     live = stash(nodes.select("id", "doc", "th", "n", *SKETCH).join(_with_partners(nodes, p), "id"), "live")
-    texts = base.select(F.col("id").alias("doc"), "th", "text").join(live.select("id", "doc", "th"), ["doc", "th"]).select("id", "text").dropDuplicates(["id"])
-    texts = stash(texts, "texts")
+    texts = base.select(F.col("id").alias("doc"), "th", "text").join(live.select("id", "doc", "th"), ["doc", "th"]).dropDuplicates(["doc", "th"])
+    texts = stash(texts.select("id", "text"), "texts")
     found = components(_links(texts, *candidate_keys(texts, p), live.select("id", "n", *SKETCH), p))
     linked = nodes.select("f1", "f2", "id", "doc").join(found, nodes.id == found.node).select("f1", "f2", "doc", "component")
     first = linked.groupBy("component").agg(F.min("doc").alias("first"))
