@@ -171,9 +171,7 @@ def blended_pairs(s, d):
 def trajectory_scores(s, d):
     """Tracklets of other cameras that meet within 100 frames, by their paths."""
     t = _tracklet_points(s, d)
-    path = t.select(F.col("tracklet_id").alias("id"), "frame_no", "x", "y")
-    near = linking.pair_distances(t, "tracklet_id", 1).select("a", "b").unionByName(linking.handoff_scores(t, 5, 10, 300.0, 2000.0).select("a", "b")).distinct()
-    return linking.trajectory_scores(near, path, 2)
+    return linking.meeting_trajectories(t.withColumnRenamed("tracklet_id", "id"), 2, 10)
 
 
 @query

@@ -143,6 +143,26 @@ def test_trajectory_scores(spark):
     assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
 
 
+def test_meeting_trajectories(spark):
+    """The same pairs and scores as listing the pairs first, and no exchange of pairs that only follow each other."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        start, n, cam = int(rng.integers(0, 80)), int(rng.integers(1, 9)), i % 3
+        rows += [(i, cam, start + 2 * k, *map(float, rng.normal(0, 900, 2))) for k in range(n)]
+    t = spark.createDataFrame(rows, "tracklet_id long, cam_id int, frame_no long, x double, y double")
+    path = t.withColumnRenamed("tracklet_id", "id")
+    follow = linking.handoff_scores(t, 5, 10, 300.0, 2000.0).select("a", "b")
+    near = linking.pair_distances(t, "tracklet_id", 1).select("a", "b").unionByName(follow).distinct()
+    want = sorted((r.a, r.b, round(r.score, 9)) for r in linking.trajectory_scores(near, path.drop("cam_id"), 2).collect())
+    got = linking.meeting_trajectories(path, 2, 10)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.a, r.b, round(r.score, 9)) for r in got.collect()) == want
+    assert len({(a, b) for a, b, _ in want}) == len(want) > 300 and sum(s > 0 for _, _, s in want) > 50
+    wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(a#" in line]
+    assert len(wide) == 1, wide  # the pairs of common frames
+
+
 def plain_ward(x, k):
     sets = [[i] for i in range(len(x))]
     while len(sets) > k:
