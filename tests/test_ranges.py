@@ -118,3 +118,16 @@ def test_span_fill_frames(spark):
     fill = lambda least, last: sorted((r.cam_id, r.frame_no) for r in paths.span_fill(det, path, cameras, least, last, wide, 1700.0, 0.33).collect())
     assert fill(2, 11) == [(0, f) for f in (3, 5, 6, 7, 8, 10, 11)]
     assert fill(1, 4) == [(0, 3), (1, 2), (1, 4)]
+
+
+def test_span_fill_lists_frames_in_place(spark):
+    """Frames in which a camera has a person without a place count as seen; no frame that is listed is moved or looked up."""
+    from paceline.plans.queries import CAMERA, CAMERAS
+
+    det = spark.createDataFrame([(1, 0, f) for f in (2, 5, 6, 9)] + [(1, 1, 4), (2, 0, 3)], "global_id long, cam_id int, frame_no long")
+    path = spark.createDataFrame([(1, f, 10.0 * f, 0.0) for f in (2, 4, 9)] + [(2, 3, 0.0, 0.0), (2, 5, 0.0, 0.0)], "global_id long, frame_no long, x double, y double")
+    fill = paths.span_fill(det, path, spark.createDataFrame(CAMERAS, CAMERA), 1, 100, (1e9, 1e9), 1700.0, 0.33)
+    plan = fill._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert sorted((r.global_id, r.cam_id, r.frame_no) for r in fill.collect()) == [(1, 0, f) for f in (3, 4, 7, 8)] + [(1, 1, f) for f in (2, 3, 5, 6, 7, 8, 9)] + [(2, 0, 4), (2, 0, 5)]
+    listed = next(i for i, line in enumerate(plan) if "Generate explode(sequence(f0" in line)
+    assert not [line for line in plan[:listed] if " Exchange" in line or "SortMergeJoin" in line]
