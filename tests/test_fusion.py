@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from paceline.operators.fusion import FusionRules, SceneFusion, windowed
+from paceline.operators.fusion import FusionRules, Meetings, SceneFusion, windowed
 from paceline.streaming.fusion import live_fusion
 
 RULES = FusionRules(50, 10, 0.6, 0.01, 3, 2, 3, 2)
@@ -134,3 +134,19 @@ def test_any_cut_of_the_stream_gives_the_events_of_the_batch(spark, tmp_path, ru
         events.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination(300)
     got = sorted((r.scene, r.source, r.target, r.window_end // 50) for r in spark.read.parquet(out).collect())
     assert got == want
+
+
+@pytest.mark.parametrize("tolerance", [0, 2, 40])
+def test_meetings_are_kept_up(tolerance):
+    """The same pairs as comparing all spans, with few comparisons where spans lie apart."""
+    rng = np.random.default_rng(tolerance)
+    spans = [(int(rng.integers(12)), int(rng.integers(2)), lo := int(rng.integers(-50, 900)), lo + int(rng.choice([0, 3, 200]))) for _ in range(150)]
+    m = Meetings(tolerance, 25)
+    for s in spans:
+        m.add(*s)
+    want = {(g, h) for g, c, lo, hi in spans for h, k, x, y in spans if g != h and c == k and max(lo, x) <= min(hi, y) + tolerance}
+    assert {(g, h) for g, others in m.of.items() for h in others} == want
+    far = Meetings(tolerance, 25)
+    for k in range(2000):
+        far.add(k, 0, 1000 * k, 1000 * k)
+    assert not far.of and max(map(len, far.listed.values())) <= 1
