@@ -65,6 +65,11 @@ def _joined(table: dict[str, np.ndarray], more: dict[str, np.ndarray]) -> dict[s
     return {k: np.concatenate([a, np.asarray(more[k], a.dtype).reshape((-1, *a.shape[1:]))]) for k, a in table.items()}
 
 
+def _among(a: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which of ``a`` are among a frame's ``few`` values."""
+    return (a[:, None] == few[None]).any(1)
+
+
 class SiteGallery:
     """The tables of one site; ``frame`` takes the boxes of a frame of all its cameras.
 
@@ -78,6 +83,8 @@ class SiteGallery:
         self.proto = {"gid": np.zeros(0, np.int64), "cam": np.zeros(0, np.int64), "frame": np.zeros(0, np.int64), "v": np.zeros((0, dim))}
         self.touched_tracks: set[tuple[int, int]] = set()
         self.touched_ids: set[int] = set()
+        self._order: tuple | None = None  # prototypes by identity, of the tables that it was made from
+        self._place: tuple | None = None  # row of each track, likewise
 
     def add_tracks(self, rows: dict) -> None:
         self.tracks = _joined(self.tracks, rows)
@@ -91,12 +98,17 @@ class SiteGallery:
     def scores(self, q: np.ndarray, cam: np.ndarray | None = None) -> np.ndarray:
         """Of each row of ``q`` with each identity: the best product with a prototype (of the row's camera, if given); 0 without one."""
         out = np.full((len(q), len(self.known["gid"])), -np.inf)
-        at = np.searchsorted(self.known["gid"], self.proto["gid"])
+        if self._order is None or self._order[0] is not self.proto or self._order[1] is not self.known:
+            at = np.searchsorted(self.known["gid"], self.proto["gid"])
+            order = np.argsort(at, kind="stable")
+            first = np.flatnonzero(np.diff(at[order], prepend=-1))
+            self._order = self.proto, self.known, order, first, at[order][first]
+        _, _, order, first, whose = self._order
         dots = q @ self.proto["v"].T
         if cam is not None:
             dots = np.where(cam[:, None] == self.proto["cam"][None], dots, -np.inf)
-        for r in range(len(q)):
-            np.maximum.at(out[r], at, dots[r])
+        if len(first):
+            out[:, whose] = np.maximum.reduceat(dots[:, order], first, axis=1)
         out[~np.isfinite(out)] = 0.0
         out[~q.any(1)] = 0.0
         return out
@@ -123,6 +135,8 @@ class SiteGallery:
 
     def lately_seen(self, at: int, allowed: np.ndarray) -> np.ndarray:
         """Of the ``allowed`` identities of each row those seen last (of these the largest), a bounded number."""
+        if (allowed.sum(1) <= self.rules.candidates).all():
+            return allowed
         order = np.lexsort((-self.known["gid"], at - self.known["seen"]))
         out = np.zeros_like(allowed)
         out[:, order] = allowed[:, order] & (np.cumsum(allowed[:, order], axis=1) <= self.rules.candidates)
@@ -148,13 +162,16 @@ class SiteGallery:
 
     def _rows_of(self, cam: np.ndarray, track: np.ndarray, at: int) -> np.ndarray:
         """The rows of these tracks; those not known yet are added."""
-        have = {k: i for i, k in enumerate(zip(self.tracks["cam"].tolist(), self.tracks["track"].tolist(), strict=True))}
+        if self._place is None or self._place[0] is not self.tracks:
+            self._place = self.tracks, {k: i for i, k in enumerate(zip(self.tracks["cam"].tolist(), self.tracks["track"].tolist(), strict=True))}
+        have = self._place[1]
         keys = list(zip(cam.tolist(), track.tolist(), strict=True))
         new = [k for k in keys if k not in have]
         if new:
             n = len(new)
             self.add_tracks({"cam": [k[0] for k in new], "track": [k[1] for k in new], "gid": [NONE] * n, "seen": [at] * n, "sampled": [NONE] * n, "n": [0] * n, "x": [np.nan] * n, "y": [np.nan] * n, "v": np.zeros((n, self.rules.track_vectors, self.dim))})
-            have |= {k: len(have) + i for i, k in enumerate(new)}
+            have.update({k: len(have) + i for i, k in enumerate(new)})
+            self._place = self.tracks, have
         return np.array([have[k] for k in keys], np.int64)
 
     def refresh(self, row: np.ndarray, v: np.ndarray, good: np.ndarray, place: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,6 +197,8 @@ class SiteGallery:
         """Of a camera's tracks under one identity the one with most vectors keeps it (then score, then lower track)."""
         held = np.flatnonzero(b["gid"] != NONE)
         gid = b["gid"][held]
+        if len(set(zip(b["cam"][held].tolist(), gid.tolist(), strict=True))) == len(held):
+            return
         place = np.searchsorted(self.known["gid"], gid)
         known = np.isin(gid, self.known["gid"])
         score = np.zeros(len(held))
@@ -196,7 +215,7 @@ class SiteGallery:
         if not len(which):
             return
         gid, cam = b["gid"][which], b["cam"][which]
-        new = np.setdiff1d(gid, self.known["gid"])
+        new = np.unique(gid[~_among(gid, self.known["gid"])])
         if len(new):
             merged = _joined(self.known, {"gid": new, "seen": np.full(len(new), at)})
             self.known = _rows(merged, np.argsort(merged["gid"]))
@@ -209,21 +228,24 @@ class SiteGallery:
         which, gid, cam = which[due], gid[due], cam[due]
         if not len(which):
             return
-        here = ((self.proto["gid"][None] == gid[:, None]) & (self.proto["cam"][None] == cam[:, None])).any(1)
-        score = self.scores(b["v"][which], cam)[np.arange(len(which)), np.searchsorted(self.known["gid"], gid)]
-        take = ~here | (score < self.rules.prototype_below)
-        self.add_prototypes(gid[take], cam[take], np.full(take.sum(), at), b["v"][which[take]])
-        self._trim(gid[take])
-
-    def _trim(self, gids: np.ndarray) -> None:
-        """Keeps the last prototypes of each of these identities."""
-        p = self.proto["gid"]
-        back = np.zeros(len(p), np.int64)
-        for g in np.unique(gids):
-            mine = np.flatnonzero(p == g)
-            back[mine] = np.arange(len(mine))[::-1]
-        if (back >= self.rules.prototypes).any():
-            self.proto = _rows(self.proto, back < self.rules.prototypes)
+        own = np.flatnonzero(_among(self.proto["gid"], gid))
+        same = (self.proto["gid"][own][None] == gid[:, None]) & (self.proto["cam"][own][None] == cam[:, None])
+        score = np.where(same, b["v"][which] @ self.proto["v"][own].T, -np.inf).max(1, initial=-np.inf)
+        take = ~same.any(1) | (score < self.rules.prototype_below)
+        if take.any():
+            self._add_last(gid[take], cam[take], at, b["v"][which[take]])
+
+    def _add_last(self, gid: np.ndarray, cam: np.ndarray, at: int, v: np.ndarray) -> None:
+        """New prototypes; of each of these identities the last are kept."""
+        for k, g in enumerate(gid):
+            mine = np.flatnonzero(self.proto["gid"] == g)
+            new = {"gid": [g], "cam": [cam[k]], "frame": [at], "v": v[k]}
+            if len(mine) < self.rules.prototypes:
+                self.proto = _joined(self.proto, new)
+                continue
+            for c, a in self.proto.items():  # a full one's move up by one place
+                a[mine[:-1]] = a[mine[1:]]
+                a[mine[-1]] = new[c] if c == "v" else new[c][0]
 
     def worth(self, b: dict, new: np.ndarray, open_: np.ndarray) -> np.ndarray:
         """What each of the ``open_`` identities is worth to each new box; -1 where the rules forbid it."""
@@ -255,8 +277,8 @@ class SiteGallery:
             new = np.flatnonzero(mine & (b["gid"] == NONE))
             if not len(new):
                 continue
-            open_ = ~np.isin(self.known["gid"], b["gid"][mine])
-            open_ = self.lately_seen(at, np.repeat(open_[None], len(new), axis=0))
+            open_ = ~_among(self.known["gid"], b["gid"][mine])
+            open_ = np.repeat(self.lately_seen(at, open_[None]), len(new), axis=0)
             worth = self.worth(b, new, open_)
             cols = np.flatnonzero(open_[0])
             for i, j in assign(-np.concatenate([worth[:, cols], np.zeros((len(new), len(new)))], axis=1)):
@@ -276,14 +298,15 @@ class SiteGallery:
         while done < len(b["gid"]):
             ids = self.known["gid"]
             shown = {c: b["gid"][b["cam"] == c] for c in np.unique(b["cam"]).tolist()}
-            active = np.stack([np.isin(ids, shown[c]) for c in b["cam"].tolist()])
+            active = {c: _among(ids, shown[c]) for c in shown}
+            active = np.stack([active[c] for c in b["cam"].tolist()])
             cand = self.lately_seen(at, ~active & (ids[None] < b["gid"][:, None]))
             s = np.where(cand, self.blended(self.scores(b["query"]), b["cam"], b["place"]), -np.inf)
             two = -np.sort(-np.concatenate([s, np.full((len(s), 2), -np.inf)], axis=1), axis=1)[:, :2]
             apart = np.zeros_like(cand)  # an identity stays one track of a camera
             for gids in shown.values():
-                apart |= np.isin(b["gid"], gids)[:, None] & np.isin(ids, gids)[None]
-            ready = np.isin(b["gid"], ids) & (self.tracks["n"][b["row"]] >= r.merge_vectors) & b["query"].any(1)
+                apart |= _among(b["gid"], gids)[:, None] & _among(ids, gids)[None]
+            ready = _among(b["gid"], ids) & (self.tracks["n"][b["row"]] >= r.merge_vectors) & b["query"].any(1)
             ready &= (two[:, 0] >= r.merge_threshold) & ~((two[:, 1] > 0) & (two[:, 0] < two[:, 1] + r.merge_margin)) & (np.arange(len(ready)) >= done)
             pick = s.argmax(1) if s.shape[1] else np.zeros(len(s), int)
             go = [k for k in np.flatnonzero(ready) if not apart[k, pick[k]]]
@@ -332,16 +355,20 @@ class SiteGallery:
         return list(zip(det[order].tolist(), ids.tolist(), strict=True))
 
 
-def _take_frame(g: SiteGallery, at: int, rows: pd.DataFrame) -> list[tuple[int, int]]:
-    """One frame's rows through the gallery; vectors of another length than the site's count as none."""
-    v = np.zeros((len(rows), g.dim))
+def _arrays(rows: pd.DataFrame, dim: int) -> tuple[np.ndarray, ...]:
+    """det, cam, track, v, good and place of the rows, as a gallery takes them; vectors of another length than ``dim`` count as none."""
+    v = np.zeros((len(rows), dim))
     for k, x in enumerate(rows.embedding):
-        if x is not None and len(x) == g.dim:
+        if x is not None and len(x) == dim:
             n = np.linalg.norm(x)
             if n > 0 and np.isfinite(n):
                 v[k] = np.asarray(x, float) / n
-    place = rows[["x", "y"]].to_numpy(float)
-    return g.frame(at, rows.det_id.to_numpy(np.int64), rows.cam_id.to_numpy(np.int64), rows.local_track_id.to_numpy(np.int64), v, rows.good.fillna(False).to_numpy(bool), place)
+    return (*(rows[c].to_numpy(np.int64) for c in ("det_id", "cam_id", "local_track_id")), v, rows.good.fillna(False).to_numpy(bool), rows[["x", "y"]].to_numpy(float))
+
+
+def _take_frame(g: SiteGallery, at: int, rows: pd.DataFrame) -> list[tuple[int, int]]:
+    """One frame's rows through the gallery."""
+    return g.frame(at, *_arrays(rows, g.dim))
 
 
 COLUMNS = ["det_id", "cam_id", "local_track_id", "embedding", "good", "x", "y"]
@@ -367,10 +394,15 @@ def gallery_ids(boxes: DataFrame, dim: int, rules: GalleryRules = GalleryRules()
             else:
                 batch, rest = rest, None
             out = []
-            for (s, at), rows in batch.groupby(["site", "frame_no"], sort=False) if batch is not None else ():
-                if s != site:
-                    site, g = s, SiteGallery(rules, dim)
-                out += [(s, *x) for x in _take_frame(g, int(at), rows)]
+            if batch is not None and len(batch):
+                key = batch[["site", "frame_no"]].to_numpy(np.int64)
+                whole = _arrays(batch, dim)
+                bounds = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1).tolist(), len(key)]
+                for lo, hi in zip(bounds, bounds[1:], strict=False):
+                    s, at = key[lo].tolist()
+                    if s != site:
+                        site, g = s, SiteGallery(rules, dim)
+                    out += [(s, *x) for x in g.frame(at, *(a[lo:hi] for a in whole))]
             yield pd.DataFrame(out, columns=["site", "det_id", "global_id"]).astype("int64")
 
     n = int(boxes.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -228,3 +228,19 @@ def test_a_split_and_shuffled_stream_gives_the_ids_of_the_batch(spark, tmp_path)
         q.awaitTermination(300)
     got = {r.det_id: r.global_id for r in spark.read.parquet(out).collect() if r.det_id < 10**6}
     assert got == want
+
+
+def test_full_identities_keep_their_last_prototypes_in_place():
+    """The table of a gallery whose identities are full is not copied for a new prototype, and scores follow it."""
+    rng = np.random.default_rng(0)
+    g = SiteGallery(GalleryRules(prototypes=3), 4)
+    g.add_identities([1, 2], [0, 0])
+    v = rng.normal(size=(6, 4))
+    g.add_prototypes([1, 2, 1, 2, 1, 2], [0] * 6, range(6), v)
+    table, more = g.proto["v"], rng.normal(size=(2, 4))
+    q = rng.normal(size=(5, 4))
+    g.scores(q)
+    g._add_last(np.array([1, 2]), np.array([0, 1]), 9, more)
+    assert g.proto["v"] is table and g.proto["frame"][g.proto["gid"] == 1].tolist() == [2, 4, 9]
+    for gid, kept in ((0, [v[2], v[4], more[0]]), (1, [v[3], v[5], more[1]])):
+        assert np.allclose(g.scores(q)[:, gid], (q @ np.stack(kept).T).max(1))
