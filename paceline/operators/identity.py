@@ -344,33 +344,68 @@ def by_component(pairs: DataFrame, apart: DataFrame, scene: str) -> tuple[DataFr
     return p.join(of, "node").drop("node"), c.join(of, "node").select(F.col("component").alias("apart"), "a", "b")
 
 
+def each_component(pairs: DataFrame, apart: DataFrame, scene: str, value: str, work, schema: str) -> DataFrame:
+    """(scene, schema): what ``work`` makes of the pairs (a, b, value) and the apart pairs (a, b) of each component of the pairs.
+
+    Components are dealt to tasks and pass through them one by one, in batches that hold many:
+    most are small, and a group of its own for each costs more than the work on it.
+    """
+    names = [scene, *(x.split()[0] for x in schema.split(", "))]
+
+    def run(batches):
+        at, where, edges, foes = None, None, [], []
+
+        def done():
+            return [(where, *x) for x in work(edges, foes)]
+
+        for batch in batches:
+            out = []
+            for component, kind, s, a, b, x in zip(*(batch[c].tolist() for c in ("component", "kind", scene, "a", "b", value)), strict=True):
+                if component != at:
+                    if at is not None:
+                        out += done()
+                    at, where, edges, foes = component, s, [], []
+                if kind:
+                    foes.append((a, b))
+                else:
+                    edges.append((a, b, x))
+            yield pd.DataFrame(out, columns=names)
+        if at is not None:
+            yield pd.DataFrame(done(), columns=names)
+
+    p, c = by_component(pairs.select(scene, "a", "b", F.col(value).cast("double").alias(value)), apart, scene)
+    p = p.select("component", F.lit(0).alias("kind"), F.col(scene).cast("long").alias(scene), "a", "b", value)
+    c = c.select(F.col("apart").alias("component"), F.lit(1).alias("kind"), F.lit(0).cast("long").alias(scene), "a", "b", F.lit(0.0).alias(value))
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = p.unionByName(c).repartition(n, "component").sortWithinPartitions("component", "kind", "a", "b")
+    return rows.mapInPandas(run, f"{scene} long, {schema}")
+
+
+def _greedy(pairs: list[tuple], apart: list[tuple]) -> list[tuple[int, int]]:
+    """(id, target) after merging (a, b, score) by falling score, never two ids with a conflict."""
+    members = {x: {x} for x in sorted({x for e in pairs for x in e[:2]})}
+    root = {x: x for x in members}
+    foes: dict[int, set[int]] = {}
+    for a, b in apart:
+        foes.setdefault(a, set()).add(b)
+        foes.setdefault(b, set()).add(a)
+    for a, b, _ in sorted(pairs, key=lambda e: (-e[2], e[0], e[1])):
+        a, b = sorted((root[a], root[b]))
+        if a == b or any(foes.get(x, set()) & members[b] for x in members[a]):
+            continue
+        for x in members[b]:
+            root[x] = a
+        members[a] |= members.pop(b)
+    return list(root.items())
+
+
 def merge_map(pairs: DataFrame, conflicts: DataFrame, scene: str = "scene") -> DataFrame:
     """Greedy merges by falling score, never of two ids with a conflict: (scene, global_id, target).
 
-    pairs: scene, a, b, score; conflicts: scene, a, b.  The order of merges matters, so a
-    connected component of the pairs is one group; components run in parallel.
+    pairs: scene, a, b, score; conflicts: scene, a, b.  The order of merges matters within a
+    connected component of the pairs; components run in parallel.
     """
-
-    def kernel(key, p: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        if not len(p):
-            return pd.DataFrame({scene: [], "global_id": [], "target": []}).astype("int64")
-        members = {x: {x} for x in sorted({*p.a, *p.b})}
-        root = {x: x for x in members}
-        foes: dict[int, set[int]] = {}
-        for a, b in zip(c.a, c.b, strict=True):
-            foes.setdefault(a, set()).add(b)
-            foes.setdefault(b, set()).add(a)
-        for a, b in p.sort_values(["score", "a", "b"], ascending=[False, True, True])[["a", "b"]].itertuples(index=False):
-            a, b = sorted((root[a], root[b]))
-            if a == b or any(foes.get(x, set()) & members[b] for x in members[a]):
-                continue
-            for x in members[b]:
-                root[x] = a
-            members[a] |= members.pop(b)
-        return pd.DataFrame({scene: [p[scene].iloc[0]] * len(root), "global_id": list(root), "target": list(root.values())})
-
-    p, c = by_component(pairs.select(scene, "a", "b", "score"), conflicts, scene)
-    return p.groupBy("component").cogroup(c.groupBy("apart")).applyInPandas(kernel, f"{scene} long, global_id long, target long")
+    return each_component(pairs, conflicts, scene, "score", _greedy, "global_id long, target long")
 
 
 def nearest_centroid_pass(points: DataFrame, radius: float, confidence: float) -> DataFrame:
