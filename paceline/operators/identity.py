@@ -8,9 +8,11 @@ component of hits to a group; carried matches, a span of contested frames to a g
 from __future__ import annotations
 
 import heapq
+import itertools
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,23 +108,56 @@ def heaviest(rows: list[int], cols: list[int], weights: list[int]) -> int:
     return sum(edges[r][c] for r, c in col_of.items())
 
 
+def _taken(gt: np.ndarray, det: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Which pairs of one frame the one-to-one assignment of most ``weight`` takes."""
+    (g, r), (p, c) = np.unique(gt, return_inverse=True), np.unique(det, return_inverse=True)
+    m = np.zeros((len(g), len(p)))
+    m[r, c] = weight
+    if min(m.shape) == 1:
+        return r * len(p) + c == m.argmax()
+    chosen = np.full(len(g), -1)
+    for row, col in assign(-m):
+        chosen[row] = col
+    return chosen[r] == c
+
+
 def _one_to_one(pairs: DataFrame, weight: str) -> DataFrame:
-    """The pairs of each camera and frame that the one-to-one assignment of most ``weight`` takes."""
-    columns = pairs.columns
+    """The pairs of each camera and frame that the one-to-one assignment of most ``weight`` takes.
+
+    Frames are dealt to tasks and pass through them one by one, after one sort, which may spill:
+    no table of frames or boxes is held.
+    """
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        g, p = np.unique(pdf.gt_id), np.unique(pdf.det_id)
-        m = np.zeros((len(g), len(p)))
-        m[np.searchsorted(g, pdf.gt_id), np.searchsorted(p, pdf.det_id)] = pdf[weight]
-        taken = pd.DataFrame([(g[r], p[c]) for r, c in assign(-m)], columns=["gt_id", "det_id"])
-        return taken.merge(pdf, on=["gt_id", "det_id"])[columns]
+    def run(batches):
+        rest = None
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None and rest is not None:
+                batch = pa.concat_batches([rest, batch])
+            whole = rest if batch is None else batch
+            if whole is None or not whole.num_rows:
+                continue
+            cam, frame, gt, det, w = (whole.column(whole.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("cam_id", "frame_no", "gt_id", "det_id", weight))
+            begins = np.flatnonzero(np.concatenate([[True], (cam[1:] != cam[:-1]) | (frame[1:] != frame[:-1])]))
+            ends = np.append(begins[1:], len(cam))
+            if batch is not None:  # the last frame may go on in the next batch
+                rest = batch.slice(begins[-1])
+                begins, ends = begins[:-1], ends[:-1]
+            if not len(begins):
+                continue
+            took = np.ones(ends[-1], bool)
+            # A frame in which every box meets one other at most needs no assignment.
+            of = np.repeat(np.arange(len(begins)), ends - begins)
+            contested = np.zeros(len(begins), bool)
+            for box_id in (gt[: len(of)], det[: len(of)]):
+                order = np.lexsort((box_id, of))
+                again = (box_id[order][1:] == box_id[order][:-1]) & (of[1:] == of[:-1])
+                contested[of[1:][again]] = True
+            for a, b in zip(begins[contested].tolist(), ends[contested].tolist(), strict=True):
+                took[a:b] = _taken(gt[a:b], det[a:b], w[a:b])
+            yield whole.slice(0, len(took)).filter(pa.array(took))
 
-    # A frame in which every box meets one other at most needs no assignment.
-    frames = pairs.groupBy("cam_id", "frame_no").agg((F.count("*") > F.least(F.countDistinct("gt_id"), F.countDistinct("det_id"))).alias("contested"))
-    marked = pairs.join(frames, ["cam_id", "frame_no"])
-    plain = marked.where("not contested").select(columns)
-    fought = marked.where("contested").select(columns).groupBy("cam_id", "frame_no").applyInPandas(match, pairs.schema)
-    return plain.unionByName(fought)
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return pairs.repartition(n, "cam_id", "frame_no").sortWithinPartitions("cam_id", "frame_no").mapInArrow(run, pairs.schema)
 
 
 def frame_matches(gt: DataFrame, pred: DataFrame, least: float = 0.5) -> DataFrame:
@@ -282,7 +317,7 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
     By the published definition: frames are assigned on IoU weighted by how well the
     two trajectories agree over all frames; each threshold then keeps matches from it
     on.  A threshold without matches counts as 0 (LocA: 1).  Cameras need boxes on
-    both sides.  Only contested frames leave the DataFrame functions.
+    both sides.  Only the assignment of frames leaves the DataFrame functions.
     """
     track, iou = ["cam_id", "person_id", "global_id"], F.col("iou")
     s = box_pairs(gt, pred)
@@ -293,12 +328,18 @@ def hota(gt: DataFrame, pred: DataFrame) -> DataFrame:
     agree = agree.withColumn("agree", F.col("shared") / (F.col("n_g") + F.col("n_p") - F.col("shared"))).drop("shared")
     m = _one_to_one(s.join(agree, track).withColumn("score", iou * F.col("agree")).select(*s.columns, "n_g", "n_p", "score"), "score")
 
-    steps = F.explode(F.sequence(F.lit(1), F.lit(19))).alias("step")
-    hits = m.select(*track, "n_g", "n_p", "iou", steps).where(iou >= F.col("step") / 20 - 1e-12)
-    hits = hits.groupBy(*track, "n_g", "n_p", "step").agg(F.count("*").alias("n"), F.sum("iou").alias("loc"))
+    # A match counts up to its last step.  Matches of a track are added up by that step, and sums over
+    # the steps from above hold down to the next step that occurs, so only these sums are repeated for each step.
+    last = sum(((iou >= k / 20 - 1e-12).cast("int") for k in range(1, 20)), F.lit(0))
+    hits = m.select(*track, "n_g", "n_p", "iou", last.alias("last")).where("last > 0").repartition(*track)
+    hits = hits.groupBy(*track, "n_g", "n_p", "last").agg(F.count("*").alias("n"), F.sum("iou").alias("loc"))
+    down = Window.partitionBy(*track).orderBy(F.desc("last"))
+    hits = hits.select("cam_id", "n_g", "n_p", "last", F.sum("n").over(down).alias("n"), F.sum("loc").over(down).alias("loc"), F.lead("last", 1, 0).over(down).alias("below"))
+    hits = hits.withColumn("step", F.explode(F.sequence(F.col("below") + 1, F.col("last"))))
     n = F.col("n")
     hits = hits.groupBy("cam_id", "step").agg(F.sum("n").alias("tp"), (F.sum(n * n / (F.col("n_g") + F.col("n_p") - n)) / F.sum("n")).alias("ass"), (F.sum(n * n / F.col("n_g")) / F.sum("n")).alias("ass_re"), (F.sum(n * n / F.col("n_p")) / F.sum("n")).alias("ass_pr"), (F.sum("loc") / F.sum("n")).alias("loc"))
     boxes = gt.groupBy("cam_id").agg(F.count("*").alias("n_gt")).join(pred.groupBy("cam_id").agg(F.count("*").alias("n_pred")), "cam_id")
+    steps = F.explode(F.sequence(F.lit(1), F.lit(19))).alias("step")
     a = boxes.select("*", steps).join(hits, ["cam_id", "step"], "left").fillna(0, ["tp", "ass", "ass_re", "ass_pr"]).fillna(1, ["loc"])
     det = F.col("tp") / (F.col("n_gt") + F.col("n_pred") - F.col("tp"))
     score = {"hota": F.sqrt(det * F.col("ass")), "det_a": det, "ass_a": F.col("ass"), "loc_a": F.col("loc")}
