@@ -188,8 +188,9 @@ def velocity_tracks(s, d):
     p = _points(s, d).withColumn("scene", (F.col("cam_id") % 2).cast("long"))
     c = linking.cluster_frames(p, 1500.0, ("scene",))
     i = p.join(c, "det_id").groupBy("scene", "frame_no", "instance").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    i = _with_vector(i, "instance", _vectors(s, d))
-    return linking.velocity_tracks(i, 2500.0, 2500.0, 5, 50, 0.1)
+    v = _vectors(s, d)
+    i = i.join(F.broadcast(v.agg(F.count("*").alias("n_vectors")))).withColumn("vec", F.col("instance") % F.col("n_vectors")).join(v.select(F.col("vec_id").alias("vec")), "vec", "left_semi")
+    return linking.velocity_tracks(i, 2500.0, 2500.0, 5, 50, 0.1, vectors=v.select(F.col("vec_id").alias("vec"), "v"))
 
 
 def _ended(s, d):
