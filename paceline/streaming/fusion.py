@@ -13,7 +13,7 @@ from ..operators.fusion import EVENT, EVENTS, FusionRules, Person, SceneFusion,
 
 _PLACES = "frames array<long>, place_cams array<long>, xs array<double>, ys array<double>"
 _SPANS = "cams array<long>, starts array<long>, ends array<long>"
-PERSON = f"total array<double>, n long, {_SPANS}, {_PLACES}, partners array<long>, scores array<double>"
+PERSON = f"total array<double>, n long, {_SPANS}, {_PLACES}, partners array<long>, scores array<double>, last double, last_gid long, stale boolean"
 WAITING = "cam long, gid long, start long, end long, v array<double>, n long, frames array<long>, xs array<double>, ys array<double>"
 
 
@@ -68,20 +68,18 @@ class Fusion(StatefulProcessor):
         yield pd.DataFrame(out, columns=EVENT)
 
     def _load(self) -> SceneFusion:
-        fusion = SceneFusion(self.rules)
-        for (gid,), (total, n, cams, starts, ends, frames, at, xs, ys, partners, scores) in self.persons.iterator():
-            fusion.persons[gid] = Person(np.array(total, float), n, list(zip(cams, starts, ends, strict=True)), list(zip(frames, at, xs, ys, strict=True)))
-            if len(partners):
-                fusion.near[gid] = dict(zip(partners, scores, strict=True))
-        fusion.gone = {k[0]: v[0] for k, v in self.gone.iterator()}
+        fusion, persons = SceneFusion(self.rules), {}
+        for (gid,), (total, n, cams, starts, ends, frames, at, xs, ys, *kept) in self.persons.iterator():
+            persons[gid] = Person(np.array(total, float), n, list(zip(cams, starts, ends, strict=True)), list(zip(frames, at, xs, ys, strict=True))), *kept
+        fusion.load(persons, {k[0]: v[0] for k, v in self.gone.iterator()})
         return fusion
 
     def _store(self, fusion: SceneFusion, merged: set[int]) -> None:
         for gid in fusion.touched:
-            p, near = fusion.persons[gid], fusion.near.get(gid, {})
+            p = fusion.persons[gid]
             spans = [list(c) for c in zip(*p.spans, strict=True)] or [[], [], []]
             places = [list(c) for c in zip(*p.places, strict=True)] or [[], [], [], []]
-            self.persons.updateValue((gid,), (p.total.tolist(), p.n, *spans, *places, list(near), list(near.values())))
+            self.persons.updateValue((gid,), (p.total.tolist(), p.n, *spans, *places, *fusion.stored(gid)))
         for source in fusion.gone.keys() - merged:
             self.gone.updateValue((source,), (fusion.gone[source],))
 

@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from paceline.operators.fusion import FusionRules, Meetings, SceneFusion, windowed
 from paceline.streaming.fusion import live_fusion
@@ -150,3 +151,47 @@ def test_meetings_are_kept_up(tolerance):
     for k in range(2000):
         far.add(k, 0, 1000 * k, 1000 * k)
     assert not far.of and max(map(len, far.listed.values())) <= 1
+
+
+def test_nothing_is_scored_until_someone_is_apart():
+    """A merge is told once, so windows are only summed up where all have merged; what they bring counts later."""
+    fusion = SceneFusion(FusionRules(50, 0, 0.5, 0.0, 3, least_dets=1))
+    unit = np.array([[1.0, 0.0, 0.0], [0.9, 0.1, 0.0], [0.0, 1.0, 0.0]])
+    assert [e[2:4] for e in fusion.step([(0, 1, 0, 9, unit[0], 1, []), (1, 2, 0, 9, unit[1], 1, [])], 50)] == [(2, 1)]
+    before = fusion.scored
+    for k in range(1, 30):
+        assert fusion.step([(0, 1, 50 * k, 50 * k + 9, unit[2], 1, [])], 50 * k + 50) == []
+    assert fusion.scored == before  # though the first has turned to another side by now
+    assert [e[2:4] for e in fusion.step([(0, 3, 9000, 9009, unit[2], 1, [])], 9050)] == [(3, 1)]
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_best_partners_are_enough(spark, seed):
+    """Where nearly all pairs pass, a person holds some, and finds others when those go."""
+    rules = FusionRules(50, 10, -0.9, 0.0, 1, 2, 1, 1)
+    rows = tracklets(seed, n=260)
+    fusion, got = SceneFusion(rules), []
+    rows = [x for x in rows if x[0] == 0]
+    last = max(x[4] for x in rows)
+    for b in range(50, last + 50, 50):
+        here = sorted((x for x in rows if b - 50 < x[4] <= b or x[4] <= b == 50), key=lambda x: (x[4], x[2], x[1], x[3]))
+        if here:
+            got += [(0, *e) for e in fusion.step([(c, g, lo, hi, v, n, []) for _, c, g, lo, hi, _, v, n, _ in here], min(b, last))]
+    assert np.isfinite(fusion.last[: len(fusion.at)]).any() and fusion.partner.shape[1] == fusion.room < len(fusion.at) - 1
+    assert [r[:5] for r in sorted(got)] == [r[:5] for r in from_scratch(rows, rules)] and len(got) > 5
+
+
+def test_scenes_are_dealt_out_evenly(spark):
+    """With as many partitions as scenes each has one of its own."""
+    v = [1.0, 0.0]
+    rows = [(s, c, 10 * s + c, 0, 20, 9, v, 5, None) for s in range(8) for c in (1, 2)]
+    got = windowed(spark.createDataFrame(rows, SCHEMA), FusionRules(50, 5, 0.5, 0.0, 3)).withColumn("p", F.spark_partition_id()).collect()
+    assert len(got) == 8 == len({r.p for r in got})
+
+
+def test_places_are_joined_by_their_part(spark):
+    """Tracklets meet the places of their own 100 frames only, not all those of their person to be filtered."""
+    from paceline.plans.store_queries import fused_with_places
+
+    plan = fused_with_places(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Join Inner" in line and "start_frame" in line and "<=" in line]
