@@ -222,7 +222,7 @@ def fused_with_places(s, d):
     """Windowed merges that blend in how near persons are in common frames."""
     p = _points(s, d).groupBy("cam_id", "global_id", F.floor(F.col("frame_no") / 100).alias("part"), "frame_no").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
     p = p.groupBy("cam_id", "global_id", "part").agg(F.sort_array(F.collect_list(F.struct("frame_no", "x", "y"))).alias("places"))
-    t = _ended(s, d).join(p.withColumn("start", F.col("part") * 100), ["cam_id", "global_id"]).where("start_frame between start and start + 99")
+    t = _ended(s, d).withColumn("part", F.floor(F.col("start_frame") / 100)).join(p, ["cam_id", "global_id", "part"])
     return fusion.windowed(t, fusion.FusionRules(125, 25, 0.25, 0.005, 5, least_dets=1, geo_weight=0.35, geo_least=1, near=300.0, far=2000.0))
 
 
