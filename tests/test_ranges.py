@@ -131,3 +131,26 @@ def test_span_fill_lists_frames_in_place(spark):
     assert sorted((r.global_id, r.cam_id, r.frame_no) for r in fill.collect()) == [(1, 0, f) for f in (3, 4, 7, 8)] + [(1, 1, f) for f in (2, 3, 5, 6, 7, 8, 9)] + [(2, 0, 4), (2, 0, 5)]
     listed = next(i for i, line in enumerate(plan) if "Generate explode(sequence(f0" in line)
     assert not [line for line in plan[:listed] if " Exchange" in line or "SortMergeJoin" in line]
+
+
+def test_span_fill_means_are_those_of_its_boxes(spark, monkeypatch):
+    """Sums of a step's frames, however these are cut, are those of the boxes; no frame becomes a row."""
+    from pyspark.sql import functions as F
+
+    from paceline.plans.queries import CAMERA, CAMERAS
+
+    rng = random.Random(2)
+    path = [(g, f, rng.uniform(-3000, 3000), rng.uniform(500, 6000)) for g in range(5) for f in sorted(rng.sample(range(3000), 12))]
+    det = [(g, rng.randrange(4), max(0, f + rng.choice([-3, 0, 0, 40]))) for g, f, *_ in path for _ in range(3)]
+    det, path = spark.createDataFrame(det, "global_id long, cam_id int, frame_no long"), spark.createDataFrame(path, "global_id long, frame_no long, x double, y double")
+    args = det, path, spark.createDataFrame(CAMERAS, CAMERA), 5, 2500, (640.0, 360.0), 1700.0, 0.33
+    boxes = paths.span_fill(*args).groupBy("global_id", "cam_id").agg(F.count("*"), F.min("frame_no"), F.max("frame_no"), *[F.avg(c) for c in ("left", "top", "width", "height")])
+    want = sorted(tuple(r) for r in boxes.collect())
+    assert len(want) > 5 and sum(r[2] for r in want) > 1000
+    for listed in (paths._LISTED, 7):
+        monkeypatch.setattr(paths, "_LISTED", listed)
+        means = paths.span_fill_means(*args)
+        got = sorted(tuple(r) for r in means.collect())
+        assert [r[:5] for r in got] == [r[:5] for r in want]
+        assert all(x == pytest.approx(y, rel=1e-9) for x, y in zip(got, want))
+        assert "explode" not in means._jdf.queryExecution().optimizedPlan().toString()
