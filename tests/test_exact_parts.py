@@ -97,3 +97,11 @@ def test_conflicts_come_in_runs(spark):
     got = [(r.a, r.b) for r in pairs.interval_conflicts(t, 60).collect()]
     jumps = sum(x[0] != y[0] and x[1] != y[1] for x, y in zip(got, got[1:]))
     assert len(got) > 20_000 and jumps < len(got) / 5
+
+
+def test_handoffs_come_in_the_order_of_time(spark):
+    rows, t = _unordered(spark)
+    met = pairs.handoffs(t, 900).collect()
+    on = sum(x.a == y.a and x.gap <= y.gap for x, y in zip(met, met[1:]))
+    want = sorted((x[0], y[0], y[3] - x[4]) for x in rows for y in rows if x[1] != y[1] and 0 < y[3] - x[4] <= 900)
+    assert sorted(tuple(r) for r in met) == want and len(met) > 5000 and on > 0.7 * len(met)
